@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, sharding
+from tessera.llm import exact_dedup, sharding, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op9_sharding": sharding.op9_sharding,
 }
 
