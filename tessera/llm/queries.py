@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, sharding, substring_dedup, token_counts
+from tessera.llm import exact_dedup, mixing, sharding, simhash, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,9 +14,12 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op8_mixing": mixing.SQL,
 }
