@@ -142,7 +142,7 @@ class Words:
     in, ``first`` the index of each row's first word (one more at the end).
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, separators: np.ndarray = _IS_SEP):
         texts = texts.cast(pa.large_string()).fill_null("")
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
@@ -152,7 +152,7 @@ class Words:
         self.data = np.frombuffer(data, dtype=np.uint8)[base : base + int(offsets[-1])] if data is not None and n else np.zeros(0, dtype=np.uint8)
         if lower:
             self.data = np.where((self.data >= 65) & (self.data <= 90), self.data | 32, self.data)
-        sep = _IS_SEP[self.data]
+        sep = separators[self.data]
         edge = np.zeros(len(sep) + 1, dtype=bool)
         edge[offsets] = True
         before, after = np.ones(len(sep) + 1, dtype=bool), np.ones(len(sep) + 1, dtype=bool)
@@ -165,11 +165,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A mixed 64-bit hash of each word."""
-        up, down = _IN_WORD.upto(len(self.data))
-        total = np.zeros(len(self.data) + 1, dtype=U64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix64(h + (self.end - self.start).astype(U64))
+        out = np.empty(len(self.start), dtype=U64)
+        a = 0
+        while a < len(out):  # one pass, unless a single text is longer than a slice
+            b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + 2 * SLICE_BYTES, side="right")))
+            base, top = int(self.start[a]), int(self.end[b - 1])
+            up, down = _IN_WORD.upto(top - base)
+            total = np.zeros(top - base + 1, dtype=U64)
+            np.cumsum(_BYTE[self.data[base:top]] * up[: top - base], out=total[1:])
+            start, end = self.start[a:b] - base, self.end[a:b] - base
+            out[a:b] = mix64((total[end] - total[start]) * down[start] + (end - start).astype(U64))
+            a = b
+        return out
 
     def offsets_in_doc(self) -> np.ndarray:
         return np.arange(len(self.start)) - np.repeat(self.first[:-1], self.count)

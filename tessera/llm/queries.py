@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, sharding, simhash, substring_dedup, token_counts
+from tessera.llm import decontamination, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_quality": quality.op5_quality,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
 }
