@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, token_counts
+from tessera.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +27,11 @@ QUERIES: dict[str, Query] = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_quality": quality.op5_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
