@@ -57,17 +57,18 @@ class DigestIndex:
             docs.select(F.col(id_col).cast("bigint").alias("id"), digest.alias("digest")).groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n")),
             "batch-digests",
         )
-        groups = digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
+        # Written, or the anti-join would be moved below the aggregation and shuffle every row of a common text.
+        groups = staged(digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("ids")), "batch-groups")
         new = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
         new.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch")).write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
         index = self.rows()
-        total = digests.agg(F.sum("n"), F.count(F.lit(1))).first()
+        total = groups.agg(F.sum("ids")).first()[0] or 0
         # The rows of a very common text would all meet in one task of the merge join.  There are
         # at most 1 / HEAVY_SHARE such texts, so their index rows may be broadcast.
-        least = max(1000, int((total[1] or 0) * HEAVY_SHARE))
-        heavy = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= least).select("digest")
+        least = max(1000, int(total * HEAVY_SHARE))
+        heavy = groups.filter(F.col("ids") >= least).select("digest")
         heavy_rows = staged(index.join(F.broadcast(heavy), "digest", "left_semi"), "heavy-digests")
         light = digests.join(F.broadcast(heavy_rows.select("digest")), "digest", "left_anti").hint("merge").join(index, "digest")
         joined = light.unionByName(digests.join(F.broadcast(heavy_rows), "digest"))
