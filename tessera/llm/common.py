@@ -125,7 +125,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, SLICE_BYTES + (1 << 16))
+            self.n = n + (n >> 3) + 1024
             self.up, self.down = (np.concatenate([[U64(1)], np.full(self.n, U64(b), dtype=U64)]) for b in (self.base, self.inverse))
             np.multiply.accumulate(self.up, out=self.up)
             np.multiply.accumulate(self.down, out=self.down)

@@ -32,7 +32,7 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31:
 #: Text per bucket.
 BUCKET_BYTES = 6 << 20
 #: Anchors that a task folds at once.
-FOLD = 1_500_000
+FOLD = 800_000
 _ROUTED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("db", pa.int32()), ("payload", pa.binary())])
 _MARKS = pa.schema([("db", pa.int32()), ("payload", pa.binary())])
 
