@@ -207,12 +207,12 @@ def fan_in_union(spark, d):
 
 # ---------------------------------------------------------------- golden records
 
-_SEEN = """seen AS (SELECT o_custkey AS k, o_orderkey AS source, epoch_us(o_orderdate) // 1000000 AS at, CASE WHEN o_orderstatus = 'F' THEN '  ' ELSE o_orderstatus END AS status,
+_SEEN = """seen AS (SELECT o_custkey AS k, o_orderkey AS source, epoch_us(o_orderdate) // 1000000 AS tm, CASE WHEN o_orderstatus = 'F' THEN '  ' ELSE o_orderstatus END AS status,
   CASE WHEN o_orderpriority LIKE '5%' THEN NULL ELSE o_orderpriority END AS priority FROM orders)"""
 
 
 def _first_sql(field: str, what: str) -> str:
-    return f"(array_agg({what} ORDER BY at, source) FILTER (WHERE nullif(trim({field}), '') IS NOT NULL))[1]"
+    return f"(array_agg({what} ORDER BY tm, source) FILTER (WHERE nullif(trim({field}), '') IS NOT NULL))[1]"
 
 
 def _sightings(spark, d):
@@ -232,12 +232,12 @@ def provenance(spark, d):
     return survive.provenance(_sightings(spark, d), "k", ["at", "source"], "source", ["status", "priority"])
 
 
-@query(f"WITH {_SEEN} SELECT k, min(at) AS first_seen, max(at) AS last_seen FROM seen GROUP BY k")
+@query(f"WITH {_SEEN} SELECT k, min(tm) AS first_seen, max(tm) AS last_seen FROM seen GROUP BY k")
 def golden_seen_window(spark, d):
     return survive.seen_window(_sightings(spark, d), "k", "at")
 
 
-@query(f"WITH {_SEEN}, f AS (SELECT k, coalesce(priority, '?') AS s, min((at, source)) AS a FROM seen GROUP BY ALL) SELECT k, string_agg(s, ',' ORDER BY a) AS source_ids FROM f GROUP BY k")
+@query(f"WITH {_SEEN}, f AS (SELECT k, coalesce(priority, '?') AS s, min((tm, source)) AS a FROM seen GROUP BY ALL) SELECT k, string_agg(s, ',' ORDER BY a) AS source_ids FROM f GROUP BY k")
 def golden_sources(spark, d):
     s = _sightings(spark, d).withColumn("s", F.coalesce("priority", F.lit("?")))
     return survive.source_ids(s, "k", ["at", "source"], "s").select("k", F.array_join("source_ids", ",").alias("source_ids"))

@@ -199,7 +199,7 @@ _P = "p(id, payload, n) AS ({})"
 
 
 def _payloads(spark, rows):
-    return values(spark, rows, "id bigint, payload string, n bigint")
+    return values(spark, rows, "id int, payload string, n bigint")
 
 
 def _entries_sql(rows, field, columns, required):
