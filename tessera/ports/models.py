@@ -61,9 +61,11 @@ def embed_column(text: Column, make: Callable[[], Embedder] = HashEmbedder) -> C
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = make()
         for s in batches:
-            known = s.dropna()
-            vectors = embedder.embed(list(known)) if len(known) else []
-            yield pd.Series(vectors, index=known.index, dtype=object).reindex(s.index)
+            out: list = [None] * len(s)
+            known = np.flatnonzero(s.notna())
+            for i, vector in zip(known, embedder.embed([s.iloc[i] for i in known]) if len(known) else [], strict=True):
+                out[i] = vector
+            yield pd.Series(out, dtype=object)
 
     return run(text)
 
