@@ -145,9 +145,9 @@ class Words:
     def __init__(self, texts: pa.Array, lower: bool = False, separators: np.ndarray = _IS_SEP):
         texts = texts.cast(pa.large_string()).fill_null("")
         n = len(texts)
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
-        base = int(offsets[0]) if n else 0
-        offsets = offsets - base if n else np.zeros(1, dtype=np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
+        base = int(offsets[0])
+        offsets = offsets - base
         data = texts.buffers()[2]
         self.data = np.frombuffer(data, dtype=np.uint8)[base : base + int(offsets[-1])] if data is not None and n else np.zeros(0, dtype=np.uint8)
         if lower:

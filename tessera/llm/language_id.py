@@ -33,6 +33,8 @@ _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Table places of the byte trigrams of each text (A-Z folded, all but letters as space), and each one's row."""
     texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)

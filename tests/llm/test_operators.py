@@ -1,0 +1,456 @@
+"""Each operator against brute force on awkward rows: nulls, empty and very long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import common, decontamination, exact_dedup, language_id, mixing, quality, sharding, simhash, substring_dedup, token_counts, toxicity
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, fp bigint, bucket int, shard int, y double, text_sha256 string"
+LOWER = {i: i + 32 for i in range(65, 91)}
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def corpus() -> list[tuple]:
+    """(doc_id, text): copies, near copies, shared passages, odd white space, junk."""
+    rng = random.Random(17)
+    words = ["The", "cat", "über", "ñandú", "sat,", "ON", "mat", "éa", "x", "1999", "don't", "re", "a" * 40] + [f"w{i}" for i in range(300)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, texts = make(60), []
+    for i in range(60):
+        t = make(rng.choice([1, 2, 5, 12, 13, 14, 40, 150]))
+        if i % 4 == 0:
+            t = t + "\n" + passage + "\t" + make(9)
+        texts.append(t)
+    texts += [texts[5], texts[5].upper(), texts[8], "  ", "", None, "A.", "!!! ***", "\x0b\x0c\r\n", "  two", texts[7] + " end", passage, "<|endoftext|> a <|endoftext|>", "line sep\x85x\x1cy", "日本語 テスト 한국어 🙂🙂"]
+    t = texts[3].split()
+    texts.append(" ".join(t[: len(t) // 2] + ["changed"] + t[len(t) // 2 + 1 :]))
+    texts.append(" ".join(make(1000) for _ in range(40)) + " " + passage)
+    texts += ["same words here " * 2000]
+    return list(enumerate(texts))
+
+
+DOCS = corpus()
+
+
+def frame(spark, rows, repeats=True):
+    full = [(i, t, None if k % 11 == 3 else ("en", "de", "fr")[k % 3], None if k % 13 == 5 else f"src{k % 3 if k % 2 else 0}", 1, -i if i is not None else 0, 7, 1, 2, 0.5, "no") for k, (i, t) in enumerate(rows)]
+    if repeats and full:
+        full += [full[1], full[1], full[6]]
+    return spark.createDataFrame(full, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, DOCS).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+LABELS = "doc_id bigint, quality int, toxic int"
+
+
+@pytest.mark.parametrize("n", [3, 7, 13, 40])
+def test_cover_meets_every_shift(n):
+    period, cover = substring_dedup.cover_for(n)
+    assert all(any((a - b - d) % period == 0 for a in cover for b in cover) for d in range(period))
+
+
+@pytest.mark.parametrize("n", [13, 5, 2])
+def test_substring_dedup(spark, docs, n):
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, n).collect()}
+    split = {i: WORD.findall(t or "") for i, t in DOCS}
+    first: dict = {}
+    for i, w in split.items():
+        for k in range(len(w) - n + 1):
+            first.setdefault(tuple(w[k : k + n]), i)
+    for i, w in split.items():
+        gone = [False] * len(w)
+        for k in range(len(w) - n + 1):
+            if first[tuple(w[k : k + n])] < i:
+                gone[k : k + n] = [True] * n
+        assert (got[i]["n_words"], got[i]["n_removed"]) == (len(w), sum(gone))
+        assert got[i]["kept_text"] == " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        covered = [False] * len(w)
+        for s in got[i]["removed"]:
+            covered[s["start"] : s["end"]] = [True] * (s["end"] - s["start"])
+        assert covered == gone
+
+
+def test_substring_dedup_odd_ids(spark):
+    long = " ".join(f"v{i}" for i in range(30))
+    df = spark.createDataFrame([(1, "a b " + long), (1, long + " c"), (2, long), (None, long), (None, None), (-5, long + " z")], "doc_id bigint, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == sorted([("1", 32, 30), ("1", 31, 30), ("2", 30, 30), ("None", 30, 0), ("None", 0, 0), ("-5", 31, 0)])
+
+
+def test_exact_dedup(spark, docs):
+    index = exact_dedup.DigestIndex(spark)
+    rows = index.add(docs).collect()
+    assert len(rows) == docs.count()
+    groups: dict = {}
+    for r in docs.select("doc_id", "text").collect():
+        groups.setdefault((r["text"] or "").translate(LOWER), []).append(r["doc_id"])
+    by_id = {i: k for k, ids in groups.items() for i in ids}
+    for r in rows:
+        own = groups[by_id[r["doc_id"]]]
+        assert (r["keep_id"], r["group_size"]) == (max(own), len(own))
+        assert r["digest"].hex() == hashlib.sha256(by_id[r["doc_id"]].encode()).hexdigest()
+    kept = [r["doc_id"] for r in rows if r["kept"]]
+    assert sorted(kept) == sorted(max(ids) for ids in groups.values())
+    # A second batch: known texts go, new ones stay.
+    more = spark.createDataFrame([(1000, DOCS[0][1].lower()), (1001, "quite new"), (1002, "QUITE new"), (None, "quite New")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in index.add(more).collect() if r["kept"]) == [1002]
+    assert index.rows().groupBy("digest").count().filter("count > 1").count() == 0
+    assert exact_dedup.DigestIndex(spark, index.location, index.buckets).rows().count() == index.rows().count()
+
+
+def test_heavy_digests(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2500, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    rows = exact_dedup.DigestIndex(spark).add(df)
+    assert rows.filter("kept").count() == 501 and rows.filter("group_size = 2500").count() == 2500
+
+
+def _tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def test_token_counts(spark, docs, monkeypatch):
+    path, library = _tokenizer()
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in DOCS}
+    got = token_counts.count_tokens(docs, path).collect()
+    assert len(got) == docs.count()
+    assert all((r["n_tokens"], r["n_bytes"]) == (want[r["doc_id"]], len((dict(DOCS)[r["doc_id"]] or "").encode())) for r in got)
+
+
+def test_token_counts_anywhere():
+    path, library = _tokenizer()
+    spec = open(path, encoding="utf-8").read()
+    counter = token_counts.Counter(spec, token_counts.whole_tokens(spec))
+    rng = random.Random(2)
+    alphabet = [chr(c) for c in (*range(1, 0x250), 0x2028, 0x3000, 0x4E2D, 0x1F600, 0xAC00, 0x0660, 0x200D, 0x1E9E, 0xFEFF)] + [" ", "\n", "'s", "'LL", " don't"] * 20
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
+        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    long = "The quick brown fox jumps. " * 3000
+    token_counts.PASS_CHARS, was = 1000, token_counts.PASS_CHARS
+    assert counter.count(long) == len(library.encode(long, add_special_tokens=False).ids)
+    token_counts.PASS_CHARS = was
+
+
+def _print(text, k):
+    w = (text or "").translate(LOWER).encode().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), seed=42) for i in range(max(1, len(w) - k + 1))] if w else []
+    return sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("k,radius", [(3, 2), (5, 3)])
+def test_near_duplicates(spark, docs, k, radius):
+    prints = {i: _print(t, k) for i, t in DOCS}
+    label = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if bin(prints[a] ^ prints[b]).count("1") <= radius and label[a] > label[b]:
+                    label[a], changed = label[b], True
+    got = simhash.near_duplicates(docs, k, radius).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert (r["fp"] % (1 << 64), r["component_id"]) == (prints[r["doc_id"]], label[r["doc_id"]])
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_tree_finds_all_links(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.int64).view(np.uint64)
+    fps = np.unique(np.concatenate([base[i] ^ (np.uint64(1) << rng.integers(0, 64, 3).astype(np.uint64)[j]) for i in range(40) for j in range(3) for _ in (0,)] if False else [np.array([b ^ np.uint64(sum(1 << int(x) for x in set(rng.integers(0, 64, n).tolist())))]) for b in base for n in (0, 1, 2, 3, 4)]))
+    a, b = simhash.tree_links(fps, radius)
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bin(int(fps[i]) ^ int(fps[j])).count("1") <= radius}
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+def test_heavy_nodes_lose_no_links(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 1 << 62))
+    fps = sorted({base ^ sum(1 << int(x) for x in rng.integers(0, 64, rng.integers(0, 4))) for _ in range(150)})
+    monkeypatch.setattr(simhash, "NODE_ROWS", 8)
+    links = simhash.index_links(spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp bigint"), 2)
+    found = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    label = {x: x for x in fps}
+    for _ in range(len(fps)):
+        for x in fps:
+            label[x] = min((label[y] for y in fps if bin(x ^ y).count("1") <= 2), key=lambda v: simhash._signed(v))
+    classes = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
+    mine = {simhash._signed(x): found.get(simhash._signed(x), simhash._signed(x)) for x in fps}
+    assert classes(mine) == classes({simhash._signed(k): simhash._signed(v) for k, v in label.items()})
+
+
+def test_near_duplicates_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (None, "other text entirely"), (9, None), (7, " ")], "doc_id bigint, text string")
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(df).collect())
+    assert got == sorted([("None", "4"), ("4", "4"), ("None", "None"), ("9", "7"), ("7", "7")])
+
+
+def _labelled(spark, n=400):
+    rng = random.Random(23)
+    rows, labels = [], []
+    for i in range(n):
+        words = [rng.choice(["river", "stone", "walks", "under", "light", "they", "and"]) for _ in range(rng.randrange(5, 60))]
+        bad, toxic = rng.random() < 0.3, rng.random() < 0.3
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(["moron", "zarplix" + rng.choice(["a", "o", "en"]), "scum"]))
+        text = " ".join(w.upper() + "!!" if bad else w for w in words)
+        rows.append((i, text))
+        labels.append((i, int(not bad), int(toxic)))
+    labels += [(3, None, None), (None, 1, 1), (9999, 1, 0)]
+    return spark.createDataFrame(rows + [(5000, None), (5001, ""), (None, "river")], "doc_id bigint, text string"), spark.createDataFrame(labels, LABELS)
+
+
+def test_quality(spark):
+    df, labels = _labelled(spark)
+    got = {r["doc_id"]: r for r in quality.score_quality(df, labels).collect()}
+    assert len(got) == df.count() and all(0 <= r["score"] <= 1 for r in got.values())
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] is not None and r["doc_id"] < 400}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] for i in held) and np.mean([(got[i]["score"] >= 0.3) == bool(truth[i]) for i in held]) > 0.95
+
+
+def test_toxicity(spark):
+    df, labels = _labelled(spark)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(df, labels).collect()}
+    assert len(got) == df.count() and all(0 <= r["score"] <= 1 for r in got.values())
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] is not None and r["doc_id"] < 400}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(got[i]["held_out"] for i in held) and np.mean([(got[i]["score"] >= 0.7) == bool(truth[i]) for i in held]) > 0.95
+    assert got[5000]["score"] < 0.5 and got[5001]["score"] < 0.5
+
+
+def test_grammar():
+    g = toxicity.Grammar({("moron", False): 3.0, ("blort", True): 2.0})
+    read = lambda t: {k: round(v, 3) for c in g.clauses(t) for k, v in c.items() if v}
+    assert read("You are a MORON.") == {"targeted": 3.0}
+    assert read("a moron walks") == {"plain": 3.0}
+    assert read("he is not a moron") == {"negated": 3.0}
+    assert read("she said moron") == {"reported": 3.0} and read('the word "moron" is old') == {"reported": 3.0}
+    assert read("blorting all day. nothing here") == {"plain": 2.0}
+    assert read("oxymorons") == {} and read("") == {}
+    assert read("I will kill you")["threat"] == 1.0 and read("they kill time") == {}
+
+
+def test_decontamination(spark, docs):
+    rng = random.Random(3)
+    item = lambda n: " ".join(f"q{rng.randrange(5000)}" for _ in range(n))
+    items = [(0, item(15)), (1, item(37)), (2, item(59)), (3, item(300)), (4, None), (5, "too short"), (6, "")]
+    items.append((7, items[1][1]))
+    filler = lambda n: " ".join(f"z{rng.randrange(9000)}" for _ in range(n))
+    planted = []
+    for k, (i, t) in enumerate(items[:4]):
+        planted.append((2000 + k, f"{filler(50)} {t.upper()} {filler(20)}", i))
+        planted.append((2100 + k, f"{t}", i))
+    w = items[2][1].split()
+    w[20] = "changed"
+    planted.append((2200, filler(30) + " " + " ".join(w) + "*** " + filler(3), 2))
+    half = items[2][1].split()[:25]
+    clean = [(2300, filler(100) + " " + " ".join(half)), (2301, None), (2302, filler(20000))]
+    df = spark.createDataFrame([(i, t) for i, t, _ in planted] + clean + [(i, t) for i, t in DOCS], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = {(d, i) for d, _, i in planted} | {(d, 7) for d, _, i in planted if i == 1}
+    assert set(got) == want
+    assert got[2000, 0]["similarity"] == 1.0 and got[2000, 0]["start"] == 50 and got[2000, 0]["end"] == 65
+    assert 0.8 <= got[2200, 2]["similarity"] < 1
+
+
+def test_block_index_misses_nothing():
+    rng = np.random.default_rng(9)
+    refs = rng.integers(0, 1 << 63, 30, dtype=np.int64).view(np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for n in rng.integers(0, 14, 600)], dtype=np.uint64)
+    prints = refs[rng.integers(0, 30, 600)] ^ flips
+    got = set(zip(*(x.tolist() for x in decontamination.BlockIndex(refs).within(prints)), strict=True))
+    assert got == {(i, j) for i in range(600) for j in range(30) if bin(int(prints[i]) ^ int(refs[j])).count("1") <= decontamination.RADIUS}
+
+
+def _fill(budget, children):
+    """Water filling by hand: (capacity, weight) -> shares."""
+    share, open_ = dict.fromkeys(children, 0.0), {k for k, (_, w) in children.items() if w > 0}
+    while open_ and budget > 1e-9:
+        total = sum(children[k][1] for k in open_)
+        full = {k for k in open_ if children[k][0] <= budget * children[k][1] / total + 1e-12}
+        if not full:
+            for k in open_:
+                share[k] = budget * children[k][1] / total
+            break
+        for k in full:
+            share[k] = children[k][0]
+            budget -= children[k][0]
+        open_ -= full
+    return share
+
+
+def test_mixing(spark, docs):
+    picked = mixing.mix(docs, fraction=0.7, max_epochs=3).collect()
+    rows = [r.asDict() for r in docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), mixing.domain_of(F.col("source")).alias("domain")).collect()]
+    for r in rows:
+        r["n"] = len(WORD.findall(r["text"] or ""))
+    leaf = lambda r: (r["domain"], r["lang"], r["source"])
+    have = Counter()
+    for r in rows:
+        have[leaf(r)] += r["n"]
+    budgets = {(): sum(have.values()) * 0.7}
+    for depth, weights in enumerate((mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, {})):
+        nxt = {}
+        for parent, b in budgets.items():
+            kids = {}
+            for k, n in have.items():
+                if k[:depth] == parent:
+                    c, _ = kids.get(k[: depth + 1], (0, 0))
+                    kids[k[: depth + 1]] = (c + 3 * n, weights.get(k[depth], mixing.OTHER_WEIGHT))
+            nxt |= _fill(b, kids)
+        budgets = nxt
+    want = Counter()
+    for k, b in budgets.items():
+        b, n = int(b + 1e-6), have[k]
+        epochs = b // n if n else 0
+        own = sorted((hashlib.md5(f"7:{epochs}:{r['doc_id']}".encode()).hexdigest(), r["doc_id"], r["n"]) for r in rows if leaf(r) == k)
+        for e in range(epochs):
+            want.update((d, e) for _, d, _ in own)
+        reach, rest = Counter(), b - epochs * n
+        for place, _, m in own:
+            reach[place] += m
+        upto, total = {}, 0
+        for place in sorted(reach):
+            total += reach[place]
+            upto[place] = total
+        want.update((d, epochs) for place, d, _ in own if upto[place] <= rest)
+    got = Counter((r["doc_id"], r["epoch"]) for r in picked)
+    assert sum((got - want).values()) + sum((want - got).values()) == 0
+
+
+def _greedy(sizes, capacity):
+    n, at = 1, 0
+    for s in sizes:
+        if s > capacity:
+            return 10**9
+        if at + s > capacity:
+            n, at = n + 1, 0
+        at += s
+    return n
+
+
+@pytest.mark.parametrize("shards", [1, 3, 7])
+def test_sharding(spark, docs, shards):
+    got = sharding.shard_documents(docs, shards).collect()
+    assert len(got) == docs.count()
+    texts = dict(DOCS)
+    groups: dict = {}
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        assert r["size"] == len(t.encode()) + 8 and r["text_crc32"] == zlib.crc32(t.encode())
+        groups.setdefault(t, set()).add(r["shard"])
+    assert all(len(s) == 1 for s in groups.values())
+    for s in range(shards):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_sharding_is_minimax(spark):
+    rng = random.Random(6)
+    sizes = [rng.randrange(1, 400) for _ in range(300)]
+    df = spark.createDataFrame([(i, chr(97 + i % 26) * n + str(i)) for i, n in enumerate(sizes)], "doc_id bigint, text string")
+    got = sharding.shard_documents(df, 9).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    order = [len(r["text"]) + 8 for r in df.orderBy(F.xxhash64("text")).collect()]
+    best = next(c for c in range(sum(order) // 9, sum(order)) if _greedy(order, c) <= 9)
+    assert max(r["s"] for r in got) == best
+
+
+def test_sharding_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 100)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "hot text of some length").otherwise(F.concat(F.lit("text number "), F.col("id"))).alias("text"))
+    got = sharding.shard_documents(df, 8)
+    sizes = {r["shard"]: (r["n"], r["m"]) for r in got.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("m")).collect()}
+    assert len(sizes) == 8 and all(m + 1 == n for n, m in sizes.values()) and sorted(n for n, _ in sizes.values())[-1] == 1500
+    assert got.select("shard", "slot").distinct().count() == 3000
+
+
+def test_language(spark):
+    rng = random.Random(1)
+    vocabulary = {"en": ["the", "and", "house", "with", "thing", "water"], "de": ["der", "und", "haus", "mit", "nicht", "wasser"], "fr": ["le", "et", "maison", "avec", "chose", "eau"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(rng.randrange(3, 40))), lang, f"h{k}") for i, (k, lang) in enumerate((k, lang) for k in range(60) for lang in vocabulary)]
+    odd = [(900, None, "en", None), (901, "", None, "h1"), (902, "123 !!", "en", "h2"), (903, "A.", "en", "h3"), (None, "the house", "en", "h4"), (5, rows[5][1], rows[5][2], "h9")]
+    df = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string, source string").withColumn("evidence", F.lit(1)).withColumn("n", F.lit(2))
+    got = language_id.identify_documents(df).collect()
+    assert len(got) == df.count()
+    by_id = {r["doc_id"]: r for r in got}
+    assert np.mean([by_id[r[0]]["language"] == r[2] for r in rows]) > 0.98 and all(by_id[r[0]]["kept"] for r in rows)
+    assert not by_id[900]["kept"] and not by_id[901]["kept"] and not by_id[902]["kept"] and by_id[903]["kept"]
+
+
+def test_pages(spark):
+    html = '<html lang="de"><head><title>x</title><script>var the="the and";</script></head><body>{}</body></html>'
+    pages = spark.createDataFrame([(1, "http://a.example.de/de/1", html.format("<p>der und haus</p>")), (2, "http://a.example.de/de/2", html.format("")), (3, None, None)], "page_id bigint, url string, html string")
+    train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the and house with water", "en"), ("der und haus mit wasser", "de")] * 20)], "doc_id bigint, text string, lang string")
+    languages, table = language_id.train(train)
+    declared, suffix, host = language_id.page_parts(F.col("url"), F.col("html"))
+    got = {r["page_id"]: r for r in language_id.identify(pages, languages, table, language_id.page_text(F.col("html")), declared, suffix, host, ("page_id",)).collect()}
+    assert got[1]["language"] == "de" and got[2]["language"] == "de" and not got[3]["kept"]
+
+
+def test_empty_tables(spark, empty, docs):
+    path, _ = _tokenizer()
+    labels = spark.createDataFrame([], LABELS)
+    items = spark.createDataFrame([], "item_id bigint, text string")
+    assert substring_dedup.remove_repeats(empty).count() == 0
+    assert exact_dedup.DigestIndex(spark).add(empty).count() == 0
+    assert token_counts.count_tokens(empty, path).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
+    assert quality.score_quality(empty, labels).count() == 0
+    assert toxicity.score_toxicity(empty, labels).count() == 0
+    assert decontamination.find_leaks(empty, items).count() == 0
+    assert decontamination.find_leaks(docs, items).count() == 0
+    assert mixing.mix(empty).count() == 0
+    assert sharding.shard_documents(empty).count() == 0
+    assert language_id.identify_documents(empty).count() == 0
+
+
+def test_no_labels(spark, docs):
+    labels = spark.createDataFrame([], LABELS)
+    assert {r["score"] for r in quality.score_quality(docs, labels).collect()} == {0.5}
+    assert toxicity.score_toxicity(docs, labels).count() == docs.count()
+
+
+def test_pack_round_trip():
+    rng = np.random.default_rng(0)
+    columns = [(rng.integers(0, 1 << 62, 100).astype(np.uint64), False), (np.sort(rng.integers(-(1 << 62), 1 << 62, 100)), True), (rng.integers(-5, 5, 100), True), (np.zeros(0, np.int64), True), (rng.integers(0, 9, 7).astype(np.uint32), False)]
+    for (a, _), b in zip(columns, common.unpack(common.pack(*columns)), strict=True):
+        assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_hash_is_sparks(spark):
+    ids = [0, 1, -1, 42, 1 << 40, -(1 << 62)]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i bigint").select(F.xxhash64("i")).collect()]
+    assert common.xxhash_long(np.array(ids)).tolist() == got
+
+
+def test_long_text_hashes_like_a_short_one(monkeypatch):
+    import pyarrow as pa
+
+    text = " ".join(f"word{i % 977}" for i in range(5000))
+    whole = common.Words(pa.array([text])).hashes()
+    monkeypatch.setattr(common, "SLICE_BYTES", 500)
+    assert (common.Words(pa.array([text])).hashes() == whole).all()
