@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import config, vocabulary
 from tessera.ports import auth, models, progress, search
+from tessera.schema import TABLES
 from tessera.store.tables import MemoryStore, Store, preview
 from tessera.streaming import twins
 
@@ -65,7 +66,7 @@ def test_progress():
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert store.view("users").count() == 0
-    user = lambda name: spark.createDataFrame([("u1", name, None, datetime(2024, 1, 1, tzinfo=UTC))], store.view("users").schema)
+    user = lambda name: spark.createDataFrame([("u1", name, None, datetime(2024, 1, 1, tzinfo=UTC))], TABLES["users"])
     store.append("users", user("old"), 1)
     store.append("users", user("new"), 2)
     assert [r["display_name"] for r in store.view("users").collect()] == ["new"] and store.get("users", "x").count() == 0
