@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from tessera.llm.common import WORD, staged
 
 LEVELS = ("domain", "lang", "source")
+#: Leaves whose budgets are broadcast, at most (about 100 bytes each).
+MOST_BROADCAST_LEAVES = 50_000
 #: Target weights of the registered query: domains, and languages within each domain.
 DOMAIN_WEIGHTS = {"0": 40, "1": 30, "2": 20, "3": 10}
 LANG_WEIGHTS = {"en": 50, "de": 20, "fr": 20, "es": 10}
@@ -78,6 +80,11 @@ def leaf_budgets(leaves: DataFrame, fraction: float, max_epochs: int, weights: M
     return leaves.join(above.withColumn("budget", F.floor("budget").cast("bigint")), list(LEVELS))
 
 
+def _broadcast_if_small(leaves: DataFrame) -> DataFrame:
+    """A table of one row per leaf goes to every task if it is known to be small; else it is joined by a shuffle."""
+    return F.broadcast(leaves) if leaves.count() <= MOST_BROADCAST_LEAVES else leaves
+
+
 def _order(seed: int, epoch: Column) -> Column:
     """A document's place in an epoch: the hash of seed, epoch and id."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
@@ -126,16 +133,19 @@ def mix(
 
     # Where a leaf's prefix ends is found in two steps, so that no leaf is sorted in one task: sums over
     # the 4096 ranges of the order first, then the rows of the one range in which the budget runs out.
+    # Only those rows move; the others are judged where they are, by their leaf's row.
+    budgets = _broadcast_if_small(budgets)
     placed = keys.join(budgets, leaf).withColumn("place", _order(seed, F.col("epochs"))).withColumn("part", F.substring("place", 1, 3))
-    sums = placed.groupBy(*leaf, "part").agg(F.sum("n_tokens").alias("part_tokens"))
+    sums = placed.groupBy(*leaf, "part").agg(F.sum("n_tokens").alias("part_tokens"), F.first("rest").alias("rest"))
     running = Window.partitionBy(*leaf).orderBy("part")
-    sums = sums.withColumn("upto", F.sum("part_tokens").over(running)).withColumn("before", F.col("upto") - F.col("part_tokens")).drop("part_tokens")
-    known = placed.join(sums, [*leaf, "part"])
-    inside = known.filter((F.col("upto") > F.col("rest")) & (F.col("before") <= F.col("rest")))
+    sums = sums.withColumn("upto", F.sum("part_tokens").over(running)).withColumn("before", F.col("upto") - F.col("part_tokens"))
+    over = F.col("upto") > F.col("rest")
+    ends = staged(sums.groupBy(*leaf).agg(F.min(F.when(over, F.struct("part", "before"))).alias("end")), "mix-ends")
+    known = placed.join(_broadcast_if_small(ends), leaf)
     row = Window.partitionBy(*leaf, "part").orderBy("place")
-    inside = inside.withColumn("reach", F.col("before") + F.sum("n_tokens").over(row)).filter("reach <= rest").drop("reach")
+    inside = known.filter(F.col("part") == F.col("end.part")).withColumn("reach", F.col("end.before") + F.sum("n_tokens").over(row)).filter("reach <= rest").drop("reach")
     out = [F.col("id").alias(id_col), *leaf, "n_tokens"]
-    partial = known.filter("upto <= rest").unionByName(inside).select(*out, F.col("epochs").alias("epoch"))
+    partial = known.filter(F.col("end").isNull() | (F.col("part") < F.col("end.part"))).unionByName(inside).select(*out, F.col("epochs").alias("epoch"))
     full = keys.join(budgets.filter("epochs > 0"), leaf).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).select(*out, "epoch")
     return full.unionByName(partial)
 
