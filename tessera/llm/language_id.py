@@ -24,6 +24,8 @@ LEAN = 5.0
 NOISE = 0.05
 #: A text is rejected if no language has this posterior, or if it has no letters and declares nothing.
 LEAST_POSTERIOR = 0.3
+#: Declared values that are broadcast, at most.
+MOST_VALUES = 50_000
 
 _FOLD = np.arange(256, dtype=np.int64)
 _FOLD[65:91] += 32
@@ -125,24 +127,29 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     rows = rows.withColumn("own", _softmax(F.col("evidence")))
     spoken = F.col("trigrams") > 0
     sums = [F.sum(F.when(spoken, F.col("own")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(n)]
-    grouped = lambda *keys: rows.groupBy(*keys).agg(F.count_if(spoken).alias("n"), *sums)  # noqa: E731  partial sums first: a hot host is one row per task
+    grouped = lambda *keys: rows.groupBy(*keys).agg(F.count_if(spoken).alias("n"), F.count(F.lit(1)).alias("all"), *sums)  # noqa: E731  partial sums first: a hot host is one row per task
 
     def prior(counts: DataFrame, above: list[Column]) -> list[Column]:
         return [(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + LEAN * above[i]) / (F.coalesce(F.col("n"), F.lit(0)) + LEAN) for i in range(n)]
 
-    whole = rows.agg(F.count_if(spoken), *sums).first()
+    whole = rows.agg(F.count_if(spoken), *sums, F.count(F.lit(1))).first()
     corpus = [F.lit(((whole[1 + i] or 0.0) + 1.0) / (whole[0] + n)) for i in range(n)]
     by_suffix = grouped("suffix")
     suffix_prior = by_suffix.select("suffix", F.array(*prior(by_suffix, corpus)).alias("suffix_prior"))
     by_host = grouped("suffix", "host").join(suffix_prior, "suffix")
-    host_prior = by_host.select("suffix", "host", F.array(*prior(by_host, [F.col("suffix_prior")[i] for i in range(n)])).alias("prior"))
+    host_prior = by_host.select("suffix", "host", "all", F.array(*prior(by_host, [F.col("suffix_prior")[i] for i in range(n)])).alias("prior"))
 
     # P(declared value | language): what rows with that value look like, over what all rows of the language are.
     by_declared = grouped("declared").withColumnRenamed("n", "rows")
     value_count = max(1, by_declared.count())
     declared = by_declared.select("declared", F.array(*(F.log((1 - NOISE) * F.col(f"s{i}") / ((whole[1 + i] or 0.0) + 1.0) + NOISE / value_count) for i in range(n))).alias("declared_log"))
-    # The row's own share is taken out of its host's prior, so that a host of one page doesn't repeat that page.
-    joined = rows.join(host_prior, ["suffix", "host"]).join(declared, "declared")
+    # A host with very many rows would fill one task of the join: its prior is broadcast.  There are at
+    # most 1024 such hosts.  Declared values are few; if they aren't, they are joined by a shuffle.
+    host_prior, least = staged(host_prior, "host-priors"), max(1000, whole[-1] >> 10)
+    hot = host_prior.filter(F.col("all") >= least).drop("all")
+    usual = rows.join(F.broadcast(hot.select("suffix", "host")), ["suffix", "host"], "left_anti").join(host_prior.filter(F.col("all") < least).drop("all"), ["suffix", "host"])
+    joined = usual.unionByName(rows.join(F.broadcast(hot), ["suffix", "host"]))
+    joined = joined.join(F.broadcast(declared) if value_count <= MOST_VALUES else declared, "declared")
     silent = F.array(*[F.lit(0.0)] * n)
     stated = F.when(F.col("declared") == "", silent).otherwise(F.col("declared_log"))
     prior_log = F.transform("prior", lambda p: F.log(p))
@@ -153,7 +160,7 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     heard = F.col("letters") | (F.col("declared") != "")
     kept = heard & (best >= LEAST_POSTERIOR)
     names = F.array(*(F.lit(x) for x in languages))
-    return out.withColumns({"confidence": best, "kept": kept, "language": F.when(kept, F.element_at(names, place)).otherwise(F.lit("und"))}).drop("own", "evidence", "prior", "suffix_prior", "declared_log", "s", "posterior")
+    return out.withColumns({"confidence": best, "kept": kept, "language": F.when(kept, F.element_at(names, place)).otherwise(F.lit("und"))}).drop("own", "evidence", "prior", "declared_log", "posterior")
 
 
 def identify(rows: DataFrame, languages: list[str], table: np.ndarray, text: Column, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
