@@ -16,8 +16,12 @@ from tessera.llm.common import U64, run_starts, slices, staged
 LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 #: A node of the index with more fingerprints is divided by further masks.
 NODE_ROWS = 4096
+#: A node of at most so many fingerprints gives all its links, a larger one a spanning forest of them.
+SMALL = 32
 #: Children of a node of the tree that a task builds over one node's fingerprints.
 FAN_OUT = 16
+#: Pairs of tree nodes that are opened at once.
+NODE_PAIRS = 4096
 #: Shingles that one pass counts; the lanes hold 65,535.
 PASS_SHINGLES = 60_000
 #: Levels of masks.
@@ -115,20 +119,45 @@ def tree_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         lead = np.repeat(pattern[starts], np.diff(np.append(starts, len(pattern))))
         shared = np.bitwise_and.reduceat(shared, starts) & ~np.bitwise_or.reduceat(pattern ^ lead, starts)
         levels.append((shared, pattern[starts] & shared))
-    n = len(levels[-1][0])
-    a, b = np.triu_indices(n)
-    for depth in range(len(levels) - 1, -1, -1):
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(FAN_OUT), np.arange(FAN_OUT), indexing="ij"))
+
+    def descend(depth: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         shared, pattern = levels[depth]
         near = np.bitwise_count((pattern[a] ^ pattern[b]) & shared[a] & shared[b]) <= radius
         a, b = a[near], b[near]
-        if depth:
-            below = len(levels[depth - 1][0])
-            i, j = np.meshgrid(np.arange(FAN_OUT), np.arange(FAN_OUT), indexing="ij")
-            a, b = (a[:, None] * FAN_OUT + i.ravel()).ravel(), (b[:, None] * FAN_OUT + j.ravel()).ravel()
-            good = (a <= b) & (b < below)
-            a, b = a[good], b[good]
-    apart = a < b
-    return a[apart], b[apart]
+        if not depth:
+            yield a[a < b], b[a < b]
+            return
+        below = len(levels[depth - 1][0])
+        for k in range(0, len(a), NODE_PAIRS):  # so that memory stays bounded where little can be pruned
+            x = (a[k : k + NODE_PAIRS, None] * FAN_OUT + i).ravel()
+            y = (b[k : k + NODE_PAIRS, None] * FAN_OUT + j).ravel()
+            good = (x <= y) & (y < below)
+            yield from descend(depth - 1, x[good], y[good])
+
+    found = list(descend(len(levels) - 1, *np.triu_indices(len(levels[-1][0]))))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def spanning_links(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which links a minimum spanning forest keeps: at most n - 1, and at every distance as connected as all of them.
+
+    Each component takes its shortest link outwards, until none has one.
+    """
+    label, kept = np.arange(n), np.zeros(len(a), dtype=bool)
+    order = np.lexsort((b, a, distance))
+    place = np.empty(len(a), dtype=np.int64)
+    place[order] = np.arange(len(a))
+    open_ = np.arange(len(a))
+    while len(open_):
+        open_ = open_[label[a[open_]] != label[b[open_]]]
+        best = np.full(n, len(a), dtype=np.int64)
+        np.minimum.at(best, label[a[open_]], place[open_])
+        np.minimum.at(best, label[b[open_]], place[open_])
+        new = order[np.unique(best[best < len(a)])]
+        kept[new] = True
+        label = forest(n, a[kept], b[kept])
+    return kept
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,16 +177,15 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _node_links(radius: int):
-    """Rows (mask, value, fp), a node's together and in Gray order -> (u, v): what holds each node's links together."""
+    """Rows (mask, value, fp), a node's together and in Gray order -> (u, v): the links that hold each node's links together."""
 
     def emit(mask: np.ndarray, value: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         starts = run_starts(mask, value)
         size = np.diff(np.append(starts, len(fp)))
         u, v = [], []
-        small = np.repeat((size > 1) & (size <= 2 * FAN_OUT), size)
         node = np.repeat(np.arange(len(starts)), size)
-        rows = np.flatnonzero(small)
-        for step in range(1, 2 * FAN_OUT):
+        rows = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+        for step in range(1, SMALL):  # small nodes: all pairs
             rows = rows[rows + step < len(fp)]
             rows = rows[node[rows] == node[rows + step]]
             if not len(rows):
@@ -165,12 +193,12 @@ def _node_links(radius: int):
             near = rows[np.bitwise_count(fp[rows] ^ fp[rows + step]) <= radius]
             u.append(fp[near + step])
             v.append(fp[near])
-        for k in np.flatnonzero(size > 2 * FAN_OUT):
+        for k in np.flatnonzero(size > SMALL):
             members = fp[starts[k] : starts[k] + size[k]]
-            label = forest(len(members), *tree_links(members, radius))
-            off = np.flatnonzero(label != np.arange(len(members)))
-            u.append(members[off])
-            v.append(members[label[off]])
+            x, y = tree_links(members, radius)
+            kept = spanning_links(len(members), x, y, np.bitwise_count(members[x] ^ members[y]))
+            u.append(members[y[kept]])
+            v.append(members[x[kept]])
         u, v = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (u, v))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -191,7 +219,7 @@ def _node_links(radius: int):
 
 
 def index_links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Pairs (u, v) that connect the distinct fingerprints in ``fps`` exactly as all links of at most ``radius`` bits do.
+    """Links (u, v) that connect the distinct fingerprints in ``fps`` exactly as all links of at most ``radius`` bits do.
 
     Upper nodes are masked bit patterns that a group of fingerprints shares.  Under a node,
     fingerprints lie in Gray order and a tree of shared bits is descended.  A node with
@@ -203,23 +231,21 @@ def index_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     nodes = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in level))).alias("mask"))
     for depth in range(LEVELS):
         nodes = nodes.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
-        if depth:
-            nodes = nodes.distinct()
         last = depth == LEVELS - 1
-        sizes = nodes.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sizes = staged(sizes, "node-sizes")
-        light = nodes.join(sizes.filter("true" if last else f"n <= {NODE_ROWS}").select("mask", "value"), ["mask", "value"], "left_semi")
+        sizes = nodes.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {NODE_ROWS}")
+        heavy = None if last else staged(sizes.select("mask", "value"), "heavy-nodes")
+        deeper = heavy is not None and not heavy.isEmpty()
+        light = nodes.join(heavy, ["mask", "value"], "left_anti") if deeper else nodes
         ordered = light.withColumn("rank", gray_rank(F.col("fp"))).repartition("mask", "value").sortWithinPartitions("mask", "value", "rank")
         found.append(ordered.select("mask", "value", "fp").mapInArrow(_node_links(radius), "u bigint, v bigint"))
-        heavy = sizes.filter(f"n > {NODE_ROWS}").select("mask", "value")
-        if last or heavy.isEmpty():
+        if not deeper:
             break
         below = F.lit(None)
         longer: list[int] = []
         for m in level:
             below = F.when(F.col("mask") == F.lit(_signed(m)), F.array(*(F.lit(_signed(x)) for x in masks_below(m, radius)))).otherwise(below)
             longer += masks_below(m, radius)
-        nodes = staged(nodes.join(heavy, ["mask", "value"], "left_semi").select("fp", F.explode(below).alias("mask")), "heavy-nodes")
+        nodes = staged(nodes.join(heavy, ["mask", "value"], "left_semi").select("fp", F.explode(below).alias("mask")), "divided-nodes")
         level = sorted(set(longer))
     links = found[0]
     for more in found[1:]:
@@ -261,9 +287,52 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """(id, shingles): the distinct shingle hashes of each text, sorted, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), width, seed), dtype=U64)).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
+
+
+def verified(links: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
+    """The links whose texts have a Jaccard similarity of at least ``similarity`` over distinct shingles.
+
+    A fingerprint is represented by its document of smallest id; one without ids isn't linked.
+    """
+    named = distinct.filter("least IS NOT NULL").select("fp", F.col("least").alias("id"))
+    pairs = links.distinct().join(named.select(F.col("fp").alias("u"), F.col("id").alias("a")), "u").join(named.select(F.col("fp").alias("v"), F.col("id").alias("b")), "v")
+    pairs = staged(pairs, "simhash-pairs")
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    own = docs.join(asked, "id", "left_semi")
+    sets = staged(shingle_sets(own, width, seed).dropDuplicates(["id"]), "shingle-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return staged(both.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint"), "verified-links")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """Link documents whose fingerprints differ in at most ``radius`` bits.
 
+    With ``similarity``, links between different fingerprints also need that Jaccard
+    similarity of their texts' shingles.  What is verified is a spanning forest of the
+    shortest links of each node of the index, so a large group of copies costs links in
+    proportion to its size.
+
     Returns one row per input row: id, fp, component_id (smallest id reachable by links,
     the document's own included).  Null and wordless texts have fingerprint 0 and are
     linked like any other.  A null id takes part but is never a component's id unless all
@@ -272,7 +341,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, se
     prints = staged(fingerprints(docs, shingle_words, seed, id_col, text_col), "fingerprints")
     # Exact copies meet here: from now on a fingerprint is one row however many documents have it.
     distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    roots = components(index_links(distinct.select("fp"), radius))
+    links = index_links(distinct.select("fp"), radius)
+    if similarity is not None:
+        own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        links = verified(links, distinct, own, shingle_words, seed, similarity)
+    roots = components(links)
     tied = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     tied = staged(tied, "rooted")
     # Components of one fingerprint need no second look.

@@ -185,6 +185,41 @@ def test_tree_finds_all_links(radius):
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
+def test_spanning_links_keep_every_threshold():
+    rng = np.random.default_rng(1)
+    n = 40
+    a, b = np.triu_indices(n, 1)
+    some = rng.random(len(a)) < 0.15
+    a, b = a[some], b[some]
+    d = rng.integers(0, 5, len(a))
+    kept = simhash.spanning_links(n, a, b, d)
+    assert kept.sum() <= n - 1
+    for t in range(5):
+        assert (simhash.forest(n, a[d <= t], b[d <= t]) == simhash.forest(n, a[kept & (d <= t)], b[kept & (d <= t)])).all()
+
+
+def test_verified_near_duplicates(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(10):
+        base = [f"t{rng.randrange(4000)}" for _ in range(300)]
+        for k in (0, 1, 2, 4, 30):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(300)] = "new"
+            rows.append((10 * g + k, " ".join(w)))
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5, 42)) for i, t in rows}
+    prints = {i: _print(t, 5) for i, t in rows}
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for a in label:
+            for b in label:
+                if bin(prints[a] ^ prints[b]).count("1") <= 8 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 8, similarity=0.8).collect()}
+    assert got == label and len(set(label.values())) < len(rows)
+
+
 def test_heavy_nodes_lose_no_links(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = int(rng.integers(0, 1 << 62))
