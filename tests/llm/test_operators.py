@@ -203,11 +203,11 @@ def test_verified_near_duplicates(spark):
     rows = []
     for g in range(10):
         base = [f"t{rng.randrange(4000)}" for _ in range(300)]
-        for k in (0, 1, 2, 4, 30):
+        for n, k in enumerate((0, 1, 2, 4, 30)):
             w = list(base)
             for _ in range(k):
                 w[rng.randrange(300)] = "new"
-            rows.append((10 * g + k, " ".join(w)))
+            rows.append((10 * g + n, " ".join(w)))
     sets = {i: set(simhash.shingle_hashes(t.encode(), 5, 42)) for i, t in rows}
     prints = {i: _print(t, 5) for i, t in rows}
     label = {i: i for i, _ in rows}
