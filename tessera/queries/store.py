@@ -376,7 +376,7 @@ def eval_summary(spark, d):
 # ---------------------------------------------------------------- sources and streams
 
 
-@query(None)
+@query("SELECT * FROM (VALUES ('q1', 0, 'http://a.example/1', 'one', NULL), ('q1', 1, 'http://a.example/2', 'two', NULL), ('q2', 0, 'http://b.example/', 'three', 'd')) v(query_id, pos, url, title, description)")
 def web_source(spark, d):
     from tessera.ports.search import read_recorded
 
