@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, run_starts, slices, staged
+from tessera.llm.common import U64, mix64, run_starts, slices, staged
 
 LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 #: A node of the index with more fingerprints is divided by further masks.
@@ -287,6 +287,30 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+# ---------------------------------------------------------------- verified links
+
+
+def salted(hashes: np.ndarray, nth: int) -> np.ndarray:
+    """The shingles' hashes for the ``nth`` table: independent of the other tables' (0: as they are)."""
+    return mix64(hashes ^ U64(nth * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if nth else hashes
+
+
+def set_prints(docs: DataFrame, width: int, seed: int, tables: int) -> DataFrame:
+    """(id, key, fp0, fp1, ...): a digest of each text's distinct shingles, and their fingerprint in each table."""
+    names = [f"fp{t}" for t in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), width, seed), dtype=U64)) for t in part.column(1)]
+                keys = [xxhash.xxh3_128_digest(x.tobytes(), seed) for x in found]
+                hashes, counts = np.concatenate(found), np.array([len(x) for x in found])
+                prints = [pa.array(majority_bits(salted(hashes, t), counts).view(np.int64)) for t in range(tables)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), *prints], names=["id", "key", *names])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, key binary, " + ", ".join(f"{n} bigint" for n in names))
+
+
 def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """(id, shingles): the distinct shingle hashes of each text, sorted, as bytes."""
 
@@ -299,14 +323,27 @@ def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
 
 
-def verified(links: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
-    """The links whose texts have a Jaccard similarity of at least ``similarity`` over distinct shingles.
+def candidate_pairs(classes: DataFrame, tables: int, radius: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of class names that an index of some table links.
 
-    A fingerprint is represented by its document of smallest id; one without ids isn't linked.
+    Classes of one fingerprint are tied to the smallest of them, which stands for it in the index.
     """
-    named = distinct.filter("least IS NOT NULL").select("fp", F.col("least").alias("id"))
-    pairs = links.distinct().join(named.select(F.col("fp").alias("u"), F.col("id").alias("a")), "u").join(named.select(F.col("fp").alias("v"), F.col("id").alias("b")), "v")
-    pairs = staged(pairs, "simhash-pairs")
+    found = []
+    for t in range(tables):
+        own = classes.select(F.col(f"fp{t}").alias("fp"), F.col("least").alias("node"))
+        first = staged(own.groupBy("fp").agg(F.min("node").alias("name")), "fingerprint-names")
+        links = index_links(first.select("fp"), radius)
+        found.append(own.join(first, "fp").select(F.col("node").alias("a"), F.col("name").alias("b")))
+        named = links.join(first.select(F.col("fp").alias("u"), F.col("name").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("name").alias("b")), "v")
+        found.append(named.select("a", "b"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return staged(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
+    """Links (u, v): the pairs whose texts have a Jaccard similarity of at least ``similarity`` over distinct shingles."""
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     own = docs.join(asked, "id", "left_semi")
     sets = staged(shingle_sets(own, width, seed).dropDuplicates(["id"]), "shingle-sets")
@@ -322,41 +359,66 @@ def verified(links: DataFrame, distinct: DataFrame, docs: DataFrame, width: int,
 
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return staged(both.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint"), "verified-links")
+    return staged(both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(run, "u bigint, v bigint"), "verified-links")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, radius: int = 8, tables: int = 8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Link documents whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Candidates are pairs within ``radius`` bits in any of ``tables`` fingerprints, which are
+    independent: a pair of sets at similarity s differs in each of 64 bits with probability
+    p = acos(2s / (1 + s)) / pi, so one table finds it with probability q = P(Binomial(64, p)
+    <= radius) and all of them with 1 - (1 - q) ** tables.  Every candidate is verified on
+    its whole texts.  What the index gives is a spanning forest of the shortest links of
+    each node, so a large group of copies costs links in proportion to its size.
+
+    Returns one row per input row: id, fp (of the first table), component_id (smallest id
+    reachable by links, the document's own included).  Texts with equal sets, wordless and
+    null ones among them, are linked.  A null id has no component unless a document of an
+    equal set has an id.  Repeated rows are in one component.
+    """
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    prints = staged(set_prints(own, shingle_words, seed, tables), "set-prints")
+    # Copies meet here: from now on a set is one row, named by its smallest id.
+    firsts = [F.first(f"fp{t}").alias(f"fp{t}") for t in range(tables)]
+    classes = staged(prints.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), *firsts), "shingle-classes")
+    links = verified(candidate_pairs(classes.filter("least IS NOT NULL"), tables, radius), own, shingle_words, seed, similarity)
+    roots = components(links).select(F.col("node").alias("least"), F.col("root").alias("component_id"))
+    tied = staged(classes.join(roots, "least", "left").select("key", "n", F.coalesce("component_id", "least").alias("component_id")), "tied-classes")
+    return _spread(prints.select("id", "key", F.col("fp0").alias("fp")), tied, "key").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _spread(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Rows with their class's component_id.  A class of very many rows is joined by broadcast; there are at most 1024 of them."""
+    least = max(1000, rows.count() >> 10)
+    common, rare = classes.filter(F.col("n") >= least).select(key, "component_id"), classes.filter(F.col("n") < least).select(key, "component_id")
+    usual = rows.join(F.broadcast(common.select(key)), key, "left_anti").join(rare, key)
+    return usual.unionByName(rows.join(F.broadcast(common), key))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """Link documents whose fingerprints differ in at most ``radius`` bits.
 
-    With ``similarity``, links between different fingerprints also need that Jaccard
-    similarity of their texts' shingles.  What is verified is a spanning forest of the
-    shortest links of each node of the index, so a large group of copies costs links in
-    proportion to its size.
+    With ``similarity``, links also need that Jaccard similarity (see ``similar_documents``,
+    here with one table).
 
     Returns one row per input row: id, fp, component_id (smallest id reachable by links,
     the document's own included).  Null and wordless texts have fingerprint 0 and are
     linked like any other.  A null id takes part but is never a component's id unless all
     of its component's ids are null.  Repeated rows are in one component.
     """
+    if similarity is not None:
+        return similar_documents(docs, similarity, shingle_words, radius, 1, seed, id_col, text_col)
     prints = staged(fingerprints(docs, shingle_words, seed, id_col, text_col), "fingerprints")
     # Exact copies meet here: from now on a fingerprint is one row however many documents have it.
     distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    links = index_links(distinct.select("fp"), radius)
-    if similarity is not None:
-        own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-        links = verified(links, distinct, own, shingle_words, seed, similarity)
-    roots = components(links)
+    roots = components(index_links(distinct.select("fp"), radius))
     tied = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     tied = staged(tied, "rooted")
     # Components of one fingerprint need no second look.
     linked = tied.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("root", "component_id")
     classes = tied.join(linked, "root", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
-    classes = staged(classes, "classes")
-    # A fingerprint with very many documents is joined by broadcast; there are at most 1024 of them.
-    least = max(1000, prints.count() >> 10)
-    common, rare = classes.filter(F.col("n") >= least).select("fp", "component_id"), classes.filter(F.col("n") < least).select("fp", "component_id")
-    usual = prints.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(rare, "fp")
-    return usual.unionByName(prints.join(F.broadcast(common), "fp")).select(F.col("id").alias(id_col), "fp", "component_id")
+    return _spread(prints, staged(classes, "classes"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,35 @@ def test_verified_near_duplicates(spark):
     assert got == label and len(set(label.values())) < len(rows)
 
 
+def test_similar_documents(spark):
+    """Against brute force over all pairs; a seeded fixture, so what eight tables find is fixed."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        base = [f"u{rng.randrange(4000)}" for _ in range(400)]
+        for n, k in enumerate((0, 0, 1, 3, 6, 40)):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(400)] = f"new{rng.randrange(100)}"
+            rows.append((10 * g + n, " ".join(w)))
+    # One line fills both texts, so plain fingerprints are near; their sets of shingles are not.
+    line = " ".join(f"line{i}" for i in range(6))
+    rows += [(500 + n, " ".join([line] * 60 + [f"own{n}x{i}" for i in range(40)])) for n in range(2)]
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5, 42)) for i, t in rows}
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for a in label:
+            for b in label:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    rows += [(600, None), (601, " "), (None, rows[0][1]), (None, "seen only here"), (602, "a b"), (602, "a b")]
+    label |= {600: 600, 601: 600, 602: 602}
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == label
+    assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == ["0", "None"]
+
+
 def test_heavy_nodes_lose_no_links(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = int(rng.integers(0, 1 << 62))
@@ -454,6 +483,7 @@ def test_empty_tables(spark, empty, docs):
     assert exact_dedup.DigestIndex(spark).add(empty).count() == 0
     assert token_counts.count_tokens(empty, path).count() == 0
     assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.similar_documents(empty).count() == 0
     assert quality.score_quality(empty, labels).count() == 0
     assert toxicity.score_toxicity(empty, labels).count() == 0
     assert decontamination.find_leaks(empty, items).count() == 0
