@@ -26,6 +26,8 @@ NODE_PAIRS = 4096
 PASS_SHINGLES = 60_000
 #: Levels of masks.
 LEVELS = 3
+#: Ranges of hashes in which a set's shingles are counted, and the largest count.
+RANGES, FULL = 64, 65_535
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -105,8 +107,8 @@ def gray_rank(c: Column) -> Column:
     return c
 
 
-def tree_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within ``radius`` among fingerprints in Gray order.
+def tree_chunks(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within ``radius`` among fingerprints in Gray order, some at a time.
 
     Runs of neighbours are factored into nodes: the bits on which a run agrees, and their
     values.  Two nodes are compared on the bits that both have fixed; the differences found
@@ -135,7 +137,12 @@ def tree_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             good = (x <= y) & (y < below)
             yield from descend(depth - 1, x[good], y[good])
 
-    found = list(descend(len(levels) - 1, *np.triu_indices(len(levels[-1][0]))))
+    yield from descend(len(levels) - 1, *np.triu_indices(len(levels[-1][0])))
+
+
+def tree_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``tree_chunks`` at once."""
+    found = list(tree_chunks(fps, radius))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -176,13 +183,31 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches (mask, value, ...), dealt anew so that no node is cut."""
+    held = None
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
+        last = run_starts(cols[0], cols[1])
+        cut = int(last[-1]) if len(last) else 0
+        if cut:
+            yield [c[:cut] for c in cols]
+        held = [c[cut:] for c in cols]
+    if held and len(held[0]):
+        yield held
+
+
 def _node_links(radius: int):
-    """Rows (mask, value, fp), a node's together and in Gray order -> (u, v): the links that hold each node's links together."""
+    """Rows (mask, value, fp), a node's together and in Gray order -> (mask, value, u, v): the links that hold each node's links together.
+
+    A row without v is a fingerprint u of which the node has links that were left out.
+    """
 
     def emit(mask: np.ndarray, value: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         starts = run_starts(mask, value)
         size = np.diff(np.append(starts, len(fp)))
-        u, v = [], []
+        u, v, of = [], [], []
         node = np.repeat(np.arange(len(starts)), size)
         rows = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
         for step in range(1, SMALL):  # small nodes: all pairs
@@ -193,33 +218,53 @@ def _node_links(radius: int):
             near = rows[np.bitwise_count(fp[rows] ^ fp[rows + step]) <= radius]
             u.append(fp[near + step])
             v.append(fp[near])
+            of.append(starts[node[near]])
+        left_out, left_of = [], []
         for k in np.flatnonzero(size > SMALL):
             members = fp[starts[k] : starts[k] + size[k]]
             x, y = tree_links(members, radius)
             kept = spanning_links(len(members), x, y, np.bitwise_count(members[x] ^ members[y]))
             u.append(members[y[kept]])
             v.append(members[x[kept]])
-        u, v = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (u, v))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            of.append(np.full(kept.sum(), starts[k]))
+            some = np.unique(np.concatenate([x[~kept], y[~kept]]))
+            left_out.append(members[some])
+            left_of.append(np.full(len(some), starts[k]))
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        of, left_of = flat(of, np.int64), flat(left_of, np.int64)
+        at = np.concatenate([of, left_of])
+        u = np.concatenate([flat(u, U64), flat(left_out, U64)]).view(np.int64)
+        v = np.concatenate([flat(v, U64).view(np.int64), np.zeros(len(left_of), np.int64)])
+        none = np.arange(len(v)) >= len(of)
+        return pa.RecordBatch.from_arrays([pa.array(mask[at]), pa.array(value[at]), pa.array(u), pa.array(v, mask=none)], names=["mask", "value", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(3)]
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
-            last = run_starts(cols[0], cols[1])
-            cut = int(last[-1]) if len(last) else 0
-            if cut:
-                yield emit(cols[0][:cut], cols[1][:cut], cols[2][:cut].view(U64))
-            held = [c[cut:] for c in cols]
-        if held and len(held[0]):
-            yield emit(held[0], held[1], held[2].view(U64))
+        for mask, value, fp in _whole_nodes(batches):
+            yield emit(mask, value, fp.view(U64))
 
     return run
 
 
-def index_links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (u, v) that connect the distinct fingerprints in ``fps`` exactly as all links of at most ``radius`` bits do.
+def _open_links(radius: int):
+    """Rows (mask, value, fp, lo, hi), a node's together and in Gray order -> (u, v): all its links but those within one component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mask, value, fp, lo, hi in _whole_nodes(batches):
+            starts = run_starts(mask, value)
+            for a, b in zip(starts, np.append(starts[1:], len(fp)), strict=True):
+                low, high, own = lo[a:b], hi[a:b], fp[a:b]
+                if low.min() == high.max():
+                    continue
+                for x, y in tree_chunks(own.view(U64), radius):
+                    apart = np.minimum(low[x], low[y]) < np.maximum(high[x], high[y])
+                    if apart.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(own[y[apart]]), pa.array(own[x[apart]])], names=["u", "v"])
+
+    return run
+
+
+def index_rows(fps: DataFrame, radius: int) -> DataFrame:
+    """(mask, value, u, v), see ``_node_links``: links (u, v) that connect the distinct fingerprints in ``fps`` exactly as all links of at most ``radius`` bits do.
 
     Upper nodes are masked bit patterns that a group of fingerprints shares.  Under a node,
     fingerprints lie in Gray order and a tree of shared bits is descended.  A node with
@@ -237,7 +282,7 @@ def index_links(fps: DataFrame, radius: int = 2) -> DataFrame:
         deeper = heavy is not None and not heavy.isEmpty()
         light = nodes.join(heavy, ["mask", "value"], "left_anti") if deeper else nodes
         ordered = light.withColumn("rank", gray_rank(F.col("fp"))).repartition("mask", "value").sortWithinPartitions("mask", "value", "rank")
-        found.append(ordered.select("mask", "value", "fp").mapInArrow(_node_links(radius), "u bigint, v bigint"))
+        found.append(ordered.select("mask", "value", "fp").mapInArrow(_node_links(radius), "mask bigint, value bigint, u bigint, v bigint"))
         if not deeper:
             break
         below = F.lit(None)
@@ -253,6 +298,11 @@ def index_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return staged(links, "simhash-links")
 
 
+def index_links(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """The links (u, v) of ``index_rows``."""
+    return index_rows(fps, radius).filter("v IS NOT NULL").select("u", "v")
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -295,6 +345,22 @@ def salted(hashes: np.ndarray, nth: int) -> np.ndarray:
     return mix64(hashes ^ U64(nth * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if nth else hashes
 
 
+def range_counts(shingles: np.ndarray) -> bytes:
+    """How many shingles of a set fall in each of RANGES ranges of the hash; FULL stands for FULL or more.
+
+    The sum of the smaller counts of two sets bounds what they share from above.
+    """
+    shift = U64(64 - (RANGES - 1).bit_length())
+    return np.minimum(np.bincount((shingles >> shift).astype(np.int64), minlength=RANGES), FULL).astype(np.uint16).tobytes()
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of range counts don't rule out a Jaccard similarity of at least ``similarity``."""
+    both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    total = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
+    return (both >= similarity * (total - both)) | (x == FULL).any(axis=1) | (y == FULL).any(axis=1)
+
+
 def set_prints(docs: DataFrame, width: int, seed: int, tables: int) -> DataFrame:
     """(id, key, fp0, fp1, ...): a digest of each text's distinct shingles, and their fingerprint in each table."""
     names = [f"fp{t}" for t in range(tables)]
@@ -312,38 +378,79 @@ def set_prints(docs: DataFrame, width: int, seed: int, tables: int) -> DataFrame
 
 
 def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """(id, shingles): the distinct shingle hashes of each text, sorted, as bytes."""
+    """(id, shingles, ranges): the distinct shingle hashes of each text, sorted, as bytes; and their ``range_counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), width, seed), dtype=U64)).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                sets = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), width, seed), dtype=U64)) for t in part.column(1)]
+                columns = [part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([range_counts(x) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "ranges"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, shingles binary, ranges binary")
 
 
-def candidate_pairs(classes: DataFrame, tables: int, radius: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of class names that an index of some table links.
+def candidate_pairs(classes: DataFrame, tables: int, radius: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Distinct pairs (a, b), a < b, of class names that an index of some table links; and the rows of each index.
 
-    Classes of one fingerprint are tied to the smallest of them, which stands for it in the index.
+    Classes of one fingerprint are tied to the smallest of them, which stands for it in the
+    index.  So these pairs are the first to try; ``untried_pairs`` has the others.
     """
-    found = []
+    found, indexes = [], []
     for t in range(tables):
         own = classes.select(F.col(f"fp{t}").alias("fp"), F.col("least").alias("node"))
         first = staged(own.groupBy("fp").agg(F.min("node").alias("name")), "fingerprint-names")
-        links = index_links(first.select("fp"), radius)
+        index = index_rows(first.select("fp"), radius)
+        indexes.append(index)
+        links = index.filter("v IS NOT NULL").select("u", "v").distinct()
         found.append(own.join(first, "fp").select(F.col("node").alias("a"), F.col("name").alias("b")))
         named = links.join(first.select(F.col("fp").alias("u"), F.col("name").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("name").alias("b")), "v")
         found.append(named.select("a", "b"))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return staged(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    return staged(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs"), indexes
+
+
+def untried_pairs(classes: DataFrame, indexes: list[DataFrame], tried: DataFrame, radius: int) -> DataFrame:
+    """All other distinct pairs (a, b), a < b, of class names within ``radius`` bits in some table that could still join two components.
+
+    ``classes`` has least, component_id and the fingerprints; ``indexes`` and ``tried`` are
+    what ``candidate_pairs`` gave.  A pair is left out only if it is tried or its classes
+    are in one component.
+    """
+    found = []
+    for t, index in enumerate(indexes):
+        own = classes.select(F.col(f"fp{t}").alias("fp"), F.col("least").alias("node"), F.col("component_id").alias("c"))
+        spans = staged(own.groupBy("fp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")), "component-spans")
+        left_out = index.filter("v IS NULL").select("mask", "value", F.col("u").alias("fp")).join(spans.drop("k"), "fp").withColumn("rank", gray_rank(F.col("fp")))
+        ordered = left_out.repartition("mask", "value").sortWithinPartitions("mask", "value", "rank")
+        links = ordered.select("mask", "value", "fp", "lo", "hi").mapInArrow(_open_links(radius), "u bigint, v bigint")
+        # A fingerprint of several classes: among themselves, and with those of the fingerprints it was linked to.
+        several = staged(spans.filter("k > 1").select("fp"), "shared-fingerprints")
+        linked = index.filter("v IS NOT NULL").select("u", "v")
+        links = links.unionByName(spans.filter("lo < hi").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
+        for end in ("u", "v"):
+            links = links.unionByName(linked.join(several, F.col(end) == F.col("fp"), "left_semi"))
+        links = staged(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "open-links")
+        if links.isEmpty():
+            continue
+        x, y = (own.select(*(F.col(c).alias(f"{c}_{end}") for c in own.columns)) for end in ("u", "v"))
+        pairs = links.join(x, F.col("u") == F.col("fp_u")).join(y, (F.col("v") == F.col("fp_v")) & (F.col("c_u") != F.col("c_v")) & ((F.col("u") != F.col("v")) | (F.col("node_u") < F.col("node_v"))))
+        found.append(pairs.select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b")))
+    if not found:
+        return tried.limit(0)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "untried-pairs")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
-    """Links (u, v): the pairs whose texts have a Jaccard similarity of at least ``similarity`` over distinct shingles."""
+    """Links (u, v): the pairs whose texts have a Jaccard similarity of at least ``similarity`` over distinct shingles.
+
+    Range counts rule out most pairs of unlike texts before whole sets are brought together.
+    """
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     own = docs.join(asked, "id", "left_semi")
     sets = staged(shingle_sets(own, width, seed).dropDuplicates(["id"]), "shingle-sets")
@@ -357,8 +464,16 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, seed: int, similarit
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, RANGES) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may_be_similar(x, y, similarity)))
+
+    def beside(pairs: DataFrame, what: str) -> DataFrame:
+        left = pairs.join(sets.select(F.col("id").alias("a"), F.col(what).alias("x")), "a")
+        return left.join(sets.select(F.col("id").alias("b"), F.col(what).alias("y")), "b").select("a", "b", "x", "y")
+
+    both = beside(staged(beside(pairs, "ranges").mapInArrow(possible, "a bigint, b bigint"), "possible-pairs"), "shingles")
     return staged(both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(run, "u bigint, v bigint"), "verified-links")
 
 
@@ -369,8 +484,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     independent: a pair of sets at similarity s differs in each of 64 bits with probability
     p = acos(2s / (1 + s)) / pi, so one table finds it with probability q = P(Binomial(64, p)
     <= radius) and all of them with 1 - (1 - q) ** tables.  Every candidate is verified on
-    its whole texts.  What the index gives is a spanning forest of the shortest links of
-    each node, so a large group of copies costs links in proportion to its size.
+    its whole texts.  The first to be tried are a spanning forest of the shortest links of
+    each node, so a large group of copies costs links in proportion to its size.  Then
+    come all other candidates whose ends the verified links have not connected: a link
+    that failed hides no other.
 
     Returns one row per input row: id, fp (of the first table), component_id (smallest id
     reachable by links, the document's own included).  Texts with equal sets, wordless and
@@ -382,8 +499,14 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     # Copies meet here: from now on a set is one row, named by its smallest id.
     firsts = [F.first(f"fp{t}").alias(f"fp{t}") for t in range(tables)]
     classes = staged(prints.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), *firsts), "shingle-classes")
-    links = verified(candidate_pairs(classes.filter("least IS NOT NULL"), tables, radius), own, shingle_words, seed, similarity)
-    roots = components(links).select(F.col("node").alias("least"), F.col("root").alias("component_id"))
+    tried, indexes = candidate_pairs(classes.filter("least IS NOT NULL"), tables, radius)
+    links = verified(tried, own, shingle_words, seed, similarity)
+    rooted = lambda links: components(links).select(F.col("node").alias("least"), F.col("root").alias("component_id"))
+    roots = rooted(links)
+    so_far = classes.filter("least IS NOT NULL").join(roots, "least", "left").withColumn("component_id", F.coalesce("component_id", "least"))
+    others = untried_pairs(staged(so_far, "first-components"), indexes, tried, radius)
+    if not others.isEmpty():
+        roots = rooted(links.unionByName(verified(others, own, shingle_words, seed, similarity)))
     tied = staged(classes.join(roots, "least", "left").select("key", "n", F.coalesce("component_id", "least").alias("component_id")), "tied-classes")
     return _spread(prints.select("id", "key", F.col("fp0").alias("fp")), tied, "key").select(F.col("id").alias(id_col), "fp", "component_id")
 

@@ -249,6 +249,54 @@ def test_similar_documents(spark):
     assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == ["0", "None"]
 
 
+def test_similar_documents_in_a_template_family(spark):
+    """1,100 documents share a template, so that very many unlike ones are within the radius; every pair within it counts."""
+    rng = random.Random(31)
+    template, rows = [f"s{i}" for i in range(300)], []
+    for g in range(1000):
+        own = [f"x{rng.randrange(100000)}" for _ in range(60)]
+        rows.append((g, " ".join(template + own)))
+        if g % 10 == 0:  # a relation at about 0.8 to 0.9
+            for k in rng.sample(range(60), 2 + g // 10 % 6):
+                own[k] = f"y{rng.randrange(100000)}"
+            rows.append((5000 + g, " ".join(template + own)))
+    sets = [np.unique(np.array(simhash.shingle_hashes(t.encode(), 5, 42), dtype=np.uint64)) for _, t in rows]
+    counts, hashes = np.array([len(x) for x in sets]), np.concatenate(sets)
+    near = np.zeros((len(rows), len(rows)), dtype=bool)
+    for t in range(8):
+        prints = simhash.majority_bits(simhash.salted(hashes, t), counts)
+        near |= np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 8
+    plain = [set(x.tolist()) for x in sets]
+    asked = [(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+    true = [(i, j) for i, j in asked if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])]
+    label = simhash.forest(len(rows), np.array([i for i, _ in true]), np.array([j for _, j in true]))
+    assert len(asked) > 100_000 and len(true) > 50
+    smallest = {k: min(rows[i][0] for i in np.flatnonzero(label == k)) for k in set(label.tolist())}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == {rows[i][0]: smallest[int(label[i])] for i in range(len(rows))}
+
+
+def test_range_counts_rule_out_no_similar_pair():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 40, 300):
+        for _ in range(50):
+            pool = np.unique(rng.integers(0, 1 << 63, n + n // 2, dtype=np.int64).view(np.uint64) << np.uint64(1))
+            x, y = (pool[rng.random(len(pool)) < 0.9] for _ in range(2))
+            true = len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+            counts = (np.frombuffer(simhash.range_counts(s), np.uint16)[None] for s in (x, y))
+            assert simhash.may_be_similar(*counts, 0.8)[0] or not true
+    many = np.zeros(70_000, np.uint64)
+    assert simhash.may_be_similar(*(np.frombuffer(simhash.range_counts(s), np.uint16)[None] for s in (many, many[:60_000])), 0.8)[0]
+
+
+def test_classes_of_one_fingerprint_are_all_compared(spark):
+    classes = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 6), (5, 1 << 40), (6, (1 << 40) - 1)], "least bigint, fp0 bigint")
+    tried, indexes = simhash.candidate_pairs(classes, 1, 2)
+    more = simhash.untried_pairs(classes.withColumn("component_id", F.col("least")), indexes, tried, 2)
+    found = sorted(tuple(r) for r in tried.unionByName(more).collect())
+    assert found == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
 def test_heavy_nodes_lose_no_links(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = int(rng.integers(0, 1 << 62))
