@@ -59,11 +59,14 @@ def resolve(pending: DataFrame, verdicts: DataFrame, on: list[str]) -> DataFrame
     return pending.join(verdicts, on, "left").withColumn("same", F.coalesce("same", F.lit(False)))
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, rounds: int = 1000) -> DataFrame:
     """Bulk mode: (id, component), the smallest id reachable over ``links`` (a, b).
 
-    Minimum labels spread over links and through labels' own labels; every few rounds the
-    lineage is cut by a checkpoint.  Transitive closure isn't the sequential result.
+    Each row offers the smallest label among its neighbours to itself and to the row that
+    its own label names, so that whole trees are hooked on; then labels are replaced by
+    their labels' labels.  This goes on until nothing changes; ``rounds`` is a safety bound
+    at which an error is raised.  Every round is cut by a checkpoint.  Transitive closure
+    isn't the sequential result.
     """
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
     spark = nodes.sparkSession
@@ -72,14 +75,16 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFram
     both, labels = cut(both), cut(nodes.select("id", F.col("id").alias("component")))
     for _ in range(rounds):
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels.id == near.a, "left").select("id", F.least("component", "m").alias("component"))
+        offers = cut(labels.join(near, labels.id == near.a, "left").select("id", "component", F.least("component", "m").alias("m")))
+        hooks = offers.filter("m < component").groupBy(F.col("component").alias("root")).agg(F.min("m").alias("hook"))
+        new = offers.join(hooks, offers.id == hooks.root, "left").select("id", F.least("m", "hook").alias("component"))
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("further"))
         new = cut(new.join(jump, "component").select("id", F.least("component", "further").alias("component")))
         changed = new.join(labels.withColumnRenamed("component", "was"), "id").filter("component <> was").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
 # ---------------------------------------------------------------- exact sequential mode

@@ -103,6 +103,16 @@ def test_components(spark):
     assert rows(triage.components(nodes, links), "id", "component") == [(0, 0), (1, 1), (2, 2), (3, 1), (4, 4), (5, 2), (6, 6), (7, 1), (8, 1)]
 
 
+def test_components_of_a_long_path_in_any_order(spark):
+    order = random.Random(6).sample(range(1000), 1000)
+    links = spark.createDataFrame([(a, b) for k, (a, b) in enumerate(zip(order, order[1:], strict=False)) if k != 599], "a bigint, b bigint")
+    low, high = min(order[:600]), min(order[600:])
+    got = dict(rows(triage.components(spark.range(1000), links), "id", "component"))
+    assert got == {i: low if k < 600 else high for k, i in enumerate(order)}
+    with pytest.raises(RuntimeError):
+        triage.components(spark.range(1000), links, rounds=2)
+
+
 SEEN = [("k", 1, " ", None, 10), ("k", 2, "x", "p", 5), ("k", 3, "y", "q", 30), ("j", 4, None, " ", 7)]
 
 
