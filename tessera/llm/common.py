@@ -63,8 +63,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Row keys that are broadcast, at most (about 16 MB as a hashed relation).
+MOST_BROADCAST_KEYS = 500_000
+
+
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """``df``, written once with a key of its own for each row, so that null and repeated ids don't matter."""
+    return staged(df.withColumn(key, F.monotonically_increasing_id()), "keyed-rows")
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't in ``gone`` (key), which is written and counted: few are broadcast, many joined by a shuffle."""
+    gone = staged(gone.select(key), "gone-rows")
+    few = gone.count() <= MOST_BROADCAST_KEYS
+    return df.join(F.broadcast(gone) if few else gone, key, "left_anti").drop(key)
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, staged
 
-#: Documents of each language that the text model is trained on, about, and languages at most.
-TRAINED_ON, MOST_LANGUAGES = 1500, 32
-#: Bits of the table of hashed byte trigrams.
-TABLE_BITS = 17
+#: Labelled documents of each language that the text model is trained on, about.
+TRAINED_ON = 1500
+#: Bits of the table of hashed byte trigrams: TABLE_BITS, fewer if so many languages' tables would pass MODEL_CELLS together.
+TABLE_BITS, MODEL_CELLS = 17, 1 << 24
+#: More labelled languages than this raise an error: the column isn't a language then.
+MOST_LANGUAGES = 4096
 #: Trigrams of a text that count in full; the evidence of more grows with their square root, since
 #: neighbouring trigrams aren't independent.
 FULL_WEIGHT = 50.0
@@ -32,7 +34,11 @@ _FOLD[65:91] += 32
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
-def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def table_bits(languages: int) -> int:
+    return min(TABLE_BITS, (MODEL_CELLS // max(1, languages)).bit_length() - 1)
+
+
+def trigrams(texts: pa.Array, bits: int = TABLE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Table places of the byte trigrams of each text (A-Z folded, all but letters as space), and each one's row."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
@@ -47,35 +53,38 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     a, b, c = code[:-2], code[1:-1], code[2:]
     # Runs of spaces say nothing.
     good = (row[:-2] == row[2:]) & ~((b == 32) & ((a == 32) | (c == 32)))
-    place = ((a * 0x1F1F1F + b * 0x3D4D51 + c * 0x5851F4) >> 5) & ((1 << TABLE_BITS) - 1)
+    place = ((a * 0x1F1F1F + b * 0x3D4D51 + c * 0x5851F4) >> 5) & ((1 << bits) - 1)
     return place[good], row[:-2][good]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each trigram in each): counts are summed per partition, then per language.
 
-    About TRAINED_ON documents of each of the commonest languages, chosen by a hash of the id.
+    All languages that label a document are learned, each from about TRAINED_ON documents
+    chosen by a hash of the id.
     """
-    sizes = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
     languages = sorted(r["lang"] for r in sizes)
+    bits = table_bits(len(languages))
     if not languages:
-        return ["und"], np.zeros((1, 1 << TABLE_BITS), dtype=np.float32)
-    keep = F.lit(False)
-    for r in sizes:
-        limit = int(min(1.0, TRAINED_ON / r["count"]) * 1_000_000)
-        keep = F.when(F.col(lang_col) == r["lang"], F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < limit).otherwise(keep)
+        return ["und"], np.zeros((1, 1 << bits), dtype=np.float32)
+    limits = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, TRAINED_ON / r["count"]) * 1_000_000))))
+    keep = F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < limits[F.col(lang_col)], F.lit(False))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 1 << TABLE_BITS), dtype=np.int64)
+        total = np.zeros((len(languages), 1 << bits), dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                place, row = trigrams(part.column(1))
+                place, row = trigrams(part.column(1), bits)
                 which = np.array([languages.index(x.as_py()) for x in part.column(0)])
-                total += np.bincount((which[row] << TABLE_BITS) + place, minlength=total.size).reshape(total.shape)
+                for k in np.unique(which):
+                    total[k] += np.bincount(place[which[row] == k], minlength=1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages)), pa.int32()), pa.array([t.astype(np.float64).tobytes() for t in total], pa.binary())], names=["i", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << TABLE_BITS)
+        total = np.zeros(1 << bits)
         for r in table.column("counts"):
             total += np.frombuffer(r.as_py())
         return pa.table([table.column("i")[:1], pa.array([total.tobytes()], pa.binary())], names=["i", "counts"])
@@ -83,13 +92,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # The sample is bounded, so a few partitions hold it, however many the corpus has.
     sample = staged(docs.filter(keep).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "language-sample").coalesce(16)
     found = {r["i"]: np.frombuffer(r["counts"]) for r in sample.mapInArrow(count, "i int, counts binary").groupBy("i").applyInArrow(add, "i int, counts binary").collect()}
-    counts = np.array([found.get(i, np.zeros(1 << TABLE_BITS)) for i in range(len(languages))]) + 0.05
+    counts = np.array([found.get(i, np.zeros(1 << bits)) for i in range(len(languages))]) + 0.05
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def text_evidence(docs: DataFrame, languages: list[str], table: np.ndarray, text_col: str = "text") -> DataFrame:
     """Replace the text by ``evidence`` (log likelihood of each language, damped) and ``trigrams`` (how many there were)."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # languages x 2**TABLE_BITS, a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # MODEL_CELLS numbers at most
+    bits = table.shape[1].bit_length() - 1
     others = [c for c in docs.columns if c != text_col]
     kinds = {f.name: f.dataType for f in docs.schema}
 
@@ -97,7 +107,7 @@ def text_evidence(docs: DataFrame, languages: list[str], table: np.ndarray, text
         model = shared.value
         for batch in batches:
             for part in slices(batch, text_col):
-                place, row = trigrams(part.column(part.schema.get_field_index(text_col)))
+                place, row = trigrams(part.column(part.schema.get_field_index(text_col)), bits)
                 n = np.bincount(row, minlength=len(part)).astype(float)
                 sums = np.column_stack([np.bincount(row, weights=t[place], minlength=len(part)) for t in model])
                 damp = np.where(n > FULL_WEIGHT, np.sqrt(FULL_WEIGHT / np.maximum(n, 1)), 1.0)
@@ -169,9 +179,12 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray, text: Col
     Returns the id columns, language ('und' if rejected), confidence (its posterior), kept
     (false where no language reaches LEAST_POSTERIOR or there is nothing to go by).
 
-    Null texts have no text evidence; a row with a declaration is then judged by that and
-    its host.  Null declarations, suffixes and hosts are the value ''.  Repeated rows are
-    judged alike.  An empty table gives an empty result.
+    Null and empty texts have no text evidence; a row with a declaration is then judged by
+    that and its host.  Null declarations, suffixes and hosts are the value ''.  Of equal
+    posteriors the first language in the alphabet is named.  Very long texts are read
+    whole.  Null ids pass through; repeated rows are judged alike.  An empty table gives an
+    empty result.  A language that labels no document can't be named: its texts are given
+    the nearest one that does.
     """
     part = lambda c: F.coalesce(c, F.lit("")) if c is not None else F.lit("")
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")
@@ -196,10 +209,10 @@ def page_parts(url: Column, html: Column) -> tuple[Column, Column, Column]:
     return declared, F.concat_ws("/", F.regexp_extract(host, r"\.([a-z]+)$", 1), folder), host
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
+def identify_documents(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``identify`` for the documents table: a document's source stands for its host; nothing is declared."""
     languages, table = train(docs)
-    return identify(docs, languages, table, F.col("text"), host=F.col("source"))
+    return identify(docs, languages, table, F.col("text"), host=F.col("source"), id_cols=id_cols)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,9 +85,9 @@ def _broadcast_if_small(leaves: DataFrame) -> DataFrame:
     return F.broadcast(leaves) if leaves.count() <= MOST_BROADCAST_LEAVES else leaves
 
 
-def _order(seed: int, epoch: Column) -> Column:
+def _order(seed: int, epoch: Column, id_: Column) -> Column:
     """A document's place in an epoch: the hash of seed, epoch and id."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit(""))).cast("binary"))
 
 
 def mix(
@@ -110,44 +110,75 @@ def mix(
     otherwise.  Returns one row per chosen document and epoch: id, domain, lang, source,
     n_tokens, epoch (from 0).
 
-    A null language or source is a leaf '' of its own.  Documents without tokens go with
-    their leaf's prefix.  Rows with the same id in a leaf share a place in the order and
-    are chosen together.  An empty table gives an empty result.
+    A null language or source is a leaf '' of its own.  Documents without tokens, null and
+    empty texts among them, go with their leaf's prefix.  Rows with the same id in a leaf
+    share a place in the order and are chosen together; so are all rows with a null id.
+    Very long texts count whole and may end a prefix early.  An empty table gives an empty
+    result.
+    """
+    keys, budgets, ends = _plan(docs, fraction, max_epochs, weights, seed, id_col, text_col, lang_col, source_col, domain, tokens)
+    leaf = list(LEVELS)
+    out = [F.col("id").alias(id_col), *leaf, "n_tokens"]
+    partial = _placed(keys, budgets, seed, F.col("id")).join(ends, leaf).filter(_reached()).select(*out, F.col("epochs").alias("epoch"))
+    full = keys.join(budgets.filter("epochs > 0"), leaf).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).select(*out, "epoch")
+    return full.unionByName(partial)
+
+
+def choose(docs: DataFrame, fraction: float = 0.6, weights: Mapping[str, Mapping[str, float]] | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows that ``mix`` chooses when each is taken once at most, with all their columns.
+
+    Rows are judged where they are, by their leaf's row: no text is shuffled.
+    """
+    _, budgets, ends = _plan(docs, fraction, 1, weights, seed, id_col, text_col, lang_col, source_col, None, None)
+    own = list(docs.columns)
+    nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(id_col).alias("id"), *_keys(F.col(text_col), lang_col, source_col, None, None))
+    known = _placed(nested, budgets, seed, F.col("id")).join(ends, list(LEVELS))
+    return known.filter((F.col("epochs") > 0) | _reached()).select("row.*")
+
+
+def _keys(text: Column, lang: str, source: str, domain: Column | None, tokens: Column | None) -> list[Column]:
+    blank = F.lit("")
+    return [
+        F.coalesce(domain if domain is not None else domain_of(F.col(source)), blank).alias("domain"),
+        F.coalesce(F.col(lang), blank).alias("lang"),
+        F.coalesce(F.col(source), blank).alias("source"),
+        (tokens if tokens is not None else words_in(text)).alias("n_tokens"),
+    ]
+
+
+def _placed(rows: DataFrame, budgets: DataFrame, seed: int, id_: Column) -> DataFrame:
+    return rows.join(budgets, list(LEVELS)).withColumn("place", _order(seed, F.col("epochs"), id_)).withColumn("part", F.substring("place", 1, 3))
+
+
+def _reached() -> Column:
+    """Whether the leaf's budget reaches a row's place in the last, partial epoch."""
+    return F.col("end_part").isNull() | (F.col("part") < F.col("end_part")) | F.coalesce((F.col("part") == F.col("end_part")) & (F.col("place") <= F.col("last")), F.lit(False))
+
+
+def _plan(docs: DataFrame, fraction: float, max_epochs: int, weights: Mapping[str, Mapping[str, float]] | None, seed: int, id_col: str, text_col: str, lang_col: str, source_col: str, domain: Column | None, tokens: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' keys; by leaf the whole epochs and what is left of the budget; and where in the next epoch that ends.
+
+    The end is found in two steps, so that no leaf is sorted in one task: sums over the
+    4096 ranges of the order first, then the rows of the one range in which the budget
+    runs out.  Only those rows move.
     """
     weights = weights if weights is not None else {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
-    text = F.col(text_col)
-    keys = staged(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.coalesce(domain if domain is not None else domain_of(F.col(source_col)), F.lit("")).alias("domain"),
-            F.coalesce(F.col(lang_col), F.lit("")).alias("lang"),
-            F.coalesce(F.col(source_col), F.lit("")).alias("source"),
-            (tokens if tokens is not None else words_in(text)).alias("n_tokens"),
-        ),
-        "mix-keys",
-    )
+    keys = staged(docs.select(F.col(id_col).alias("id"), *_keys(F.col(text_col), lang_col, source_col, domain, tokens)), "mix-keys")
     leaf = list(LEVELS)
     budgets = leaf_budgets(keys.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), fraction, max_epochs, weights)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("int")
-    budgets = staged(budgets.select(*leaf, whole.alias("epochs"), (F.col("budget") - whole * F.col("tokens")).alias("rest")), "mix-budgets")
-
-    # Where a leaf's prefix ends is found in two steps, so that no leaf is sorted in one task: sums over
-    # the 4096 ranges of the order first, then the rows of the one range in which the budget runs out.
-    # Only those rows move; the others are judged where they are, by their leaf's row.
-    budgets = _broadcast_if_small(budgets)
-    placed = keys.join(budgets, leaf).withColumn("place", _order(seed, F.col("epochs"))).withColumn("part", F.substring("place", 1, 3))
+    budgets = _broadcast_if_small(staged(budgets.select(*leaf, whole.alias("epochs"), (F.col("budget") - whole * F.col("tokens")).alias("rest")), "mix-budgets"))
+    placed = _placed(keys, budgets, seed, F.col("id"))
     sums = placed.groupBy(*leaf, "part").agg(F.sum("n_tokens").alias("part_tokens"), F.first("rest").alias("rest"))
     running = Window.partitionBy(*leaf).orderBy("part")
     sums = sums.withColumn("upto", F.sum("part_tokens").over(running)).withColumn("before", F.col("upto") - F.col("part_tokens"))
     over = F.col("upto") > F.col("rest")
-    ends = staged(sums.groupBy(*leaf).agg(F.min(F.when(over, F.struct("part", "before"))).alias("end")), "mix-ends")
-    known = placed.join(_broadcast_if_small(ends), leaf)
-    row = Window.partitionBy(*leaf, "part").orderBy("place")
-    inside = known.filter(F.col("part") == F.col("end.part")).withColumn("reach", F.col("end.before") + F.sum("n_tokens").over(row)).filter("reach <= rest").drop("reach")
-    out = [F.col("id").alias(id_col), *leaf, "n_tokens"]
-    partial = known.filter(F.col("end").isNull() | (F.col("part") < F.col("end.part"))).unionByName(inside).select(*out, F.col("epochs").alias("epoch"))
-    full = keys.join(budgets.filter("epochs > 0"), leaf).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).select(*out, "epoch")
-    return full.unionByName(partial)
+    ends = staged(sums.groupBy(*leaf).agg(F.min(F.when(over, F.struct("part", "before"))).alias("end")).select(*leaf, F.col("end.part").alias("end_part"), F.col("end.before").alias("before")), "mix-ends")
+    # Rows that share a place, those of one id, are reached together.
+    reach = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*leaf).orderBy("place"))
+    within = placed.join(_broadcast_if_small(ends), leaf).filter(F.col("part") == F.col("end_part")).withColumn("reach", reach).filter("reach <= rest")
+    last = within.groupBy(*leaf).agg(F.max("place").alias("last"))
+    return keys, budgets, _broadcast_if_small(staged(ends.drop("before").join(last, leaf, "left"), "mix-places"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,14 @@ FAN_OUT = 16
 NODE_PAIRS = 4096
 #: Shingles that one pass counts; the lanes hold 65,535.
 PASS_SHINGLES = 60_000
-#: Levels of masks.
-LEVELS = 3
+#: Levels of masks, at most.
+LEVELS = 6
+#: Coordinated samples of a set, and min-wise shingles in each.
+SAMPLES, SAMPLE_SHINGLES = 12, 5
+#: Standard deviations by which the share of equal minima may fall short of the similarity that is sought.
+SLACK = 3.5
+#: Members of a bucket that one task holds on either side of a comparison, about.
+CHUNK = 2048
 #: Ranges of hashes in which a set's shingles are counted, and the largest count.
 RANGES, FULL = 64, 65_535
 
@@ -140,12 +146,6 @@ def tree_chunks(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.n
     yield from descend(len(levels) - 1, *np.triu_indices(len(levels[-1][0])))
 
 
-def tree_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of ``tree_chunks`` at once."""
-    found = list(tree_chunks(fps, radius))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
 def spanning_links(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
     """Which links a minimum spanning forest keeps: at most n - 1, and at every distance as connected as all of them.
 
@@ -167,6 +167,28 @@ def spanning_links(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -
     return kept
 
 
+def streamed_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, left_out): links that connect fingerprints in Gray order as all their links do, and which have others besides.
+
+    The pairs come in chunks and each chunk is thinned at once, so what is held is bounded
+    by the fingerprints and one chunk.
+    """
+    n = len(fps)
+    label, left_out = np.arange(n), np.zeros(n, dtype=bool)
+    kept_x, kept_y = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for x, y in tree_chunks(fps, radius):
+        a, b = label[x], label[y]
+        kept = np.zeros(len(x), dtype=bool)
+        apart = np.flatnonzero(a != b)
+        if len(apart):
+            kept[apart] = spanning_links(n, a[apart], b[apart], np.bitwise_count(fps[x[apart]] ^ fps[y[apart]]))
+            kept_x, kept_y = np.concatenate([kept_x, x[kept]]), np.concatenate([kept_y, y[kept]])
+            label = forest(n, kept_x, kept_y)
+        left_out[x[~kept]] = True
+        left_out[y[~kept]] = True
+    return kept_x, kept_y, left_out
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of ``n`` nodes reaches."""
     label = np.arange(n)
@@ -183,13 +205,15 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of batches (mask, value, ...), dealt anew so that no node is cut."""
+def _whole_nodes(batches: Iterator[pa.RecordBatch], keys: int = 2) -> Iterator[list[np.ndarray]]:
+    """The columns of batches, dealt anew so that no node is cut: rows alike in the first ``keys`` columns stay together."""
     held = None
     for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        cols = [_bytes_array(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
-        last = run_starts(cols[0], cols[1])
+        last = run_starts(*cols[:keys])
         cut = int(last[-1]) if len(last) else 0
         if cut:
             yield [c[:cut] for c in cols]
@@ -198,6 +222,12 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
         yield held
 
 
+def _bytes_array(column: pa.Array) -> np.ndarray:
+    """Binary values of equal length as one array of raw items."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=f"V{len(values[0])}")
+
+
 def _node_links(radius: int):
     """Rows (mask, value, fp), a node's together and in Gray order -> (mask, value, u, v): the links that hold each node's links together.
 
@@ -222,14 +252,12 @@ def _node_links(radius: int):
         left_out, left_of = [], []
         for k in np.flatnonzero(size > SMALL):
             members = fp[starts[k] : starts[k] + size[k]]
-            x, y = tree_links(members, radius)
-            kept = spanning_links(len(members), x, y, np.bitwise_count(members[x] ^ members[y]))
-            u.append(members[y[kept]])
-            v.append(members[x[kept]])
-            of.append(np.full(kept.sum(), starts[k]))
-            some = np.unique(np.concatenate([x[~kept], y[~kept]]))
-            left_out.append(members[some])
-            left_of.append(np.full(len(some), starts[k]))
+            x, y, others = streamed_forest(members, radius)
+            u.append(members[y])
+            v.append(members[x])
+            of.append(np.full(len(x), starts[k]))
+            left_out.append(members[others])
+            left_of.append(np.full(int(others.sum()), starts[k]))
         flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         of, left_of = flat(of, np.int64), flat(left_of, np.int64)
         at = np.concatenate([of, left_of])
@@ -276,7 +304,7 @@ def index_rows(fps: DataFrame, radius: int) -> DataFrame:
     nodes = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in level))).alias("mask"))
     for depth in range(LEVELS):
         nodes = nodes.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
-        last = depth == LEVELS - 1
+        last = depth == LEVELS - 1 or any(64 - m.bit_count() <= radius + 1 for m in level)
         sizes = nodes.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {NODE_ROWS}")
         heavy = None if last else staged(sizes.select("mask", "value"), "heavy-nodes")
         deeper = heavy is not None and not heavy.isEmpty()
@@ -340,9 +368,34 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- verified links
 
 
-def salted(hashes: np.ndarray, nth: int) -> np.ndarray:
-    """The shingles' hashes for the ``nth`` table: independent of the other tables' (0: as they are)."""
-    return mix64(hashes ^ U64(nth * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if nth else hashes
+def _permutations(n: int) -> list[tuple[np.uint64, np.uint64]]:
+    """(salt, odd factor) of ``n`` fixed bijections of 64-bit hashes."""
+    rng = np.random.default_rng(20240517)
+    drawn = rng.integers(0, 1 << 63, (n, 2), dtype=np.int64).view(U64) << U64(1)
+    return [(salt, factor | U64(1)) for salt, factor in drawn]
+
+
+def sample_prints(hashes: np.ndarray, counts: np.ndarray, samples: int, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHashes of ``samples`` coordinated samples of each set, and a sketch: a byte of each min-wise shingle.
+
+    A sample is the ``each`` shingles that come first under as many fixed orders, so two
+    sets at similarity s have the same sample with probability s ** each, whatever the
+    sets' sizes.  A set without shingles has zeros.
+    """
+    some = np.flatnonzero(counts)
+    mins = np.zeros((len(counts), samples * each), dtype=U64)
+    if len(some) and samples:
+        starts = np.concatenate([[0], np.cumsum(counts[some])])[:-1]
+        for j, (salt, factor) in enumerate(_permutations(samples * each)):
+            mins[some, j] = np.minimum.reduceat((hashes ^ salt) * factor, starts)
+        mins[some] = mix64(mins[some])
+    prints = majority_bits(mins.ravel(), np.full(len(counts) * samples, each)).reshape(len(counts), samples)
+    return prints, (mins & U64(0xFF)).astype(np.uint8)
+
+
+def least_agreement(similarity: float, places: int) -> int:
+    """Places of two sketches that must be equal: what the similarity asks for, less SLACK standard deviations."""
+    return max(0, int(np.ceil(places * similarity - SLACK * np.sqrt(places * similarity * (1 - similarity)))))
 
 
 def range_counts(shingles: np.ndarray) -> bytes:
@@ -361,99 +414,171 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarra
     return (both >= similarity * (total - both)) | (x == FULL).any(axis=1) | (y == FULL).any(axis=1)
 
 
-def set_prints(docs: DataFrame, width: int, seed: int, tables: int) -> DataFrame:
-    """(id, key, fp0, fp1, ...): a digest of each text's distinct shingles, and their fingerprint in each table."""
-    names = [f"fp{t}" for t in range(tables)]
+def _set_of(text: pa.Scalar, width: int, seed: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes((text.as_py() or "").encode(), width, seed), dtype=U64))
+
+
+def _digest(shingles: np.ndarray, seed: int) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes(), seed)
+
+
+def set_prints(docs: DataFrame, width: int, seed: int, samples: int, each: int) -> DataFrame:
+    """(id, key, fp, prints, sketch): a digest of each text's distinct shingles, their SimHash, and ``sample_prints``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), width, seed), dtype=U64)) for t in part.column(1)]
-                keys = [xxhash.xxh3_128_digest(x.tobytes(), seed) for x in found]
+                found = [_set_of(t, width, seed) for t in part.column(1)]
                 hashes, counts = np.concatenate(found), np.array([len(x) for x in found])
-                prints = [pa.array(majority_bits(salted(hashes, t), counts).view(np.int64)) for t in range(tables)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), *prints], names=["id", "key", *names])
+                prints, sketch = sample_prints(hashes, counts, samples, each)
+                columns = [pa.array([_digest(x, seed) for x in found], pa.binary()), pa.array(majority_bits(hashes, counts).view(np.int64)), pa.array(list(prints.view(np.int64)), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "key", "fp", "prints", "sketch"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, key binary, " + ", ".join(f"{n} bigint" for n in names))
+    return docs.select("id", "text").mapInArrow(run, "id bigint, key binary, fp bigint, prints array<bigint>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """(id, shingles, ranges): the distinct shingle hashes of each text, sorted, as bytes; and their ``range_counts``."""
+    """(id, key, shingles, ranges): the distinct shingle hashes of each text, sorted, as bytes; their digest and ``range_counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), width, seed), dtype=U64)) for t in part.column(1)]
-                columns = [part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([range_counts(x) for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "ranges"])
+                sets = [_set_of(t, width, seed) for t in part.column(1)]
+                columns = [part.column(0), *(pa.array([f(x) for x in sets], pa.binary()) for f in (lambda x: _digest(x, seed), np.ndarray.tobytes, range_counts))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "shingles", "ranges"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, shingles binary, ranges binary")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, key binary, shingles binary, ranges binary")
 
 
-def candidate_pairs(classes: DataFrame, tables: int, radius: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Distinct pairs (a, b), a < b, of class names that an index of some table links; and the rows of each index.
+def _beside(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with their group's row.  Groups with a large share of the rows are joined by broadcast.
 
-    Classes of one fingerprint are tied to the smallest of them, which stands for it in the
-    index.  So these pairs are the first to try; ``untried_pairs`` has the others.
+    A row may lie in SAMPLES groups, so at most 1024 * SAMPLES groups are large.
     """
-    found, indexes = [], []
-    for t in range(tables):
-        own = classes.select(F.col(f"fp{t}").alias("fp"), F.col("least").alias("node"))
-        first = staged(own.groupBy("fp").agg(F.min("node").alias("name")), "fingerprint-names")
-        index = index_rows(first.select("fp"), radius)
-        indexes.append(index)
-        links = index.filter("v IS NOT NULL").select("u", "v").distinct()
-        found.append(own.join(first, "fp").select(F.col("node").alias("a"), F.col("name").alias("b")))
-        named = links.join(first.select(F.col("fp").alias("u"), F.col("name").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("name").alias("b")), "v")
-        found.append(named.select("a", "b"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return staged(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs"), indexes
+    large = F.col(size) >= max(1000, total >> 10)
+    common, rare = groups.filter(large), groups.filter(~large)
+    return rows.join(F.broadcast(common.select(*keys)), keys, "left_anti").join(rare, keys).unionByName(rows.join(F.broadcast(common), keys))
 
 
-def untried_pairs(classes: DataFrame, indexes: list[DataFrame], tried: DataFrame, radius: int) -> DataFrame:
-    """All other distinct pairs (a, b), a < b, of class names within ``radius`` bits in some table that could still join two components.
+def index_pairs(classes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of class names (``node``) that the index of whole fingerprints links first; and its rows.
 
-    ``classes`` has least, component_id and the fingerprints; ``indexes`` and ``tried`` are
-    what ``candidate_pairs`` gave.  A pair is left out only if it is tried or its classes
-    are in one component.
+    Classes of one fingerprint are tied to the smallest of them, which stands for it in the
+    index.  ``open_index_pairs`` has the others.
     """
-    found = []
-    for t, index in enumerate(indexes):
-        own = classes.select(F.col(f"fp{t}").alias("fp"), F.col("least").alias("node"), F.col("component_id").alias("c"))
-        spans = staged(own.groupBy("fp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")), "component-spans")
-        left_out = index.filter("v IS NULL").select("mask", "value", F.col("u").alias("fp")).join(spans.drop("k"), "fp").withColumn("rank", gray_rank(F.col("fp")))
-        ordered = left_out.repartition("mask", "value").sortWithinPartitions("mask", "value", "rank")
-        links = ordered.select("mask", "value", "fp", "lo", "hi").mapInArrow(_open_links(radius), "u bigint, v bigint")
-        # A fingerprint of several classes: among themselves, and with those of the fingerprints it was linked to.
-        several = staged(spans.filter("k > 1").select("fp"), "shared-fingerprints")
-        linked = index.filter("v IS NOT NULL").select("u", "v")
-        links = links.unionByName(spans.filter("lo < hi").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
-        for end in ("u", "v"):
-            links = links.unionByName(linked.join(several, F.col(end) == F.col("fp"), "left_semi"))
-        links = staged(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "open-links")
-        if links.isEmpty():
-            continue
-        x, y = (own.select(*(F.col(c).alias(f"{c}_{end}") for c in own.columns)) for end in ("u", "v"))
-        pairs = links.join(x, F.col("u") == F.col("fp_u")).join(y, (F.col("v") == F.col("fp_v")) & (F.col("c_u") != F.col("c_v")) & ((F.col("u") != F.col("v")) | (F.col("node_u") < F.col("node_v"))))
-        found.append(pairs.select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b")))
-    if not found:
-        return tried.limit(0)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "untried-pairs")
+    own = classes.select("fp", "node")
+    first = staged(own.groupBy("fp").agg(F.min("node").alias("name"), F.count(F.lit(1)).alias("k")), "fingerprint-names")
+    index = index_rows(first.select("fp"), radius)
+    links = index.filter("v IS NOT NULL").select("u", "v").distinct()
+    tied = _beside(own, first.filter("k > 1"), ["fp"], "k", own.count()).select(F.col("node").alias("a"), F.col("name").alias("b"))
+    named = links.join(first.select(F.col("fp").alias("u"), F.col("name").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("name").alias("b")), "v")
+    pairs = tied.unionByName(named.select("a", "b")).filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), index
+
+
+def open_index_pairs(classes: DataFrame, index: DataFrame, radius: int) -> DataFrame | None:
+    """All pairs (a, b), a < b, of class names within ``radius`` bits whose classes are in different components."""
+    own = classes.select("fp", "node", F.col("component_id").alias("c"))
+    spans = staged(own.groupBy("fp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")), "component-spans")
+    left_out = index.filter("v IS NULL").select("mask", "value", F.col("u").alias("fp")).join(spans.drop("k"), "fp").withColumn("rank", gray_rank(F.col("fp")))
+    ordered = left_out.repartition("mask", "value").sortWithinPartitions("mask", "value", "rank")
+    links = ordered.select("mask", "value", "fp", "lo", "hi").mapInArrow(_open_links(radius), "u bigint, v bigint")
+    # A fingerprint of several classes: among themselves, and with those of the fingerprints it was linked to.
+    several = staged(spans.filter("k > 1").select("fp"), "shared-fingerprints")
+    linked = index.filter("v IS NOT NULL").select("u", "v")
+    links = links.unionByName(spans.filter("lo < hi").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
+    for end in ("u", "v"):
+        links = links.unionByName(linked.join(several, F.col(end) == F.col("fp"), "left_semi"))
+    links = staged(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "open-links")
+    if links.isEmpty():
+        return None
+    x, y = (own.select(*(F.col(c).alias(f"{c}_{end}") for c in own.columns)) for end in ("u", "v"))
+    pairs = links.join(x, F.col("u") == F.col("fp_u")).join(y, (F.col("v") == F.col("fp_v")) & (F.col("c_u") != F.col("c_v")) & ((F.col("u") != F.col("v")) | (F.col("node_u") < F.col("node_v"))))
+    return pairs.select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b"))
+
+
+def sample_members(classes: DataFrame) -> tuple[DataFrame, int]:
+    """(t, print, node, name, k): the classes of each bucket, the smallest of them and how many there are; and all classes' count.
+
+    A bucket is a sample's fingerprint that several classes have.
+    """
+    members = classes.select("node", F.posexplode("prints").alias("t", "print"))
+    buckets = staged(members.groupBy("t", "print").agg(F.min("node").alias("name"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "sample-buckets")
+    total = classes.count()
+    return staged(_beside(members, buckets, ["t", "print"], "k", total), "bucket-members"), total
+
 
+def _agreeing(similarity: float):
+    """Rows (cell, probe, node, c, plain, sketch), a cell's together -> (a, b): pairs of a probe and a base row of different components whose sketches agree."""
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, probe, node, c, plain, raw in _whole_nodes(batches, 1):
+            places = raw.dtype.itemsize
+            sketch = raw.view(np.uint8).reshape(-1, places)
+            least = least_agreement(similarity, places)
+            a, b = [], []
+            starts = run_starts(cell)
+            for lo, hi in zip(starts, np.append(starts[1:], len(cell)), strict=True):
+                asks = lo + np.flatnonzero(probe[lo:hi])
+                base = lo + np.flatnonzero(~probe[lo:hi])
+                across = np.ascontiguousarray(sketch[base].T)
+                for k in range(0, len(asks), 64):
+                    some = asks[k : k + 64]
+                    # A pair of two probes comes from either side; one of them counts.
+                    good = (c[some][:, None] != c[base][None, :]) & (plain[base][None, :] | (node[some][:, None] < node[base][None, :]))
+                    if not good.any():
+                        continue
+                    equal = np.zeros(good.shape, dtype=np.uint16)
+                    for j in range(places):
+                        equal += sketch[some, j][:, None] == across[j][None, :]
+                    x, y = np.nonzero(good & (equal >= least))
+                    a.append(node[some[x]])
+                    b.append(node[base[y]])
+            if a:
+                x, y = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return run
+
+
+def open_sample_pairs(classes: DataFrame, members: DataFrame, total: int, similarity: float) -> DataFrame | None:
+    """All pairs (a, b), a < b, of one bucket whose classes are in different components and whose sketches agree.
+
+    A bucket's rows of its commonest component needn't meet each other; only the others
+    are compared, with all rows.  Both sides are cut into chunks, and a cell of one chunk
+    of each is what a task holds, however large the bucket.
+    """
+    placed = members.select("t", "print", "node").join(classes.select("node", F.col("component_id").alias("c")), "node")
+    shares = placed.groupBy("t", "print", "c").agg(F.count(F.lit(1)).alias("n"))
+    buckets = shares.groupBy("t", "print").agg(F.sum("n").alias("k"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("major"), F.count(F.lit(1)).alias("parts"))
+    buckets = staged(buckets.filter("parts > 1").drop("parts"), "open-buckets")
+    if buckets.isEmpty():
+        return None
+    rows = _beside(placed, buckets, ["t", "print"], "k", total).join(classes.select("node", "sketch"), "node")
+    rows = rows.withColumn("ways", F.ceil(F.col("k") / CHUNK).cast("int")).withColumn("probe_ways", F.ceil((F.col("k") - F.col("most")) / CHUNK).cast("int"))
+    mine = lambda ways: F.pmod(F.xxhash64("node"), F.col(ways)).cast("int")
+    every = lambda ways: F.explode(F.sequence(F.lit(0), F.col(ways) - 1))
+    out = ["t", "print", "x", "y", "probe", "node", "c", (F.col("c") == F.col("major")).alias("plain"), "sketch"]
+    base = rows.withColumn("x", mine("ways")).withColumn("y", every("probe_ways")).withColumn("probe", F.lit(False)).select(*out)
+    probes = rows.filter("c <> major").withColumn("x", every("ways")).withColumn("y", mine("probe_ways")).withColumn("probe", F.lit(True)).select(*out)
+    cells = base.unionByName(probes).withColumn("cell", F.xxhash64("t", "print", "x", "y")).select("cell", "probe", "node", "c", "plain", "sketch")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_agreeing(similarity), "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
     """Links (u, v): the pairs whose texts have a Jaccard similarity of at least ``similarity`` over distinct shingles.
 
-    Range counts rule out most pairs of unlike texts before whole sets are brought together.
+    ``names``: (id, key) of the classes.  Range counts rule out most pairs of unlike texts
+    before whole sets are brought together.  A class in very many pairs has its set dealt
+    out in copies, so that none of them meets all its pairs.
     """
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    asked = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("pairs")), "asked")
+    least = max(1000, (asked.agg(F.sum("pairs")).first()[0] or 0) >> 10)
+    hot = asked.filter(F.col("pairs") >= least).select("id", F.ceil(F.col("pairs") / least).cast("int").alias("ways"))  # 1024 rows at most
     own = docs.join(asked, "id", "left_semi")
-    sets = staged(shingle_sets(own, width, seed).dropDuplicates(["id"]), "shingle-sets")
+    sets = shingle_sets(own, width, seed).join(names, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("ways"), F.lit(1)) - 1))
+    sets = staged(sets.drop("key").join(F.broadcast(hot), "id", "left").withColumn("copy", copies).drop("ways"), "shingle-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -470,45 +595,65 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, seed: int, similarit
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may_be_similar(x, y, similarity)))
 
     def beside(pairs: DataFrame, what: str) -> DataFrame:
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col(what).alias("x")), "a")
-        return left.join(sets.select(F.col("id").alias("b"), F.col(what).alias("y")), "b").select("a", "b", "x", "y")
+        for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
+            pairs = pairs.join(F.broadcast(hot.select(F.col("id").alias(end), "ways")), end, "left")
+            pairs = pairs.withColumn("copy", F.coalesce(F.pmod(F.xxhash64(other), F.col("ways")).cast("int"), F.lit(0))).drop("ways")
+            pairs = pairs.join(sets.select(F.col("id").alias(end), "copy", F.col(what).alias(name)), [end, "copy"]).drop("copy")
+        return pairs.select("a", "b", "x", "y")
 
     both = beside(staged(beside(pairs, "ranges").mapInArrow(possible, "a bigint, b bigint"), "possible-pairs"), "shingles")
-    return staged(both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(run, "u bigint, v bigint"), "verified-links")
+    return staged(both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(run, "u bigint, v bigint").distinct(), "verified-links")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, radius: int = 8, tables: int = 8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, radius: int = 3, samples: int = SAMPLES, each: int = SAMPLE_SHINGLES, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
-    Candidates are pairs within ``radius`` bits in any of ``tables`` fingerprints, which are
-    independent: a pair of sets at similarity s differs in each of 64 bits with probability
-    p = acos(2s / (1 + s)) / pi, so one table finds it with probability q = P(Binomial(64, p)
-    <= radius) and all of them with 1 - (1 - q) ** tables.  Every candidate is verified on
-    its whole texts.  The first to be tried are a spanning forest of the shortest links of
-    each node, so a large group of copies costs links in proportion to its size.  Then
-    come all other candidates whose ends the verified links have not connected: a link
-    that failed hides no other.
-
-    Returns one row per input row: id, fp (of the first table), component_id (smallest id
+    Two kinds of SimHash give candidates.  The whole set's fingerprint goes through the
+    Gray-ordered index, which finds every pair within ``radius`` bits.  It can't reach far:
+    at 0.8 two fingerprints differ in 9.7 bits of 64 on average, and an index of so large a
+    radius has short masks, whose nodes grow with the corpus.  So the sets' coordinated
+    samples are fingerprinted too (see ``sample_prints``) and sought at equality: a pair at
+    similarity s shares one of them with probability 1 - (1 - s ** each) ** samples (0.8:
+    0.992), at a cost in proportion to the rows.  Of those, pairs whose sketches fall short
+    of the similarity by more than SLACK standard deviations are no candidates.
+
+    Every candidate is verified on its whole texts.  The first to be tried tie each bucket
+    or node together by few pairs, so a large group of copies costs links in proportion to
+    its size.  Then come all other candidates whose ends the verified links have not
+    connected: a link that failed hides no other.
+
+    Returns one row per input row: id, fp (of the whole set), component_id (smallest id
     reachable by links, the document's own included).  Texts with equal sets, wordless and
     null ones among them, are linked.  A null id has no component unless a document of an
-    equal set has an id.  Repeated rows are in one component.
+    equal set has an id.  Repeated rows are in one component.  Of rows that share an id
+    each is judged by its own text.  Very long texts are read whole, a slice's worth at a
+    time.  An empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    prints = staged(set_prints(own, shingle_words, seed, tables), "set-prints")
+    prints = staged(set_prints(own, shingle_words, seed, samples, each), "set-prints")
     # Copies meet here: from now on a set is one row, named by its smallest id.
-    firsts = [F.first(f"fp{t}").alias(f"fp{t}") for t in range(tables)]
-    classes = staged(prints.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), *firsts), "shingle-classes")
-    tried, indexes = candidate_pairs(classes.filter("least IS NOT NULL"), tables, radius)
-    links = verified(tried, own, shingle_words, seed, similarity)
-    rooted = lambda links: components(links).select(F.col("node").alias("least"), F.col("root").alias("component_id"))
+    firsts = [F.first(c).alias(c) for c in ("fp", "prints", "sketch")]
+    classes = staged(prints.groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), *firsts), "shingle-classes")
+    named = classes.filter("node IS NOT NULL")
+    names = named.select(F.col("node").alias("id"), "key")
+    tried, index = index_pairs(named, radius)
+    if samples:
+        members, total = sample_members(named)
+        tried = tried.unionByName(members.filter("node <> name").select(F.col("name").alias("a"), F.col("node").alias("b"))).distinct()
+    tried = staged(tried, "first-pairs")
+    links = verified(tried, names, own, shingle_words, seed, similarity)
+    rooted = lambda links: components(links).select("node", F.col("root").alias("component_id"))
     roots = rooted(links)
-    so_far = classes.filter("least IS NOT NULL").join(roots, "least", "left").withColumn("component_id", F.coalesce("component_id", "least"))
-    others = untried_pairs(staged(so_far, "first-components"), indexes, tried, radius)
-    if not others.isEmpty():
-        roots = rooted(links.unionByName(verified(others, own, shingle_words, seed, similarity)))
-    tied = staged(classes.join(roots, "least", "left").select("key", "n", F.coalesce("component_id", "least").alias("component_id")), "tied-classes")
-    return _spread(prints.select("id", "key", F.col("fp0").alias("fp")), tied, "key").select(F.col("id").alias(id_col), "fp", "component_id")
+    so_far = staged(named.drop("n").join(roots, "node", "left").withColumn("component_id", F.coalesce("component_id", "node")), "first-components")
+    more = [open_index_pairs(so_far, index, radius), open_sample_pairs(so_far, members, total, similarity) if samples else None]
+    more = [m for m in more if m is not None]
+    if more:
+        others = more[0] if len(more) == 1 else more[0].unionByName(more[1])
+        others = staged(others.distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
+        if not others.isEmpty():
+            roots = rooted(links.unionByName(verified(others, names, own, shingle_words, seed, similarity)))
+    tied = staged(classes.select("key", "n", "node").join(roots, "node", "left").select("key", "n", F.coalesce("component_id", "node").alias("component_id")), "tied-classes")
+    return _spread(prints.select("id", "key", "fp"), tied, "key").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def _spread(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
@@ -523,15 +668,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, se
     """Link documents whose fingerprints differ in at most ``radius`` bits.
 
     With ``similarity``, links also need that Jaccard similarity (see ``similar_documents``,
-    here with one table).
+    here without samples).
 
     Returns one row per input row: id, fp, component_id (smallest id reachable by links,
     the document's own included).  Null and wordless texts have fingerprint 0 and are
     linked like any other.  A null id takes part but is never a component's id unless all
-    of its component's ids are null.  Repeated rows are in one component.
+    of its component's ids are null.  Repeated rows are in one component.  Very long texts
+    are read whole, a slice's worth at a time.  An empty table gives an empty result.
     """
     if similarity is not None:
-        return similar_documents(docs, similarity, shingle_words, radius, 1, seed, id_col, text_col)
+        return similar_documents(docs, similarity, shingle_words, radius, 0, 1, seed, id_col, text_col)
     prints = staged(fingerprints(docs, shingle_words, seed, id_col, text_col), "fingerprints")
     # Exact copies meet here: from now on a fingerprint is one row however many documents have it.
     distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")

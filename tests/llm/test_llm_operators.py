@@ -179,12 +179,26 @@ def test_near_duplicates(spark, docs, k, radius):
 def test_tree_finds_all_links(radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 1 << 63, 40, dtype=np.int64).view(np.uint64)
-    fps = np.unique(np.concatenate([base[i] ^ (np.uint64(1) << rng.integers(0, 64, 3).astype(np.uint64)[j]) for i in range(40) for j in range(3) for _ in (0,)] if False else [np.array([b ^ np.uint64(sum(1 << int(x) for x in set(rng.integers(0, 64, n).tolist())))]) for b in base for n in (0, 1, 2, 3, 4)]))
-    a, b = simhash.tree_links(fps, radius)
+    fps = np.unique(np.concatenate([np.array([b ^ np.uint64(sum(1 << int(x) for x in set(rng.integers(0, 64, n).tolist())))]) for b in base for n in (0, 1, 2, 3, 4)]))
+    a, b = (np.concatenate(x) for x in zip(*simhash.tree_chunks(fps, radius), strict=True))
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bin(int(fps[i]) ^ int(fps[j])).count("1") <= radius}
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
+def test_streamed_forest_connects_as_all_links_do(monkeypatch):
+    monkeypatch.setattr(simhash, "NODE_PAIRS", 8)
+    rng = np.random.default_rng(8)
+    fps = np.sort(rng.integers(0, 1 << 12, 400, dtype=np.int64)).view(np.uint64)
+    fps = np.unique(fps)
+    x, y, left_out = simhash.streamed_forest(fps, 2)
+    i, j = np.triu_indices(len(fps), 1)
+    near = np.bitwise_count(fps[i] ^ fps[j]) <= 2
+    assert (simhash.forest(len(fps), x, y) == simhash.forest(len(fps), i[near], j[near])).all() and len(x) < len(fps)
+    kept = set(zip(x.tolist(), y.tolist(), strict=True))
+    others = {k for p in zip(i[near].tolist(), j[near].tolist(), strict=True) if p not in kept for k in p}
+    assert set(np.flatnonzero(left_out).tolist()) == others
+
+
 def test_spanning_links_keep_every_threshold():
     rng = np.random.default_rng(1)
     n = 40
@@ -249,8 +263,8 @@ def test_similar_documents(spark):
     assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == ["0", "None"]
 
 
-def test_similar_documents_in_a_template_family(spark):
-    """1,100 documents share a template, so that very many unlike ones are within the radius; every pair within it counts."""
+def _family():
+    """1,100 documents that share a template, so that very many unlike ones are near one another."""
     rng = random.Random(31)
     template, rows = [f"s{i}" for i in range(300)], []
     for g in range(1000):
@@ -260,22 +274,55 @@ def test_similar_documents_in_a_template_family(spark):
             for k in rng.sample(range(60), 2 + g // 10 % 6):
                 own[k] = f"y{rng.randrange(100000)}"
             rows.append((5000 + g, " ".join(template + own)))
-    sets = [np.unique(np.array(simhash.shingle_hashes(t.encode(), 5, 42), dtype=np.uint64)) for _, t in rows]
-    counts, hashes = np.array([len(x) for x in sets]), np.concatenate(sets)
-    near = np.zeros((len(rows), len(rows)), dtype=bool)
-    for t in range(8):
-        prints = simhash.majority_bits(simhash.salted(hashes, t), counts)
-        near |= np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 8
-    plain = [set(x.tolist()) for x in sets]
-    asked = [(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
-    true = [(i, j) for i, j in asked if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])]
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [2048, 100])
+def test_similar_documents_in_a_template_family(spark, monkeypatch, chunk):
+    """Against brute force over all pairs of the family; in buckets of one chunk, and of many."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rows = _family()
+    sets = [set(simhash.shingle_hashes(t.encode(), 5, 42)) for _, t in rows]
+    true = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     label = simhash.forest(len(rows), np.array([i for i, _ in true]), np.array([j for _, j in true]))
-    assert len(asked) > 100_000 and len(true) > 50
+    assert len(true) > 50
     smallest = {k: min(rows[i][0] for i in np.flatnonzero(label == k)) for k in set(label.tolist())}
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
     assert got == {rows[i][0]: smallest[int(label[i])] for i in range(len(rows))}
 
 
+def test_recall_by_band(spark):
+    """Pairs whose similarity brute force knows: at least the share that the samples promise is found, and none below 0.8."""
+    rng = random.Random(77)
+    rows, pairs = [], []
+    for g in range(400):
+        n = rng.choice([60, 150, 400])
+        base = [f"b{rng.randrange(100000)}" for _ in range(n)]
+        other = list(base)
+        for k in rng.sample(range(n), max(1, round(n * rng.uniform(0.002, 0.045)))):
+            other[k] = f"c{rng.randrange(100000)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        x, y = (set(simhash.shingle_hashes(t.encode(), 5, 42)) for _, t in rows[-2:])
+        pairs.append(len(x & y) / len(x | y))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    linked = [got[2 * g + 1] == 2 * g for g in range(400)]
+    bands = {lo: [f for s, f in zip(pairs, linked, strict=True) if lo <= s < lo + 0.05] for lo in (0.8, 0.85, 0.9, 0.95)}
+    assert not any(f for s, f in zip(pairs, linked, strict=True) if s < 0.8)
+    assert len(bands[0.8]) > 30 and np.mean(bands[0.8]) >= 0.97 and all(np.mean(f) == 1 for lo, f in bands.items() if lo > 0.8)
+
+
+def test_sample_prints_meet_as_often_as_sets_are_similar():
+    rng = np.random.default_rng(3)
+    equal = []
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 120, dtype=np.int64).view(np.uint64) << np.uint64(1)
+        x, y = np.unique(pool[:108]), np.unique(pool[12:])  # 96 of 120: 0.8
+        prints, sketch = simhash.sample_prints(np.concatenate([x, y]), np.array([len(x), len(y)]), 12, 5)
+        equal.append([(prints[0] == prints[1]).mean(), (sketch[0] == sketch[1]).sum() >= simhash.least_agreement(0.8, 60)])
+    met, agreed = np.mean(equal, axis=0)
+    assert abs(met - 0.8**5) < 0.03 and agreed > 0.99
+
+
 def test_range_counts_rule_out_no_similar_pair():
     rng = np.random.default_rng(2)
     for n in (1, 5, 40, 300):
@@ -290,10 +337,10 @@ def test_range_counts_rule_out_no_similar_pair():
 
 
 def test_classes_of_one_fingerprint_are_all_compared(spark):
-    classes = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 6), (5, 1 << 40), (6, (1 << 40) - 1)], "least bigint, fp0 bigint")
-    tried, indexes = simhash.candidate_pairs(classes, 1, 2)
-    more = simhash.untried_pairs(classes.withColumn("component_id", F.col("least")), indexes, tried, 2)
-    found = sorted(tuple(r) for r in tried.unionByName(more).collect())
+    classes = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 6), (5, 1 << 40), (6, (1 << 40) - 1)], "node bigint, fp bigint")
+    tried, index = simhash.index_pairs(classes, 2)
+    more = simhash.open_index_pairs(classes.withColumn("component_id", F.col("node")), index, 2)
+    found = sorted(tuple(r) for r in tried.unionByName(more).distinct().collect())
     assert found == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
 
 
