@@ -7,52 +7,9 @@ documents.  Importing this needs the ``tessera.llm`` subpackage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_path
-from tessera.llm.decontamination import find_leaks
-from tessera.llm.language_id import identify_documents
-from tessera.llm.mixing import mix
-from tessera.llm.sharding import shard_documents
-from tessera.llm.simhash import similar_documents
-
-
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose id is (left_semi) or isn't (left_anti) in ``ids``; a null id is never in it."""
-    return docs.join(ids.select("doc_id"), "doc_id", how).select(*docs.columns)
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is recognised."""
-    return _only(docs, identify_documents(docs).filter("NOT kept"), "left_anti")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with a similarity of 0.8 or more over five-word shingles, found by SimHash, keep the one with the smallest id.
-
-    An id names a document: rows that repeat an id stay or go together.  A null id is
-    never dropped here.
-    """
-    found = similar_documents(docs, similarity=0.8, shingle_words=5, radius=8, tables=8)
-    return _only(docs, found.filter("doc_id <> component_id"), "left_anti")
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item at a similarity of 0.8 or more."""
-    return _only(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Choose documents by target weights, each at most once."""
-    return _only(docs, mix(docs, fraction=0.6, max_epochs=1), "left_semi")
-
-
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every document in a shard; the last stage returns places, not texts."""
-    return shard_documents(docs)
-
-
-STAGES = [("language ID", language_id), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("mixing sources", mix_sources), ("sharding", shard)]
+from tessera.llm.stages import STAGES
 
 #: Fingerprints, classifiers and greedy cuts have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
