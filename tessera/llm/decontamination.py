@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _IS_SEP, U64, Words, mix64, slices, windows
+from tessera.llm.common import U64, Words, _IS_SEP, mix64, slices, tidy, windows
 
 #: Words are runs of anything but white space and ASCII punctuation, A-Z lower-cased.
 _SEPARATORS = _IS_SEP.copy()
@@ -25,7 +25,7 @@ STEP, LEAST_WORDS = 1.15, 6
 #: Words by which a candidate's place may be off.
 SHIFT = 3
 #: Words of a slice that are fingerprinted at once, at least.
-RANGE_WORDS = 20_000
+RANGE_WORDS = 250_000
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark goes in blocks, one after another.
 BENCHMARK_BYTES = 2 << 20
 
@@ -91,19 +91,20 @@ class BlockIndex:
             own = ((prints >> U64(BLOCK_BITS * b)) & U64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
             value, ref = (own[:, None] ^ near[None, :]).ravel(), np.repeat(np.arange(len(prints), dtype=np.int32), len(near))
             order = np.argsort(value, kind="stable")
-            first = np.searchsorted(value[order], np.arange((1 << BLOCK_BITS) + 1))
-            self.tables.append((first, ref[order], np.diff(first) > 0))
+            first = np.searchsorted(value[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32)
+            self.tables.append((first[:-1], np.diff(first), np.diff(first) > 0, ref[order]))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, reference) of every pair within RADIUS; a pair may come once per block."""
         found = []
-        for b, (first, refs, some) in enumerate(self.tables):
-            value = ((prints >> U64(BLOCK_BITS * b)) & U64((1 << BLOCK_BITS) - 1)).astype(np.uint16)
+        blocks = prints.astype("<u8").view("<u2").reshape(-1, BLOCKS)
+        for b, (first, count, some, refs) in enumerate(self.tables):
+            value = blocks[:, b]
             at = np.flatnonzero(some[value])
-            v = value[at].astype(np.int64)
-            n = first[v + 1] - first[v]
+            value = value[at]
+            n = count[value]
             idx = np.repeat(at, n)
-            ref = refs[np.repeat(first[v], n) + np.arange(len(idx)) - np.repeat(np.cumsum(n) - n, n)]
+            ref = refs[np.repeat(first[value] - (np.cumsum(n) - n), n) + np.arange(len(idx))]
             near = np.bitwise_count(prints[idx] ^ self.prints[ref]) <= RADIUS
             found.append((idx[near], ref[near]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -256,6 +257,7 @@ def leak_free(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     for name, ids, texts in _blocks(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             ready = _ready(name, shared)
             for batch in batches:
@@ -290,6 +292,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for name, item_ids, texts in _blocks(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast((item_ids, texts))
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             ready = _ready(name, shared)
             for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, staged
+from tessera.llm.common import slices, staged, tidy
 
 #: Labelled documents of each language that the text model is trained on, about.
 TRAINED_ON = 1500
@@ -17,6 +17,8 @@ TRAINED_ON = 1500
 TABLE_BITS, MODEL_CELLS = 17, 1 << 24
 #: More labelled languages than this raise an error: the column isn't a language then.
 MOST_LANGUAGES = 4096
+#: Bytes of text whose trigrams are held at once (about 80 bytes each).
+TRIGRAM_BYTES = 1 << 19
 #: Trigrams of a text that count in full; the evidence of more grows with their square root, since
 #: neighbouring trigrams aren't independent.
 FULL_WEIGHT = 50.0
@@ -73,10 +75,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     limits = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, TRAINED_ON / r["count"]) * 1_000_000))))
     keep = F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < limits[F.col(lang_col)], F.lit(False))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), 1 << bits), dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TRIGRAM_BYTES):
                 place, row = trigrams(part.column(1), bits)
                 which = np.array([languages.index(x.as_py()) for x in part.column(0)])
                 for k in np.unique(which):
@@ -103,10 +106,11 @@ def text_evidence(docs: DataFrame, languages: list[str], table: np.ndarray, text
     others = [c for c in docs.columns if c != text_col]
     kinds = {f.name: f.dataType for f in docs.schema}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, TRIGRAM_BYTES):
                 place, row = trigrams(part.column(part.schema.get_field_index(text_col)), bits)
                 n = np.bincount(row, minlength=len(part)).astype(float)
                 sums = np.column_stack([np.bincount(row, weights=t[place], minlength=len(part)) for t in model])
@@ -194,10 +198,8 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray, text: Col
 
 
 def page_text(html: Column) -> Column:
-    """The visible text of a page: its article where there is one, without scripts, styles and tags."""
-    article = F.regexp_extract(html, r"(?s)<article[^>]*>(.*)</article>", 1)
-    body = F.when(article != "", article).otherwise(html)
-    body = F.regexp_replace(body, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    """The visible text of a whole page: without scripts, styles, comments, tags and entities."""
+    body = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->", " ")
     return F.regexp_replace(F.regexp_replace(body, r"<[^>]*>", " "), r"&[a-zA-Z#0-9]{1,8};", " ")
 
 

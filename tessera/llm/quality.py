@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Words, run_starts, slices, staged, windows
+from tessera.llm.common import U64, Words, run_starts, slices, staged, tidy, windows
 
 #: Labelled rows that the fit uses, about, whatever the size of the corpus.
 MAX_LABELLED = 100_000
@@ -73,6 +73,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -104,6 +105,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 def normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
     """Sums of zz' and zy: each partition adds up its own, the sums are added by row of the matrix."""
 
+    @tidy
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -155,7 +157,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Returns one row per input row: id, held_out, score (0 to 1).  Null and empty texts have
     the statistics of no words and are scored like any other.  Null labels are left out;
     several labels of one id are averaged.  With no labels every score is 0.5, with labels
-    of one kind only it is their share.  A null id is never labelled.
+    of one kind only it is their share.  A null id is never labelled.  Repeated rows are
+    scored alike; labelled ones each count.  Equal raw scores get equal calibrated ones.
+    Very long texts are measured whole.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     found = staged(with_statistics(docs, id_col, text_col), "statistics")
@@ -181,6 +185,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     weights = np.linalg.solve(a + ridge + 1e-9 * np.eye(len(a)), c)
 
     def scorer(xs: np.ndarray | None, ys: np.ndarray | None):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 raw = np.clip(kernel(_matrix(batch)) @ weights, -0.5, 1.5)

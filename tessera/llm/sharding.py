@@ -151,7 +151,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     Returns id, size (UTF-8 bytes plus ``overhead``), text_crc32, law ('bytes'), shard, slot
     (gapless from 0 in each shard) and grown_shard (null: the law has none).  Null and empty
     texts are one group of size ``overhead`` each.  Null ids are allowed and come first.
-    Repeated rows each have their own slot.  With fewer groups than shards some shards are empty.
+    Repeated rows each have their own slot; of rows alike in text and id it doesn't matter which
+    has which.  A very long text is a group like any other.  With fewer groups than shards some
+    shards are empty; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = staged(

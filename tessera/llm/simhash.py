@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, mix64, run_starts, slices, staged
+from tessera.llm.common import U64, mix64, run_starts, slices, staged, tidy
 
 LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 #: A node of the index with more fingerprints is divided by further masks.
@@ -74,6 +74,7 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fp (64 bits as a bigint).  Null and wordless texts: 0."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -266,6 +267,7 @@ def _node_links(radius: int):
         none = np.arange(len(v)) >= len(of)
         return pa.RecordBatch.from_arrays([pa.array(mask[at]), pa.array(value[at]), pa.array(u), pa.array(v, mask=none)], names=["mask", "value", "u", "v"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mask, value, fp in _whole_nodes(batches):
             yield emit(mask, value, fp.view(U64))
@@ -276,6 +278,7 @@ def _node_links(radius: int):
 def _open_links(radius: int):
     """Rows (mask, value, fp, lo, hi), a node's together and in Gray order -> (u, v): all its links but those within one component."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mask, value, fp, lo, hi in _whole_nodes(batches):
             starts = run_starts(mask, value)
@@ -425,6 +428,7 @@ def _digest(shingles: np.ndarray, seed: int) -> bytes:
 def set_prints(docs: DataFrame, width: int, seed: int, samples: int, each: int) -> DataFrame:
     """(id, key, fp, prints, sketch): a digest of each text's distinct shingles, their SimHash, and ``sample_prints``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -440,6 +444,7 @@ def set_prints(docs: DataFrame, width: int, seed: int, samples: int, each: int)
 def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """(id, key, shingles, ranges): the distinct shingle hashes of each text, sorted, as bytes; their digest and ``range_counts``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -511,6 +516,7 @@ def sample_members(classes: DataFrame) -> tuple[DataFrame, int]:
 def _agreeing(similarity: float):
     """Rows (cell, probe, node, c, plain, sketch), a cell's together -> (a, b): pairs of a probe and a base row of different components whose sketches agree."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, probe, node, c, plain, raw in _whole_nodes(batches, 1):
             places = raw.dtype.itemsize
@@ -580,6 +586,7 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, se
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("ways"), F.lit(1)) - 1))
     sets = staged(sets.drop("key").join(F.broadcast(hot), "id", "left").withColumn("copy", copies).drop("ways"), "shingle-sets")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -589,6 +596,7 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, se
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    @tidy
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, RANGES) for k in (2, 3))

@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 #: How the vocabulary's pre-tokenizer cuts text (fixed value: the published pattern of byte-level BPE).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that one pass of the pattern works on; a longer text is cut where a cut can't change a piece.
@@ -118,7 +120,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     What is broadcast is the vocabulary file, whose size does not grow with the data.
 
     Returns one row per input row: id, n_bytes (UTF-8), n_tokens.  A null text counts as
-    empty: 0 and 0.  Null ids, ties and repeated rows pass through.
+    empty: 0 and 0.  Very long texts are counted whole, in passes cut where no piece is.
+    Null ids, ties and repeated rows pass through.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -126,6 +129,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     shared = spark.sparkContext.broadcast((spec, whole_tokens(spec)))
     name = hashlib.sha256(spec.encode()).hexdigest()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _COUNTERS:
             _COUNTERS[name] = Counter(*shared.value)

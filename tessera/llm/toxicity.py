@@ -11,16 +11,14 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import staged, tidy
 from tessera.llm.quality import fold_of
 
 #: Labelled rows of either kind that the lexicon and the weights are learned from, at most.
 MAX_LABELLED = 12_000
-#: Learned arcs of the lexical transducer, at most; the strongest stay.
-MAX_ARCS = 4_000
 #: Lengths of stems tried, in characters.
 STEMS = range(4, 9)
 #: An arc is learned if its texts are toxic with this share and this G statistic at least.
@@ -186,6 +184,7 @@ class Grammar:
         return [*(math.log1p(total[c]) for c in CATEGORIES), math.log1p(best), math.log1p(100 * meant / (50 + text.count(" ")))]
 
 
+@tidy
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts by word and stem: (arc, open, toxic, clean), folded in the task."""
     toxic, clean = Counter(), Counter()
@@ -206,15 +205,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def g_statistic(a: float, b: float, n_a: float, n_b: float) -> float:
+def g_statistic(a: Column, b: Column, n_a: int, n_b: int) -> Column:
     """How far an arc's share among toxic texts is from its share among clean ones."""
     p = (a + b) / (n_a + n_b)
-    term = lambda k, n: sum(x * math.log(x / e) for x, e in ((k, n * p), (n - k, n * (1 - p))) if x > 0 and e > 0)
-    return 2 * (term(a, n_a) + term(b, n_b))
+    part = lambda x, e: F.when((x > 0) & (e > 0), x * F.log(x / e)).otherwise(0.0)
+    return 2 * (part(a, n_a * p) + part(n_a - a, n_a * (1 - p)) + part(b, n_b * p) + part(n_b - b, n_b * (1 - p)))
+
+
+def arc_weight(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """The log ratio of an arc's shares, from 0 to 6."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(6.0), F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))))
 
 
 def learn_arcs(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[tuple[str, bool], float]:
-    """Seed arcs, and words and stems that tell toxic texts; a stem takes the place of the longer ones it starts."""
+    """Seed arcs, and words and stems that tell toxic texts; a stem takes the place of the longer ones it starts.
+
+    What is collected is bounded by the vocabulary of ``rows``, a bounded sample: an arc
+    needs LEAST_G, which takes a number of toxic texts.
+    """
     arcs = {(w, False): 3.0 for w in INSULTS}
     if not n_toxic or not n_clean:
         return arcs
@@ -222,24 +230,22 @@ def learn_arcs(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[tuple[str, b
     counts = staged(counts.filter(F.col("toxic") + F.col("clean") >= LEAST_TEXTS), "arc-counts")
     # Shares, so that it doesn't matter how many texts of either kind were taken.
     share = (F.col("toxic") / n_toxic) / (F.col("toxic") / n_toxic + F.col("clean") / n_clean)
-    telling = counts.filter((F.col("toxic") >= LEAST_TEXTS) & (share >= LEAST_SHARE)).orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1.0)), "arc", "open").limit(4 * MAX_ARCS).collect()
-    strength = lambda r: g_statistic(r["toxic"], r["clean"], n_toxic, n_clean)
-    weight = lambda r: min(max(math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["clean"] + 0.5) / (n_clean + 1)), 0.0), 6.0)
-    strong = sorted((r for r in telling if strength(r) >= LEAST_G), key=lambda r: (-strength(r), r["arc"]))[:MAX_ARCS]
+    counts = counts.withColumn("g", g_statistic(F.col("toxic"), F.col("clean"), n_toxic, n_clean)).withColumn("weight", arc_weight(F.col("toxic"), F.col("clean"), n_toxic, n_clean))
+    strong = counts.filter((F.col("toxic") >= LEAST_TEXTS) & (share >= LEAST_SHARE) & (F.col("g") >= LEAST_G)).collect()
     roots: dict[str, float] = {}
     for r in sorted(strong, key=lambda r: (len(r["arc"]), r["arc"], not r["open"])):
         if not any(r["arc"][:n] in roots for n in range(STEMS.start, len(r["arc"]) + (not r["open"]))):
-            arcs[r["arc"], r["open"]] = weight(r)
+            arcs[r["arc"], r["open"]] = r["weight"]
             if r["open"]:
-                roots[r["arc"]] = weight(r)
+                roots[r["arc"]] = r["weight"]
     if roots:
         # Longer stems and whole words below a root speak for themselves where they say something else: an
         # everyday word may begin like an insult.
+        table = rows.sparkSession.createDataFrame(list(roots.items()), "root string, root_weight double")
         below = counts.withColumn("root", F.explode(F.array_distinct(F.array(*(F.substring("arc", 1, n) for n in STEMS)))))
-        below = below.join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in roots], "root string")), "root")
-        for r in below.orderBy(F.desc(F.col("toxic") + F.col("clean")), "arc", "open").limit(4 * MAX_ARCS).collect():
-            if abs(weight(r) - roots[r["root"]]) >= 0.5:
-                arcs.setdefault((r["arc"], r["open"]), weight(r))
+        below = below.join(F.broadcast(table), "root").filter(F.abs(F.col("weight") - F.col("root_weight")) >= 0.5)
+        for r in below.collect():
+            arcs.setdefault((r["arc"], r["open"]), r["weight"])
     return arcs
 
 
@@ -267,7 +273,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Returns one row per input row: id, held_out, score (0 to 1).  A null or empty text, and
     any text in which nothing matches, gets the fit's base score.  Null labels are left
     out, several labels of one id averaged.  With too few labels to fit, the seed arcs and
-    fixed weights are used.  A null id is never labelled.
+    fixed weights are used.  A null id is never labelled.  Repeated rows are scored alike;
+    labelled ones each count.  Of two arcs that read one word the more specific speaks.
+    Very long texts are read whole.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -286,6 +294,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             shared.__dict__["grammar"] = Grammar(shared.value)
         return shared.__dict__["grammar"]
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = grammar()
         for batch in batches:
@@ -300,6 +309,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         # Each kind counts as often as it occurs among all labels, however many were taken.
         weights = fit_weights(x, y, np.where(y == 1, seen[0] / sizes[0], seen[1] / sizes[1]) * (len(y) / sum(seen)))
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = grammar()
         for batch in batches:

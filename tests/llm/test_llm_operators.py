@@ -66,8 +66,12 @@ def test_cover_meets_every_shift(n):
     assert all(any((a - b - d) % period == 0 for a in cover for b in cover) for d in range(period))
 
 
-@pytest.mark.parametrize("n", [13, 5, 2])
-def test_substring_dedup(spark, docs, n):
+@pytest.mark.parametrize("n,routes", [(13, 2048), (5, 2048), (2, 2048), (13, 5)])
+def test_substring_dedup(spark, docs, monkeypatch, n, routes):
+    """Straight to buckets, and by ranges of buckets."""
+    monkeypatch.setattr(substring_dedup, "ROUTES", routes)
+    if routes < 48:
+        monkeypatch.setattr(substring_dedup, "FOLD", 500)
     got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, n).collect()}
     split = {i: WORD.findall(t or "") for i, t in DOCS}
     first: dict = {}
@@ -87,6 +91,24 @@ def test_substring_dedup(spark, docs, n):
         assert covered == gone
 
 
+def test_many_buckets_are_even_and_entries_stay_packed():
+    """200,000 buckets: each gets its share, and a fold for one range packs entries in few bytes."""
+    rng = np.random.default_rng(6)
+    buckets = 200_000
+    h = rng.integers(0, 1 << 63, 4_000_000, dtype=np.int64).view(np.uint64) << np.uint64(1)
+    share = np.bincount(substring_dedup.bucket_of(h, buckets), minlength=buckets)
+    assert share.min() > 0 and share.max() < 3 * share.mean()
+    fan = substring_dedup.fan_of(buckets)
+    assert fan == 98 and len(np.unique(substring_dedup.bucket_of(h, buckets) // fan)) <= substring_dedup.ROUTES
+    own = h[substring_dedup.bucket_of(h, buckets) // fan == 7]
+    own = rng.choice(own, 100_000)
+    doc, pos = np.sort(rng.integers(0, 1 << 33, len(own))), rng.integers(0, 1000, len(own))
+    rows: list = []
+    substring_dedup._send(rows, own, (doc, True), (pos, True), buckets=buckets, bits=substring_dedup.ANCHOR_BITS, fine=True)
+    assert {r[0] // fan for r in rows} == {7} and len(rows) <= fan
+    assert sum(len(r[3]) for r in rows) / len(own) < 14
+
+
 def test_substring_dedup_odd_ids(spark):
     long = " ".join(f"v{i}" for i in range(30))
     df = spark.createDataFrame([(1, "a b " + long), (1, long + " c"), (2, long), (None, long), (None, None), (-5, long + " z")], "doc_id bigint, text string")
@@ -94,9 +116,14 @@ def test_substring_dedup_odd_ids(spark):
     assert got == sorted([("1", 32, 30), ("1", 31, 30), ("2", 30, 30), ("None", 30, 0), ("None", 0, 0), ("-5", 31, 0)])
 
 
-def test_exact_dedup(spark, docs):
-    index = exact_dedup.DigestIndex(spark)
-    rows = index.add(docs).collect()
+@pytest.fixture
+def fresh(spark):
+    return lambda: common.fresh_path(spark, "test-digests")
+
+
+def test_exact_dedup(spark, docs, fresh):
+    index = exact_dedup.DigestIndex(spark, fresh())
+    rows = index.add(docs, "first").collect()
     assert len(rows) == docs.count()
     groups: dict = {}
     for r in docs.select("doc_id", "text").collect():
@@ -110,14 +137,38 @@ def test_exact_dedup(spark, docs):
     assert sorted(kept) == sorted(max(ids) for ids in groups.values())
     # A second batch: known texts go, new ones stay.
     more = spark.createDataFrame([(1000, DOCS[0][1].lower()), (1001, "quite new"), (1002, "QUITE new"), (None, "quite New")], "doc_id bigint, text string")
-    assert sorted(r["doc_id"] for r in index.add(more).collect() if r["kept"]) == [1002]
+    assert sorted(r["doc_id"] for r in index.add(more, "second").collect() if r["kept"]) == [1002]
     assert index.rows().groupBy("digest").count().filter("count > 1").count() == 0
-    assert exact_dedup.DigestIndex(spark, index.location, index.buckets).rows().count() == index.rows().count()
 
 
-def test_heavy_digests(spark, monkeypatch):
+def test_index_is_opened_again_with_its_own_buckets(spark, docs, fresh):
+    path = fresh()
+    first = exact_dedup.DigestIndex(spark, path, 4)
+    want = sorted(map(tuple, first.add(docs, "first").collect()), key=str)
+    stored = first.rows().count()
+    first.close()
+    assert not [t for t in spark.catalog.listTables() if t.name == first.name]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("3", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            again = exact_dedup.DigestIndex(spark, path)
+            assert again.buckets == 4
+            # The same batch once more, as after a crash: the same result, and nothing is stored twice.
+            assert sorted(map(tuple, again.add(docs, "first").collect()), key=str) == want
+            assert again.rows().count() == stored
+            # The same rows under another name were handed on already.
+            assert again.add(docs, "second").filter("kept").count() == 0
+            again.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, path, 3)
+
+
+def test_heavy_digests(spark, fresh):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2500, "hot").otherwise(F.col("id").cast("string")).alias("text"))
-    rows = exact_dedup.DigestIndex(spark).add(df)
+    rows = exact_dedup.DigestIndex(spark, fresh()).add(df, "b")
     assert rows.filter("kept").count() == 501 and rows.filter("group_size = 2500").count() == 2500
 
 
@@ -391,6 +442,155 @@ def test_quality(spark):
     assert all(got[i]["held_out"] for i in held) and np.mean([(got[i]["score"] >= 0.3) == bool(truth[i]) for i in held]) > 0.95
 
 
+def test_isotonic_is_the_least_squares_rise():
+    """Pooled values against a direct search over all rising step functions (PAVA's definition by minima and maxima)."""
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        n = int(rng.integers(1, 25))
+        x, total = np.arange(n) / 10, rng.integers(1, 6, n).astype(float)
+        good = np.array([rng.integers(0, t + 1) for t in total], dtype=float)
+        mean = lambda a, b: good[a : b + 1].sum() / total[a : b + 1].sum()
+        fit = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]  # max-min formula
+        xs, ys = quality.isotonic(x, total, good)
+        got = np.interp(x, xs, ys)
+        for v in sorted(set(np.round(fit, 12))):  # a block's value is smoothed by half a row of either kind
+            block = [i for i in range(n) if abs(fit[i] - v) < 1e-9]
+            want = (good[block].sum() + 0.5) / (total[block].sum() + 1)
+            assert np.allclose(got[block], np.maximum.accumulate(got)[block])
+            if len(set(np.round(got[block], 12))) == 1 and want >= got[: block[0]].max(initial=0):
+                assert abs(got[block[0]] - want) < 1e-9
+        assert (np.diff(got) >= -1e-12).all()
+
+
+def test_quality_is_ridge_of_fourier_features(spark):
+    """The whole operator against plain NumPy: folds, statistics, normal equations in one piece, isotonic steps."""
+    import pyarrow as pa
+
+    df, labels = _labelled(spark, 300)
+    got = {r["doc_id"]: r for r in quality.score_quality(df, labels).collect() if r["doc_id"] is not None}
+    texts = {r["doc_id"]: r["text"] for r in df.collect() if r["doc_id"] is not None}
+    known: dict = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None:
+            known.setdefault(r["doc_id"], []).append(r["quality"])
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    assert all(got[i]["held_out"] == (fold(i) == 0) for i in texts)
+    x = {i: quality.statistics(pa.array([t], pa.string()))[0] for i, t in texts.items()}
+    learn = sorted(i for i in known if i in x and fold(i) != 0)
+    every = np.array([x[i] for i in learn])
+    kernel = quality.Kernel(every.mean(axis=0), np.maximum(every.std(axis=0), 1e-9))
+    fit = [i for i in learn if fold(i) != 1]
+    z, y = kernel(np.array([x[i] for i in fit])), np.array([np.mean(known[i]) for i in fit])
+    penalty = quality.RIDGE * len(fit) * np.eye(z.shape[1])
+    penalty[-1, -1] = 0
+    w = np.linalg.solve(z.T @ z + penalty + 1e-9 * np.eye(z.shape[1]), z.T @ y)
+    raw = {i: float(np.clip(kernel(x[i][None]) @ w, -0.5, 1.5)[0]) for i in x}
+    steps: dict = {}
+    for i in learn:
+        if fold(i) == 1:
+            # Spark rounds halves away from zero.
+            step = np.copysign(np.floor(abs(raw[i] * quality.STEPS) + 0.5), raw[i])
+            n, g = steps.get(step, (0, 0.0))
+            steps[step] = (n + 1, g + np.mean(known[i]))
+    knots = sorted(steps)
+    xs, ys = quality.isotonic(np.array(knots) / quality.STEPS, *(np.array([steps[k][j] for k in knots], dtype=float) for j in (0, 1)))
+    for i in x:
+        assert abs(got[i]["score"] - np.clip(np.interp(raw[i], xs, ys), 0, 1)) < 2e-3, i
+
+
+def _marks_by_hand(words, arcs):
+    """What the grammar should say of each word, by looking at its neighbours instead of running transducers."""
+    kind = []
+    for w in words:
+        fits = sorted(((2 * len(s) + (not o), wt) for (s, o), wt in arcs.items() if w == s or (o and w.startswith(s))), reverse=True)
+        k = "I" if fits else "H" if w in toxicity.THREATS else next((c for c, ws in (("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS), ("Y", toxicity.TARGETS), ("W", toxicity.INTENTS)) if w in ws), "Q" if w == '"' else "O")
+        kind.append((k, fits[0][1] if fits else 1.0))
+    out = dict.fromkeys(toxicity.CATEGORIES, 0.0)
+    for i, (k, weight) in enumerate(kind):
+        if k not in "IH":
+            continue
+        before = [c for c, _ in kind[:i]]
+        negated = "N" in before[-toxicity.NEGATION_REACH :]
+        reported = "R" in before or before.count("Q") % 2 == 1
+        reach = toxicity.TARGET_REACH
+        targeted = "Y" in before[-reach:] or "Y" in [c for c, _ in kind[i + 1 : i + 1 + reach]]
+        meant = "W" in before or "W" in [c for c, _ in kind[i + 1 :]]
+        if k == "I":
+            out["negated" if negated else "reported" if reported else "targeted" if targeted else "plain"] += weight
+        elif targeted and meant and not negated and not reported:
+            out["threat"] += weight
+    return out
+
+
+def test_grammar_against_looking_around():
+    rng = random.Random(44)
+    arcs = {("moron", False): 3.0, ("blort", True): 2.0, ("blorting", False): 0.5}
+    reader = toxicity.Grammar(arcs)
+    pool = ["moron", "blorty", "blorting", "kill", "not", "never", "said", "you", "they", "will", '"', "house", "river", "and", "of", "green", "walk"]
+    for _ in range(2000):
+        clauses = [[rng.choice(pool) for _ in range(rng.randrange(1, 12))] for _ in range(rng.randrange(1, 4))]
+        want = [{k: v for k, v in _marks_by_hand(c, arcs).items() if v} for c in clauses]
+        got = [{k: v for k, v in c.items() if v} for c in reader.clauses(". ".join(" ".join(c) for c in clauses))]
+        assert got == [w for w in want if w], clauses
+
+
+def test_toxicity_score_is_the_logistic_sum(spark):
+    """Scores against the measures of each text under the learned arcs, and a logistic fit checked by its gradient."""
+    df, labels = _labelled(spark)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    known: dict = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["toxic"] is not None and fold(r["doc_id"]) != 1:
+            known.setdefault(r["doc_id"], []).append(r["toxic"])
+    texts = {r["doc_id"]: r["text"] for r in df.collect() if r["doc_id"] is not None}
+    learn = sorted(i for i in known if i in texts)
+    y = np.array([np.mean(known[i]) for i in learn])
+    # Arcs by hand: words and stems of four letters or more, counted by text.
+    toxic, clean = Counter(), Counter()
+    for i, v in zip(learn, y, strict=True):
+        words = {w for w in re.findall(r"[^\W\d_]+", (texts[i] or "").lower()) if len(w) >= 4}
+        (toxic if v >= 0.5 else clean).update({(w, False) for w in words} | {(w[:n], True) for w in words for n in range(4, 9) if len(w) >= n})
+    n_t, n_c = int((y >= 0.5).sum()), int((y < 0.5).sum())
+
+    def g(a, b):
+        p = (a + b) / (n_t + n_c)
+        return 2 * sum(o * np.log(o / e) for o, e in ((a, n_t * p), (n_t - a, n_t * (1 - p)), (b, n_c * p), (n_c - b, n_c * (1 - p))) if o > 0 and e > 0)
+
+    weight = lambda k: min(max(np.log((toxic[k] + 0.5) / (n_t + 1)) - np.log((clean[k] + 0.5) / (n_c + 1)), 0), 6)
+    strong = [k for k in toxic if toxic[k] >= 4 and toxic[k] / n_t / (toxic[k] / n_t + clean[k] / n_c) >= 0.85 and g(toxic[k], clean[k]) >= 24]
+    arcs, roots = {(w, False): 3.0 for w in toxicity.INSULTS}, {}
+    for k in sorted(strong, key=lambda k: (len(k[0]), k[0], not k[1])):
+        if not any(k[0][:n] in roots for n in range(4, len(k[0]) + (not k[1]))):
+            arcs[k] = weight(k)
+            if k[1]:
+                roots[k[0]] = weight(k)
+    for k in toxic.keys() | clean.keys():
+        root = next((k[0][:n] for n in range(4, 9) if k[0][:n] in roots), None)
+        if root and toxic[k] + clean[k] >= 4 and abs(weight(k) - roots[root]) >= 0.5:
+            arcs.setdefault(k, weight(k))
+    reader = toxicity.Grammar(arcs)
+    x = np.array([[1.0, *reader.measures(texts[i] or "")] for i in learn])
+    # Either kind counts as often as among all labels, those of unknown documents included.
+    share = np.mean([np.mean(v) >= 0.5 for v in known.values()])
+    each = np.where(y >= 0.5, share * len(y) / n_t, (1 - share) * len(y) / n_c)
+    w = toxicity.fit_weights(x, (y >= 0.5).astype(float), each)
+    p = 1 / (1 + np.exp(-x @ w))
+    slope = x.T @ (each * ((y >= 0.5) - p)) - np.concatenate([[1e-3 * w[0]], w[1:]])
+    assert np.abs(slope).max() < 1e-4  # where the penalised likelihood is greatest
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(df, labels).collect()}
+    for i, t in texts.items():
+        assert got[i]["held_out"] == (fold(i) == 1)
+        want = 1 / (1 + np.exp(-np.clip(np.array([1.0, *reader.measures(t or "")]) @ w, -30, 30)))
+        assert abs(got[i]["score"] - want) < 1e-6, (i, t)
+
+
+def test_learned_arcs_have_no_limit(spark):
+    """12,000 telling words, each in enough toxic texts, are all learned."""
+    rows = [(i, " ".join(f"{chr(97 + j // 676)}{chr(97 + j // 26 % 26)}{chr(97 + j % 26)}q{chr(97 + i // 20)}x" for j in range(2000)) if i < 120 else "plain words here today", 1.0 if i < 120 else 0.0) for i in range(240)]
+    arcs = toxicity.learn_arcs(spark.createDataFrame(rows, "id bigint, text string, y double"), 120, 120)
+    assert len(arcs) - len(toxicity.INSULTS) >= 2000
+
+
 def test_toxicity(spark):
     df, labels = _labelled(spark)
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(df, labels).collect()}
@@ -436,6 +636,81 @@ def test_decontamination(spark, docs):
     assert 0.8 <= got[2200, 2]["similarity"] < 1
 
 
+def test_decontamination_short_and_long_items(spark):
+    """Items of any length: word for word below six words, windows of their own size above."""
+    rng = random.Random(13)
+    word = lambda: f"k{rng.randrange(9000)}"
+    items = [(n, " ".join(word() for _ in range(n))) for n in (1, 2, 4, 5, 6, 7, 121, 300, 1500)]
+    docs, want = [], {}
+    for n, text in items:
+        w = text.split()
+        docs.append((10 * n, text, n))
+        docs.append((10 * n + 1, " ".join([word() for _ in range(40)] + [x.upper() + "," for x in w] + [word() for _ in range(25)]), n))
+        near = list(w)
+        for k in rng.sample(range(n), n // 60):  # near 0.8: a word changes five shingles
+            near[k] = "other"
+        docs.append((10 * n + 2, " ".join([word() for _ in range(30)] + near), n))
+        far = [x if k % 4 else "far" for k, x in enumerate(w)] if n > 1 else ["far"]
+        docs.append((10 * n + 3, " ".join(far), None))
+    # Brute force: the best passage of the item's length in words.
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    clean = lambda t: re.findall(r"[^\s,]+", t.lower())
+    for d, t, _ in docs:
+        w = clean(t)
+        for n, item in items:
+            own = bag(item.split())
+            best = 0.0
+            for k in range(max(1, len(w) - n + 1)):
+                there = bag(w[k : k + n]) if n >= 5 or len(w[k : k + n]) == n else Counter()
+                both = sum((own & there).values())
+                best = max(best, both / (sum(own.values()) + sum(there.values()) - both))
+            if best >= 0.8:
+                want[d, n] = best
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_leaks(spark.createDataFrame([d[:2] for d in docs], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert set(got) == set(want)
+    texts, items_by_id = {d: clean(t) for d, t, _ in docs}, {n: bag(t.split()) for n, t in items}
+    for (d, n), r in got.items():  # a passage may be shorter than the item, and so the better
+        own, there = items_by_id[n], bag(texts[d][r["start"] : r["end"]])
+        both = sum((own & there).values())
+        assert abs(r["similarity"] - both / (sum(own.values()) + sum(there.values()) - both)) < 1e-9 and r["similarity"] >= want[d, n] - 1e-9
+    assert {(10 * n + k, n) for n, _ in items for k in (0, 1, 2)} <= set(got)
+
+
+def test_decontamination_recall_at_the_threshold():
+    """Single passages planted at 0.80 to 0.82: the share that is found."""
+    import pyarrow as pa
+
+    rng = random.Random(40)
+    found = total = 0
+    for n, changes in ((50, 1), (100, 2), (52, 1), (150, 3), (300, 6)):
+        items = [[f"r{rng.randrange(50000)}" for _ in range(n)] for _ in range(40)]
+        ready = decontamination.Benchmark(list(range(40)), [" ".join(x) for x in items])
+        texts = []
+        for x in items:
+            y = list(x)
+            for k in range(changes):  # evenly, so that no two changes share a shingle
+                y[(k + 1) * n // (changes + 1)] = "changed"
+            texts.append(" ".join(f"f{rng.randrange(50000)}" for _ in range(30)) + " " + " ".join(y) + " tail of the text")
+        hits = {(r, i) for r, i, s, _, _ in ready.leaks(pa.array(texts))}
+        assert all(r == i for r, i in hits)
+        found, total = found + len(hits), total + 40
+    assert found / total >= 0.97, found / total
+
+
+def test_leak_free_keeps_rows_whole(spark, monkeypatch):
+    """Null and repeated ids, null and empty texts, clashing columns; several blocks of the benchmark."""
+    items = [(i, " ".join(f"b{i}w{k}" for k in range(20))) for i in range(6)] + [(7, None), (8, "")]
+    rows = [(None, items[0][1], 1, "x"), (None, "nothing here", 2, "x"), (5, items[3][1], 3, "x"), (5, "same id, clean", 4, "x"), (6, None, 5, None), (7, "", 6, "x"), (7, "", 6, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, item_id bigint, similarity string")
+    for size in (2 << 20, 100):
+        monkeypatch.setattr(decontamination, "BENCHMARK_BYTES", size)
+        got = decontamination.leak_free(df, spark.createDataFrame(items, "item_id bigint, text string"))
+        assert got.columns == df.columns
+        assert sorted(map(str, got.collect())) == sorted(str(r) for r in df.collect() if r["item_id"] not in (1, 3))
+        found = decontamination.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string"))
+        assert sorted((str(r["doc_id"]), r["item_id"]) for r in found.collect()) == [("5", 3), ("None", 0)]
+
+
 def test_block_index_misses_nothing():
     rng = np.random.default_rng(9)
     refs = rng.integers(0, 1 << 63, 30, dtype=np.int64).view(np.uint64)
@@ -570,12 +845,74 @@ def test_pages(spark):
     assert got[1]["language"] == "de" and got[2]["language"] == "de" and not got[3]["kept"]
 
 
-def test_empty_tables(spark, empty, docs):
+def test_forty_languages(spark):
+    """Every language that labels a document is learned, however many there are."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {f"l{k:02}": ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(12)] for k in range(40)}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(30)), lang, None) for i, lang in enumerate(sorted(vocabulary) * 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    languages, _ = language_id.train(df)
+    assert languages == sorted(vocabulary)
+    got = {r["doc_id"]: r["language"] for r in language_id.identify_documents(df).collect()}
+    assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.98
+    assert language_id.table_bits(4) == 17 and language_id.table_bits(4096) == 12
+
+
+def test_language_is_right_on_documents_it_was_not_trained_on(spark):
+    import os
+
+    data = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(data)
+    languages, table = language_id.train(docs.filter("doc_id % 2 = 0"))
+    odd = docs.filter("doc_id % 2 = 1")
+    got = language_id.identify(odd, languages, table, F.col("text"), host=F.col("source")).join(odd.select("doc_id", "lang"), "doc_id")
+    right, n = got.agg(F.avg((F.col("language") == F.col("lang")).cast("int")), F.count(F.lit(1))).first()
+    assert n > 400 and right > 0.99
+
+
+def test_posterior_is_bayes_rule(spark):
+    """The fused posterior against direct sums: text likelihood, host prior leaning on suffix and corpus, declaration."""
+    import pyarrow as pa
+
+    languages = ["de", "en"]
+    train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the house and the water", "en"), ("das haus und das wasser", "de")] * 5)], "doc_id bigint, text string, lang string")
+    names, table = language_id.train(train)
+    assert names == languages
+    rows = [(1, "the water", "en", "uk", "a"), (2, "das haus", "de", "uk", "a"), (3, "und", "", "uk", "b"), (4, None, "de", "at", "c"), (5, "the das", "en", "at", "c"), (6, "haus the", "", "at", "c"), (7, "", "", "", "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, d string, s string, h string")
+    got = {r["doc_id"]: r for r in language_id.identify(df, names, table, F.col("text"), F.col("d"), F.col("s"), F.col("h")).collect()}
+    place, row = language_id.trigrams(pa.array([r[1] for r in rows]))
+    like = np.array([[table[k][place[row == i]].sum() for k in range(2)] for i in range(len(rows))], dtype=float)
+    count = np.bincount(row, minlength=len(rows))
+    like = (like - like.max(axis=1, keepdims=True)) * np.where(count > 50, np.sqrt(50 / np.maximum(count, 1)), 1)[:, None]
+    own = np.exp(like) / np.exp(like).sum(axis=1, keepdims=True) * (count > 0)[:, None]
+    spoken = count > 0
+    corpus = (own.sum(axis=0) + 1) / (spoken.sum() + 2)
+    for i, (d, text, declared, suffix, host) in enumerate(rows):
+        same_suffix = np.array([r[3] == suffix for r in rows])
+        same_host = same_suffix & np.array([r[4] == host for r in rows])
+        lean = lambda where, above: (own[where].sum(axis=0) + language_id.LEAN * above) / (spoken[where].sum() + language_id.LEAN)
+        prior = lean(same_host, lean(same_suffix, corpus))
+        score = like[i] + np.log(prior)
+        if declared:
+            with_it = np.array([r[2] == declared for r in rows])
+            score += np.log(0.95 * own[with_it].sum(axis=0) / (own.sum(axis=0) + 1) + 0.05 / 3)
+        posterior = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        heard = bool(text and text.strip()) or declared != ""
+        kept = heard and posterior.max() >= 0.3
+        assert got[d]["kept"] == kept and abs(got[d]["confidence"] - posterior.max()) < 1e-4, (d, posterior)
+        assert got[d]["language"] == (languages[int(posterior.argmax())] if kept else "und")
+
+
+def test_empty_tables(spark, empty, docs, fresh):
     path, _ = _tokenizer()
     labels = spark.createDataFrame([], LABELS)
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert substring_dedup.remove_repeats(empty).count() == 0
-    assert exact_dedup.DigestIndex(spark).add(empty).count() == 0
+    assert exact_dedup.DigestIndex(spark, fresh()).add(empty, "none").count() == 0
     assert token_counts.count_tokens(empty, path).count() == 0
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.similar_documents(empty).count() == 0
