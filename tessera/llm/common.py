@@ -24,6 +24,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 
 
+#: Bytes that a task holds back before it writes a row group of an intermediate table.
+ROW_GROUP_BYTES = 16 << 20
+
+
 # ---------------------------------------------------------------- session
 
 
@@ -62,7 +66,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

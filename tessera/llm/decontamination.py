@@ -25,7 +25,9 @@ STEP, LEAST_WORDS = 1.15, 6
 #: Words by which a candidate's place may be off.
 SHIFT = 3
 #: Words of a slice that are fingerprinted at once, at least.
-RANGE_WORDS = 250_000
+RANGE_WORDS = 100_000
+#: Bytes of text that are searched at once.
+SEARCHED_BYTES = 1 << 20
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark goes in blocks, one after another.
 BENCHMARK_BYTES = 2 << 20
 
@@ -92,17 +94,16 @@ class BlockIndex:
             value, ref = (own[:, None] ^ near[None, :]).ravel(), np.repeat(np.arange(len(prints), dtype=np.int32), len(near))
             order = np.argsort(value, kind="stable")
             first = np.searchsorted(value[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32)
-            self.tables.append((first[:-1], np.diff(first), np.diff(first) > 0, ref[order]))
+            self.tables.append((first, np.diff(first) > 0, ref[order]))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, reference) of every pair within RADIUS; a pair may come once per block."""
         found = []
         blocks = prints.astype("<u8").view("<u2").reshape(-1, BLOCKS)
-        for b, (first, count, some, refs) in enumerate(self.tables):
-            value = blocks[:, b]
-            at = np.flatnonzero(some[value])
-            value = value[at]
-            n = count[value]
+        for b, (first, some, refs) in enumerate(self.tables):
+            at = np.flatnonzero(some[blocks[:, b]])
+            value = blocks[at, b].astype(np.int32)
+            n = first[value + 1] - first[value]
             idx = np.repeat(at, n)
             ref = refs[np.repeat(first[value] - (np.cumsum(n) - n), n) + np.arange(len(idx))]
             near = np.bitwise_count(prints[idx] ^ self.prints[ref]) <= RADIUS
@@ -261,7 +262,7 @@ def leak_free(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             ready = _ready(name, shared)
             for batch in batches:
-                for piece in slices(batch, text_col):
+                for piece in slices(batch, text_col, SEARCHED_BYTES):
                     good = np.ones(piece.num_rows, dtype=bool)
                     good[[f[0] for f in ready.leaks(piece.column(place))]] = False
                     yield piece.filter(pa.array(good))
@@ -296,7 +297,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             ready = _ready(name, shared)
             for batch in batches:
-                for piece in slices(batch, "text"):
+                for piece in slices(batch, "text", SEARCHED_BYTES):
                     found = list(ready.leaks(piece.column(1)))
                     ids = piece.column(0)
                     columns = [pa.array([ids[f[0]].as_py() for f in found], pa.int64()), pa.array([ready.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, mix64, run_starts, slices, staged, tidy
+from tessera.llm.common import MOST_BROADCAST_KEYS, U64, mix64, run_starts, slices, staged, tidy
 
 LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 #: A node of the index with more fingerprints is divided by further masks.
@@ -571,18 +571,22 @@ def open_sample_pairs(classes: DataFrame, members: DataFrame, total: int, simila
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_agreeing(similarity), "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, names: DataFrame | None, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
     """Links (u, v): the pairs whose texts have a Jaccard similarity of at least ``similarity`` over distinct shingles.
 
-    ``names``: (id, key) of the classes.  Range counts rule out most pairs of unlike texts
+    ``names``: (id, key) of the classes; None if no two rows of ``docs`` share an id, which
+    saves bringing whole sets together by id and digest.  Range counts rule out most pairs of unlike texts
     before whole sets are brought together.  A class in very many pairs has its set dealt
     out in copies, so that none of them meets all its pairs.
     """
     asked = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("pairs")), "asked")
     least = max(1000, (asked.agg(F.sum("pairs")).first()[0] or 0) >> 10)
     hot = asked.filter(F.col("pairs") >= least).select("id", F.ceil(F.col("pairs") / least).cast("int").alias("ways"))  # 1024 rows at most
-    own = docs.join(asked, "id", "left_semi")
-    sets = shingle_sets(own, width, seed).join(names, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    few = asked.count() <= MOST_BROADCAST_KEYS
+    own = docs.join(F.broadcast(asked.select("id")) if few else asked, "id", "left_semi")
+    sets = shingle_sets(own, width, seed)
+    if names is not None:
+        sets = sets.join(names, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("ways"), F.lit(1)) - 1))
     sets = staged(sets.drop("key").join(F.broadcast(hot), "id", "left").withColumn("copy", copies).drop("ways"), "shingle-sets")
 
@@ -613,7 +617,7 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, se
     return staged(both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(run, "u bigint, v bigint").distinct(), "verified-links")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, radius: int = 3, samples: int = SAMPLES, each: int = SAMPLE_SHINGLES, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, radius: int = 3, samples: int = SAMPLES, each: int = SAMPLE_SHINGLES, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
     """Link documents whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
     Two kinds of SimHash give candidates.  The whole set's fingerprint goes through the
@@ -630,6 +634,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     its size.  Then come all other candidates whose ends the verified links have not
     connected: a link that failed hides no other.
 
+    ``unique`` promises that no two rows share an id, which saves a shuffle of sets.
+
     Returns one row per input row: id, fp (of the whole set), component_id (smallest id
     reachable by links, the document's own included).  Texts with equal sets, wordless and
     null ones among them, are linked.  A null id has no component unless a document of an
@@ -643,7 +649,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     firsts = [F.first(c).alias(c) for c in ("fp", "prints", "sketch")]
     classes = staged(prints.groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), *firsts), "shingle-classes")
     named = classes.filter("node IS NOT NULL")
-    names = named.select(F.col("node").alias("id"), "key")
+    names = None if unique else named.select(F.col("node").alias("id"), "key")
     tried, index = index_pairs(named, radius)
     if samples:
         members, total = sample_members(named)

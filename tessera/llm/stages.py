@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     compared whole.
     """
     rows = keyed(docs, KEY)
-    found = staged(similar_documents(rows, similarity=0.8, shingle_words=5, id_col=KEY).select(KEY, "component_id"), "components-of-rows")
+    found = staged(similar_documents(rows, similarity=0.8, shingle_words=5, id_col=KEY, unique=True).select(KEY, "component_id"), "components-of-rows")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", KEY)
     stays = found.join(rows.select(KEY, "doc_id"), KEY).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{KEY}").alias(KEY))
     return without(rows, found.join(stays, KEY, "left_anti"), KEY)
