@@ -17,6 +17,7 @@ from tessera.functions.text import casefold, ws_trim
 from tessera.vocabulary import FALLBACK_DOMAIN
 
 FALLBACK_MESSAGE = "Could you say that again in other words?"
+EXTRACTED_ROW = "url string, title string, description string, starts_at string, ends_at string, city string, country string, venue string, image_url string, attributes map<string,string>, price string"
 READY_MESSAGE = "Here's your search:"
 
 
@@ -60,18 +61,23 @@ def parse_ranking(df: DataFrame, id_col: str, payload: str, count: str) -> DataF
 
 
 def parse_rows(df: DataFrame, id_col: str, payload: str, max_results: int, strict: bool = True) -> DataFrame:
-    """(id, pos, url, title, price): valid rows of a search reply, the first ``max_results``.
+    """(id, pos, url, title, description, starts_at, ends_at, city, country, venue, image_url, attributes, price): valid rows of a search reply, the first ``max_results``.
 
-    Malformed text raises if ``strict``.  A reply without the array has no rows; a row
-    without url or title is skipped.
+    Malformed text raises if ``strict``.  A reply without the array has no rows.  Rows are
+    judged one by one: one without url or title, or whose instants can't be read, is
+    skipped.
     """
     text = F.col(payload)
     broken = F.try_parse_json(text).isNull() & text.isNotNull()
     checked = F.when(broken, F.raise_error(F.lit("malformed search reply")).cast("string")).otherwise(text) if strict else F.when(~broken, text)
     rows = df.withColumn("_list", F.from_json(checked, "results array<string>")["results"]).select(id_col, F.posexplode("_list").alias("pos", "row"))
-    rows = rows.withColumn("e", F.from_json("row", "url string, title string, price string")).filter("e.url IS NOT NULL AND e.title IS NOT NULL")
+    rows = rows.withColumn("e", F.from_json("row", EXTRACTED_ROW)).filter("e.url IS NOT NULL AND e.title IS NOT NULL")
+    for c in ("starts_at", "ends_at"):
+        rows = rows.withColumn(c, F.try_to_timestamp(F.col(f"e.{c}"))).filter(F.col(f"e.{c}").isNull() | F.col(c).isNotNull())
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(id_col).orderBy("pos"))).filter(F.col("n") <= max_results)
-    return rows.select(id_col, (F.col("n") - 1).cast("bigint").alias("pos"), F.col("e.url").alias("url"), F.col("e.title").alias("title"), F.col("e.price").alias("price"))
+    plain = lambda *names: [F.col(f"e.{c}").alias(c) for c in names]
+    attributes = F.coalesce(F.col("e.attributes"), F.create_map().cast("map<string,string>")).alias("attributes")
+    return rows.select(id_col, (F.col("n") - 1).cast("bigint").alias("pos"), *plain("url", "title"), F.coalesce("e.description", F.lit("")).alias("description"), "starts_at", "ends_at", *plain("city", "country", "venue", "image_url"), attributes, *plain("price"))
 
 
 def parse_turn(payload: Column) -> Column:

@@ -44,3 +44,28 @@ def fill_template(template: str, query: Column, max_results: int) -> Column:
 def numbered(rows: Column) -> Column:
     """Numbered lines of an ordered array of strings."""
     return F.array_join(F.transform(rows, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+
+
+def _lines(*parts: Column) -> Column:
+    """Non-blank parts, a line each."""
+    return F.array_join(F.filter(F.array(*parts), lambda x: filled(x).isNotNull()), "\n")
+
+
+def render_result(title: Column, url: Column, starts: Column, ends: Column, price: Column, attributes: Column, rationale: Column | None = None) -> Column:
+    """One result as a message: linked title, when, price, facts and why, each escaped and left out where blank."""
+    head = F.concat(F.lit('<a href="'), escape_html(url), F.lit('"><b>'), escape_html(title), F.lit("</b></a>"))
+    why = F.concat(F.lit("<i>"), escape_html(rationale), F.lit("</i>")) if rationale is not None else F.lit("")
+    return _lines(head, escape_html(format_when(starts, ends)), escape_html(F.coalesce(price, F.lit(""))), escape_html(format_facts(attributes)), F.coalesce(why, F.lit("")))
+
+
+def render_draft(text: Column, city: Column, schedule_text: Column, schedule_cron: Column, most: Column) -> Column:
+    """A drafted search before it is saved."""
+    named = lambda name, c: F.when(filled(c).isNotNull(), F.concat(F.lit(f"<b>{name}</b>: "), escape_html(c))).otherwise("")
+    when = F.concat(F.lit("<b>When</b>: "), schedule_line(schedule_text, schedule_cron))
+    return _lines(named("Search", text), named("City", city), when, named("Results", most.cast("string")))
+
+
+def render_saved_query(text: Column, city: Column, schedule_text: Column, schedule_cron: Column, enabled: Column) -> Column:
+    """A saved search in a list: its text, place and schedule, and whether it is paused."""
+    place = F.when(filled(city).isNotNull(), F.concat(F.lit(" ("), escape_html(city), F.lit(")"))).otherwise("")
+    return F.concat(F.lit("<b>"), escape_html(text), F.lit("</b>"), place, F.lit("\n"), schedule_line(schedule_text, schedule_cron), F.when(enabled, "").otherwise(F.lit("\npaused")))

@@ -58,14 +58,17 @@ def knn(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str, k: int
 
     Queries are broadcast in blocks of fixed size; each task keeps its own best ``k`` per
     query, so a block's shuffle is tasks x queries x k rows however large the corpus.
-    Vectors that are null, or of another length than the block's, are passed over.
+    Null vectors are passed over.  Vectors of several lengths can't be compared: they raise.
     """
+    widths = F.collect_set(F.size(vector))
+    lengths = {n for df in (queries, corpus) for n in df.filter(F.col(vector).isNotNull()).agg(widths).first()[0]}
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of lengths {sorted(lengths)} in {vector}")
+    width = max(lengths, default=0)
     total = queries.count()
     out = None
     for part in range(max(1, -(-total // QUERY_BLOCK))):
         rows = queries.filter(F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-total // QUERY_BLOCK)))) == part).select(id_col, F.col(vector).cast("array<double>")).filter(F.col(vector).isNotNull()).collect()
-        width = len(rows[0][1]) if rows else 0
-        rows = [r for r in rows if len(r[1]) == width]
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), width)
         length = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -77,7 +80,7 @@ def knn(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str, k: int
             best_id, best = np.zeros((len(q_ids), 0), dtype=np.int64), np.zeros((len(q_ids), 0))
             for batch in batches:
                 lists = batch.column(1)
-                good = np.array([x.is_valid and len(x) == q.shape[1] for x in lists], dtype=bool)
+                good = lists.is_valid().to_numpy(zero_copy_only=False)
                 if not good.any() or not len(q_ids):
                     continue
                 own = batch.filter(pa.array(good))

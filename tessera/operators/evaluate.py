@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.schema import EVAL_CASE
+
 
 def _hits(predicted: Column, gold: Column, k: int) -> Column:
     return F.size(F.array_intersect(F.slice(predicted, 1, k), gold))
@@ -25,6 +27,12 @@ def reciprocal_rank(predicted: Column, gold: Column) -> Column:
     return F.when(F.size(places) > 0, F.lit(1.0) / F.array_min(places)).otherwise(F.lit(0.0))
 
 
+def cases(spark: SparkSession, path: str, stage: str | None = None) -> DataFrame:
+    """Recorded cases (name, stage, golden_ids) of JSON lines; of one stage if it is named."""
+    rows = spark.read.schema(EVAL_CASE).json(path)
+    return rows if stage is None else rows.filter(F.col("stage") == stage)
+
+
 def scores(cases: DataFrame, name: str, predicted: str, gold: str, k: int) -> DataFrame:
     """(name, metric, value) for every case."""
     p, g = F.col(predicted), F.col(gold)

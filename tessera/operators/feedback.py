@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import ws_trim
 from tessera.functions.vector import advance
 
 
@@ -24,11 +25,13 @@ def fold_one(centroid: Column, count: Column, value: Column) -> Column:
 
 
 def incremental(rows: DataFrame, key: str, order: str, vector: str) -> DataFrame:
-    """The running mean folded row by row: what one profile goes through.  For many rows use ``centroids``."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v")))), lambda x: x["v"])
-    start = F.struct(F.array().cast("array<double>").alias("c"), F.lit(0).cast("bigint").alias("n"))
-    step = lambda a, v: F.struct(advance(a["c"], a["n"], v).alias("c"), (a["n"] + 1).alias("n"))
-    return rows.groupBy(key).agg(F.aggregate(ordered, start, step).alias("s")).select(key, F.col("s.c").alias("centroid"), F.col("s.n").alias("n"))
+    """(key, centroid, n): what folding a profile's vectors one by one comes to.
+
+    The running mean doesn't depend on the order, so it is the folded sums' quotient: a key
+    with very many vectors is one row per task and component before the shuffle.  ``order``
+    is named for the caller's sake; ``fold_one`` is the single step.
+    """
+    return packed(centroids(rows, [key], vector), [key])
 
 
 def counts(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
@@ -43,5 +46,48 @@ def with_profiles(queries: DataFrame, profiles: DataFrame, key: str) -> DataFram
 
 
 def known_only(feedback: DataFrame, items: DataFrame, item: str) -> DataFrame:
-    """Feedback on items that exist; the rest is refused before anything is written."""
+    """Feedback on items that exist."""
     return feedback.join(items.select(item).distinct(), item, "left_semi")
+
+
+class UnknownResult(LookupError):
+    pass
+
+
+def refuse_unknown(feedback: DataFrame, items: DataFrame, item: str) -> None:
+    """Raise if any feedback is on an item that doesn't exist: nothing may be written then."""
+    unknown = feedback.join(items.select(item).distinct(), item, "left_anti").select(item).distinct().limit(10).collect()
+    if unknown:
+        raise UnknownResult(f"no results {sorted(str(r[0]) for r in unknown)}")
+
+
+def parse_summary(text: Column) -> Column:
+    """A model's summary without outer space; blank is none."""
+    return F.nullif(ws_trim(text), F.lit(""))
+
+
+def record(profiles: DataFrame, feedback: DataFrame, items: DataFrame, summaries: DataFrame | None = None, key: str = "saved_query_id", item: str = "canonical_search_result_id") -> DataFrame:
+    """Profiles after a batch of feedback: new centroids, counts and summaries, for the queries it is about.
+
+    ``profiles``: key, nl_summary, liked_centroid, disliked_centroid, like_count,
+    dislike_count.  ``feedback``: key, item, kind.  ``items``: item, embedding.  Feedback on
+    an unknown item raises before anything is returned.  Each kind's vectors are summed,
+    and the old centroid counts as often as it has been fed; items without a vector count
+    but don't move a centroid.  ``summaries``: key, text; a blank one leaves the old.
+    """
+    refuse_unknown(feedback, items, item)
+    rows = feedback.join(items.select(item, F.col("embedding").cast("array<double>").alias("v")), item)
+    fed = counts(rows, [key], "kind")
+    sums = rows.filter("v IS NOT NULL").select(key, "kind", F.posexplode("v").alias("i", "x")).groupBy(key, "kind", "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    packed_sums = sums.groupBy(key, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("s"), F.max("n").alias("n"))
+    out = fed.select(key, F.col("like_count").alias("_like"), F.col("dislike_count").alias("_dislike")).join(profiles, key, "left")
+    for kind, centroid, count in (("like", "liked_centroid", "like_count"), ("dislike", "disliked_centroid", "dislike_count")):
+        mine = packed_sums.filter(F.col("kind") == kind).select(key, F.col("s").alias("_s"), F.col("n").alias("_n"))
+        before = F.when(F.col(centroid).isNull(), F.lit(0)).otherwise(F.coalesce(count, F.lit(0)))
+        moved = F.when(F.col(centroid).isNull(), F.transform("_s", lambda x: x / F.col("_n"))).otherwise(F.zip_with(centroid, "_s", lambda c, x: (c * before + x) / (before + F.col("_n"))))
+        out = out.join(mine, key, "left").withColumn(centroid, F.when(F.col("_s").isNull(), F.col(centroid)).otherwise(moved)).drop("_s", "_n")
+        out = out.withColumn(count, F.coalesce(count, F.lit(0)).cast("bigint") + F.col(f"_{kind}")).drop(f"_{kind}")
+    if summaries is None:
+        return out
+    said = summaries.select(key, parse_summary(F.col("text")).alias("_text"))
+    return out.join(said, key, "left").withColumn("nl_summary", F.coalesce("_text", "nl_summary")).drop("_text")

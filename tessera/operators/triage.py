@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import casefold, filled, ws_trim
-from tessera.operators.block import DAY
+from tessera.functions.vector import cosine
+from tessera.operators.block import DAY, block_join
 
 AUTO_MERGE, TIEBREAK, INSERT_NEW = "auto_merge", "tiebreak", "insert_new"
 
@@ -114,36 +116,59 @@ def _blank(v) -> bool:
     return v is None or (isinstance(v, float) and math.isnan(v)) or (isinstance(v, str) and not v.strip()) or v is pd.NaT
 
 
-FIELDS = ("title", "description", "city", "venue", "starts_at", "price")
-
-
-def fold_run(candidates: list[dict], corpus: list[dict], judge: Callable[[dict, dict], bool], t: Thresholds = Thresholds()) -> list[dict]:
-    """Triage candidates one after another: what one inserts or fills, the next can match.
-
-    Ambiguous ones are held back, asked about together at the end, and don't see each
-    other.  Returns the outcomes in the order of arrival.
-    """
-    items = {r["id"]: dict(r) for r in corpus}
-    by_url: dict[str, str] = {}
-    outcomes: dict[int, dict] = {}
-    pending: list[tuple[int, dict, str, float]] = []
-
-    def insert(pos: int, c: dict, decision: str, similarity) -> None:
-        items[c["id"]] = dict(c)
-        by_url[c["url"]] = c["id"]
-        outcomes[pos] = {"candidate_id": c["id"], "decision": decision, "canonical_id": c["id"], "similarity": similarity}
-
-    def merge(pos: int, c: dict, target: str, decision: str, similarity) -> None:
-        item = items[target]
-        for f in FIELDS:
-            if _blank(item.get(f)) and not _blank(c.get(f)):
-                item[f] = c[f]
-        by_url[item["url"]] = target
-        outcomes[pos] = {"candidate_id": c["id"], "decision": decision, "canonical_id": target, "similarity": similarity}
-
-    def match(c: dict):
+#: Fields of which the first filled value stays, and the parts of a place, filled one by one.
+FIELDS = ("title", "description", "starts_at", "ends_at", "price", "image_url", "city", "country", "venue", "lat", "lon")
+GOLDEN = (
+    "id string, url string, title string, description string, starts_at timestamp, ends_at timestamp, price string, image_url string, city string, country string, venue string, lat double, lon double, "
+    "attributes map<string,string>, embedding array<double>, source_ids array<string>, first_seen_at timestamp, last_seen_at timestamp, is_new boolean"
+)
+
+#: Ambiguous pairs in, verdicts out, asked once per run and not at all without pairs.
+Judge = Callable[[list[tuple[dict, dict]]], list[bool]]
+
+
+class Run:
+    """What one run knows: its records, the urls seen in it, outcomes, where each field came from."""
+
+    def __init__(self, corpus: list[dict]):
+        self.items = {r["id"]: dict(r) for r in corpus}
+        self.new: set[str] = set()
+        self.by_url: dict[str, str] = {}
+        self.outcomes: dict[int, dict] = {}
+        self.provenance: list[dict] = []
+
+    def _took(self, target: str, c: dict, fields: list[str]) -> None:
+        self.provenance += [{"canonical_id": target, "field": f, "source_id": c["id"]} for f in fields]
+
+    def insert(self, pos: int, c: dict, decision: str, similarity: float | None) -> None:
+        seen = c.get("fetched_at")
+        attributes = {k: v for k, v in (c.get("attributes") or {}).items() if not _blank(v)}
+        self.items[c["id"]] = {**c, "attributes": attributes, "source_ids": [c["id"]], "first_seen_at": seen, "last_seen_at": seen}
+        self.new.add(c["id"])
+        self.by_url[c["url"]] = c["id"]
+        self._took(c["id"], c, [*(f for f in FIELDS if not _blank(c.get(f))), *(f"attributes.{k}" for k in sorted(attributes))])
+        self.outcomes[pos] = {"candidate_id": c["id"], "decision": decision, "canonical_id": c["id"], "similarity": similarity}
+
+    def merge(self, pos: int, c: dict, target: str, decision: str, similarity: float) -> None:
+        """Fill what the record lacks, remember both urls, the source, and when it was seen."""
+        item = self.items[target]
+        filled_ = [f for f in FIELDS if _blank(item.get(f)) and not _blank(c.get(f))]
+        for f in filled_:
+            item[f] = c[f]
+        own = dict(item.get("attributes") or {})
+        more = {k: v for k, v in (c.get("attributes") or {}).items() if not _blank(v) and _blank(own.get(k))}
+        item["attributes"] = own | more
+        item["source_ids"] = list(dict.fromkeys([*(item.get("source_ids") if item.get("source_ids") is not None else []), c["id"]]))
+        seen = [x for x in (item.get("first_seen_at"), item.get("last_seen_at"), c.get("fetched_at")) if not _blank(x)]
+        item["first_seen_at"], item["last_seen_at"] = (min(seen), max(seen)) if seen else (None, None)
+        self.by_url[item["url"]] = self.by_url[c["url"]] = target
+        self._took(target, c, [*filled_, *(f"attributes.{k}" for k in sorted(more))])
+        self.outcomes[pos] = {"candidate_id": c["id"], "decision": decision, "canonical_id": target, "similarity": similarity}
+
+    def best(self, c: dict, t: Thresholds) -> tuple[tuple[int, float], str] | None:
+        """The best of the nearest records in the candidate's block: ((tier, similarity), id)."""
         near = []
-        for other in items.values():
+        for other in self.items.values():
             if other.get("embedding") is None:
                 continue
             a, b = c.get("city"), other.get("city")
@@ -162,52 +187,91 @@ def fold_run(candidates: list[dict], corpus: list[dict], judge: Callable[[dict,
                 best = (key, other["id"])
         return best
 
+
+def fold_run(candidates: list[dict], corpus: list[dict], judge: Judge, t: Thresholds = Thresholds()) -> Run:
+    """Triage candidates one after another: what one inserts or fills, the next can match.
+
+    A url that this run has seen, be it a new record's or a merged candidate's, settles a
+    candidate at once.  Ambiguous ones are held back, asked about together at the end, and
+    don't see each other.
+    """
+    run = Run(corpus)
+    pending: list[tuple[int, dict, str, float]] = []
     for pos, c in enumerate(candidates):
-        if c["url"] in by_url:
-            merge(pos, c, by_url[c["url"]], AUTO_MERGE, 1.0)
+        if c["url"] in run.by_url:
+            run.merge(pos, c, run.by_url[c["url"]], AUTO_MERGE, 1.0)
             continue
-        best = match(c)
+        best = run.best(c, t)
         if best is None:
-            insert(pos, c, INSERT_NEW, None)
+            run.insert(pos, c, INSERT_NEW, None)
         elif best[0][0] == 2:
-            merge(pos, c, best[1], AUTO_MERGE, best[0][1])
+            run.merge(pos, c, best[1], AUTO_MERGE, best[0][1])
         elif best[0][0] == 1:
             pending.append((pos, c, best[1], best[0][1]))
         else:
-            insert(pos, c, INSERT_NEW, best[0][1])
-    verdicts = [judge(c, items[target]) for _, c, target, _ in pending]
+            run.insert(pos, c, INSERT_NEW, best[0][1])
+    verdicts = judge([(c, run.items[target]) for _, c, target, _ in pending]) if pending else []
     for (pos, c, target, s), same in zip(pending, verdicts, strict=True):
-        if same and target in items:
-            merge(pos, c, target, TIEBREAK, s)
+        if same and target in run.items:
+            run.merge(pos, c, target, TIEBREAK, s)
         else:
-            insert(pos, c, TIEBREAK, s)
-    return [outcomes[k] for k in sorted(outcomes)]
+            run.insert(pos, c, TIEBREAK, s)
+    return run
 
 
-def sequential(candidates: DataFrame, corpus: DataFrame, run_col: str, judge: Callable[[dict, dict], bool], t: Thresholds = Thresholds()) -> DataFrame:
+def near_corpus(candidates: DataFrame, corpus: DataFrame, run_col: str, t: Thresholds = Thresholds()) -> DataFrame:
+    """The corpus rows that a run's fold can touch, with the run they are for.
+
+    These are each candidate's nearest rows in its block: as many as the fold looks at, and
+    as many more as the run has candidates, since each can at most move one row out of a
+    block by filling a field.
+    """
+    at = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    place = lambda c: F.nullif(casefold(ws_trim(c)), F.lit(""))
+    left = candidates.select(run_col, "id", place(F.col("city")).alias("city"), at(F.col("starts_at")).alias("at"), F.col("embedding").alias("v"))
+    right = corpus.filter("embedding IS NOT NULL").select("id", place(F.col("city")).alias("city"), at(F.col("starts_at")).alias("at"), F.col("embedding").alias("v"))
+    pairs = block_join(left, right, t.days).select(F.col(f"l_{run_col}").alias(run_col), F.col("l_id").alias("c"), F.col("r_id").alias("id"), cosine(F.col("l_v"), F.col("r_v")).alias("s"))
+    size = candidates.groupBy(run_col).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(run_col, "c").orderBy(F.desc("s"), "id")
+    kept = pairs.join(size, run_col).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.col("_n") + t.limit)
+    return kept.select(run_col, "id").distinct().join(corpus, "id")
+
+
+def sequential(candidates: DataFrame, corpus: DataFrame, run_col: str, judge: Judge, t: Thresholds = Thresholds(), what: str = "outcomes") -> DataFrame:
     """Exact mode: one fold per run, over the run's candidates (ordered by ``pos``) and the corpus rows it may touch.
 
-    A run is a few dozen candidates; runs are independent and spread over tasks.
+    ``what``: the outcomes; the ``golden`` records that were inserted or filled; or their
+    ``provenance``, one row per field that a candidate gave.  A run is a few dozen
+    candidates; ``near_corpus`` bounds its corpus rows; runs are spread over tasks.
     """
+    kind = candidates.schema[run_col].dataType.simpleString()
+    schema = f"{run_col} {kind}, " + {"outcomes": "candidate_id string, decision string, canonical_id string, similarity double", "golden": GOLDEN, "provenance": "canonical_id string, field string, source_id string"}[what]
+    columns = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", schema)]
 
     def rows(pdf: pd.DataFrame) -> list[dict]:
-        return [{k: None if _blank(v) and not isinstance(v, str) else v for k, v in r.items()} for r in pdf.to_dict("records")] if len(pdf) else []
+        out = [{k: None if _blank(v) and not isinstance(v, str) else v for k, v in r.items()} for r in pdf.to_dict("records")] if len(pdf) else []
+        for r in out:
+            if "attributes" in r:
+                r["attributes"] = dict(r["attributes"] or {})
+        return out
 
     def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = fold_run(rows(left.sort_values("pos")), rows(right.sort_values("id")) if len(right) else [], judge, t)
-        return pd.DataFrame([{run_col: left[run_col].iloc[0], **o} for o in out], columns=[run_col, "candidate_id", "decision", "canonical_id", "similarity"])
+        if not len(left):
+            return pd.DataFrame(columns=columns)
+        run = fold_run(rows(left.sort_values("pos")), rows(right.sort_values("id")) if len(right) else [], judge, t)
+        touched = {o["canonical_id"] for o in run.outcomes.values()}
+        found = {"outcomes": [run.outcomes[k] for k in sorted(run.outcomes)], "provenance": run.provenance, "golden": [{**r, "is_new": r["id"] in run.new} for r in run.items.values() if r["id"] in touched]}[what]
+        return pd.DataFrame([{run_col: left[run_col].iloc[0], **{c: o.get(c) for c in columns[1:]}} for o in found], columns=columns)
 
-    kind = candidates.schema[run_col].dataType.simpleString()
-    schema = f"{run_col} {kind}, candidate_id string, decision string, canonical_id string, similarity double"
     return candidates.groupBy(run_col).cogroup(corpus.groupBy(run_col)).applyInPandas(fold, schema)
 
 
-def judge_by_words(least: float) -> Callable[[dict, dict], bool]:
+def judge_by_words(least: float) -> Judge:
     """A deterministic stand-in for a judging model: exact Jaccard of word pairs."""
-    return lambda a, b: _jaccard(_shingles(_text(a)), _shingles(_text(b))) >= least
+    return lambda pairs: [_jaccard(_shingles(_text(a)), _shingles(_text(b))) >= least for a, b in pairs]
 
 
 def judge_prompt(pairs: list[tuple[dict, dict]]) -> str:
     """The pairs as one request, numbered from 1."""
-    show = lambda r: {k: str(r[k]) if not _blank(r.get(k)) else "unknown" for k in (*FIELDS, "url")}
+    show = lambda r: {k: str(r[k]) if not _blank(r.get(k)) else "unknown" for k in ("title", "description", "city", "venue", "starts_at", "price", "url")}
     return "\n".join(f"Pair {i}: {json.dumps({'A': show(a), 'B': show(b)}, ensure_ascii=False)}" for i, (a, b) in enumerate(pairs, 1))

@@ -11,11 +11,12 @@ from tessera.functions.text import doc_text
 from tessera.functions.vector import taste
 from tessera.operators import taste as ranking
 from tessera.operators.fuse import rank_results, rrf
-from tessera.operators.ledger import unseen
-from tessera.operators.triage import Thresholds, judge_by_words, sequential
+from tessera.operators.ledger import next_seq, unseen
+from tessera.operators.triage import Thresholds, judge_by_words, near_corpus, sequential
 from tessera.ports.models import embed_column
 from tessera.ports.progress import Event, reported
 from tessera.ports.search import read_recorded
+from tessera.store.tables import Store
 
 
 def run(spark: SparkSession, recorded: dict[str, list[dict]], corpus: DataFrame, profile: DataFrame, shown: DataFrame, top_n: int = 25, slots: int = 2, listener: Callable[[Event], None] | None = None, t: Thresholds = Thresholds()) -> dict[str, DataFrame]:
@@ -30,14 +31,31 @@ def run(spark: SparkSession, recorded: dict[str, list[dict]], corpus: DataFrame,
     with reported("merge", listener):
         fused = rrf(found, ["url"], order=("rank", "query_id", "pos"), keep=("title", "description"))
     with reported("dedup", listener):
-        new = fused.select(F.lit(0).alias("run"), F.substring(F.sha2("url", 256), 1, 22).alias("id"), "url", F.col("best.title").alias("title"), F.col("best.description").alias("description"), F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("venue"), F.lit(None).cast("timestamp").alias("starts_at"), F.lit(None).cast("string").alias("price"), (-F.col("score")).alias("pos"))
+        none = lambda kind: F.lit(None).cast(kind)
+        new = fused.select(
+            F.lit(0).alias("run"), F.substring(F.sha2("url", 256), 1, 22).alias("id"), "url", F.col("best.title").alias("title"), F.col("best.description").alias("description"),
+            none("string").alias("city"), none("string").alias("venue"), none("timestamp").alias("starts_at"), none("string").alias("price"), (-F.col("score")).alias("pos"),
+        )
         new = new.withColumn("embedding", embed_column(doc_text(F.col("title"), F.col("description"))))
-        outcomes = sequential(new, corpus.withColumn("run", F.lit(0)), "run", judge_by_words(0.5), t)
+        near = near_corpus(new, corpus.drop("run"), "run", t)
+        outcomes, golden, provenance = (sequential(new, near, "run", judge_by_words(0.5), t, what) for what in ("outcomes", "golden", "provenance"))
     with reported("rank", listener):
         both = corpus.select("id", "embedding").unionByName(new.select("id", "embedding"))
         items = outcomes.select(F.col("canonical_id").alias("id")).distinct().join(both, "id")
         fresh = unseen(items, shown.withColumnRenamed("canonical_id", "id"), ["id"])
-        scored = fresh.crossJoin(F.broadcast(profile.limit(1))).select(F.lit(0).alias("query"), "id", taste(F.col("embedding"), F.col("liked_centroid"), F.col("disliked_centroid")).alias("score"))
+        if profile.limit(2).count() > 1:
+            raise ValueError("a run is for one profile")
+        scored = fresh.crossJoin(F.broadcast(profile)).select(F.lit(0).alias("query"), "id", taste(F.col("embedding"), F.col("liked_centroid"), F.col("disliked_centroid")).alias("score"))
         placed = ranking.prefilter(scored, "query", "id", top_n)
         ranked = ranking.ranked(placed, "query", "id", top_n, slots)
-    return {"found": found, "fused": fused, "outcomes": outcomes, "ranked": ranked}
+    return {"found": found, "fused": fused, "outcomes": outcomes, "golden": golden, "provenance": provenance, "ranked": ranked}
+
+
+def store_run(store: Store, query_id: str, results: dict[str, DataFrame], version: int) -> None:
+    """Keep what a run found: golden records, where their fields came from, and links from the query in the order of its ranking.
+
+    Writes are upserts by version, so storing a run again changes nothing.
+    """
+    store.upsert_canonical(results["golden"].drop("run", "is_new"), results["provenance"].drop("run"), version)
+    ranked = results["ranked"].select(F.lit(query_id).alias("query_id"), F.col("id").alias("canonical_id"), F.col("rank").alias("pos"))
+    store.link(next_seq(store.links(), ranked, ["query_id", "canonical_id"], ["pos"]), version)

@@ -258,13 +258,28 @@ def golden_geo_fill(spark, d):
     return n.select("n_nationkey", survive.fill_geo(base, extra).alias("g")).select("n_nationkey", "g.city", "g.country", "g.venue", "g.lat")
 
 
-_GROUPS = [(r, p, c) for r in range(3) for p, c in enumerate(("rock night at the dome", "rock night at the dome", "quiet reading of poems", "rock night at the hall", "jazz trio in the park"))]
+_TRIAGE = """ev AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+ur AS (SELECT *, min(pos) OVER (PARTITION BY user_id, event_type) AS first_pos FROM ev),
+fi AS (SELECT user_id, event_type, event_id AS first_id FROM ur WHERE pos = first_pos)"""
 
 
-@query(None)
+@query(
+    f"""WITH {_TRIAGE} SELECT user_id AS run, CAST(event_id AS VARCHAR) AS candidate_id, CASE WHEN pos = first_pos THEN 'insert_new' ELSE 'auto_merge' END AS decision,
+CAST(first_id AS VARCHAR) AS canonical_id, CASE WHEN pos = first_pos THEN CASE WHEN pos = 0 THEN NULL ELSE 0.0::DOUBLE END ELSE 1.0::DOUBLE END AS similarity FROM ur JOIN fi USING (user_id, event_type)"""
+)
 def sequential_triage(spark, d):
-    """The exact mode over small runs."""
-    rows = [(r, p, f"{r}-{p}", f"http://x/{r}/{p if p != 1 else 0}", c, "", "Berlin" if p % 2 else None, None, None, None, [1.0, 0.1 * p]) for r, p, c in _GROUPS]
-    schema = "run int, pos int, id string, url string, title string, description string, city string, venue string, starts_at timestamp, price string, embedding array<double>"
-    candidates = values(spark, rows, schema)
+    """The exact mode over all events: a user's are a run, an event's type is its url, and types have vectors at right angles.
+
+    So the first of a type is new and the others merge by url, whatever the order within.
+    """
+    kinds = ("click", "error", "purchase", "signup", "view")
+    e = table(spark, d, "events")
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    none = lambda kind: F.lit(None).cast(kind)
+    at = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type"))
+    vector = F.transform(F.sequence(F.lit(1), F.lit(len(kinds))), lambda i: (i == at).cast("double"))
+    candidates = e.select(
+        F.col("user_id").alias("run"), pos.alias("pos"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("url"), F.col("event_type").alias("title"), none("string").alias("description"),
+        none("string").alias("city"), none("string").alias("venue"), none("timestamp").alias("starts_at"), none("string").alias("price"), vector.alias("embedding"),
+    )
     return triage.sequential(candidates, candidates.filter("false"), "run", triage.judge_by_words(0.4))

@@ -21,7 +21,7 @@ SAVED_QUERY = _struct(id=S, user_id=S, text=S, city=S, country=S, domain=S, tags
 EXPANDED_QUERY = _struct(id=S, saved_query_id=S, text=S)
 EXTRACTED = _struct(url=S, title=S, description=S, starts_at=TS, ends_at=TS, city=S, country=S, venue=S, image_url=S, attributes=ATTRIBUTES, price=S)
 RAW_RESULT = _struct(id=S, source_query_id=S, source_engine=S, url=S, title=S, description=S, starts_at=TS, ends_at=TS, geo=GEO, image_url=S, attributes=ATTRIBUTES, price=S, rank=I, score=D, fetched_at=TS)
-CANONICAL = _struct(id=S, url=S, title=S, description=S, starts_at=TS, ends_at=TS, geo=GEO, image_url=S, attributes=ATTRIBUTES, price=S, source_search_result_ids=T.ArrayType(S), embedding=VECTOR, first_seen_at=TS, last_seen_at=TS)
+CANONICAL = _struct(id=S, url=S, title=S, description=S, starts_at=TS, ends_at=TS, geo=GEO, image_url=S, attributes=ATTRIBUTES, price=S, source_search_result_ids=T.ArrayType(S), embedding=VECTOR, first_seen_at=TS, last_seen_at=TS, city_key=S, starts_epoch=L)
 PROVENANCE = _struct(canonical_id=S, winners=T.MapType(S, S))
 OUTCOME = _struct(candidate_id=S, decision=S, canonical_id=S, similarity=D)
 LINK = _struct(seq=L, query_id=S, canonical_id=S)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from tessera.functions.text import city_key
+from tessera.operators.feedback import refuse_unknown
 from tessera.operators.ledger import insert_ignore, latest, without
 from tessera.schema import TABLES
 
@@ -25,6 +28,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _as(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The columns of a table; those that ``rows`` lacks are null."""
+    has = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def column(f: StructField) -> Column:
+        if has.get(f.name) == f.dataType.simpleString():
+            return F.col(f.name)
+        return (F.col(f.name) if f.name in has else F.lit(None)).cast(f.dataType).alias(f.name)
+
+    return rows.select(*map(column, schema))
+
+
 class Store:
     """Logs under one folder.  A write appends; it never touches what is being read."""
 
@@ -55,6 +70,29 @@ class Store:
     def get(self, table: str, key: str) -> DataFrame:
         return self.view(table).filter(F.col(KEYS[table][0]) == key)
 
+    def upsert_canonical(self, rows: DataFrame, provenance: DataFrame, version: int) -> None:
+        """Golden records (flat, as triage gives them) with the derived city key and start second, and which source gave each field."""
+        geo = F.struct(*(F.col(c) for c in ("city", "country", "venue", "lat", "lon"))).alias("geo")
+        flat = rows.withColumns({"geo": geo, "source_search_result_ids": F.col("source_ids"), "city_key": city_key(F.col("city")), "starts_epoch": F.unix_seconds("starts_at")})
+        self.append("canonical", _as(flat, TABLES["canonical"]), version)
+        winners = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "source_id")))).alias("winners")
+        once = provenance.groupBy("canonical_id", "field").agg(F.min("source_id").alias("source_id"))
+        self.append("provenance", _as(once.groupBy("canonical_id").agg(winners), TABLES["provenance"]), version)
+
+    def upsert_preferences(self, rows: DataFrame, version: int) -> None:
+        self.append("preferences", _as(rows, TABLES["preferences"]), version)
+
+    def add_feedback(self, rows: DataFrame, version: int) -> None:
+        """Append feedback; an unknown record raises before anything is written."""
+        known = self.view("canonical").select(F.col("id").alias("canonical_search_result_id"))
+        refuse_unknown(rows, known, "canonical_search_result_id")
+        self.append("feedback", _as(rows, TABLES["feedback"]), version)
+
+    def location_of(self, users: DataFrame, key: str = "user_id") -> DataFrame:
+        """Users with their city and country; blank where they are unknown or have said nothing."""
+        told = self.view("users").select(F.col("id").alias(key), F.col("location.city").alias("city"), F.col("location.country").alias("country"))
+        return users.join(told, key, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("city", "country")})
+
     def link(self, rows: DataFrame, version: int) -> None:
         self.append("query_results", rows.select("seq", "query_id", "canonical_id"), version)
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.ledger import insert_ignore
+from tessera.operators.schedule import due
+from tessera.operators.triage import Judge, Thresholds, near_corpus, sequential
 from tessera.sources.tables import table
-from tessera.store.tables import work_dir
+from tessera.store.tables import Store, work_dir
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +67,58 @@ def tick(spark: SparkSession, stream: DataFrame, key: str, at: str) -> DataFrame
     return spark.read.parquet(out).groupBy(key).agg(F.max(at).alias(at))
 
 
-def windowed_counts(stream: DataFrame, at: str, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Counts per event-time window, with a watermark; instants must carry a zone."""
-    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width)).count()
+def ticks(spark: SparkSession, clock: DataFrame, queries: DataFrame, run: Callable[[object, object], None], at: str = "at", isolate: bool = True) -> DataFrame:
+    """Drive saved queries from a stream of instants: at each tick run what is due and mark it.
+
+    A tick is a micro-batch, its latest instant is now.  Marks are rows of a log, so a query
+    that has run isn't due again and a failed one (isolated) is tried at the next tick.
+    Missed fires come to one run.  Returns the marks: id, last_run_at.
+    """
+    out = work_dir(spark, "tick-marks")
+    spark.createDataFrame([], "id string, last_run_at timestamp").write.parquet(out)
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        now = batch.agg(F.max(at)).first()[0]
+        if now is None:
+            return
+        marks = spark.read.parquet(out).groupBy("id").agg(F.max("last_run_at").alias("_mark"))
+        known = queries.join(marks, "id", "left").withColumn("last_run_at", F.greatest("last_run_at", "_mark")).drop("_mark")
+        done, _ = run_due(due(known, F.lit(now)).collect(), lambda q: run(q, now), isolate)
+        if done:
+            spark.createDataFrame([(q["id"], now) for q in done], "id string, last_run_at timestamp").write.mode("append").parquet(out)
+
+    drain(clock, each)
+    return spark.read.parquet(out)
+
+
+def reconcile(spark: SparkSession, stream: DataFrame, store: Store, judge: Judge, t: Thresholds = Thresholds()) -> DataFrame:
+    """Triage candidates that arrive over time against all that earlier sessions stored.
+
+    Every micro-batch is a run: its candidates (the columns of triage, in the order of
+    ``pos``) meet the store's records of their blocks, and what they insert or fill is
+    upserted under a number after the stored ones, so a batch that is run again changes
+    nothing.  Returns the stored records.
+    """
+    base = store.log("canonical").agg(F.max("_version")).first()[0] or 0
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch = batch.withColumn("run", F.lit(epoch))
+        known = store.view("canonical").select("*", *(F.col(f"geo.{c}").alias(c) for c in ("city", "country", "venue", "lat", "lon"))).withColumnRenamed("source_search_result_ids", "source_ids").drop("geo", "city_key", "starts_epoch")
+        near = near_corpus(batch, known, "run", t)
+        golden, provenance = (sequential(batch, near, "run", judge, t, what) for what in ("golden", "provenance"))
+        store.upsert_canonical(golden, provenance, base + epoch + 1)
+
+    drain(stream, each)
+    return store.view("canonical")
+
+
+def deliver(messages: DataFrame, send: Callable[[str, str], None], chat: str = "chat_id", text: str = "message", order: str = "rank") -> int:
+    """Hand messages to ``send`` (chat, text) one by one in their order; the driver holds a partition at a time."""
+    sent = 0
+    for r in messages.orderBy(chat, order).select(chat, text).toLocalIterator():
+        send(r[0], r[1])
+        sent += 1
+    return sent
 
 
 def run_due(queries: list, run: Callable[[object], None], isolate: bool = True) -> tuple[list, list]:

@@ -100,3 +100,45 @@ def test_malformed_rows_raise(spark):
     with pytest.raises(Exception, match="malformed"):
         contracts.parse_rows(df, "id", "payload", 3).collect()
     assert contracts.parse_rows(df, "id", "payload", 3, strict=False).count() == 0
+
+
+def test_affine_is_exact():
+    import numpy as np
+
+    from tessera.functions.minhash import PRIME, affine, coefficients
+
+    rng = np.random.default_rng(4)
+    h = np.concatenate([rng.integers(0, 1 << 60, 500, dtype=np.int64), [0, 1, PRIME - 1, (1 << 60) - 1]]).view(np.uint64)
+    for _, a, b in [*coefficients(8), (0, PRIME - 2, PRIME - 1), (0, 1, 0)]:
+        assert affine(h, a, b).tolist() == [(a * int(x) + b) % PRIME for x in h]
+
+
+def test_rows_of_a_search_reply(spark):
+    reply = '{"results":[{"url":"u","title":"t","description":"d","starts_at":"2026-07-01T20:00:00Z","city":"Berlin","venue":"v","image_url":"i","attributes":{"organizer":"o"},"price":"5"},{"url":"u2","title":"t2","starts_at":"soon"},{"url":"u3"},"x",{"url":"u4","title":"t4"}]}'
+    got = contracts.parse_rows(spark.createDataFrame([(1, reply)], "id int, payload string"), "id", "payload", 5).orderBy("pos").collect()
+    assert [(r["url"], r["pos"]) for r in got] == [("u", 0), ("u4", 1)]
+    assert got[0]["attributes"] == {"organizer": "o"} and got[0]["starts_at"] is not None and got[1]["attributes"] == {} and got[1]["description"] == ""
+
+
+def test_messages_and_prompts(spark):
+    from tessera.functions import prompts, render
+
+    none = F.lit(None).cast("timestamp")
+    facts = F.create_map(F.lit("organizer"), F.lit("A & B"), F.lit("tags"), F.lit(" "))
+    got = spark.range(1).select(
+        render.render_result(F.lit("x <y>"), F.lit("http://a"), none, none, F.lit(None).cast("string"), facts, F.lit("why")).alias("r"),
+        render.render_draft(F.lit("jazz"), F.lit(" "), F.lit(""), F.lit("0 9 * * *"), F.lit(5)).alias("d"),
+        render.render_saved_query(F.lit("jazz"), F.lit("Berlin"), F.lit("daily"), F.lit(""), F.lit(False)).alias("s"),
+        prompts.expand_prompt(F.lit("jazz"), F.lit(None).cast("string"), ["en", "de"], 4).alias("e"),
+        prompts.classify_prompt(F.lit("jazz")).alias("c"),
+        prompts.search_prompt(F.lit("jazz"), F.lit("Berlin"), "events", 9).alias("f"),
+        prompts.rerank_prompt(F.lit("jazz"), F.lit(""), F.array(F.struct(F.lit("t").alias("title"), F.lit("").alias("description"), none.alias("starts_at"), none.alias("ends_at")))).alias("k"),
+        prompts.summary_prompt(F.lit(None).cast("string"), F.array(F.lit("a")), F.array().cast("array<string>")).alias("u"),
+        prompts.builder_prompt(F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("text")))).alias("b"),
+    ).first()
+    assert got["r"] == '<a href="http://a"><b>x &lt;y&gt;</b></a>\nOrganizer: A &amp; B\n<i>why</i>'
+    assert got["d"] == "<b>Search</b>: jazz\n<b>When</b>: <code>0 9 * * *</code>\n<b>Results</b>: 5"
+    assert got["s"] == "<b>jazz</b> (Berlin)\ndaily\npaused"
+    assert got["e"].endswith("Request: jazz\nPlace: anywhere") and "submit_queries" in got["e"]
+    assert "real_estate" in got["c"] and "organizer: " in got["f"] and got["k"].endswith("nothing yet\n1. t")
+    assert got["u"].endswith("Liked:\n1. a\nDisliked:\nnone") and got["b"].endswith("user: hi")

@@ -1,8 +1,9 @@
 """Operators on small tables, with the properties that should hold for any."""
 
 import random
-from datetime import datetime
+from datetime import UTC, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ CASES = [
 
 @pytest.mark.parametrize("candidates,verdict,decision,similarity", CASES)
 def test_fold(candidates, verdict, decision, similarity):
-    last = fold_run(candidates, [], lambda a, b: verdict)[-1]
+    last = outcomes(fold_run(candidates, [], lambda pairs: [verdict] * len(pairs)))[-1]
     assert last["decision"] == decision and last["similarity"] == (pytest.approx(similarity) if similarity is not None else None)
     merged = decision == "auto_merge" or (decision == "tiebreak" and verdict)
     assert (last["canonical_id"] == "1") == merged
@@ -76,7 +77,7 @@ def test_fold(candidates, verdict, decision, similarity):
 def test_held_back_do_not_see_each_other():
     known = [_c("0", [1, 0], title="a")]
     twins = [_c("1", [0.8, 0.6], title="b"), _c("2", [0.8, 0.6], title="c")]
-    out = fold_run(twins, known, lambda a, b: False)
+    out = outcomes(fold_run(twins, known, lambda pairs: [False] * len(pairs)))
     assert [o["decision"] for o in out] == ["tiebreak", "tiebreak"] and {o["canonical_id"] for o in out} == {"1", "2"}
 
 
@@ -93,10 +94,116 @@ def test_sequential_matches_plain_fold(spark):
     want = []
     for run in range(4):
         cands = [dict(zip(("run", "pos", "id", "url", "title", "description", "city", "venue", "starts_at", "price", "embedding"), r, strict=True)) for r in data if r[0] == run]
-        want += [(run, o["candidate_id"], o["decision"], o["canonical_id"]) for o in fold_run(cands, [], judge_by_words(0.5))]
+        want += [(run, *o) for o in plain_fold(cands, 0.5)]
     assert got == sorted(want)
 
 
+def plain_fold(cands, least):
+    """The exact mode written down once more, over lists, with NumPy's cosine."""
+    words = lambda c: {tuple(c["title"].split()[i : i + 2]) for i in range(max(1, len(c["title"].split()) - 1))}
+    lexical = lambda a, b: len(words(a) & words(b)) / len(words(a) | words(b))
+    known, urls, out, held = [], {}, {}, []
+    for pos, c in enumerate(cands):
+        if c["url"] in urls:
+            out[pos] = (c["id"], "auto_merge", urls[c["url"]])
+            first = next(k for k in known if k["id"] == urls[c["url"]])
+            first["city"] = first["city"] or c["city"]
+            continue
+        block = [k for k in known if not (c["city"] and k["city"] and c["city"] != k["city"])]
+        cos = [float(np.dot(c["embedding"], k["embedding"]) / np.linalg.norm(c["embedding"]) / np.linalg.norm(k["embedding"])) for k in block]
+        near = sorted(range(len(block)), key=lambda i: (-cos[i], block[i]["id"]))[:10]
+        ranked = [(max(cos[i], lexical(c, block[i])), -n, block[i]) for n, i in enumerate(near)]
+        s, _, best = max(ranked, key=lambda x: (x[0] >= 0.88, x[0] >= 0.75, x[0], x[1])) if ranked else (0.0, 0, None)
+        if best is not None and s >= 0.88:
+            out[pos] = (c["id"], "auto_merge", best["id"])
+            urls[c["url"]] = best["id"]
+            urls[best["url"]] = best["id"]
+            best["city"] = best["city"] or c["city"]
+        elif best is not None and s >= 0.75:
+            held.append((pos, c, best))
+        else:
+            known.append(dict(c))
+            urls[c["url"]] = c["id"]
+            out[pos] = (c["id"], "insert_new", c["id"])
+    same = [lexical(c, best) >= least for _, c, best in held]
+    for (pos, c, best), yes in zip(held, same, strict=True):
+        out[pos] = (c["id"], "tiebreak", best["id"] if yes else c["id"])
+    return [out[k] for k in sorted(out)]
+
+
+def outcomes(run):
+    return [run.outcomes[k] for k in sorted(run.outcomes)]
+
+
+def _candidate(i, url, vector, **more):
+    return {"id": i, "url": url, "title": i, "description": "", "embedding": vector, **more}
+
+
+def test_a_merged_candidates_url_is_known_from_then_on():
+    a, x, again = _candidate("a", "u1", [1.0, 0.0]), _candidate("x", "u2", [1.0, 0.0]), _candidate("y", "u2", [0.0, 1.0])
+    out = outcomes(fold_run([a, x, again], [], lambda pairs: []))
+    assert [(o["decision"], o["canonical_id"], o["similarity"]) for o in out] == [("insert_new", "a", None), ("auto_merge", "a", 1.0), ("auto_merge", "a", 1.0)]
+
+
+def test_the_judge_is_asked_once_and_only_if_something_is_ambiguous():
+    asked = []
+
+    def judge(pairs):
+        asked.append(len(pairs))
+        return [True] * len(pairs)
+
+    base, side = _candidate("a", "u1", [1.0, 0.0]), [_candidate(f"c{k}", f"v{k}", [0.8, 0.6]) for k in range(3)]
+    fold_run([base, *side], [], judge)
+    fold_run([base], [], judge)
+    assert asked == [3]
+
+
+def test_golden_records_and_provenance(spark):
+    t = [datetime(2026, 7, k, tzinfo=UTC) for k in (1, 2, 3)]
+    schema = "run int, pos int, id string, url string, title string, description string, city string, country string, venue string, lat double, lon double, starts_at timestamp, ends_at timestamp, price string, image_url string, attributes map<string,string>, embedding array<double>, fetched_at timestamp"
+    data = [
+        (0, 0, "a", "u1", "one", "", "Berlin", None, None, None, None, None, None, None, None, {"organizer": "x", "tags": " "}, [1.0, 0.0], t[1]),
+        (0, 1, "b", "u2", "two", "said", "Berlin", "DE", "hall", 52.5, 13.4, None, None, "5", "img", {"organizer": "y", "tags": "jazz"}, [1.0, 0.0], t[0]),
+        (0, 2, "c", "u2", "three", "", None, None, None, None, None, t[2], t[2], None, None, None, [0.0, 1.0], t[2]),
+        (0, 3, "d", "u9", "four", "", "Berlin", None, None, None, None, None, None, None, None, None, [0.0, 1.0], t[2]),
+    ]
+    df = spark.createDataFrame(data, schema)
+    corpus = spark.createDataFrame([("k1", "old", "known", "", "Berlin", None, None, None, None, None, None, None, None, None, [0.0, 1.0], ["r0"], t[0], t[0]), ("far", "far", "far", "", "Rome", None, None, None, None, None, None, None, None, None, [0.0, 1.0], ["r1"], t[0], t[0])], "id string, url string, title string, description string, city string, country string, venue string, lat double, lon double, starts_at timestamp, ends_at timestamp, price string, image_url string, attributes map<string,string>, embedding array<double>, source_ids array<string>, first_seen_at timestamp, last_seen_at timestamp")
+    near = triage.near_corpus(df, corpus, "run")
+    assert {r["id"] for r in near.collect()} == {"k1", "far"}  # c has no city, so Rome is in its block
+    judge = judge_by_words(0.5)
+    golden = {r["id"]: r for r in triage.sequential(df, near, "run", judge, what="golden").collect()}
+    assert set(golden) == {"a", "k1"} and golden["a"]["is_new"] and not golden["k1"]["is_new"]
+    a = golden["a"]
+    assert (a["title"], a["description"], a["country"], a["venue"], a["lat"], a["price"], a["image_url"]) == ("one", "said", "DE", "hall", 52.5, "5", "img")
+    assert a["attributes"] == {"organizer": "x", "tags": "jazz"} and a["source_ids"] == ["a", "b", "c"] and a["starts_at"] is not None
+    assert a["first_seen_at"] < a["last_seen_at"] and a["embedding"] == [1.0, 0.0]
+    assert golden["k1"]["source_ids"] == ["r0", "d"] and golden["k1"]["title"] == "known"
+    gave = {(r["canonical_id"], r["field"]): r["source_id"] for r in triage.sequential(df, near, "run", judge, what="provenance").collect()}
+    assert gave["a", "title"] == "a" and gave["a", "venue"] == "b" and gave["a", "attributes.tags"] == "b" and gave["a", "starts_at"] == "c"
+
+
+def test_knn_refuses_vectors_of_several_lengths(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None)], "id bigint, v array<double>")
+    with pytest.raises(ValueError, match="lengths"):
+        block.knn(df, df, "id", "v", 2)
+    good = df.filter("id <> 3")
+    assert rows(block.knn(good, good, "id", "v", 2), "q_id", "id") == [(1, 2), (2, 1)]
+
+
+def test_profiles_after_feedback(spark):
+    items = spark.createDataFrame([("i1", [1.0, 0.0]), ("i2", [0.0, 2.0]), ("i3", None)], "canonical_search_result_id string, embedding array<double>")
+    profiles = spark.createDataFrame([("q1", "old", [1.0, 1.0], None, 1, 0)], "saved_query_id string, nl_summary string, liked_centroid array<double>, disliked_centroid array<double>, like_count int, dislike_count int")
+    given = lambda *r: spark.createDataFrame(r, "saved_query_id string, canonical_search_result_id string, kind string")
+    said = spark.createDataFrame([("q1", " new words "), ("q2", "  ")], "saved_query_id string, text string")
+    got = {r["saved_query_id"]: r for r in feedback.record(profiles, given(("q1", "i1", "like"), ("q1", "i2", "like"), ("q1", "i2", "dislike"), ("q2", "i2", "like"), ("q2", "i3", "dislike")), items, said).collect()}
+    assert [round(x, 9) for x in got["q1"]["liked_centroid"]] == [round(2 / 3, 9), 1.0] and got["q1"]["disliked_centroid"] == [0.0, 2.0]
+    assert (got["q1"]["like_count"], got["q1"]["dislike_count"], got["q1"]["nl_summary"]) == (3, 1, "new words")
+    assert (got["q2"]["liked_centroid"], got["q2"]["disliked_centroid"], got["q2"]["like_count"], got["q2"]["dislike_count"], got["q2"]["nl_summary"]) == ([0.0, 2.0], None, 1, 1, None)
+    with pytest.raises(feedback.UnknownResult, match="nobody"):
+        feedback.record(profiles, given(("q1", "i1", "like"), ("q1", "nobody", "like")), items)
+
+
 def test_components(spark):
     nodes = spark.range(9).select(F.col("id"))
     links = spark.createDataFrame([(8, 7), (7, 3), (3, 1), (2, 5)], "a bigint, b bigint")

@@ -111,3 +111,73 @@ def test_whole_run(spark):
     assert out["fused"].count() == 2 and out["outcomes"].count() == 2 and len(seen) == 8
     first = out["ranked"].filter("rank = 0").join(out["fused"].select(F.substring(F.sha2("url", 256), 1, 22).alias("id"), "url"), "id").first()
     assert first["url"] == "https://b.example/y"
+
+
+def test_run_is_stored_and_reconciled_later(spark, tmp_path):
+    """A run's golden records, provenance and links; feedback on unknown records is refused; a later session meets the same records."""
+    from tessera.operators import feedback
+    from tessera.operators.triage import judge_by_words
+    from tessera.plans.curation import run, store_run
+
+    store = Store(spark, str(tmp_path / "run"))
+    recorded = {"q1": [{"url": "https://a.example/x", "title": "jazz night", "description": "in the hall"}, {"url": "https://b.example/y", "title": "poems", "description": "quiet evening"}]}
+    corpus = spark.createDataFrame([], "id string, url string, title string, description string, city string, venue string, starts_at timestamp, price string, embedding array<double>")
+    profile = spark.createDataFrame([(None, None)], "liked_centroid array<double>, disliked_centroid array<double>")
+    out = run(spark, recorded, corpus, profile, spark.createDataFrame([], "canonical_id string"))
+    for _ in range(2):  # storing again changes nothing
+        store_run(store, "saved", out, 1)
+    assert store.view("canonical").count() == 2 and store.links().count() == 2
+    assert all(set(r["winners"]) >= {"title", "description"} for r in store.view("provenance").collect())
+    with pytest.raises(ValueError, match="one profile"):
+        run(spark, recorded, corpus, profile.union(profile), spark.createDataFrame([], "canonical_id string"))
+    bad = spark.createDataFrame([("f", "saved", "nobody", "like")], "id string, saved_query_id string, canonical_search_result_id string, kind string")
+    with pytest.raises(feedback.UnknownResult):
+        store.add_feedback(bad, 1)
+    assert store.view("feedback").count() == 0
+    # A later session finds one of them again under another address, and something new.
+    folder = tmp_path / "later"
+    later = spark.createDataFrame([(0, "n1", "https://c.example/z", "jazz night", "in the hall", "Berlin"), (1, "n2", "https://d.example/q", "chess open", "for all", None)], "pos int, id string, url string, title string, description string, city string")
+    later = later.withColumn("venue", F.lit(None).cast("string")).withColumn("starts_at", F.lit(None).cast("timestamp")).withColumn("price", F.lit("5"))
+    from tessera.functions.text import doc_text
+
+    later = later.withColumn("embedding", models.embed_column(doc_text(F.col("title"), F.col("description"))))
+    later.coalesce(1).write.parquet(str(folder))
+    got = twins.reconcile(spark, spark.readStream.schema(later.schema).parquet(str(folder)), store, judge_by_words(0.5))
+    found = {r["title"]: r for r in got.collect()}
+    assert set(found) == {"jazz night", "poems", "chess open"} and found["jazz night"]["geo"]["city"] == "Berlin" and found["jazz night"]["price"] == "5"
+    assert found["jazz night"]["city_key"] == "berlin" and len(found["jazz night"]["source_search_result_ids"]) == 2
+
+
+def test_ticks_run_what_is_due(spark, tmp_path):
+    at = lambda d, h: datetime(2026, 6, d, h, tzinfo=UTC)
+    queries = spark.createDataFrame([("daily", "0 9 * * *", True, at(10, 0), None), ("off", "0 9 * * *", False, at(10, 0), None), ("broken", "0 9 * * *", True, at(10, 0), None)], "id string, schedule_cron string, enabled boolean, created_at timestamp, last_run_at timestamp")
+    for n, moment in enumerate((at(12, 8), at(12, 10), at(12, 11), at(15, 10))):
+        spark.createDataFrame([(moment,)], "at timestamp").coalesce(1).write.parquet(str(tmp_path / f"clock/n={n}"))
+    ran = []
+
+    def run(q, now):
+        ran.append((q["id"], now.day))
+        if q["id"] == "broken":
+            raise ValueError
+
+    clock = spark.readStream.schema("at timestamp, n int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "clock"))
+    marks = twins.ticks(spark, clock, queries, run).collect()
+    assert [d for q, d in ran if q == "daily"] == [12, 12, 15]  # at 8 for the fires missed, at 10 for the day's, after the outage once
+    assert {r["id"] for r in marks} == {"daily"} and len([q for q, _ in ran if q == "broken"]) == 4
+
+
+def test_delivery_and_recorded_cases(spark, tmp_path):
+    from tessera.operators import evaluate
+
+    sent = []
+    assert twins.deliver(spark.createDataFrame([("c", 1, "b"), ("c", 0, "a"), ("b", 0, "z")], "chat_id string, rank int, message string"), lambda c, t: sent.append((c, t))) == 3
+    assert sent == [("b", "z"), ("c", "a"), ("c", "b")]
+    (tmp_path / "cases.json").write_text('{"name":"x","stage":"rank","golden_ids":["1"]}\n{"name":"y","stage":"merge","golden_ids":[]}\n')
+    assert [r["name"] for r in evaluate.cases(spark, str(tmp_path / "cases.json"), "rank").collect()] == ["x"]
+
+
+def test_locations_are_blank_where_unknown(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "users"))
+    store.append("users", spark.createDataFrame([("u1", "n", ("Berlin", None, None, None), None)], TABLES["users"]), 1)
+    got = store.location_of(spark.createDataFrame([("u1",), ("u2",)], "user_id string")).collect()
+    assert sorted(tuple(r) for r in got) == [("u1", "Berlin", ""), ("u2", "", "")]
