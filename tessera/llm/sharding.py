@@ -187,7 +187,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     within = F.row_number().over(Window.partitionBy(*where).orderBy("h", "id"))
     return (
         placed.withColumn("n", within)
-        .join(offsets, where)
+        .join(F.broadcast(offsets), where)  # 2**TOP blocks, as many parts of heavy texts and the shards' cuts at most
         .select(
             F.col("id").alias(id_col),
             "size",
