@@ -32,6 +32,8 @@ SAMPLES, SAMPLE_SHINGLES = 12, 5
 SLACK = 3.5
 #: Members of a bucket that one task holds on either side of a comparison, about.
 CHUNK = 2048
+#: Candidates of a row and cell that are verified in each turn, at most; the last turn takes all that are still open.
+TURNS = (16, None)
 #: Ranges of hashes in which a set's shingles are counted, and the largest count.
 RANGES, FULL = 64, 65_535
 
@@ -426,7 +428,7 @@ def _digest(shingles: np.ndarray, seed: int) -> bytes:
 
 
 def set_prints(docs: DataFrame, width: int, seed: int, samples: int, each: int) -> DataFrame:
-    """(id, key, fp, prints, sketch): a digest of each text's distinct shingles, their SimHash, and ``sample_prints``."""
+    """(id, key, fp, prints, sketch, ranges): a digest of each text's distinct shingles, their SimHash, ``sample_prints`` and ``range_counts``."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,10 +437,10 @@ def set_prints(docs: DataFrame, width: int, seed: int, samples: int, each: int)
                 found = [_set_of(t, width, seed) for t in part.column(1)]
                 hashes, counts = np.concatenate(found), np.array([len(x) for x in found])
                 prints, sketch = sample_prints(hashes, counts, samples, each)
-                columns = [pa.array([_digest(x, seed) for x in found], pa.binary()), pa.array(majority_bits(hashes, counts).view(np.int64)), pa.array(list(prints.view(np.int64)), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "key", "fp", "prints", "sketch"])
+                columns = [pa.array([_digest(x, seed) for x in found], pa.binary()), pa.array(majority_bits(hashes, counts).view(np.int64)), pa.array(list(prints.view(np.int64)), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array([range_counts(x) for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "key", "fp", "prints", "sketch", "ranges"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, key binary, fp bigint, prints array<bigint>, sketch binary")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, key binary, fp bigint, prints array<bigint>, sketch binary, ranges binary")
 
 
 def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -513,16 +515,32 @@ def sample_members(classes: DataFrame) -> tuple[DataFrame, int]:
     return staged(_beside(members, buckets, ["t", "print"], "k", total), "bucket-members"), total
 
 
-def _agreeing(similarity: float):
-    """Rows (cell, probe, node, c, plain, sketch), a cell's together -> (a, b): pairs of a probe and a base row of different components whose sketches agree."""
+def _best(equal: np.ndarray, ok: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``ok`` with the ``most`` places of each row that have the largest ``equal`` alone, and which rows lost some."""
+    cut = np.count_nonzero(ok, axis=1) > most
+    if cut.any():
+        order = np.argsort(np.where(ok[cut], -equal[cut].astype(np.int32), 1), axis=1, kind="stable")[:, :most]
+        kept = np.zeros((len(order), ok.shape[1]), dtype=bool)
+        np.put_along_axis(kept, order, True, axis=1)
+        ok = ok.copy()
+        ok[cut] = kept
+    return ok, cut
+
+
+def _agreeing(similarity: float, most: int | None):
+    """Rows (cell, probe, node, c, plain, sketch, ranges), a cell's together -> (a, b, cut): pairs of a probe and a base row of different components whose sketches agree and whose ranges don't rule them out.
+
+    Of a probe's pairs in a cell only the ``most`` that agree best; ``cut`` says that it has more.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, probe, node, c, plain, raw in _whole_nodes(batches, 1):
+        for cell, probe, node, c, plain, raw, counted in _whole_nodes(batches, 1):
             places = raw.dtype.itemsize
             sketch = raw.view(np.uint8).reshape(-1, places)
+            ranges = counted.view(np.uint16).reshape(-1, RANGES)
             least = least_agreement(similarity, places)
-            a, b = [], []
+            a, b, more = [], [], []
             starts = run_starts(cell)
             for lo, hi in zip(starts, np.append(starts[1:], len(cell)), strict=True):
                 asks = lo + np.flatnonzero(probe[lo:hi])
@@ -538,17 +556,26 @@ def _agreeing(similarity: float):
                     for j in range(places):
                         equal += sketch[some, j][:, None] == across[j][None, :]
                     x, y = np.nonzero(good & (equal >= least))
+                    good = np.zeros(good.shape, dtype=bool)
+                    for j in range(0, len(x), 8192):
+                        u, v = x[j : j + 8192], y[j : j + 8192]
+                        good[u, v] = may_be_similar(ranges[some[u]], ranges[base[v]], similarity)
+                    good, cut = (good, np.zeros(len(good), dtype=bool)) if most is None else _best(equal, good, most)
+                    x, y = np.nonzero(good)
                     a.append(node[some[x]])
                     b.append(node[base[y]])
+                    more.append(cut[x])
             if a:
                 x, y = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(more))], names=["a", "b", "cut"])
 
     return run
 
 
-def open_sample_pairs(classes: DataFrame, members: DataFrame, total: int, similarity: float) -> DataFrame | None:
-    """All pairs (a, b), a < b, of one bucket whose classes are in different components and whose sketches agree.
+def open_sample_pairs(classes: DataFrame, members: DataFrame, total: int, similarity: float, most: int | None) -> DataFrame | None:
+    """Pairs (a, b, cut), a < b, of one bucket whose classes are in different components, whose sketches agree and whose range counts don't rule them out.
+
+    They are all such pairs if ``most`` is None, else ``most`` of each row in each cell.
 
     A bucket's rows of its commonest component needn't meet each other; only the others
     are compared, with all rows.  Both sides are cut into chunks, and a cell of one chunk
@@ -560,15 +587,15 @@ def open_sample_pairs(classes: DataFrame, members: DataFrame, total: int, simila
     buckets = staged(buckets.filter("parts > 1").drop("parts"), "open-buckets")
     if buckets.isEmpty():
         return None
-    rows = _beside(placed, buckets, ["t", "print"], "k", total).join(classes.select("node", "sketch"), "node")
+    rows = _beside(placed, buckets, ["t", "print"], "k", total).join(classes.select("node", "sketch", "ranges"), "node")
     rows = rows.withColumn("ways", F.ceil(F.col("k") / CHUNK).cast("int")).withColumn("probe_ways", F.ceil((F.col("k") - F.col("most")) / CHUNK).cast("int"))
     mine = lambda ways: F.pmod(F.xxhash64("node"), F.col(ways)).cast("int")
     every = lambda ways: F.explode(F.sequence(F.lit(0), F.col(ways) - 1))
-    out = ["t", "print", "x", "y", "probe", "node", "c", (F.col("c") == F.col("major")).alias("plain"), "sketch"]
+    out = ["t", "print", "x", "y", "probe", "node", "c", (F.col("c") == F.col("major")).alias("plain"), "sketch", "ranges"]
     base = rows.withColumn("x", mine("ways")).withColumn("y", every("probe_ways")).withColumn("probe", F.lit(False)).select(*out)
     probes = rows.filter("c <> major").withColumn("x", every("ways")).withColumn("y", mine("probe_ways")).withColumn("probe", F.lit(True)).select(*out)
-    cells = base.unionByName(probes).withColumn("cell", F.xxhash64("t", "print", "x", "y")).select("cell", "probe", "node", "c", "plain", "sketch")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_agreeing(similarity), "a bigint, b bigint")
+    cells = base.unionByName(probes).withColumn("cell", F.xxhash64("t", "print", "x", "y")).select("cell", "probe", "node", "c", "plain", "sketch", "ranges")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_agreeing(similarity, most), "a bigint, b bigint, cut boolean")
 
 
 def verified(pairs: DataFrame, names: DataFrame | None, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
@@ -632,7 +659,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     Every candidate is verified on its whole texts.  The first to be tried tie each bucket
     or node together by few pairs, so a large group of copies costs links in proportion to
     its size.  Then come all other candidates whose ends the verified links have not
-    connected: a link that failed hides no other.
+    connected: a link that failed hides no other.  They are tried in TURNS, each row's
+    closest first, so that a group of near copies is connected before its pairs are listed.
 
     ``unique`` promises that no two rows share an id, which saves a shuffle of sets.
 
@@ -646,7 +674,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     prints = staged(set_prints(own, shingle_words, seed, samples, each), "set-prints")
     # Copies meet here: from now on a set is one row, named by its smallest id.
-    firsts = [F.first(c).alias(c) for c in ("fp", "prints", "sketch")]
+    firsts = [F.first(c).alias(c) for c in ("fp", "prints", "sketch", "ranges")]
     classes = staged(prints.groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), *firsts), "shingle-classes")
     named = classes.filter("node IS NOT NULL")
     names = None if unique else named.select(F.col("node").alias("id"), "key")
@@ -658,14 +686,23 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     links = verified(tried, names, own, shingle_words, seed, similarity)
     rooted = lambda links: components(links).select("node", F.col("root").alias("component_id"))
     roots = rooted(links)
-    so_far = staged(named.drop("n").join(roots, "node", "left").withColumn("component_id", F.coalesce("component_id", "node")), "first-components")
-    more = [open_index_pairs(so_far, index, radius), open_sample_pairs(so_far, members, total, similarity) if samples else None]
-    more = [m for m in more if m is not None]
-    if more:
-        others = more[0] if len(more) == 1 else more[0].unionByName(more[1])
-        others = staged(others.distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    for turn, most in enumerate(TURNS if samples else TURNS[-1:]):
+        so_far = staged(named.drop("n").join(roots, "node", "left").withColumn("component_id", F.coalesce("component_id", "node")), "components-so-far")
+        near = open_index_pairs(so_far, index, radius) if turn == 0 else None
+        like = open_sample_pairs(so_far, members, total, similarity, most) if samples else None
+        more = [m for m in (near and near.withColumn("cut", F.lit(False)), like) if m is not None]
+        if not more:
+            break
+        found = staged(more[0] if len(more) == 1 else more[0].unionByName(more[1]), "open-pairs")
+        others = staged(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
         if not others.isEmpty():
-            roots = rooted(links.unionByName(verified(others, names, own, shingle_words, seed, similarity)))
+            new = verified(others, names, own, shingle_words, seed, similarity)
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                roots = rooted(links)
+            tried = tried.unionByName(others)
+        if found.filter("cut").isEmpty():
+            break
     tied = staged(classes.select("key", "n", "node").join(roots, "node", "left").select("key", "n", F.coalesce("component_id", "node").alias("component_id")), "tied-classes")
     return _spread(prints.select("id", "key", "fp"), tied, "key").select(F.col("id").alias(id_col), "fp", "component_id")
 
