@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import (
+    assembly,
+    chat_format,
+    clustering,
     decontamination,
     exact_dedup,
     language_id,
@@ -32,9 +35,15 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_language_id": language_id.op10_language_id,
+    "op11_sale_assembly": assembly.op11_sale_assembly,
+    "op12_centroid_clusters": clustering.op12_centroid_clusters,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op8_mixing": mixing.SQL,
+    "op11_sale_assembly": assembly.SQL,
+    "op12_centroid_clusters": clustering.SQL,
+    "op13_chat_format": chat_format.SQL,
 }
