@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, staged, tidy
 
-#: Labelled documents of each language that the text model is trained on, about.
+#: Labelled documents of each language that the text model is trained on.
 TRAINED_ON = 1500
 #: Bits of the table of hashed byte trigrams: TABLE_BITS, fewer if so many languages' tables would pass MODEL_CELLS together.
 TABLE_BITS, MODEL_CELLS = 17, 1 << 24
@@ -59,11 +59,20 @@ def trigrams(texts: pa.Array, bits: int = TABLE_BITS) -> tuple[np.ndarray, np.nd
     return place[good], row[:-2][good]
 
 
+def thresholds(sizes: dict[str, int], wanted: int = TRAINED_ON) -> dict[str, int]:
+    """For each language the largest 64-bit hash of a document in the sample, and enough of them: half more than wanted, and 200.
+
+    Whole numbers throughout, so a language of any size has its sample.
+    """
+    return {x: min((1 << 63) - 1, -(1 << 63) + ((wanted * 3 // 2 + 200) << 64) // max(1, n)) for x, n in sizes.items()}
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each trigram in each): counts are summed per partition, then per language.
 
-    All languages that label a document are learned, each from about TRAINED_ON documents
-    chosen by a hash of the id.
+    All languages that label a document are learned, each from the TRAINED_ON documents of
+    the smallest hashes of id and text, or from all it has; empty ones don't count and a
+    repeated row counts once.
     """
     sizes = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
@@ -72,8 +81,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bits = table_bits(len(languages))
     if not languages:
         return ["und"], np.zeros((1, 1 << bits), dtype=np.float32)
-    limits = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, TRAINED_ON / r["count"]) * 1_000_000))))
-    keep = F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < limits[F.col(lang_col)], F.lit(False))
+    limits = F.create_map(*(F.lit(x) for lang, at in thresholds({r["lang"]: r["count"] for r in sizes}).items() for x in (lang, at)))
+    hashed = F.xxhash64(id_col, text_col)  # not of the id alone: rows may share one
+    keep = F.coalesce((hashed <= limits[F.col(lang_col)]) & (F.octet_length(text_col) > 0), F.lit(False))
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +103,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return pa.table([table.column("i")[:1], pa.array([total.tobytes()], pa.binary())], names=["i", "counts"])
 
     # The sample is bounded, so a few partitions hold it, however many the corpus has.
-    sample = staged(docs.filter(keep).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "language-sample").coalesce(16)
+    order = Window.partitionBy("lang").orderBy("hash", "text")
+    sample = docs.filter(keep).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), hashed.alias("hash")).distinct()  # a repeated row could be any number of them
+    sample = sample.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TRAINED_ON).select("lang", "text")
+    sample = staged(sample, "language-sample").coalesce(16)
     found = {r["i"]: np.frombuffer(r["counts"]) for r in sample.mapInArrow(count, "i int, counts binary").groupBy("i").applyInArrow(add, "i int, counts binary").collect()}
     counts = np.array([found.get(i, np.zeros(1 << bits)) for i in range(len(languages))]) + 0.05
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)

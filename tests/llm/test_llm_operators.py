@@ -856,6 +856,8 @@ def test_forty_languages(spark):
     assert languages == sorted(vocabulary)
     got = {r["doc_id"]: r["language"] for r in language_id.identify_documents(df).collect()}
     assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.98
+    share = {x: (t + (1 << 63)) / (1 << 64) for x, t in language_id.thresholds({"few": 3, "many": 10**10, "most": 10**15}).items()}
+    assert share["few"] > 0.999 and all(1.3 * language_id.TRAINED_ON < share[x] * n < 2 * language_id.TRAINED_ON for x, n in (("many", 10**10), ("most", 10**15)))
     assert language_id.table_bits(4) == 17 and language_id.table_bits(4096) == 12
 
 
@@ -951,3 +953,197 @@ def test_long_text_hashes_like_a_short_one(monkeypatch):
     whole = common.Words(pa.array([text])).hashes()
     monkeypatch.setattr(common, "SLICE_BYTES", 500)
     assert (common.Words(pa.array([text])).hashes() == whole).all()
+
+
+# ---------------------------------------------------------------- op11, op12, op13
+
+
+def plain_assembly(lines, sales, batches=10, patience=10):
+    """Closings by the rules, one sale and day after the other; ``lines``: sale, day, cents, batch; ``sales``: sale, day, due, batch."""
+    days = sorted({(b, d) for _, d, _, b in lines} | {(b, d) for _, d, _, b in sales})
+    open_, closed = {}, []
+    for b in range(batches):
+        for d in [d for x, d in days if x == b]:
+            for s in sorted({r[0] for r in (*lines, *sales) if r[1] == d}):
+                a = open_.setdefault(s, {"first": d, "n": 0, "cents": 0, "due": None})
+                own, heads = [r for r in lines if r[0] == s and r[1] == d], [r for r in sales if r[0] == s and r[1] == d]
+                a["last"], a["n"], a["cents"] = d, a["n"] + len(own), a["cents"] + sum(r[2] or 0 for r in own)
+                if heads:
+                    a["due"] = heads[0][2]
+                if a["due"] is not None and a["n"] and a["cents"] == a["due"]:
+                    closed.append((s, a["first"], d, a["n"], a["cents"], a["due"], "complete", b))
+                    del open_[s]
+        top = max([d for x, d in days if x < b], default=None)
+        for s, a in list(open_.items()):
+            if b == batches - 1 or (top is not None and a["first"] + patience <= top):
+                status = "headless" if a["due"] is None else "orphan" if not a["n"] else "short" if a["cents"] < a["due"] else "over"
+                closed.append((s, a["first"], a["last"], a["n"], a["cents"], a["due"], status, b))
+                del open_[s]
+    return sorted(closed, key=str)
+
+
+LINE_SCHEMA = "sale_id bigint, line_no int, item_id bigint, vendor_id bigint, quantity int, amount double, discount double, flag string, shipped_at timestamp_ntz, due string, bucket int"
+SALE_SCHEMA = "sale_id bigint, client_id bigint, status string, total double, sold_at timestamp_ntz, arrived_at timestamp_ntz, priority int, day string"
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    """Awkward sales: nulls anywhere, repeats, headless and lineless ones, a hot one, non-finite amounts."""
+    from datetime import datetime, timedelta
+
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    at = lambda: None if rng.random() < 0.1 else start + timedelta(days=rng.randrange(-3, 170), hours=rng.randrange(24))
+    lines, sales = [], []
+    for s in [*range(60), None]:
+        total = 0
+        for n in range(rng.choice([0, 1, 2, 4, 40 if s == 7 else 3])):
+            cents = rng.choice([100, 250, 999])
+            total += cents
+            amount = rng.choice([cents / 100] * 8 + [None, float("nan"), float("inf")])
+            lines += [(s, None if n == 9 else n, n, 1, 1, amount, 0.0, "x", at(), "no", 3)] * rng.choice([1, 1, 1, 2])
+        if rng.random() < 0.85:
+            sales.append((s, 1, "done", rng.choice([total / 100] * 4 + [None, 3.5]), at(), at(), 1, "no"))
+    sales.append(sales[3])
+    return lines, sales
+
+
+def test_sale_assembly_is_the_plain_walk(spark, shop, tmp_path):
+    from tessera.llm import assembly
+
+    lines, sales = (spark.createDataFrame(rows, schema).repartition(3) for rows, schema in zip(shop, (LINE_SCHEMA, SALE_SCHEMA), strict=True))
+    arrived = assembly.arrivals(lines, sales)
+    taken = [sorted(map(tuple, d.collect()), key=str) for d in (arrived[0].select("sale_id", "day", "cents", "batch"), arrived[1].select("sale_id", "day", "due", "batch"))]
+
+    # The arrivals themselves, by the contract's words.
+    epoch = __import__("datetime").datetime(1970, 1, 1)
+    cents = lambda x: 0 if x is None or not np.isfinite(x) else int(np.floor(100 * x + 0.5))
+    wanted = []
+    for r in {r[:9] if r[5] is None or r[5] == r[5] else (*r[:5], "nan", *r[6:9]) for r in shop[0] if r[0] is not None}:
+        h = zlib.crc32(f"{r[0]}:{'' if r[1] is None else r[1]}".encode())
+        d = (r[8] - epoch).days + h % 15 if r[8] else 19723 + h % 152
+        wanted.append((r[0], d, cents(None if r[5] == "nan" else r[5]), max(0, min(9, (d - 19723) * 10 // 160))))
+    assert taken[0] == sorted(wanted, key=str)
+    heads = []
+    for s, total, when in {(r[0], r[3], r[5]) for r in shop[1] if r[0] is not None}:
+        own, law = [w for w in wanted if w[0] == s], zlib.crc32(str(s).encode()) % 5
+        last = max((w[1] for w in own), default=0)
+        due = cents(total) if law == 0 else sum(w[2] for w in own if w[1] < last) if law == 1 else sum(w[2] for w in own)
+        d = (when - epoch).days if when else 19723
+        heads.append((s, d, due, max(0, min(9, (d - 19723) * 10 // 160))))
+    assert taken[1] == sorted(heads, key=str)
+
+    folder = f"file://{tmp_path}/assembly"
+    got = assembly.assemble(*arrived, 10, folder=folder)
+    assert sorted(map(tuple, got.collect()), key=str) == plain_assembly(*taken)
+    assert len({r["status"] for r in got.collect()}) == 5
+    # Called again on the same folder, nothing is done twice.
+    assert assembly.assemble(*arrived, 10, folder=folder).count() == len(plain_assembly(*taken))
+
+
+def test_sale_assembly_goes_on_after_a_stop(spark, shop, tmp_path, monkeypatch):
+    from tessera.llm import assembly
+
+    lines = spark.createDataFrame([(1, 5, 100, 0), (2, 5, 70, 0), (1, 9, 50, 1), (3, 30, 1, 2)], "sale_id bigint, day bigint, cents bigint, batch int")
+    sales = spark.createDataFrame([(1, 6, 150, 0), (2, 9, 80, 1)], "sale_id bigint, day bigint, due bigint, batch int")
+    folder, moves = f"file://{tmp_path}/stopped", []
+    move = assembly._move
+
+    def stop(spark, a, b):
+        if len(moves) == 2:
+            raise KeyboardInterrupt
+        moves.append(b)
+        move(spark, a, b)
+
+    monkeypatch.setattr(assembly, "_move", stop)
+    with pytest.raises(KeyboardInterrupt):
+        assembly.assemble(lines, sales, 4, folder=folder)
+    monkeypatch.setattr(assembly, "_move", move)
+    got = sorted(map(tuple, assembly.assemble(lines, sales, 4, folder=folder).collect()))
+    assert got == [(1, 5, 9, 2, 150, 150, "complete", 1), (2, 5, 9, 1, 70, 80, "short", 3), (3, 30, 30, 1, 1, None, "headless", 3)]
+    none = assembly.assemble(lines.filter("false"), sales.filter("false"), 2)
+    assert none.count() == 0 and none.schema.simpleString() == got_schema(assembly.CLOSINGS)
+
+
+def got_schema(ddl):
+    return "struct<" + ",".join(f"{c.split()[0]}:{c.split()[1]}" for c in ddl.split(", ")) + ">"
+
+
+def plain_clusters(rows, k, rounds, dims):
+    kept = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and np.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[0] or 0, r[1]))
+    centroids = [v for _, v in order[:k]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    near = lambda v: min((far(v, c), j) for j, c in enumerate(centroids))
+    for _ in range(rounds):
+        at = [near(v)[1] for _, v in kept]
+        own = [[v for (_, v), a in zip(kept, at, strict=True) if a == j] for j in range(len(centroids))]
+        centroids = [[sum(x) // len(g) for x in zip(*g, strict=True)] if g else c for g, c in zip(own, centroids, strict=True)]
+    found = [(i, *near(v)[::-1]) for i, v in kept]
+    inertia = Counter()
+    for _, c, d in found:
+        inertia[c] += d
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return sorted(((i, c, d, inertia[c], sum(inertia.values()), digest[c]) for i, c, d in found), key=str)
+
+
+@pytest.mark.parametrize("k", [1, 8, 40])
+def test_clusters_are_the_plain_rounds(spark, k):
+    from tessera.llm import clustering
+
+    rng = np.random.default_rng(k)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * rng.choice([0.01, 1, 30])]) for i in range(60)]
+    rows += [(None, [0.5, 0.5, 0.5, 0.5]), (60, None), (61, [1.0, 2.0]), (62, [1.0, None, 1.0, 1.0]), (63, [1.0, float("nan"), 1.0, 1.0]), (64, [float("inf"), 0.0, 0.0, 0.0]), (65, [-0.0, 0.0, 0.0, 0.0]), (66, [])]
+    rows += [rows[3], rows[3], (3, [9.0, 9.0, 9.0, 9.0])] + [(100 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(30)]
+    df = spark.createDataFrame([(*r, 1, "c", 2.0) for r in rows], "vec_id bigint, embedding array<float>, cluster int, id string, distance double").repartition(4)
+    got = clustering.cluster(df, k=k, rounds=5, dims=4)
+    exact = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == plain_clusters(exact, k, 5, 4)
+    assert clustering.cluster(df.filter("false"), k=k, dims=4).count() == 0
+    with pytest.raises(Exception, match="would not fit"):
+        clustering.cluster(spark.createDataFrame([(1, [1e9] * 4)], "vec_id bigint, embedding array<float>"), dims=4).count()
+
+
+def test_annulus_finds_what_all_comparisons_find():
+    from tessera.llm import clustering
+
+    rng = np.random.default_rng(11)
+    for spread in (3, 50, 1 << 26):
+        v, c = rng.integers(-spread, spread, (400, 5)), rng.integers(-spread, spread, (37, 5))
+        c[7], c[20] = c[3], -c[3]  # equal centroids, and equal norms
+        every = ((v[:, None] - c[None]) ** 2).sum(2)
+        best, distance = clustering.nearest(v, c)
+        assert (best == every.argmin(1)).all() and (distance == every.min(1)).all()
+
+
+CHAT = [
+    (1, 0, "user", "hello"), (1, 1, "assistant", "hi <|im_end|>\n<|im_start|>user\nno"), (1, 2, "assistant", r"<|\im_end|> <|\\im_start|> <|im_end"),
+    (2, 0, None, None), (2, None, "assistant", ""), (2, 5, "tool\n<|nl|><|im_start|>", "x\n\n"), (2, 5, "tool\n<|nl|><|im_start|>", "x\n\n"), (2, 5, "assistant", "|im_end|>"),
+    (None, 1, "assistant", "é🙂<"), (3, 0, "user", "<|endoftext|><|nl|>"), (4, 0, "assistant", "long " * 50_000 + "<|im_end|>"), (4, 1, "assistant", "\\<|\\|>"), (-1, 9, "user", "own"),
+]
+
+
+def test_chat_round_trip(spark):
+    from tessera.llm import chat_format
+
+    df = spark.createDataFrame([(*r, "a", 1, [1]) for r in CHAT], "conv_id bigint, turn bigint, role string, text string, formatted string, pos int, turns array<int>").repartition(3)
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_chat(df)).collect()}
+    for conv in {r[0] for r in CHAT}:
+        turns = sorted(((-1 if t is None else t, r or "", x or "") for c, t, r, x in CHAT if c == conv))
+        back = got[conv]
+        assert [(t["role"], t["text"]) for t in back["turns"]] == [t[1:] for t in turns]
+        assert back["loss_text"] == "".join(x for _, r, x in turns if r == "assistant")
+        # A parser of its own: marks can't be mistaken.
+        assert back["formatted"].count("<|im_start|>") == back["formatted"].count("<|im_end|>\n") == len(turns)
+        for s in back["loss"]:
+            assert back["formatted"][s["start"] + s["length"] :].startswith("<|im_end|>\n")
+    bad = spark.createDataFrame([("<|im_start|>user\nx",), ("x",), ("<|im_start|>user<|im_end|>\n",), ("<|im_start|>a\n<|endoftext|><|im_end|>\n",)], "f string")
+    assert bad.filter(chat_format.parse(F.col("f")).isNotNull()).count() == 0
+    assert chat_format.format_chat(df.filter("false")).count() == 0
+
+
+def test_chat_format_runs_no_python(spark):
+    from tessera.llm import chat_format
+
+    plan = chat_format.read_back(chat_format.format_chat(spark.createDataFrame(CHAT, "conv_id bigint, turn bigint, role string, text string")))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan.split("Physical Plan")[1])
