@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: Query vectors that are broadcast at once.
@@ -53,6 +55,173 @@ def nearest(pairs: DataFrame, key: str, order: list, limit: int = 10) -> DataFra
     return pairs.withColumn("knn_pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).filter(F.col("knn_pos") < limit)
 
 
+# ---------------------------------------------------------------- nearest within a block
+
+#: Rows of a cell that one task compares, on either side; larger cells are cut.
+CELL = 4096
+#: Corpus rows per matrix product.
+STEP = 512
+#: Heavy cells that are broadcast, at most: a cell is cut only beyond 1 / MOST_CELLS of the rows.
+MOST_CELLS = 50_000
+
+
+class _Best:
+    """The ``k`` most similar rows of each query so far; equal similarities go by id."""
+
+    def __init__(self, k: np.ndarray):
+        self.k, self.least = k, np.full(len(k), -np.inf)
+        self.query, self.sim, self.id = np.zeros(0, dtype=np.int64), np.zeros(0), None
+        self.settled = 0
+
+    def add(self, sims: np.ndarray, ids: np.ndarray) -> None:
+        """``sims``: queries x rows, -inf where a row isn't for a query."""
+        q, j = np.nonzero((sims >= self.least[:, None]) & np.isfinite(sims))
+        self.query, self.sim = np.concatenate([self.query, q]), np.concatenate([self.sim, sims[q, j]])
+        self.id = ids[j] if self.id is None else np.concatenate([self.id, ids[j]])
+        if len(self.query) > self.settled + 4 * self.k.sum() + 1024:
+            self.cut()
+
+    def cut(self) -> None:
+        if self.id is None:
+            return
+        order = np.lexsort((self.id, -self.sim, self.query))
+        q = self.query[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = order[place == self.k[q] - 1]
+        self.least[self.query[last]] = self.sim[last]
+        order = order[place < self.k[q]]
+        self.query, self.sim, self.id = self.query[order], self.sim[order], self.id[order]
+        self.settled = len(order)
+
+
+class _Side:
+    """Rows of one side as arrays: ids, unit vectors, cities as given, instants (NaN if unknown)."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch, width: int | None = None):
+        col = lambda name: table.column(name)
+        self.id = np.array(col("id").to_pylist())
+        self.city = np.array(["" if c is None else c for c in col("city").to_pylist()], dtype=str)
+        self.at = np.array(col("at").to_pylist(), dtype=np.float64)  # null: NaN
+        vectors = [None if v is None else np.asarray(v, dtype=np.float64) for v in col("v").to_pylist()]
+        widths = {len(v) for v in vectors if v is not None} | ({width} if width else set())
+        if len(widths) > 1:
+            raise ValueError(f"vectors of lengths {sorted(widths)} can't be compared")
+        self.width = max(widths, default=0)
+        m = np.array([np.zeros(self.width) if v is None else v for v in vectors]).reshape(len(vectors), self.width)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        self.unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        self.k = np.array(col("k").to_pylist(), dtype=np.int64) if "k" in table.schema.names else None
+
+    def __len__(self) -> int:
+        return len(self.id)
+
+
+def _compare(q: _Side, c: _Side, best: _Best, seconds: float, but_itself: bool) -> None:
+    for at in range(0, len(c), STEP):
+        part = slice(at, at + STEP)
+        sims = np.round(q.unit @ c.unit[part].T, 6) + 0.0 if q.width == c.width else np.zeros((len(q), len(c.id[part])))
+        apart = (q.city[:, None] != c.city[None, part]) & (q.city != "")[:, None] & (c.city[part] != "")[None]
+        with np.errstate(invalid="ignore"):
+            apart |= np.abs(q.at[:, None] - c.at[None, part]) > seconds
+        if but_itself:
+            apart |= q.id[:, None] == c.id[None, part]
+        sims[apart] = -np.inf
+        best.add(sims, c.id[part])
+
+
+def _rows(q: _Side, best: _Best, schema: pa.Schema) -> pa.Table:
+    best.cut()
+    ids = best.id if best.id is not None else []
+    k = best.k[best.query] if len(best.query) else []
+    return pa.table([pa.array(q.id[best.query].tolist(), schema.field(0).type), pa.array(list(ids), schema.field(1).type), pa.array(best.sim), pa.array(k, pa.int32())], schema=schema)
+
+
+_KNOWN = "city IS NOT NULL AND at IS NOT NULL"
+
+
+def blocked_knn(queries: DataFrame, corpus: DataFrame, days: int = 1, but_itself: bool = True) -> DataFrame:
+    """Each query's ``k`` most similar corpus rows among those of its block: (q_id, id, similarity, knn_pos).
+
+    Both have id, city, at (seconds) and v; queries also k.  A block are the rows of the same
+    city and at most ``days`` apart, an unknown city or instant matching all.  Similarity
+    is the cosine rounded to six places, 0 for a null or zero vector; equal ones go by id.
+    Vectors of several lengths raise an error.
+
+    Where both sides know city and instant, rows meet in cells of (city, day), a query in
+    its day's and the two beside it.  A cell of more than CELL rows is cut by a hash of the
+    id on either side, so a hot city or day is spread; there is one matrix product a piece,
+    and only each query's best leave it.  Queries that lack one, and the corpus rows that
+    lack one, are compared without a join: the queries are broadcast in blocks of fixed
+    size and each task of the corpus keeps their best.  Both inputs are read several times.
+    """
+    ids = [df.schema["id"].dataType.simpleString() for df in (queries, corpus)]
+    schema = f"q_id {ids[0]}, id {ids[1]}, similarity double, k int"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    seconds = float(days * DAY)
+    day = F.floor(F.col("at") / (max(1, days) * DAY)).alias("day")
+    left = queries.select("id", "city", F.col("at").cast("double"), F.col("v").cast("array<double>"), F.col("k").cast("int"))
+    # Renamed to themselves: the two may stem from one table.
+    right = corpus.select(F.col("id").alias("id"), F.col("city").alias("city"), F.col("at").cast("double").alias("at"), F.col("v").cast("array<double>").alias("v"))
+    (lefts, left_known), (rights, right_known) = (df.agg(F.count(F.lit(1)), F.count_if(F.expr(_KNOWN))).first() for df in (left, right))
+
+    def pieces(rows: DataFrame, total: int) -> DataFrame | None:
+        """Cells of so many rows that they are cut, and into how many pieces; None where there can't be one."""
+        each = max(CELL, -(-total // MOST_CELLS))
+        if total <= each:
+            return None
+        sizes = rows.groupBy("city", "day").count().filter(F.col("count") > each)
+        return F.broadcast(sizes.select("city", "day", F.ceil(F.col("count") / each).cast("int").alias("pieces")))  # MOST_CELLS at most
+
+    def cut(rows: DataFrame, of: DataFrame | None, name: str, by) -> DataFrame:
+        if of is None:
+            return rows.withColumn(name, F.lit(0))
+        return rows.join(of, ["city", "day"], "left").withColumn(name, by(F.coalesce("pieces", F.lit(1)))).drop("pieces")
+
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = left.filter(_KNOWN).select("*", F.explode(F.array(day - 1, day, day + 1)).alias("day"))
+    b = right.filter(_KNOWN).select("*", day)
+    if 3 * left_known <= MOST_CELLS:
+        b = b.join(F.broadcast(a.select("city", "day").distinct()), ["city", "day"], "left_semi")
+    of_a, of_b = pieces(a, 3 * left_known), pieces(b, right_known)
+    a, b = cut(cut(a, of_a, "i", own), of_b, "j", every), cut(cut(b, of_b, "j", own), of_a, "i", every)
+
+    def piece(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not q.num_rows:
+            return arrow.empty_table()
+        side = _Side(q)
+        best = _Best(side.k)
+        if c.num_rows:
+            _compare(side, _Side(c), best, seconds, but_itself)
+        return _rows(side, best, arrow)
+
+    keys = ["city", "day", "i", "j"]
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(piece, schema)
+    lacking = f"NOT ({_KNOWN})"
+    for some, many, of in ((left.filter(lacking), lefts - left_known, right), (left.filter(_KNOWN), left_known if rights > right_known else 0, right.filter(lacking))):
+        for part in _passes(some, many, of, arrow, schema, seconds, but_itself):
+            found = found.unionByName(part)
+    order = Window.partitionBy("q_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("knn_pos", F.row_number().over(order) - 1).filter("knn_pos < k").drop("k")
+
+
+def _passes(queries: DataFrame, many: int, corpus: DataFrame, arrow: pa.Schema, schema: str, seconds: float, but_itself: bool) -> Iterator[DataFrame]:
+    """Queries, broadcast a block at a time, against all rows of the corpus."""
+    blocks = -(-many // QUERY_BLOCK)
+    for n in range(blocks):
+        shared = corpus.sparkSession.sparkContext.broadcast(queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q = _Side(shared.value)
+            best = _Best(q.k)
+            for batch in batches:
+                if batch.num_rows and len(q):
+                    _compare(q, _Side(batch), best, seconds, but_itself)
+            yield from _rows(q, best, arrow).to_batches()
+
+        yield corpus.mapInArrow(run, schema)
+
+
 def knn(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str, k: int = 10) -> DataFrame:
     """Exact cosine top-``k`` of each query among all corpus rows but itself: (q_id, id, similarity).
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tessera.functions.text import casefold, filled, ws_trim
-from tessera.functions.vector import cosine
-from tessera.operators.block import DAY, block_join
+from tessera.operators.block import DAY, blocked_knn
+from tessera.store.tables import staged
 
 AUTO_MERGE, TIEBREAK, INSERT_NEW = "auto_merge", "tiebreak", "insert_new"
 
@@ -130,7 +132,9 @@ Judge = Callable[[list[tuple[dict, dict]]], list[bool]]
 class Run:
     """What one run knows: its records, the urls seen in it, outcomes, where each field came from."""
 
-    def __init__(self, corpus: list[dict]):
+    def __init__(self, corpus: list[dict], name: Callable[[str], str] = str):
+        """``name`` makes a new record's id from the id of the result it comes from."""
+        self.name = name
         self.items = {r["id"]: dict(r) for r in corpus}
         self.new: set[str] = set()
         self.by_url: dict[str, str] = {}
@@ -141,13 +145,13 @@ class Run:
         self.provenance += [{"canonical_id": target, "field": f, "source_id": c["id"]} for f in fields]
 
     def insert(self, pos: int, c: dict, decision: str, similarity: float | None) -> None:
-        seen = c.get("fetched_at")
+        seen, new = c.get("fetched_at"), self.name(c["id"])
         attributes = {k: v for k, v in (c.get("attributes") or {}).items() if not _blank(v)}
-        self.items[c["id"]] = {**c, "attributes": attributes, "source_ids": [c["id"]], "first_seen_at": seen, "last_seen_at": seen}
-        self.new.add(c["id"])
-        self.by_url[c["url"]] = c["id"]
-        self._took(c["id"], c, [*(f for f in FIELDS if not _blank(c.get(f))), *(f"attributes.{k}" for k in sorted(attributes))])
-        self.outcomes[pos] = {"candidate_id": c["id"], "decision": decision, "canonical_id": c["id"], "similarity": similarity}
+        self.items[new] = {**c, "id": new, "attributes": attributes, "source_ids": [c["id"]], "first_seen_at": seen, "last_seen_at": seen}
+        self.new.add(new)
+        self.by_url[c["url"]] = new
+        self._took(new, c, [*(f for f in FIELDS if not _blank(c.get(f))), *(f"attributes.{k}" for k in sorted(attributes))])
+        self.outcomes[pos] = {"candidate_id": c["id"], "decision": decision, "canonical_id": new, "similarity": similarity}
 
     def merge(self, pos: int, c: dict, target: str, decision: str, similarity: float) -> None:
         """Fill what the record lacks, remember both urls, the source, and when it was seen."""
@@ -188,14 +192,14 @@ class Run:
         return best
 
 
-def fold_run(candidates: list[dict], corpus: list[dict], judge: Judge, t: Thresholds = Thresholds()) -> Run:
+def fold_run(candidates: list[dict], corpus: list[dict], judge: Judge, t: Thresholds = Thresholds(), name: Callable[[str], str] = str) -> Run:
     """Triage candidates one after another: what one inserts or fills, the next can match.
 
     A url that this run has seen, be it a new record's or a merged candidate's, settles a
     candidate at once.  Ambiguous ones are held back, asked about together at the end, and
     don't see each other.
     """
-    run = Run(corpus)
+    run = Run(corpus, name)
     pending: list[tuple[int, dict, str, float]] = []
     for pos, c in enumerate(candidates):
         if c["url"] in run.by_url:
@@ -219,6 +223,11 @@ def fold_run(candidates: list[dict], corpus: list[dict], judge: Judge, t: Thresh
     return run
 
 
+def fresh_id(run: object, source_id: str) -> str:
+    """The id of the record that a run makes of a result: the same on a retry, another in each run."""
+    return hashlib.sha256(f"{run}\x1f{source_id}".encode()).hexdigest()[:22]
+
+
 def near_corpus(candidates: DataFrame, corpus: DataFrame, run_col: str, t: Thresholds = Thresholds()) -> DataFrame:
     """The corpus rows that a run's fold can touch, with the run they are for.
 
@@ -228,25 +237,39 @@ def near_corpus(candidates: DataFrame, corpus: DataFrame, run_col: str, t: Thres
     """
     at = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     place = lambda c: F.nullif(casefold(ws_trim(c)), F.lit(""))
-    left = candidates.select(run_col, "id", place(F.col("city")).alias("city"), at(F.col("starts_at")).alias("at"), F.col("embedding").alias("v"))
-    right = corpus.filter("embedding IS NOT NULL").select("id", place(F.col("city")).alias("city"), at(F.col("starts_at")).alias("at"), F.col("embedding").alias("v"))
-    pairs = block_join(left, right, t.days).select(F.col(f"l_{run_col}").alias(run_col), F.col("l_id").alias("c"), F.col("r_id").alias("id"), cosine(F.col("l_v"), F.col("r_v")).alias("s"))
+    block = lambda df: (place(F.col("city")).alias("city"), at(F.col("starts_at")).alias("at"), F.col("embedding").alias("v"))
     size = candidates.groupBy(run_col).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(run_col, "c").orderBy(F.desc("s"), "id")
-    kept = pairs.join(size, run_col).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.col("_n") + t.limit)
-    return kept.select(run_col, "id").distinct().join(corpus, "id")
+    key = F.to_json(F.struct(run_col, "id"))
+    left = candidates.join(size, run_col).select(key.alias("id"), *block(candidates), (F.col("_n") + t.limit).cast("int").alias("k"))
+    found = blocked_knn(left, corpus.filter("embedding IS NOT NULL").select("id", *block(corpus)), t.days, but_itself=False)
+    kind = candidates.schema[run_col].dataType.simpleString()
+    asked = F.from_json("q_id", f"{run_col} {kind}")[run_col].alias(run_col)
+    return found.select(asked, "id").distinct().join(corpus.drop(run_col), "id")
+
+
+class Reconciled(NamedTuple):
+    """Views of one staged table: what was decided, records inserted or filled, which result gave each field."""
 
+    outcomes: DataFrame
+    golden: DataFrame
+    provenance: DataFrame
 
-def sequential(candidates: DataFrame, corpus: DataFrame, run_col: str, judge: Judge, t: Thresholds = Thresholds(), what: str = "outcomes") -> DataFrame:
-    """Exact mode: one fold per run, over the run's candidates (ordered by ``pos``) and the corpus rows it may touch.
 
-    ``what``: the outcomes; the ``golden`` records that were inserted or filled; or their
-    ``provenance``, one row per field that a candidate gave.  A run is a few dozen
-    candidates; ``near_corpus`` bounds its corpus rows; runs are spread over tasks.
+_OUTCOME = "candidate_id string, decision string, canonical_id string, similarity double"
+_GIVEN = "field string, source_id string"
+
+
+def reconcile(candidates: DataFrame, corpus: DataFrame, run_col: str, judge: Judge, t: Thresholds = Thresholds()) -> Reconciled:
+    """Exact mode: one fold per run, over the run's candidates (in the order of ``pos``, then id) and the corpus rows it may touch.
+
+    A run is a few dozen candidates; ``near_corpus`` bounds its corpus rows; runs are spread
+    over tasks.  The fold gives outcomes, golden records and provenance at once, in one
+    table that is written now: the judge is asked once a run, however often the results
+    are read.  ``candidates`` is read once, here; give ``near_corpus`` the same written rows.
     """
     kind = candidates.schema[run_col].dataType.simpleString()
-    schema = f"{run_col} {kind}, " + {"outcomes": "candidate_id string, decision string, canonical_id string, similarity double", "golden": GOLDEN, "provenance": "canonical_id string, field string, source_id string"}[what]
-    columns = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", schema)]
+    schema = f"{run_col} {kind}, what string, {_OUTCOME}, {_GIVEN}, {GOLDEN}"
+    columns = [f.name for f in StructType.fromDDL(schema)]
 
     def rows(pdf: pd.DataFrame) -> list[dict]:
         out = [{k: None if _blank(v) and not isinstance(v, str) else v for k, v in r.items()} for r in pdf.to_dict("records")] if len(pdf) else []
@@ -258,12 +281,20 @@ def sequential(candidates: DataFrame, corpus: DataFrame, run_col: str, judge: Ju
     def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame(columns=columns)
-        run = fold_run(rows(left.sort_values("pos")), rows(right.sort_values("id")) if len(right) else [], judge, t)
+        name = left[run_col].iloc[0]
+        known = rows(right.sort_values("id")) if len(right) else []
+        run = fold_run(rows(left.sort_values(["pos", "id"])), known, judge, t, lambda raw: fresh_id(name, raw))
         touched = {o["canonical_id"] for o in run.outcomes.values()}
-        found = {"outcomes": [run.outcomes[k] for k in sorted(run.outcomes)], "provenance": run.provenance, "golden": [{**r, "is_new": r["id"] in run.new} for r in run.items.values() if r["id"] in touched]}[what]
-        return pd.DataFrame([{run_col: left[run_col].iloc[0], **{c: o.get(c) for c in columns[1:]}} for o in found], columns=columns)
-
-    return candidates.groupBy(run_col).cogroup(corpus.groupBy(run_col)).applyInPandas(fold, schema)
+        found = [{"what": "outcome", **run.outcomes[k]} for k in sorted(run.outcomes)]
+        found += [{"what": "golden", **r, "is_new": r["id"] in run.new} for r in run.items.values() if r["id"] in touched]
+        found += [{"what": "given", **r} for r in run.provenance]
+        return pd.DataFrame([{c: name if c == run_col else o.get(c) for c in columns} for o in found], columns=columns)
+
+    corpus = corpus.select(*(F.col(c).alias(c) for c in corpus.columns))  # it may stem from the same table as the candidates
+    table = staged(candidates.groupBy(run_col).cogroup(corpus.groupBy(run_col)).applyInPandas(fold, schema), "reconciled")
+    names = lambda ddl: [f.name for f in StructType.fromDDL(ddl)]
+    view = lambda what, *cols: table.filter(F.col("what") == what).select(run_col, *cols)
+    return Reconciled(view("outcome", *names(_OUTCOME)), view("golden", *names(GOLDEN)), view("given", "canonical_id", *names(_GIVEN)))
 
 
 def judge_by_words(least: float) -> Judge:

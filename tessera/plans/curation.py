@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 from tessera.functions.text import doc_text
 from tessera.functions.vector import taste
 from tessera.operators import taste as ranking
-from tessera.operators.fuse import rank_results, rrf
+from tessera.operators.fuse import fused_order, rank_results, rrf
 from tessera.operators.ledger import next_seq, unseen
-from tessera.operators.triage import Thresholds, judge_by_words, near_corpus, sequential
+from tessera.operators.triage import Judge, Thresholds, judge_by_words, near_corpus, reconcile
 from tessera.ports.models import embed_column
 from tessera.ports.progress import Event, reported
 from tessera.ports.search import read_recorded
-from tessera.store.tables import Store
+from tessera.store.tables import Store, staged
 
 
-def run(spark: SparkSession, recorded: dict[str, list[dict]], corpus: DataFrame, profile: DataFrame, shown: DataFrame, top_n: int = 25, slots: int = 2, listener: Callable[[Event], None] | None = None, t: Thresholds = Thresholds()) -> dict[str, DataFrame]:
-    """Search, merge, dedup and rank.
+def run(
+    spark: SparkSession, recorded: dict[str, list[dict]], corpus: DataFrame, profile: DataFrame, shown: DataFrame, top_n: int = 25, slots: int = 2, listener: Callable[[Event], None] | None = None,
+    t: Thresholds = Thresholds(), name: str = "run", judge: Judge = judge_by_words(0.5),
+) -> dict[str, DataFrame]:
+    """Search, merge, dedup and rank.  ``name`` tells this run from others: ids of results and new records come of it.
 
     ``recorded``: query id -> result rows.  ``corpus``: known records (id, url, title,
     description, city, venue, starts_at, price, embedding).  ``profile``: one row with
@@ -32,22 +35,20 @@ def run(spark: SparkSession, recorded: dict[str, list[dict]], corpus: DataFrame,
         fused = rrf(found, ["url"], order=("rank", "query_id", "pos"), keep=("title", "description"))
     with reported("dedup", listener):
         none = lambda kind: F.lit(None).cast(kind)
-        new = fused.select(
-            F.lit(0).alias("run"), F.substring(F.sha2("url", 256), 1, 22).alias("id"), "url", F.col("best.title").alias("title"), F.col("best.description").alias("description"),
-            none("string").alias("city"), none("string").alias("venue"), none("timestamp").alias("starts_at"), none("string").alias("price"), (-F.col("score")).alias("pos"),
-        )
-        new = new.withColumn("embedding", embed_column(doc_text(F.col("title"), F.col("description"))))
-        near = near_corpus(new, corpus.drop("run"), "run", t)
-        outcomes, golden, provenance = (sequential(new, near, "run", judge_by_words(0.5), t, what) for what in ("outcomes", "golden", "provenance"))
+        placed = fused_order(fused, [], F.struct("first_seen", "url"))
+        new = placed.select(
+            F.lit(name).alias("run"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(name), F.col("url")), 256), 1, 22).alias("id"), "url", F.col("best.title").alias("title"), F.col("best.description").alias("description"),
+            none("string").alias("city"), none("string").alias("venue"), none("timestamp").alias("starts_at"), none("string").alias("price"), F.col("place").alias("pos"),
+        )
+        new = staged(new.withColumn("embedding", embed_column(doc_text(F.col("title"), F.col("description")))), "candidates")
+        outcomes, golden, provenance = reconcile(new, near_corpus(new, corpus.drop("run"), "run", t), "run", judge, t)
     with reported("rank", listener):
-        both = corpus.select("id", "embedding").unionByName(new.select("id", "embedding"))
-        items = outcomes.select(F.col("canonical_id").alias("id")).distinct().join(both, "id")
-        fresh = unseen(items, shown.withColumnRenamed("canonical_id", "id"), ["id"])
+        fresh = unseen(golden.select("id", "embedding"), shown.withColumnRenamed("canonical_id", "id"), ["id"])
         if profile.limit(2).count() > 1:
             raise ValueError("a run is for one profile")
         scored = fresh.crossJoin(F.broadcast(profile)).select(F.lit(0).alias("query"), "id", taste(F.col("embedding"), F.col("liked_centroid"), F.col("disliked_centroid")).alias("score"))
-        placed = ranking.prefilter(scored, "query", "id", top_n)
-        ranked = ranking.ranked(placed, "query", "id", top_n, slots)
+        head = ranking.prefilter(scored, "query", "id", top_n)
+        ranked = ranking.ranked(head, "query", "id", top_n, slots)
     return {"found": found, "fused": fused, "outcomes": outcomes, "golden": golden, "provenance": provenance, "ranked": ranked}
 
 

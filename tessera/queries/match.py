@@ -13,6 +13,7 @@ from tessera.plans.flagship import part_lists
 from tessera.queries.registry import query
 from tessera.queries.text import _JACC, CANON_SQL, shingles_sql
 from tessera.sources.tables import seconds, table, values, values_sql
+from tessera.store.tables import staged
 
 _VEC = "vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 
@@ -88,10 +89,9 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY c ORDER BY similarity DESC,
 
 
 def _near(spark, d):
-    x = _embedded(spark, d)
-    pairs = block.block_join(x.filter("event_id % 100 = 0"), x).filter("l_event_id <> r_event_id")
-    pairs = pairs.select(F.col("l_event_id").alias("c"), F.col("r_event_id").alias("o"), F.round(cosine(F.col("l_v"), F.col("r_v")), 6).alias("similarity"))
-    return block.nearest(pairs, "c", [F.desc("similarity"), "o"], 10)
+    x = _embedded(spark, d).withColumnRenamed("event_id", "id")
+    found = block.blocked_knn(x.filter("id % 100 = 0").withColumn("k", F.lit(10)), x)
+    return found.withColumnsRenamed({"q_id": "c", "id": "o"})
 
 
 @query(f"WITH {_PAIRS} SELECT * FROM k WHERE knn_pos < 10")
@@ -120,19 +120,52 @@ def venue_time_match(spark, d):
     return e.select("event_id", triage.same_place_and_time(F.col("v"), F.col("pv"), F.col("s"), F.col("ps")).alias("same"))
 
 
-@query(
-    f"""WITH {_PAIRS}, t AS (SELECT *, CASE WHEN similarity >= 0.3 THEN 2 WHEN similarity >= 0.2 OR (c + o) % 50 = 0 THEN 1 ELSE 0 END AS tier FROM k WHERE knn_pos < 10),
-b AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY tier DESC, similarity DESC, knn_pos, o) AS n FROM t),
-a AS (SELECT x.event_id AS c, b.o, CASE WHEN x.event_id % 400 = 0 THEN 1.0 ELSE b.similarity END AS similarity, CASE WHEN x.event_id % 400 = 0 OR tier = 2 THEN 'auto_merge' WHEN tier = 1 THEN 'tiebreak' ELSE 'insert_new' END AS decision FROM x LEFT JOIN b ON b.c = x.event_id AND n = 1 WHERE x.event_id % 100 = 0)
-SELECT * FROM a"""
-)
+_RECORDS = """x AS (SELECT event_id, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS city, CASE WHEN event_id % 17 = 0 THEN NULL ELSE date_trunc('day', ts) END AS starts_at,
+  CASE WHEN event_id % 7 = 0 THEN ' ' ELSE 'Hall ' || user_id % 2 END AS venue, event_type AS title, 'u' || user_id % 9 || ' x' || event_id % 4 || ' y' || event_id % 5 AS description, CAST(embedding AS DOUBLE[]) AS v
+  FROM events JOIN embeddings ON vec_id = event_id)"""
+_WORDS = "list_distinct([{0}.title || ' ' || split_part({0}.description, ' ', 1), split_part({0}.description, ' ', 1) || ' ' || split_part({0}.description, ' ', 2), split_part({0}.description, ' ', 2) || ' ' || split_part({0}.description, ' ', 3)])"
+_LEXICAL = f"(len(list_intersect({_WORDS.format('a')}, {_WORDS.format('b')})) / CAST(len(list_distinct(list_concat({_WORDS.format('a')}, {_WORDS.format('b')}))) AS DOUBLE))"
+
+
+def _matched_sql(asked: str, known: str) -> str:
+    """Per record of ``asked`` its best match among the ten nearest of ``known`` in its block; null where the block is empty."""
+    return f"""{_RECORDS},
+pr AS (SELECT a.event_id AS c, b.event_id AS o, b.id AS oid, list_cosine_similarity(a.v, b.v) AS cos, {_LEXICAL} AS lex, a.venue <> ' ' AND b.venue <> ' ' AND lower(a.venue) = lower(b.venue) AND a.starts_at IS NOT NULL AND a.starts_at IS NOT DISTINCT FROM b.starts_at AS placed
+  FROM x a JOIN x b ON a.event_id <> b.event_id AND (a.city IS NULL OR b.city IS NULL OR a.city = b.city) AND (a.starts_at IS NULL OR b.starts_at IS NULL OR abs(epoch(a.starts_at) - epoch(b.starts_at)) <= 86400) WHERE {asked} AND {known}),
+kn AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(cos, 6) DESC, oid) - 1 AS knn_pos FROM pr),
+ti AS (SELECT *, round(greatest(cos, lex), 6) AS similarity, CASE WHEN greatest(cos, lex) >= 0.3 THEN 2 WHEN greatest(cos, lex) >= 0.19 OR placed THEN 1 ELSE 0 END AS tier FROM kn WHERE knn_pos < 10),
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY tier DESC, similarity DESC, knn_pos) AS n FROM ti) WHERE n = 1),
+de AS (SELECT a.event_id AS c, a.id, o, oid, similarity, lex, CASE WHEN tier = 2 THEN 'auto_merge' WHEN tier = 1 THEN 'tiebreak' ELSE 'insert_new' END AS decision FROM x a LEFT JOIN be ON be.c = a.event_id WHERE {asked})"""
+
+
+_TIERS = Thresholds(auto=0.3, low=0.19)
+
+
+def _records(spark, d):
+    """Events that have a vector, as records: some without a city, an instant or a venue."""
+    e = table(spark, d, "events").join(_vectors(spark, d).select(F.col("vec_id").alias("event_id"), "v"), "event_id")
+    user, number = F.col("user_id"), F.col("event_id")
+    text = F.concat(F.lit("u"), (user % 9).cast("string"), F.lit(" x"), (number % 4).cast("string"), F.lit(" y"), (number % 5).cast("string"))
+    return e.select(
+        "event_id", number.cast("string").alias("id"), F.when(number % 13 != 0, F.col("event_type")).alias("city"), F.when(number % 17 != 0, F.expr("cast(cast(ts as date) as timestamp)")).alias("starts_at"),
+        F.when(number % 7 == 0, " ").otherwise(F.concat(F.lit("Hall "), (user % 2).cast("string"))).alias("venue"), F.col("event_type").alias("title"), text.alias("description"), F.col("v").alias("embedding"),
+    )
+
+
+@query(f"WITH {_matched_sql('a.event_id % 100 = 0', 'true')} SELECT c, o, CASE WHEN c % 400 = 0 THEN 1.0::DOUBLE ELSE similarity END AS similarity, CASE WHEN c % 400 = 0 THEN 'auto_merge' ELSE decision END AS decision FROM de")
 def triage_decision(spark, d):
-    """Every hundredth event's decision; every fourth of them counts as a url already known."""
-    t = Thresholds(auto=0.3, low=0.2)
-    pairs = _near(spark, d).withColumn("tier", triage.tier(F.col("similarity"), (F.col("c") + F.col("o")) % 50 == 0, t))
-    best = triage.best_match(pairs, "c", "o", t)
-    asked = _embedded(spark, d).filter("event_id % 100 = 0").select(F.col("event_id").alias("c")).join(best, "c", "left")
-    return triage.decide(asked.withColumn("known", F.col("c") % 400 == 0), "known", t).select("c", "o", "similarity", "decision")
+    """Every hundredth event against all, by vector, words, venue and day; every fourth of them counts as a url already known."""
+    r = _records(spark, d)
+    at = F.unix_micros("starts_at") / 1e6
+    x = r.select("id", "city", at.alias("at"), F.col("embedding").alias("v"))
+    pairs = block.blocked_knn(x.filter("id % 100 = 0").withColumn("k", F.lit(_TIERS.limit)), x, _TIERS.days)
+    side = lambda p: r.select(F.col("id").alias(f"{p}_id"), F.col("event_id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("venue", "starts_at")), shingles_of(F.concat_ws(" ", "title", "description")).alias(f"{p}_words"))
+    pairs = pairs.withColumnsRenamed({"q_id": "c_id", "id": "o_id"}).join(side("c"), "c_id").join(side("o"), "o_id")
+    similarity = F.round(triage.combined(F.col("similarity"), set_similarity(F.col("c_words"), F.col("o_words"))), 6)
+    pairs = pairs.withColumn("similarity", similarity).withColumn("tier", triage.tier(F.col("similarity"), triage.same_place_and_time(F.col("c_venue"), F.col("o_venue"), F.col("c_starts_at"), F.col("o_starts_at")), _TIERS))
+    best = triage.best_match(pairs, "c", "o", _TIERS)
+    asked = r.filter("event_id % 100 = 0").select(F.col("event_id").alias("c")).join(best, "c", "left")
+    return triage.decide(asked.withColumn("known", F.col("c") % 400 == 0), "known", _TIERS).select("c", "o", "similarity", "decision")
 
 
 @query("SELECT d.doc_id, coalesce(l.quality = 1, false) AS same FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -265,7 +298,7 @@ fi AS (SELECT user_id, event_type, event_id AS first_id FROM ur WHERE pos = firs
 
 @query(
     f"""WITH {_TRIAGE} SELECT user_id AS run, CAST(event_id AS VARCHAR) AS candidate_id, CASE WHEN pos = first_pos THEN 'insert_new' ELSE 'auto_merge' END AS decision,
-CAST(first_id AS VARCHAR) AS canonical_id, CASE WHEN pos = first_pos THEN CASE WHEN pos = 0 THEN NULL ELSE 0.0::DOUBLE END ELSE 1.0::DOUBLE END AS similarity FROM ur JOIN fi USING (user_id, event_type)"""
+substring(sha256(user_id || chr(31) || first_id), 1, 22) AS canonical_id, CASE WHEN pos = first_pos THEN CASE WHEN pos = 0 THEN NULL ELSE 0.0::DOUBLE END ELSE 1.0::DOUBLE END AS similarity FROM ur JOIN fi USING (user_id, event_type)"""
 )
 def sequential_triage(spark, d):
     """The exact mode over all events: a user's are a run, an event's type is its url, and types have vectors at right angles.
@@ -282,4 +315,48 @@ def sequential_triage(spark, d):
         F.col("user_id").alias("run"), pos.alias("pos"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("url"), F.col("event_type").alias("title"), none("string").alias("description"),
         none("string").alias("city"), none("string").alias("venue"), none("timestamp").alias("starts_at"), none("string").alias("price"), vector.alias("embedding"),
     )
-    return triage.sequential(candidates, candidates.filter("false"), "run", triage.judge_by_words(0.4))
+    candidates = staged(candidates, "triage-candidates")
+    return triage.reconcile(candidates, candidates.filter("false"), "run", triage.judge_by_words(0.4)).outcomes
+
+
+def _id_sql(raw: str) -> str:
+    return f"substring(sha256(c || chr(31) || {raw}), 1, 22)"
+
+
+#: Even events are runs of two results each, the second a copy of the first under the same url; odd events are the known records.
+_RECONCILED = f"""{_matched_sql('a.event_id % 2 = 0', 'b.event_id % 2 = 1')},
+ju AS (SELECT *, decision = 'auto_merge' OR (decision = 'tiebreak' AND lex >= 0.3) AS joins FROM de),
+ou AS (SELECT c, 0 AS pos, id AS candidate_id, decision, similarity, CASE WHEN joins THEN oid ELSE {_id_sql('id')} END AS canonical_id, joins FROM ju
+  UNION ALL SELECT c, 1, id || 'b', CASE WHEN decision = 'tiebreak' THEN decision ELSE 'auto_merge' END, CASE WHEN decision = 'tiebreak' THEN similarity ELSE 1.0::DOUBLE END,
+    CASE WHEN joins THEN oid WHEN decision = 'tiebreak' THEN {_id_sql("id || 'b'")} ELSE {_id_sql('id')} END, joins FROM ju),
+ta AS (SELECT c, canonical_id, bool_or(joins) AS known, string_agg(candidate_id, ',' ORDER BY pos) AS given, arg_min(candidate_id, pos) AS first FROM ou GROUP BY c, canonical_id),
+go AS (SELECT ta.c, canonical_id AS id, NOT known AS is_new, CASE WHEN known THEN canonical_id || ',' || given ELSE given END AS source_ids, first, k.title AS known_title, nullif(trim(k.venue), '') AS known_venue, k.city AS known_city, k.starts_at AS known_start,
+  a.title, nullif(trim(a.venue), '') AS venue, a.city, a.starts_at FROM ta JOIN x a ON a.event_id = ta.c LEFT JOIN x k ON known AND k.id = canonical_id)"""
+
+
+def _reconciled(spark, d):
+    r = _records(spark, d).withColumns({"url": F.concat(F.lit("http://e.example/"), "id"), "price": F.lit(None).cast("string")})
+    ask = r.filter("event_id % 2 = 0").withColumn("pos", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("run", F.col("event_id"))
+    ask = staged(ask.withColumn("id", F.when(F.col("pos") == 1, F.concat("id", F.lit("b"))).otherwise(F.col("id"))).drop("event_id"), "reconcile-candidates")
+    known = r.filter("event_id % 2 = 1").withColumn("source_ids", F.array("id")).drop("event_id")
+    return triage.reconcile(ask, triage.near_corpus(ask, known, "run", _TIERS), "run", triage.judge_by_words(0.3), _TIERS)
+
+
+@query(f"WITH {_RECONCILED} SELECT c AS run, candidate_id, decision, canonical_id, similarity FROM ou")
+def reconcile_outcomes(spark, d):
+    """Exact mode against a known corpus: all tiers, a judge for the ambiguous, urls seen in the run."""
+    return _reconciled(spark, d).outcomes.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {_RECONCILED} SELECT c AS run, id, is_new, source_ids, coalesce(known_title, title) AS title, coalesce(known_venue, venue) AS venue, coalesce(known_city, city) AS city, epoch(coalesce(known_start, starts_at))::BIGINT AS start FROM go")
+def reconcile_golden(spark, d):
+    g = _reconciled(spark, d).golden
+    return g.select("run", "id", "is_new", F.array_join("source_ids", ",").alias("source_ids"), "title", F.nullif(ws_trim(F.col("venue")), F.lit("")).alias("venue"), "city", F.unix_seconds("starts_at").alias("start"))
+
+
+@query(
+    f"""WITH {_RECONCILED}, f AS (SELECT c, id, first, unnest(['title', 'description', 'venue', 'city', 'starts_at']) AS field, unnest([is_new, is_new, known_venue IS NULL AND venue IS NOT NULL, known_city IS NULL AND city IS NOT NULL, known_start IS NULL AND starts_at IS NOT NULL]) AS gave FROM go)
+SELECT c AS run, id AS canonical_id, field, first AS source_id FROM f WHERE gave"""
+)
+def reconcile_provenance(spark, d):
+    return _reconciled(spark, d).provenance

@@ -13,6 +13,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query named {f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.functions.text import city_key
 from tessera.operators.feedback import refuse_unknown
@@ -28,6 +28,21 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A working folder that is deleted when the application's JVM ends."""
+    path = work_dir(spark, name)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back: what made it isn't run again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _as(rows: DataFrame, schema: StructType) -> DataFrame:
     """The columns of a table; those that ``rows`` lacks are null."""
     has = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -51,33 +66,65 @@ class Store:
             raise RuntimeError("the store is closed")
         return f"{self.folder}/{table}"
 
-    def append(self, table: str, rows: DataFrame, version: int) -> None:
-        rows.withColumn("_version", F.lit(version).cast("bigint")).write.mode("append").parquet(self._log(table))
+    def _path(self, path: str):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+    def append(self, table: str, rows: DataFrame, version: int, once: str | None = None) -> None:
+        """Add rows.  Under the same ``once`` they replace what was written before, be it whole or in part."""
+        rows = rows.withColumn("_version", F.lit(version).cast("bigint"))
+        if once:
+            rows.write.mode("overwrite").parquet(f"{self._log(table)}/once-{once}")
+        else:
+            rows.write.mode("append").parquet(self._log(table))
 
     def log(self, table: str) -> DataFrame:
         path = self._log(table)
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], TABLES[table]).withColumn("_version", F.lit(0).cast("bigint"))
-        return self.spark.read.parquet(path)
-
-    def view(self, table: str) -> DataFrame:
-        """The latest version of each key; a feedback log keeps everything."""
+        fs, hadoop = self._path(path)
+        schema = StructType([*TABLES[table].fields, StructField("_version", LongType())])
+        if not fs.exists(hadoop):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+    def stream_base(self, name: str) -> int:
+        """The version after which a stream's batches are numbered, kept from its first start on."""
+        path = f"{self.folder}/_streams/{name}/base"
+        fs, hadoop = self._path(path)
+        if not fs.exists(hadoop):
+            last = self.log("canonical").agg(F.max("_version")).first()[0] or 0
+            self.spark.createDataFrame([(last,)], "version bigint").coalesce(1).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path).first()[0]
+
+    def committed(self, name: str, epoch: int) -> bool:
+        fs, hadoop = self._path(f"{self.folder}/_streams/{name}/commits/{epoch}")
+        return fs.exists(hadoop)
+
+    def commit(self, name: str, epoch: int) -> None:
+        fs, hadoop = self._path(f"{self.folder}/_streams/{name}/commits/{epoch}")
+        fs.create(hadoop, True).close()
+
+    def view(self, table: str, below: int | None = None) -> DataFrame:
+        """The latest version of each key (of those ``below`` one); a feedback log keeps everything, provenance each field's first winner."""
+        log = self.log(table) if below is None else self.log(table).filter(F.col("_version") < below)
         if table == "feedback":
-            return self.log(table).drop("_version")
-        return latest(self.log(table), KEYS[table], ["_version"]).drop("_version")
+            return log.drop("_version")
+        if table == "provenance":
+            won = log.select("canonical_id", "_version", F.explode("winners").alias("field", "source_id"))
+            won = won.groupBy("canonical_id", "field").agg(F.min_by("source_id", F.struct("_version", "source_id")).alias("source_id"))
+            return won.groupBy("canonical_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "source_id")))).alias("winners"))
+        return latest(log, KEYS[table], ["_version"]).drop("_version")
 
     def get(self, table: str, key: str) -> DataFrame:
         return self.view(table).filter(F.col(KEYS[table][0]) == key)
 
-    def upsert_canonical(self, rows: DataFrame, provenance: DataFrame, version: int) -> None:
+    def upsert_canonical(self, rows: DataFrame, provenance: DataFrame, version: int, once: str | None = None) -> None:
         """Golden records (flat, as triage gives them) with the derived city key and start second, and which source gave each field."""
         geo = F.struct(*(F.col(c) for c in ("city", "country", "venue", "lat", "lon"))).alias("geo")
         flat = rows.withColumns({"geo": geo, "source_search_result_ids": F.col("source_ids"), "city_key": city_key(F.col("city")), "starts_epoch": F.unix_seconds("starts_at")})
-        self.append("canonical", _as(flat, TABLES["canonical"]), version)
+        self.append("canonical", _as(flat, TABLES["canonical"]), version, once)
         winners = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "source_id")))).alias("winners")
-        once = provenance.groupBy("canonical_id", "field").agg(F.min("source_id").alias("source_id"))
-        self.append("provenance", _as(once.groupBy("canonical_id").agg(winners), TABLES["provenance"]), version)
+        given = provenance.groupBy("canonical_id", "field").agg(F.min("source_id").alias("source_id"))
+        self.append("provenance", _as(given.groupBy("canonical_id").agg(winners), TABLES["provenance"]), version, once)
 
     def upsert_preferences(self, rows: DataFrame, version: int) -> None:
         self.append("preferences", _as(rows, TABLES["preferences"]), version)

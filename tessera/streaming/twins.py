@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ledger import insert_ignore
 from tessera.operators.schedule import due
-from tessera.operators.triage import Judge, Thresholds, near_corpus, sequential
+from tessera.operators import triage
+from tessera.operators.triage import Judge, Thresholds, near_corpus
 from tessera.sources.tables import table
-from tessera.store.tables import Store, work_dir
+from tessera.store.tables import Store, staged, work_dir
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,24 +92,32 @@ def ticks(spark: SparkSession, clock: DataFrame, queries: DataFrame, run: Callab
     return spark.read.parquet(out)
 
 
-def reconcile(spark: SparkSession, stream: DataFrame, store: Store, judge: Judge, t: Thresholds = Thresholds()) -> DataFrame:
-    """Triage candidates that arrive over time against all that earlier sessions stored.
+def reconcile(spark: SparkSession, stream: DataFrame, store: Store, judge: Judge, t: Thresholds = Thresholds(), name: str = "reconcile") -> DataFrame:
+    """Triage candidates that arrive over time against all that earlier sessions stored.  Returns the stored records.
 
     Every micro-batch is a run: its candidates (the columns of triage, in the order of
     ``pos``) meet the store's records of their blocks, and what they insert or fill is
-    upserted under a number after the stored ones, so a batch that is run again changes
-    nothing.  Returns the stored records.
+    upserted under a version of its own.  ``name`` names the stream: its checkpoint and a
+    commit log lie in the store, so a stream that is started again goes on where it was.
+
+    A batch takes effect once.  It reads only versions below its own, its records' ids come
+    from its name and number, each of its two writes replaces what an attempt that was
+    stopped has left, and a batch that is in the commit log is passed over.
     """
-    base = store.log("canonical").agg(F.max("_version")).first()[0] or 0
+    base = store.stream_base(name)
 
     def each(batch: DataFrame, epoch: int) -> None:
-        batch = batch.withColumn("run", F.lit(epoch))
-        known = store.view("canonical").select("*", *(F.col(f"geo.{c}").alias(c) for c in ("city", "country", "venue", "lat", "lon"))).withColumnRenamed("source_search_result_ids", "source_ids").drop("geo", "city_key", "starts_epoch")
-        near = near_corpus(batch, known, "run", t)
-        golden, provenance = (sequential(batch, near, "run", judge, t, what) for what in ("golden", "provenance"))
-        store.upsert_canonical(golden, provenance, base + epoch + 1)
-
-    drain(stream, each)
+        if store.committed(name, epoch):
+            return
+        version = base + epoch + 1
+        batch = staged(batch.withColumn("run", F.lit(f"{name}-{epoch}")), "candidates")
+        known = store.view("canonical", below=version).select("*", *(F.col(f"geo.{c}").alias(c) for c in ("city", "country", "venue", "lat", "lon"))).withColumnRenamed("source_search_result_ids", "source_ids").drop("geo", "city_key", "starts_epoch")
+        done = triage.reconcile(batch, near_corpus(batch, known, "run", t), "run", judge, t)
+        store.upsert_canonical(done.golden, done.provenance, version, once=f"{name}-{epoch}")
+        store.commit(name, epoch)
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{store.folder}/_streams/{name}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
     return store.view("canonical")
 
 

@@ -90,11 +90,11 @@ def test_sequential_matches_plain_fold(spark):
             data.append((run, p, f"{run}-{p:02d}", f"http://x/{rng.randrange(12)}", rng.choice(["red cat", "blue dog", "red dog"]), "", rng.choice(["a", "b", None]), None, None, None, v))
     schema = "run int, pos int, id string, url string, title string, description string, city string, venue string, starts_at timestamp, price string, embedding array<double>"
     df = spark.createDataFrame(data, schema)
-    got = rows(triage.sequential(df, df.filter("false"), "run", judge_by_words(0.5)), "run", "candidate_id", "decision", "canonical_id")
+    got = rows(triage.reconcile(df, df.filter("false"), "run", judge_by_words(0.5)).outcomes, "run", "candidate_id", "decision", "canonical_id")
     want = []
     for run in range(4):
         cands = [dict(zip(("run", "pos", "id", "url", "title", "description", "city", "venue", "starts_at", "price", "embedding"), r, strict=True)) for r in data if r[0] == run]
-        want += [(run, *o) for o in plain_fold(cands, 0.5)]
+        want += [(run, c, decision, triage.fresh_id(run, known)) for c, decision, known in plain_fold(cands, 0.5)]
     assert got == sorted(want)
 
 
@@ -172,15 +172,65 @@ def test_golden_records_and_provenance(spark):
     near = triage.near_corpus(df, corpus, "run")
     assert {r["id"] for r in near.collect()} == {"k1", "far"}  # c has no city, so Rome is in its block
     judge = judge_by_words(0.5)
-    golden = {r["id"]: r for r in triage.sequential(df, near, "run", judge, what="golden").collect()}
+    done = triage.reconcile(df, near, "run", judge)
+    new = triage.fresh_id(0, "a")
+    golden = {"a" if r["id"] == new else r["id"]: r for r in done.golden.collect()}
     assert set(golden) == {"a", "k1"} and golden["a"]["is_new"] and not golden["k1"]["is_new"]
     a = golden["a"]
     assert (a["title"], a["description"], a["country"], a["venue"], a["lat"], a["price"], a["image_url"]) == ("one", "said", "DE", "hall", 52.5, "5", "img")
     assert a["attributes"] == {"organizer": "x", "tags": "jazz"} and a["source_ids"] == ["a", "b", "c"] and a["starts_at"] is not None
     assert a["first_seen_at"] < a["last_seen_at"] and a["embedding"] == [1.0, 0.0]
     assert golden["k1"]["source_ids"] == ["r0", "d"] and golden["k1"]["title"] == "known"
-    gave = {(r["canonical_id"], r["field"]): r["source_id"] for r in triage.sequential(df, near, "run", judge, what="provenance").collect()}
-    assert gave["a", "title"] == "a" and gave["a", "venue"] == "b" and gave["a", "attributes.tags"] == "b" and gave["a", "starts_at"] == "c"
+    gave = {(r["canonical_id"], r["field"]): r["source_id"] for r in done.provenance.collect()}
+    assert gave[new, "title"] == "a" and gave[new, "venue"] == "b" and gave[new, "attributes.tags"] == "b" and gave[new, "starts_at"] == "c"
+
+
+def test_one_judge_call_a_run_however_often_results_are_read(spark, tmp_path):
+    """Three runs, two of which have something ambiguous; embeddings are made once as well."""
+    import uuid
+
+    calls, embedded = tmp_path / "calls", tmp_path / "embedded"
+    calls.mkdir()
+    embedded.mkdir()
+
+    def judge(pairs):
+        (calls / uuid.uuid4().hex).write_text(str(len(pairs)))
+        return [hash(uuid.uuid4()) % 2 == 0 for _ in pairs]  # would contradict itself if asked again
+
+    @F.udf("array<double>")
+    def embed(title):
+        (embedded / uuid.uuid4().hex).write_text(title)
+        return {"x": [1.0, 0.0], "near": [0.8, 0.6]}.get(title, [0.0, 1.0])
+
+    data = [(run, p, f"r{run}p{p}", f"u{run}{p}", t) for run, titles in enumerate((["x", "near", "near"], ["x", "near"], ["x", "far"])) for p, t in enumerate(titles)]
+    schema = "run int, pos int, id string, url string, title string, description string, city string, venue string, starts_at timestamp, price string"
+    df = spark.createDataFrame([(*r, "", None, None, None, None) for r in data], schema).withColumn("embedding", embed("title"))
+    from tessera.store.tables import staged
+
+    df = staged(df, "test-candidates")
+    done = triage.reconcile(df, triage.near_corpus(df, df.filter("false"), "run"), "run", judge)
+    for _ in range(2):
+        outcomes_, golden, given = (x.collect() for x in done)
+    assert sorted(p.read_text() for p in calls.iterdir()) == ["1", "2"] and len(list(embedded.iterdir())) == len(data)
+    assert {r["canonical_id"] for r in outcomes_} == {r["id"] for r in golden} == {r["canonical_id"] for r in given}
+
+
+def test_blocked_nearest_is_brute_force(spark, monkeypatch):
+    rng = random.Random(1)
+    some = lambda n, o: [(f"x{i + o}", rng.choice([None, "a", "a", "a", "b"]), rng.choice([None] + [float(rng.randrange(0, 5 * 86400)) for _ in range(5)]), rng.choice([None] + [[float(rng.randrange(-3, 4)) for _ in range(3)] for _ in range(6)])) for i in range(n)]
+    asked, corpus = [(*r, rng.choice([1, 3, 10])) for r in some(60, 0)], some(400, 30)
+    cos = lambda a, b: 0.0 if a is None or b is None or not np.linalg.norm(a) or not np.linalg.norm(b) else round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6) + 0.0
+    want = []
+    for i, c, t, v, k in asked:
+        own = sorted((-cos(v, v2), i2) for i2, c2, t2, v2 in corpus if i2 != i and (c is None or c2 is None or c == c2) and (t is None or t2 is None or abs(t - t2) <= 86400))
+        want += [(i, x[1], -x[0] + 0.0, p) for p, x in enumerate(own[:k])]
+    q, c = spark.createDataFrame(asked, "id string, city string, at double, v array<double>, k int"), spark.createDataFrame(corpus, "id string, city string, at double, v array<double>")
+    for cell in (4096, 16):  # the second cuts cells on both sides
+        monkeypatch.setattr(block, "CELL", cell)
+        got = block.blocked_knn(q, c)
+        assert sorted((r[0], r[1], r[2] + 0.0, r[3]) for r in got.collect()) == sorted(want)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert block.blocked_knn(q.filter("false"), c).count() == 0 and block.blocked_knn(q, c.filter("false")).count() == 0
 
 
 def test_knn_refuses_vectors_of_several_lengths(spark):

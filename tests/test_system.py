@@ -109,7 +109,7 @@ def test_whole_run(spark):
     seen = []
     out = run(spark, recorded, corpus, profile, shown, listener=seen.append)
     assert out["fused"].count() == 2 and out["outcomes"].count() == 2 and len(seen) == 8
-    first = out["ranked"].filter("rank = 0").join(out["fused"].select(F.substring(F.sha2("url", 256), 1, 22).alias("id"), "url"), "id").first()
+    first = out["ranked"].filter("rank = 0").join(out["golden"].select("id", "url"), "id").first()
     assert first["url"] == "https://b.example/y"
 
 
@@ -134,6 +134,13 @@ def test_run_is_stored_and_reconciled_later(spark, tmp_path):
     with pytest.raises(feedback.UnknownResult):
         store.add_feedback(bad, 1)
     assert store.view("feedback").count() == 0
+    # The same results in a second session are the same two records, and another text doesn't overwrite one.
+    flat = lambda: store.view("canonical").select("*", *(F.col(f"geo.{c}").alias(c) for c in ("city", "country", "venue", "lat", "lon"))).withColumnRenamed("source_search_result_ids", "source_ids").drop("geo", "city_key", "starts_epoch")
+    again = run(spark, recorded, flat(), profile, spark.createDataFrame([], "canonical_id string"), name="second")
+    assert again["ranked"].count() == 2 and {r["decision"] for r in again["outcomes"].collect()} == {"auto_merge"}
+    changed = {"q1": [{"url": "https://a.example/x", "title": "chess for all ages", "description": "a different thing"}]}
+    other = run(spark, changed, flat(), profile, spark.createDataFrame([], "canonical_id string"), name="third")
+    assert [r["is_new"] for r in other["golden"].collect()] == [True] and other["golden"].join(store.view("canonical"), "id").count() == 0
     # A later session finds one of them again under another address, and something new.
     folder = tmp_path / "later"
     later = spark.createDataFrame([(0, "n1", "https://c.example/z", "jazz night", "in the hall", "Berlin"), (1, "n2", "https://d.example/q", "chess open", "for all", None)], "pos int, id string, url string, title string, description string, city string")
@@ -145,6 +152,8 @@ def test_run_is_stored_and_reconciled_later(spark, tmp_path):
     got = twins.reconcile(spark, spark.readStream.schema(later.schema).parquet(str(folder)), store, judge_by_words(0.5))
     found = {r["title"]: r for r in got.collect()}
     assert set(found) == {"jazz night", "poems", "chess open"} and found["jazz night"]["geo"]["city"] == "Berlin" and found["jazz night"]["price"] == "5"
+    gave = {r["canonical_id"]: r["winners"] for r in store.view("provenance").collect()}[found["jazz night"]["id"]]
+    assert gave["city"] == gave["price"] == "n1" and gave["title"] not in (None, "n1")  # later winners join the earlier ones
     assert found["jazz night"]["city_key"] == "berlin" and len(found["jazz night"]["source_search_result_ids"]) == 2
 
 
