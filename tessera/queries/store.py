@@ -195,78 +195,83 @@ def profile_default(spark, d):
 
 # ---------------------------------------------------------------- contracts
 
-_P = "p(id, payload, n) AS ({})"
+def _payloads_sql(rows) -> str:
+    """A reply per document: one of ``rows`` (number, text, count) in turn, with the document's source and id put in."""
+    shown = values_sql([(k, *r[1:]) for k, r in enumerate(rows)])
+    return f"p AS (SELECT doc_id AS id, replace(replace(payload, '[w]', source), '[i]', CAST(doc_id AS VARCHAR)) AS payload, n FROM documents JOIN ({shown}) t(k, payload, n) ON doc_id % {len(rows)} = k)"
 
 
-def _payloads(spark, rows):
-    return values(spark, rows, "id int, payload string, n bigint")
+def _payloads(spark, d, rows):
+    shapes = values(spark, [(k, *r[1:]) for k, r in enumerate(rows)], "k bigint, payload string, n bigint")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", (F.col("doc_id") % len(rows)).alias("k")).join(F.broadcast(shapes), "k")
+    return docs.select("id", F.replace(F.replace("payload", F.lit("[w]"), F.col("source")), F.lit("[i]"), F.col("id").cast("string")).alias("payload"), "n")
 
 
 def _entries_sql(rows, field, columns, required):
     """One row per entry of the replies that are valid as a whole."""
     cols = ", ".join(f"CAST(json_extract_string(x, '$.{c}') AS {t}) AS {c}" for c, t in columns)
     bad = " OR ".join(f"{c} IS NULL" for c in required)
-    return f"""{_P.format(values_sql(rows))}, arr AS (SELECT id, n, json_extract(payload, '$.{field}') AS a FROM p WHERE json_valid(payload)),
+    return f"""{_payloads_sql(rows)}, arr AS (SELECT id, n, json_extract(payload, '$.{field}') AS a FROM p WHERE json_valid(payload)),
 el AS (SELECT id, n, i AS pos, json_extract(a, '$[' || i || ']') AS x FROM arr, unnest(range(CAST(json_array_length(a) AS BIGINT))) t(i) WHERE json_type(a) = 'ARRAY'),
 en AS (SELECT id, n, pos, {cols} FROM el), ok AS (SELECT * FROM en WHERE id NOT IN (SELECT id FROM en WHERE {bad}))"""
 
 
-_QUERIES = [(1, '{"queries":[{"language":"German","query":"Konzerte in Berlin"},{"language":" ","query":"concerts in Berlin"},{"language":"English","query":" CONCERTS in berlin "},{"language":"x","query":"  "}]}', 0), (2, "not json", 0), (3, '{"queries":[{"language":"French"}]}', 0), (4, '{"queries":[]}', 0), (5, '{"other":1}', 0), (6, '{"queries":[{"language":"Dutch","query":"straße"},{"language":"de","query":"STRASSE"}]}', 0)]
+_QUERIES = [(1, '{"queries":[{"language":"German","query":"Konzerte [w]"},{"language":" ","query":"concerts [w] [i]"},{"language":"English","query":" CONCERTS [w] [i] "},{"language":"x","query":"  "}]}', 0), (2, "not json", 0), (3, '{"queries":[{"language":"French"}]}', 0), (4, '{"queries":[]}', 0), (5, '{"other":1}', 0), (6, '{"queries":[{"language":"Dutch","query":"straße [i]"},{"language":"de","query":"STRASSE [i]"}]}', 0)]
 
 
 @query(f"WITH {_entries_sql(_QUERIES, 'queries', [('language', 'VARCHAR'), ('query', 'VARCHAR')], ['language', 'query'])}, t AS (SELECT id, pos, trim(language) AS l, trim(query) AS q, row_number() OVER (PARTITION BY id, replace(lower(trim(query)), 'ß', 'ss') ORDER BY pos) AS k FROM ok WHERE trim(query) <> '') SELECT id, pos, CASE WHEN l = '' THEN 'unknown' ELSE l END AS language, q AS query FROM t WHERE k = 1")
 def parse_queries(spark, d):
-    return contracts.parse_queries(_payloads(spark, _QUERIES), "id", "payload")
+    return contracts.parse_queries(_payloads(spark, d, _QUERIES), "id", "payload")
 
 
 _CHOICES = [(1, '{"domain":"papers"}', 0), (2, '{"domain":"nothing"}', 0), (3, "{", 0), (4, '{"x":"papers"}', 0), (5, '{"domain":"travel"}', 0)]
 
 
-@query(f"WITH {_P.format(values_sql(_CHOICES))}, c AS (SELECT id, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.domain') END AS d FROM p) SELECT id, CASE WHEN d IN ({', '.join(repr(k) for k in ATTRIBUTES)}) THEN d ELSE 'events' END AS domain FROM c")
+@query(f"WITH {_payloads_sql(_CHOICES)}, c AS (SELECT id, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.domain') END AS d FROM p) SELECT id, CASE WHEN d IN ({', '.join(repr(k) for k in ATTRIBUTES)}) THEN d ELSE 'events' END AS domain FROM c")
 def parse_choice(spark, d):
-    return _payloads(spark, _CHOICES).select("id", contracts.parse_choice(F.col("payload"), list(ATTRIBUTES)).alias("domain"))
+    return _payloads(spark, d, _CHOICES).select("id", contracts.parse_choice(F.col("payload"), list(ATTRIBUTES)).alias("domain"))
 
 
-_VERDICTS = [(1, '{"verdicts":[{"pair":1,"same":true},{"pair":1,"same":false},{"pair":4,"same":true},{"pair":3,"same":false},{"pair":0,"same":true}]}', 3), (2, '{"verdicts":[{"pair":1}]}', 3), (3, "?", 3), (4, '{"verdicts":[{"pair":2,"same":true}]}', 2)]
+_VERDICTS = [(1, '{"verdicts":[{"pair":1,"same":true},{"pair":1,"same":false},{"pair":4,"same":true},{"pair":3,"same":false},{"pair":0,"same":true}]}', 3), (2, '{"verdicts":[{"pair":1}]}', 3), (3, "?", 3), (4, '{"verdicts":[{"pair":2,"same":true},{"pair":[i],"same":false}]}', 2)]
 
 
 @query(f"WITH {_entries_sql(_VERDICTS, 'verdicts', [('pair', 'BIGINT'), ('same', 'BOOLEAN')], ['pair', 'same'])}, t AS (SELECT id, pair - 1 AS pair, same, row_number() OVER (PARTITION BY id, pair ORDER BY pos) AS k FROM ok WHERE pair BETWEEN 1 AND n) SELECT id, pair, same FROM t WHERE k = 1")
 def parse_verdicts(spark, d):
-    return contracts.parse_verdicts(_payloads(spark, _VERDICTS), "id", "payload", "n")
+    return contracts.parse_verdicts(_payloads(spark, d, _VERDICTS), "id", "payload", "n")
 
 
-_RANKINGS = [(1, '{"ranking":[{"id":9,"why":"a"},{"id":1,"why":" "},{"id":1,"why":"b"},{"id":0}]}', 2), (2, '{"ranking":[{"id":2,"why":"x"},{"id":1},{"id":3,"why":" y "}]}', 3), (3, "[", 3), (4, '{"ranking":[{"why":"z"}]}', 3)]
+_RANKINGS = [(1, '{"ranking":[{"id":9,"why":"a"},{"id":1,"why":" "},{"id":1,"why":"b"},{"id":0}]}', 2), (2, '{"ranking":[{"id":2,"why":"[w] [i]"},{"id":1},{"id":3,"why":" y "}]}', 3), (3, "[", 3), (4, '{"ranking":[{"why":"z"}]}', 3)]
 
 
-@query(f"WITH {_entries_sql(_RANKINGS, 'ranking', [('id', 'BIGINT'), ('why', 'VARCHAR')], ['id_1']).replace('AS id FROM', 'AS id_1 FROM').replace('AS id,', 'AS id_1,')}, t AS (SELECT id, pos, id_1 - 1 AS idx, nullif(trim(why), '') AS why, row_number() OVER (PARTITION BY id, id_1 ORDER BY pos) AS k FROM ok WHERE id_1 BETWEEN 1 AND n) SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS place, idx, why FROM t WHERE k = 1")
+@query(f"WITH {_entries_sql(_RANKINGS, 'ranking', [('id', 'BIGINT'), ('why', 'VARCHAR')], ['id_1']).replace('BIGINT) AS id,', 'BIGINT) AS id_1,')}, t AS (SELECT id, pos, id_1 - 1 AS idx, nullif(trim(why), '') AS why, row_number() OVER (PARTITION BY id, id_1 ORDER BY pos) AS k FROM ok WHERE id_1 BETWEEN 1 AND n) SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS place, idx, why FROM t WHERE k = 1")
 def parse_ranking(spark, d):
-    return contracts.parse_ranking(_payloads(spark, _RANKINGS), "id", "payload", "n")
+    return contracts.parse_ranking(_payloads(spark, d, _RANKINGS), "id", "payload", "n")
 
 
-_ROWS = [(1, '{"results":[{"url":"u1","title":"t1"},{"url":"u2"},5,{"url":"u3","title":"t3","price":"5 EUR"},{"url":"u4","title":"t4"},{"url":"u5","title":"t5"}]}', 0), (2, '{"results":"none"}', 0), (3, "{}", 0)]
+_ROWS = [(1, '{"results":[{"url":"u[i]","title":"[w]"},{"url":"u2"},5,{"url":"u3","title":"t3","price":"5 EUR"},{"url":"u4","title":"t4"},{"url":"u5","title":"t5"}]}', 0), (2, '{"results":"none"}', 0), (3, "{}", 0)]
 
 
 @query(
-    f"""WITH {_P.format(values_sql(_ROWS))}, arr AS (SELECT id, json_extract(payload, '$.results') AS a FROM p),
+    f"""WITH {_payloads_sql(_ROWS)}, arr AS (SELECT id, json_extract(payload, '$.results') AS a FROM p),
 el AS (SELECT id, i, json_extract(a, '$[' || i || ']') AS x FROM arr, unnest(range(CAST(json_array_length(a) AS BIGINT))) t(i) WHERE json_type(a) = 'ARRAY'),
 v AS (SELECT id, i, json_extract_string(x, '$.url') AS url, json_extract_string(x, '$.title') AS title, json_extract_string(x, '$.price') AS price FROM el),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos FROM v WHERE url IS NOT NULL AND title IS NOT NULL) SELECT id, pos, url, title, price FROM r WHERE pos < 3"""
 )
 def parse_rows(spark, d):
-    return contracts.parse_rows(_payloads(spark, _ROWS), "id", "payload", 3).select("id", "pos", "url", "title", "price")
+    return contracts.parse_rows(_payloads(spark, d, _ROWS), "id", "payload", 3).select("id", "pos", "url", "title", "price")
 
 
-_TURNS = [(1, '{"message":"ok","ready":true,"text":" jazz ","city":" ","schedule_cron":"0 9 * * *","schedule_text":"daily","max_results_shown":5}', 0), (2, '{"message":"where?","ready":false,"text":"jazz"}', 0), (3, '{"message":" ","ready":true,"text":"  "}', 0), (4, "oops", 0), (5, '{"message":"","ready":true,"text":"rock"}', 0)]
+_TURNS = [(1, '{"message":"ok [i]","ready":true,"text":" jazz [w] ","city":" ","schedule_cron":"0 9 * * *","schedule_text":"daily","max_results_shown":5}', 0), (2, '{"message":"where?","ready":false,"text":"jazz"}', 0), (3, '{"message":" ","ready":true,"text":"  "}', 0), (4, "oops", 0), (5, '{"message":"","ready":true,"text":"rock [i]"}', 0)]
 
 
 @query(
-    f"""WITH {_P.format(values_sql(_TURNS))}, j AS (SELECT id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS x FROM p),
+    f"""WITH {_payloads_sql(_TURNS)}, j AS (SELECT id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS x FROM p),
 e AS (SELECT id, trim(json_extract_string(x, '$.message')) AS m, CAST(json_extract_string(x, '$.ready') AS BOOLEAN) AS r, trim(coalesce(json_extract_string(x, '$.text'), '')) AS t, nullif(trim(coalesce(json_extract_string(x, '$.city'), '')), '') AS city, nullif(trim(coalesce(json_extract_string(x, '$.schedule_cron'), '')), '') AS cron, CAST(coalesce(json_extract_string(x, '$.max_results_shown'), '10') AS INTEGER) AS cap FROM j),
 f AS (SELECT *, coalesce(m IS NOT NULL AND r AND t <> '', false) AS ready FROM e)
 SELECT id, CASE WHEN m IS NOT NULL AND r IS NOT NULL AND m <> '' THEN m WHEN ready THEN 'Here''s your search:' ELSE 'Could you say that again in other words?' END AS message, CASE WHEN ready THEN t END AS text, CASE WHEN ready THEN city END AS city, CASE WHEN ready THEN cron END AS schedule_cron, CASE WHEN ready THEN cap END AS max_results_shown FROM f"""
 )
 def parse_turn(spark, d):
-    turn = _payloads(spark, _TURNS).select("id", contracts.parse_turn(F.col("payload")).alias("t"))
+    turn = _payloads(spark, d, _TURNS).select("id", contracts.parse_turn(F.col("payload")).alias("t"))
     return turn.select("id", "t.message", "t.text", "t.city", "t.schedule_cron", "t.max_results_shown")
 
 
@@ -298,29 +303,42 @@ def _last_runs(spark, d):
     return _events(spark, d).groupBy("user_id").agg(F.max("ts").alias("last_ntz")).withColumns({"last_run_at": F.col("last_ntz").cast("timestamp"), "created_at": F.lit(None).cast("timestamp"), "enabled": F.lit(True)})
 
 
-@query("WITH l AS (SELECT user_id, max(ts) AS t FROM events GROUP BY user_id) SELECT user_id FROM l WHERE t < TIMESTAMP '2024-01-30 09:00:00'")
+#: A user's schedule, by the id modulo six; the last one can't be read.
+_CRONS = ("0 9 * * *", "30 6 * * 1-5", "*/15 8-18 * * mon-fri", "0 12 29 2 *", "5 0 13 * fri", "0 25 * * *")
+_FIRES = """d AS (SELECT CAST(x AS TIMESTAMP) AS d FROM range(TIMESTAMP '2019-12-01', TIMESTAMP '2029-01-01', INTERVAL 1 DAY) t(x)),
+fi AS (SELECT 0 AS k, d + INTERVAL 9 HOUR AS f FROM d UNION ALL SELECT 1, d + INTERVAL 390 MINUTE FROM d WHERE dayofweek(d) BETWEEN 1 AND 5
+  UNION ALL SELECT 2, d + to_minutes(CAST(480 + 15 * q AS BIGINT)) FROM d, range(0, 44) t(q) WHERE dayofweek(d) BETWEEN 1 AND 5
+  UNION ALL SELECT 3, d + INTERVAL 12 HOUR FROM d WHERE month(d) = 2 AND day(d) = 29 UNION ALL SELECT 4, d + INTERVAL 5 MINUTE FROM d WHERE day(d) = 13 OR dayofweek(d) = 5),
+l AS (SELECT user_id, user_id % 6 AS k, max(ts) AS t FROM events GROUP BY user_id)"""
+
+
+def _scheduled(spark, d):
+    return _last_runs(spark, d).withColumn("schedule_cron", F.array(*map(F.lit, _CRONS))[(F.col("user_id") % 6).cast("int")])
+
+
+@query(f"WITH {_FIRES}, p AS (SELECT k, max(f) AS f FROM fi WHERE f <= TIMESTAMP '2024-01-30 12:00:00' GROUP BY k) SELECT user_id, epoch_us(f) // 1000000 AS fire FROM l JOIN p USING (k) WHERE t < f")
 def due_queries(spark, d):
-    """Daily at nine; the clock says 2024-01-30 12:00."""
-    q = _last_runs(spark, d).withColumn("schedule_cron", F.lit("0 9 * * *"))
-    return schedule.due(q, F.lit("2024-01-30 12:00:00").cast("timestamp")).select("user_id")
+    """Six schedules; the clock says 2024-01-30 12:00."""
+    found = schedule.due(_scheduled(spark, d), F.lit("2024-01-30 12:00:00").cast("timestamp"))
+    return found.select("user_id", F.unix_seconds("fire").alias("fire"))
 
 
-@query(
-    """WITH l AS (SELECT user_id, max(ts) AS t FROM events GROUP BY user_id), c AS (SELECT user_id, t, date_trunc('day', t) + to_days(CAST(i AS INTEGER)) + INTERVAL 390 MINUTE AS f FROM l, range(0, 8) g(i))
-SELECT user_id, epoch_us(min(f)) // 1000000 AS next FROM c WHERE f > t AND dayofweek(f) BETWEEN 1 AND 5 GROUP BY user_id"""
-)
+@query(f"WITH {_FIRES} SELECT user_id, epoch_us(f) // 1000000 AS next FROM l ASOF JOIN fi ON l.k = fi.k AND l.t < fi.f")
 def next_fire(spark, d):
-    """Weekdays at half past six, after the last event."""
-    q = _last_runs(spark, d).withColumn("schedule_cron", F.lit("30 6 * * 1-5"))
-    return schedule.upcoming(q, F.col("last_run_at")).withColumn("n", F.col("next").cast("timestamp_ntz")).select("user_id", seconds("n").alias("next"))
+    """After the last event, by six schedules; the unreadable one has none."""
+    q = schedule.upcoming(_scheduled(spark, d), F.col("last_run_at")).filter("next IS NOT NULL")
+    return q.select("user_id", F.unix_seconds("next").alias("next"))
 
 
 _DRAFTS = [(1, "0 9 * * *"), (2, "  "), (3, None), (4, "61 * * * *"), (5, "*/15 8-18 * * mon-fri"), (6, "a b c d e"), (7, "0 0 1 1"), (8, "5 4 * * 7")]
 
 
-@query(f"WITH p(id, c) AS ({values_sql(_DRAFTS)}) SELECT id, nullif(trim(c), '') AS schedule_cron, id NOT IN (4, 6, 7) AS valid FROM p")
+@query(f"WITH p(k, c) AS ({values_sql(_DRAFTS)}) SELECT c_custkey AS id, nullif(trim(c), '') AS schedule_cron, k NOT IN (4, 6, 7) AS valid FROM customer JOIN p ON k = c_custkey % 8 + 1")
 def save_search(spark, d):
-    return schedule.saveable(values(spark, _DRAFTS, "id int, schedule_cron string")).select("id", "schedule_cron", "valid")
+    """Customers' drafts with eight kinds of schedule: blank ones are manual, unreadable ones invalid."""
+    kinds = F.broadcast(values(spark, _DRAFTS, "k bigint, schedule_cron string"))
+    drafts = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 8 + 1).alias("k")).join(kinds, "k")
+    return schedule.saveable(drafts).select("id", "schedule_cron", "valid")
 
 
 # ---------------------------------------------------------------- evaluation

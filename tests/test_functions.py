@@ -1,7 +1,7 @@
 """Column functions against the behaviour they are meant to have."""
 
 import random
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -64,7 +64,6 @@ def test_minhash(spark):
 
 
 def test_cron_against_minutes():
-    from datetime import timedelta
 
     rng = random.Random(5)
     for expression in ("0 9 * * *", "*/20 8-10 * * mon-fri", "5 4 * * 7", "30 6 1,15 * *", "0 0 13 * 5", "59 23 31 12 *"):
@@ -81,6 +80,19 @@ def test_cron_invalid(bad):
     assert cron.parse(bad) is None and not cron.is_due(bad, datetime(2024, 1, 1, tzinfo=UTC), datetime(2025, 1, 1, tzinfo=UTC))
 
 
+def test_cron_columns_are_the_plain_functions(spark):
+    """Masks and month arithmetic against the day-by-day search: leap days, either-day rules, names, steps, and what can't be read."""
+    rng = random.Random(3)
+    expressions = ["* * * * *", "0 9 * * *", "30 6 * * 1-5", "*/15 8-18 * * mon-fri", "0 0 29 2 *", "0 0 29 2 1", "0 0 13 * 5", "5 4 * * 7", "59 23 31 12 *", "0 0 30 2 *", "0 12 1,15 jan-mar,12 *", "*/7 */5 */3 * *", "1-59/2 3 * * sun", "0 0 * * 5-7"]
+    expressions += ["61 * * * *", "a b c d e", "0 0 1 1", "", "5/10 * * * *", "0 0 1-7 * */2", "0 0 31 * *", "0  9  *  *  *", " 0 9 * * * ", "0 9 * * 1,", "*-3 * * * *", "0 0 0 * *", "0 0 29 feb sat", "7-3 * * * *", "0/0 * * * *", "0 9 ? * *", "0 0 * * sat-sun", None]
+    data = [(e, datetime(2019, 1, 1, tzinfo=UTC) + timedelta(seconds=rng.randrange(0, 86400 * 365 * 8) // rng.choice([1, 3600, 86400]) * rng.choice([1, 60]))) for e in expressions for _ in range(6)]
+    df = spark.createDataFrame(data, "e string, t timestamp")
+    found = df.select(cron.valid_cron(F.col("e")), F.unix_seconds(cron.prev_fire_column(F.col("e"), F.col("t"))), F.unix_seconds(cron.next_fire_column(F.col("e"), F.col("t"))))
+    assert "Python" not in found._jdf.queryExecution().toString()
+    seconds = lambda x: None if x is None else int(x.timestamp())
+    assert [tuple(r) for r in found.collect()] == [(cron.parse(e) is not None, seconds(cron.prev_fire(e, t)), seconds(cron.next_fire(e, t))) for e, t in data]
+
+
 def test_cron_due():
     now = datetime(2026, 6, 17, 12, tzinfo=UTC)
     assert cron.is_due("0 9 * * *", datetime(2026, 6, 16, 10, tzinfo=UTC), now)
