@@ -13,7 +13,8 @@ from tessera.operators.survive import has_geo
 from tessera.plans.flagship import taste_scores
 from tessera.queries.registry import query
 from tessera.sources.tables import SAVED_SQL, saved_queries, seconds, table, values, values_sql
-from tessera.streaming import twins
+from tessera.store.tables import scratch
+from tessera.streaming import ticks, twins
 from tessera.vocabulary import ATTRIBUTES
 
 _AT = "epoch_us(ts) // 1000000"
@@ -408,15 +409,24 @@ def web_source(spark, d):
 
 @query(f"SELECT user_id, event_type AS result_id, min({_AT}) AS shown_at FROM events GROUP BY ALL")
 def stream_ledger(spark, d):
-    stream = twins.events_stream(spark, d).select("user_id", F.col("event_type").alias("result_id"), seconds("ts").alias("shown_at"))
-    return twins.shown_ledger(spark, stream, ["user_id", "result_id"], "shown_at")
+    stream = twins.table_stream(spark, d, "events").select("user_id", F.col("event_type").alias("result_id"), seconds("ts").alias("shown_at"))
+    return twins.shown_ledger(spark, stream, ["user_id", "result_id"], "shown_at", scratch(spark, "stream-ledger"))
 
 
-@query("SELECT event_type, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY event_type")
+@query(f"WITH {_VEC}, x AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM vec) SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS value, count(*) AS n FROM x GROUP BY label, i")
 def stream_centroid(spark, d):
-    return twins.running_means(spark, twins.events_stream(spark, d), ["event_type"], "value").select("event_type", F.round("mean", 6).alias("mean"), "n")
+    """Each label's centroid, kept as sums in the state store."""
+    found = twins.running_centroids(spark, twins.table_stream(spark, d, "embeddings"), ["label"], "embedding", scratch(spark, "stream-centroids"))
+    return found.select("label", "i", F.round("value", 6).alias("value"), "n")
 
 
-@query("SELECT user_id, epoch_us(max(ts)) // 1000000 AS at FROM events GROUP BY user_id")
+@query(
+    f"""WITH {_FIRES}, c AS (SELECT user_id, user_id % 6 AS k, min(ts) AS since FROM events GROUP BY user_id), w AS (SELECT date_trunc('millisecond', max(ts)) AS now FROM events),
+p AS (SELECT k, max(f) AS f FROM fi, w WHERE f <= now GROUP BY k) SELECT CAST(user_id AS VARCHAR) AS id, epoch_us(f) // 1000000 AS fire, epoch_us(now) // 1000000 AS now, true AS ok FROM c JOIN p USING (k), w WHERE epoch_ms(f) > epoch_ms(since)"""
+)
 def stream_tick(spark, d):
-    return twins.tick(spark, twins.events_stream(spark, d).withColumn("at", seconds("ts")), "user_id", "at")
+    """Users as saved queries of six schedules, created with their first event; the events are the clock."""
+    q = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").cast("timestamp").alias("created_at"))
+    q = q.withColumns({"schedule_cron": F.array(*map(F.lit, _CRONS))[(F.col("id") % 6).cast("int")], "enabled": F.lit(True), "last_run_at": F.lit(None).cast("timestamp")})
+    done = ticks.ticks(spark, twins.table_stream(spark, d, "events"), q, lambda due: due.select("id", F.lit(True).alias("ok")), scratch(spark, "stream-ticks"), "ts")
+    return done.select("id", F.unix_seconds("fire").alias("fire"), F.unix_seconds("now").alias("now"), "ok")

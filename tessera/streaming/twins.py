@@ -1,4 +1,4 @@
-"""Streaming twins of the ledger, the centroids and the tick, over a folder of event files."""
+"""Streaming twins of the ledger, the centroids and reconciling, over folders of files."""
 
 from __future__ import annotations
 
@@ -7,89 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.ledger import insert_ignore
-from tessera.operators.schedule import due
 from tessera.operators import triage
+from tessera.operators.ledger import insert_ignore
 from tessera.operators.triage import Judge, Thresholds, near_corpus
 from tessera.sources.tables import table
-from tessera.store.tables import Store, staged, work_dir
+from tessera.store.tables import Store, staged
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream; its schema is the batch table's."""
-    path = f"{sf_dir}/events.parquet"
-    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4)
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a file stream; its schema is the batch table's."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 4)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
-    return reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-
-
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run everything available through ``each`` and stop."""
-    spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", work_dir(spark, "stream-state")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def shown_ledger(spark: SparkSession, stream: DataFrame, keys: list[str], at: str) -> DataFrame:
+def shown_ledger(spark: SparkSession, stream: DataFrame, keys: list[str], at: str, folder: str) -> DataFrame:
     """Keep the first sighting of each key: micro-batches append their own firsts, the view folds them.
 
-    Appending is idempotent (a batch written twice changes nothing), so a restarted batch
-    does no harm, late rows need no watermark, and no state grows in memory.
+    A batch that is run again replaces its own rows, so a restart on the same ``folder``
+    goes on where it was, late rows need no watermark, and no state grows in memory.
     """
-    out = work_dir(spark, "stream-ledger")
+    out = f"{folder}/ledger"
 
     def each(batch: DataFrame, epoch: int) -> None:
         insert_ignore(batch, keys, at).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    drain(stream, each)
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return insert_ignore(spark.read.parquet(out), keys, at)
 
 
-def running_means(spark: SparkSession, stream: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Sum and count per key from micro-batches; their ratio is the mean whatever the order."""
-    out = work_dir(spark, "stream-means")
+def running_centroids(spark: SparkSession, stream: DataFrame, keys: list[str], vector: str, folder: str) -> DataFrame:
+    """(keys, i, value, n): each component's mean over all vectors so far.
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch.groupBy(*keys).agg(F.sum(value).alias("s"), F.count(value).alias("n")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    drain(stream, each)
-    return spark.read.parquet(out).groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
-
-
-def tick(spark: SparkSession, stream: DataFrame, key: str, at: str) -> DataFrame:
-    """The last activity of each key, as a scheduler sees it after every tick."""
-    out = work_dir(spark, "stream-tick")
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch.groupBy(key).agg(F.max(at).alias(at)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    drain(stream, each)
-    return spark.read.parquet(out).groupBy(key).agg(F.max(at).alias(at))
-
-
-def ticks(spark: SparkSession, clock: DataFrame, queries: DataFrame, run: Callable[[object, object], None], at: str = "at", isolate: bool = True) -> DataFrame:
-    """Drive saved queries from a stream of instants: at each tick run what is due and mark it.
-
-    A tick is a micro-batch, its latest instant is now.  Marks are rows of a log, so a query
-    that has run isn't due again and a failed one (isolated) is tried at the next tick.
-    Missed fires come to one run.  Returns the marks: id, last_run_at.
+    Sums and counts live in the state store, per key and component; a micro-batch updates
+    those it touches and writes nothing else, and the means are read from the state.  Null
+    vectors don't count.  Started again on the same ``folder``, the stream goes on.
     """
-    out = work_dir(spark, "tick-marks")
-    spark.createDataFrame([], "id string, last_run_at timestamp").write.parquet(out)
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        now = batch.agg(F.max(at)).first()[0]
-        if now is None:
-            return
-        marks = spark.read.parquet(out).groupBy("id").agg(F.max("last_run_at").alias("_mark"))
-        known = queries.join(marks, "id", "left").withColumn("last_run_at", F.greatest("last_run_at", "_mark")).drop("_mark")
-        done, _ = run_due(due(known, F.lit(now)).collect(), lambda q: run(q, now), isolate)
-        if done:
-            spark.createDataFrame([(q["id"], now) for q in done], "id string, last_run_at timestamp").write.mode("append").parquet(out)
-
-    drain(clock, each)
-    return spark.read.parquet(out)
+    parts = stream.select(*keys, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
+    sums = parts.groupBy(*keys, "i").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
+    sums.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    total, count = (F.col("value")[n] for n in ("sum", "count"))
+    kept = spark.read.format("statestore").load(f"{folder}/state").filter(count > 0)
+    return kept.select(*(F.col("key")[k].alias(k) for k in (*keys, "i")), (total / count).alias("value"), count.alias("n"))
 
 
 def reconcile(spark: SparkSession, stream: DataFrame, store: Store, judge: Judge, t: Thresholds = Thresholds(), name: str = "reconcile") -> DataFrame:
@@ -128,18 +89,3 @@ def deliver(messages: DataFrame, send: Callable[[str, str], None], chat: str = "
         send(r[0], r[1])
         sent += 1
     return sent
-
-
-def run_due(queries: list, run: Callable[[object], None], isolate: bool = True) -> tuple[list, list]:
-    """Run each due query; isolated, one failure doesn't stop the others and isn't marked as run."""
-    done, failed = [], []
-    for q in queries:
-        try:
-            run(q)
-        except Exception as e:
-            if not isolate:
-                raise
-            failed.append((q, e))
-        else:
-            done.append(q)
-    return done, failed

@@ -88,17 +88,6 @@ def test_store(spark, tmp_path):
     assert memory.view("users").count() == 1 and preview(spark.range(9), 4).count() == 4
 
 
-def test_failures_are_isolated():
-    def run(q):
-        if q == 2:
-            raise ValueError
-
-    done, failed = twins.run_due([1, 2, 3], run)
-    assert done == [1, 3] and [q for q, _ in failed] == [2]
-    with pytest.raises(ValueError):
-        twins.run_due([1, 2, 3], run, isolate=False)
-
-
 def test_whole_run(spark):
     from tessera.plans.curation import run
 
@@ -158,21 +147,82 @@ def test_run_is_stored_and_reconciled_later(spark, tmp_path):
 
 
 def test_ticks_run_what_is_due(spark, tmp_path):
+    """Missed fires are one run, a failed run is tried again, and each start goes on where the last one ended."""
+    import uuid
+
+    from tessera.streaming import ticks
+
     at = lambda d, h: datetime(2026, 6, d, h, tzinfo=UTC)
-    queries = spark.createDataFrame([("daily", "0 9 * * *", True, at(10, 0), None), ("off", "0 9 * * *", False, at(10, 0), None), ("broken", "0 9 * * *", True, at(10, 0), None)], "id string, schedule_cron string, enabled boolean, created_at timestamp, last_run_at timestamp")
+    schema = "id string, schedule_cron string, enabled boolean, created_at timestamp, last_run_at timestamp"
+    queries = spark.createDataFrame([("daily", "0 9 * * *", True, at(10, 0), None), ("off", "0 9 * * *", False, at(10, 0), None), ("broken", "0 9 * * *", True, at(10, 0), None), ("unreadable", "0 99 * * *", True, at(10, 0), None)], schema)
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def run(i, now):
+        (log / uuid.uuid4().hex).write_text(f"{i} {now.day} {now.hour}")
+        if i == "broken":
+            raise ValueError
+
     for n, moment in enumerate((at(12, 8), at(12, 10), at(12, 11), at(15, 10))):
         spark.createDataFrame([(moment,)], "at timestamp").coalesce(1).write.parquet(str(tmp_path / f"clock/n={n}"))
-    ran = []
+        clock = spark.readStream.schema("at timestamp, n int").parquet(str(tmp_path / "clock"))
+        marks = ticks.ticks(spark, clock, queries, ticks.isolated(run), f"file://{tmp_path}/ticks")
+    ran = sorted(p.read_text() for p in log.iterdir())
+    # At 8 for the fires missed, at 10 for the day's, after the outage once; the failing one at every tick.
+    assert [r for r in ran if r.startswith("daily")] == ["daily 12 10", "daily 12 8", "daily 15 10"]
+    assert [r for r in ran if r.startswith("broken")] == ["broken 12 10", "broken 12 11", "broken 12 8", "broken 15 10"] and len(ran) == 7
+    assert {(r["id"], r["ok"]) for r in marks.collect()} == {("daily", True), ("broken", False)}
+    # Started again with nothing new, nothing runs.
+    ticks.ticks(spark, clock, queries, ticks.isolated(run), f"file://{tmp_path}/ticks")
+    assert len(list(log.iterdir())) == 7
+
+
+def _arriving(spark, folder):
+    from tessera.functions.text import doc_text
 
-    def run(q, now):
-        ran.append((q["id"], now.day))
-        if q["id"] == "broken":
-            raise ValueError
+    for n, titles in enumerate((["jazz night", "poems"], ["jazz night", "chess open"])):
+        rows = [(p, f"s{n}p{p}", f"https://{n}.example/{p}", t, "in the hall", "Berlin" if n else None) for p, t in enumerate(titles)]
+        df = spark.createDataFrame(rows, "pos int, id string, url string, title string, description string, city string")
+        df = df.withColumns({"venue": F.lit(None).cast("string"), "starts_at": F.lit(None).cast("timestamp"), "price": F.lit(None).cast("string"), "embedding": models.embed_column(doc_text(F.col("title"), F.col("description")))})
+        df.coalesce(1).write.parquet(str(folder / f"n={n}"))
+    return lambda: spark.readStream.schema("pos int, id string, url string, title string, description string, city string, venue string, starts_at timestamp, price string, embedding array<double>, n int").option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_reconciling_takes_effect_once(spark, tmp_path, monkeypatch):
+    """A stream that stops between its two writes, then starts again, leaves the store of one that wasn't disturbed."""
+    from tessera.operators.triage import judge_by_words
 
-    clock = spark.readStream.schema("at timestamp, n int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "clock"))
-    marks = twins.ticks(spark, clock, queries, run).collect()
-    assert [d for q, d in ran if q == "daily"] == [12, 12, 15]  # at 8 for the fires missed, at 10 for the day's, after the outage once
-    assert {r["id"] for r in marks} == {"daily"} and len([q for q, _ in ran if q == "broken"]) == 4
+    stream = _arriving(spark, tmp_path / "in")
+    calm, torn = Store(spark, f"file://{tmp_path}/calm"), Store(spark, f"file://{tmp_path}/torn")
+    twins.reconcile(spark, stream(), calm, judge_by_words(0.5))
+    append, failures = Store.append, []
+
+    def stop(self, table, rows, version, once=None):
+        if self is torn and table == "provenance" and version == 2 and not failures:
+            failures.append(version)
+            raise RuntimeError("stopped between the writes")
+        append(self, table, rows, version, once)
+
+    monkeypatch.setattr(Store, "append", stop)
+    with pytest.raises(Exception, match="stopped between"):
+        twins.reconcile(spark, stream(), torn, judge_by_words(0.5))
+    assert not torn.committed("reconcile", 1) and torn.committed("reconcile", 0)
+    for _ in range(2):  # the second start finds nothing to do
+        twins.reconcile(spark, stream(), torn, judge_by_words(0.5))
+    rows = lambda store, table: sorted(map(str, store.view(table).collect()))
+    assert rows(calm, "canonical") == rows(torn, "canonical") and len(rows(calm, "canonical")) == 3
+    assert rows(calm, "provenance") == rows(torn, "provenance")
+    assert calm.log("canonical").count() == torn.log("canonical").count()
+
+
+def test_streamed_centroids_go_on(spark, tmp_path):
+    data = [("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", [5.0, 5.0]), ("b", None), ("a", [5.0, 1.0])]
+    schema = "k string, v array<double>"
+    for n, rows in enumerate((data[:2], data[2:])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/n={n}"))
+        stream = spark.readStream.schema(schema + ", n int").parquet(str(tmp_path / "in"))
+        got = sorted(tuple(r) for r in twins.running_centroids(spark, stream, ["k"], "v", f"file://{tmp_path}/state").collect())
+    assert got == [("a", 0, 3.0, 3), ("a", 1, 3.0, 3), ("b", 0, 5.0, 1), ("b", 1, 5.0, 1)]
 
 
 def test_delivery_and_recorded_cases(spark, tmp_path):
