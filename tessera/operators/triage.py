@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from tessera.functions.text import casefold, filled, ws_trim
+from tessera.functions.text import casefold, doc_text, filled, set_similarity, shingles, ws_trim
 from tessera.operators.block import DAY, blocked_knn
 from tessera.store.tables import staged
 
@@ -63,34 +63,89 @@ def resolve(pending: DataFrame, verdicts: DataFrame, on: list[str]) -> DataFrame
     return pending.join(verdicts, on, "left").withColumn("same", F.coalesce("same", F.lit(False)))
 
 
+#: A key with more rows than this, or than its share of them, is joined by broadcast: there are few such keys.
+HEAVY_ROWS, MOST_HEAVY = 10_000, 50_000
+
+
+def _heavy(rows: DataFrame, key: str, total: int) -> DataFrame | None:
+    """The keys of very many rows, MOST_HEAVY at most; None where there can't be one."""
+    least = max(HEAVY_ROWS, -(-total // MOST_HEAVY))
+    return rows.groupBy(key).count().filter(F.col("count") > least).select(key) if total > least else None
+
+
+def _looked_up(rows: DataFrame, values: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
+    """Inner join of ``rows`` with one row of ``values`` per key; the rows of a heavy key aren't brought together."""
+    if heavy is None:
+        return rows.join(values, key)
+    few = F.broadcast(staged(values.join(F.broadcast(heavy), key, "left_semi"), "heavy-values"))
+    usual = rows.join(F.broadcast(heavy), key, "left_anti").join(values, key)
+    return usual.unionByName(rows.join(few, key))
+
+
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 1000) -> DataFrame:
     """Bulk mode: (id, component), the smallest id reachable over ``links`` (a, b).
 
     Each row offers the smallest label among its neighbours to itself and to the row that
     its own label names, so that whole trees are hooked on; then labels are replaced by
     their labels' labels.  This goes on until nothing changes; ``rounds`` is a safety bound
-    at which an error is raised.  Every round is cut by a checkpoint.  Transitive closure
-    isn't the sequential result.
+    at which an error is raised.  Every round is written to the shared folder.  Transitive
+    closure isn't the sequential result.
+
+    A row with very many neighbours and the label of a very large component are looked up
+    by broadcast (there are at most MOST_HEAVY of them), so neither fills one task.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    spark = nodes.sparkSession
-    durable = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    cut = (lambda d: d.checkpoint()) if durable else (lambda d: d.persist())
-    both, labels = cut(both), cut(nodes.select("id", F.col("id").alias("component")))
+    both = staged(links.select("a", F.col("b").alias("id")).union(links.select("b", F.col("a").alias("id"))).distinct(), "links")
+    labels = staged(nodes.select("id", F.col("id").alias("component")), "labels")
+    size = labels.count()
+    hubs = _heavy(both, "id", both.count())
+    hubs = staged(hubs, "hubs") if hubs is not None else None
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
-        offers = cut(labels.join(near, labels.id == near.a, "left").select("id", "component", F.least("component", "m").alias("m")))
+        near = _looked_up(both, labels, "id", hubs).groupBy("a").agg(F.min("component").alias("m"))
+        offers = staged(labels.join(near, labels.id == near.a, "left").select("id", "component", F.least("component", "m").alias("m")), "offers")
         hooks = offers.filter("m < component").groupBy(F.col("component").alias("root")).agg(F.min("m").alias("hook"))
-        new = offers.join(hooks, offers.id == hooks.root, "left").select("id", F.least("m", "hook").alias("component"))
+        new = staged(offers.join(hooks, offers.id == hooks.root, "left").select("id", F.least("m", "hook").alias("component")), "hooked")
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = cut(new.join(jump, "component").select("id", F.least("component", "further").alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "was"), "id").filter("component <> was").limit(1).count()
+        new = staged(_looked_up(new, jump, "component", _heavy(new, "component", size)).select("id", F.least("component", "further").alias("component")), "labels")
+        if new.join(labels.withColumnRenamed("component", "was"), "id").filter("component <> was").isEmpty():
+            return new
         labels = new
-        if not changed:
-            return labels
     raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
+def url_links(records: DataFrame) -> DataFrame:
+    """(a, b): each record and the smallest id of its url, so a url of many records is a star."""
+    known = staged(records.filter("url IS NOT NULL AND url <> ''").select("id", "url"), "urls")
+    first = known.groupBy("url").agg(F.min("id").alias("b"))
+    return _looked_up(known, first, "url", _heavy(known, "url", known.count())).filter("id <> b").select(F.col("id").alias("a"), "b")
+
+
+def similarity_links(records: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """(a, b, similarity): pairs that the exact mode would merge at once, among each record's nearest in its block.
+
+    Candidates are the ``t.limit`` records of highest cosine in the block; a link is verified
+    by the larger of cosine and the exact Jaccard similarity of word pairs.
+    """
+    place = F.nullif(casefold(ws_trim(F.col("city"))), F.lit(""))
+    at = (F.unix_micros(F.col("starts_at").cast("timestamp")) / 1e6).alias("at")
+    x = staged(records.select("id", place.alias("city"), at, F.col("embedding").alias("v"), shingles(doc_text(F.col("title"), F.col("description"))).alias("words")), "similar-records")
+    pairs = blocked_knn(x.withColumn("k", F.lit(t.limit)), x.filter("v IS NOT NULL"), t.days)
+    words = lambda name: x.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
+    # Each record stands in ``limit`` rows on the left; on the right a hub may stand in many.
+    near = staged(pairs.select(F.col("q_id").alias("a"), F.col("id").alias("b"), "similarity").join(words("a"), "a"), "near-pairs")
+    near = _looked_up(near, words("b"), "b", _heavy(near, "b", near.count()))
+    return near.withColumn("similarity", combined(F.col("similarity"), set_similarity(F.col("a_words"), F.col("b_words")))).filter(F.col("similarity") >= t.auto).select("a", "b", "similarity")
+
+
+def bulk_reconcile(records: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """(id, component): records joined by equal urls and by verified similarity, whatever their order.
+
+    ``records``: id, url, title, description, city, starts_at, embedding.  What the golden
+    record and its provenance are is then a fold per component; see ``survive``.
+    """
+    links = url_links(records).unionByName(similarity_links(records, t).select("a", "b"))
+    return components(records.select("id"), links)
+
+
 # ---------------------------------------------------------------- exact sequential mode
 
 

@@ -360,3 +360,47 @@ SELECT c AS run, id AS canonical_id, field, first AS source_id FROM f WHERE gave
 )
 def reconcile_provenance(spark, d):
     return _reconciled(spark, d).provenance
+
+
+#: Links of equal urls and of merging similarity among all records, and their closure.
+_BULK = f"""RECURSIVE {_matched_sql('true', 'true').split('kn AS')[0]}
+kn AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(cos, 6) DESC, o) - 1 AS knn_pos FROM pr),
+ul AS (SELECT event_id, 'http://e.example/' || user_id % 11 || '/' || event_id % 20 AS url FROM events WHERE event_id IN (SELECT event_id FROM x)),
+li AS (SELECT c AS a, o AS b FROM kn WHERE knn_pos < 10 AND greatest(round(cos, 6), lex) >= 0.55 UNION SELECT p.event_id, q.event_id FROM ul p JOIN ul q USING (url) WHERE p.event_id <> q.event_id),
+bo AS MATERIALIZED (SELECT a, b FROM li UNION SELECT b, a FROM li),
+re AS (SELECT event_id AS id, event_id AS r FROM x UNION SELECT re.id, bo.b FROM re JOIN bo ON bo.a = re.r),
+co AS (SELECT id, min(r) AS component FROM re GROUP BY id)"""
+
+
+def _bulk(spark, d):
+    """Records with numbers as ids and their components."""
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("http://e.example/"), (F.col("user_id") % 11).cast("string"), F.lit("/"), (F.col("event_id") % 20).cast("string")).alias("url"))
+    r = _records(spark, d).drop("id").join(e, "event_id").withColumnRenamed("event_id", "id")
+    r = staged(r, "bulk-records")
+    return r.join(triage.bulk_reconcile(r, Thresholds(auto=0.55)), "id")
+
+
+@query(f"WITH {_BULK} SELECT id, component FROM co")
+def bulk_components(spark, d):
+    """All records joined by urls and verified similarity, in any order."""
+    return _bulk(spark, d).select("id", "component")
+
+
+@query(
+    f"""WITH {_BULK}, m AS (SELECT component, x.* FROM co JOIN x ON x.event_id = co.id) SELECT component, arg_min(city, event_id) FILTER (city IS NOT NULL) AS city, arg_min(venue, event_id) FILTER (trim(venue) <> '') AS venue,
+epoch(arg_min(starts_at, event_id) FILTER (starts_at IS NOT NULL))::BIGINT AS start, count(*) AS sources FROM m GROUP BY component"""
+)
+def bulk_golden(spark, d):
+    """The golden record of each component: every field's first filled value in the order of ids."""
+    m = _bulk(spark, d).withColumn("start", F.unix_seconds("starts_at").cast("string"))
+    fields = survive.golden(m, "component", ["id"], ["city", "venue", "start"])
+    return fields.join(m.groupBy("component").agg(F.count(F.lit(1)).alias("sources")), "component").withColumn("start", F.col("start").cast("bigint"))
+
+
+@query(
+    f"""WITH {_BULK}, m AS (SELECT component, x.* FROM co JOIN x ON x.event_id = co.id), f AS (SELECT component, event_id, unnest(['city', 'venue']) AS field, unnest([city, nullif(trim(venue), '')]) AS v FROM m)
+SELECT component, field, min(event_id) AS source FROM f WHERE v IS NOT NULL GROUP BY ALL"""
+)
+def bulk_provenance(spark, d):
+    """Which record gave each field of its component's golden record."""
+    return survive.provenance(_bulk(spark, d), "component", ["id"], "id", ["city", "venue"]).withColumnRenamed("id", "source")

@@ -260,6 +260,14 @@ def test_components(spark):
     assert rows(triage.components(nodes, links), "id", "component") == [(0, 0), (1, 1), (2, 2), (3, 1), (4, 4), (5, 2), (6, 6), (7, 1), (8, 1)]
 
 
+def test_components_of_a_hub(spark, monkeypatch):
+    """A star whose hub and component are heavy: looked up by broadcast, in no task of its own."""
+    monkeypatch.setattr(triage, "HEAVY_ROWS", 50)
+    star = spark.range(1, 2000).select(F.when(F.col("id") % 2 == 0, F.lit(777)).otherwise(F.col("id")).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.lit(777)).alias("b"))
+    got = triage.components(spark.range(2100), star)
+    assert got.filter("id BETWEEN 1 AND 1999 AND component <> 1").count() == 0 and got.filter("id = component").count() == 1 + 1 + 100
+
+
 def test_components_of_a_long_path_in_any_order(spark):
     order = random.Random(6).sample(range(1000), 1000)
     links = spark.createDataFrame([(a, b) for k, (a, b) in enumerate(zip(order, order[1:], strict=False)) if k != 599], "a bigint, b bigint")
