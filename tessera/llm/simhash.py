@@ -587,7 +587,8 @@ def open_sample_pairs(classes: DataFrame, members: DataFrame, total: int, simila
     buckets = staged(buckets.filter("parts > 1").drop("parts"), "open-buckets")
     if buckets.isEmpty():
         return None
-    rows = _beside(placed, buckets, ["t", "print"], "k", total).join(classes.select("node", "sketch", "ranges"), "node")
+    # Written: a join may not rest on a union's partitioning, since a part of it may be dealt anew while it runs.
+    rows = staged(_beside(placed, buckets, ["t", "print"], "k", total), "placed-rows").join(classes.select("node", "sketch", "ranges"), "node")
     rows = rows.withColumn("ways", F.ceil(F.col("k") / CHUNK).cast("int")).withColumn("probe_ways", F.ceil((F.col("k") - F.col("most")) / CHUNK).cast("int"))
     mine = lambda ways: F.pmod(F.xxhash64("node"), F.col(ways)).cast("int")
     every = lambda ways: F.explode(F.sequence(F.lit(0), F.col(ways) - 1))
