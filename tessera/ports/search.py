@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.vocabulary import SEARCH_ENGINES
@@ -80,3 +81,23 @@ class OfflineWebSource(DataSource):
 def read_recorded(spark: SparkSession, results: dict[str, list[dict]]) -> DataFrame:
     spark.dataSource.register(OfflineWebSource)
     return spark.read.format("offline_web").option("results", json.dumps(results)).load()
+
+
+# ---------------------------------------------------------------- a recording of any size
+
+RECORDED = ("query_id", "pos", "url", "title", "description")
+
+
+def record(results: DataFrame, path: str) -> None:
+    """Keep search results (query_id, pos, url, title, description) for playing back.
+
+    Rows lie in ranges of the query id, so a file's statistics tell which queries it has; a
+    query of very many results spans several files.
+    """
+    results.select(*RECORDED).repartitionByRange("query_id", "pos").sortWithinPartitions("query_id", "pos").write.mode("overwrite").parquet(path)
+
+
+def played(spark: SparkSession, path: str, queries: Sequence[str] | None = None) -> DataFrame:
+    """Recorded results, of some queries or of all; the query ids go down to the scan and choose its files and row groups."""
+    rows = spark.read.parquet(path).select(*RECORDED)
+    return rows if queries is None else rows.filter(F.col("query_id").isin(list(queries)))

@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 from tessera.functions import contracts
 from tessera.functions.cron import valid_cron
 from tessera.functions.vector import as_vector
-from tessera.operators import evaluate, feedback, ingest, ledger, schedule, taste
+from tessera.operators import embed, evaluate, feedback, ingest, ledger, schedule, taste
 from tessera.operators.survive import has_geo
 from tessera.plans.flagship import taste_scores
+from tessera.ports import search
 from tessera.queries.registry import query
 from tessera.sources.tables import SAVED_SQL, saved_queries, seconds, table, values, values_sql
 from tessera.store.tables import scratch
@@ -395,16 +396,48 @@ def eval_summary(spark, d):
 # ---------------------------------------------------------------- sources and streams
 
 
-@query("SELECT 'p' || page_id % 7 AS query_id, CAST(row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) - 1 AS INTEGER) AS pos, url, 'page ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'even' END AS description FROM pages WHERE page_id < 200")
+@query("SELECT 'p' || page_id % 7 AS query_id, CAST(page_id // 7 AS INTEGER) AS pos, url, 'page ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'even' END AS description FROM pages")
 def web_source(spark, d):
-    """A recording of seven searches, made of the first 200 pages, read back through the offline engine."""
-    from tessera.ports.search import read_recorded
-
-    pages = table(spark, d, "pages").filter("page_id < 200").orderBy("page_id").select("page_id", "url").collect()
-    recorded: dict[str, list[dict]] = {}
-    for r in pages:
-        recorded.setdefault(f"p{r['page_id'] % 7}", []).append({"url": r["url"], "title": f"page {r['page_id']}", **({"description": "even"} if r["page_id"] % 2 == 0 else {})})
-    return read_recorded(spark, recorded)
+    """A recording of seven searches, made of all pages, and played back."""
+    p = F.col("page_id")
+    found = table(spark, d, "pages").select(F.concat(F.lit("p"), (p % 7).cast("string")).alias("query_id"), F.floor(p / 7).cast("int").alias("pos"), "url", F.concat(F.lit("page "), p.cast("string")).alias("title"), F.when(p % 2 == 0, "even").alias("description"))
+    path = scratch(spark, "recording")
+    search.record(found, path)
+    return search.played(spark, path)
+
+
+@query("SELECT doc_id, text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) AS made, CASE WHEN text IS NOT NULL THEN 384 END AS width FROM documents")
+def embed_missing(spark, d):
+    """Every third document was embedded in an earlier session; of all documents only new texts are embedded now."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    cache = embed.VectorCache(spark, scratch(spark, "vectors"))
+    cache.embed(docs.filter("doc_id % 3 = 0"))
+    found = cache.embed(docs).select("doc_id", "made", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("width"))
+    cache.close()
+    return found
+
+
+@query(
+    f"""WITH {_VEC}, fb AS (SELECT user_id, event_id, {_KIND} AS kind FROM events WHERE {_KIND} IS NOT NULL AND event_id IN (SELECT vec_id FROM vec)),
+ct AS (SELECT user_id, count(*) FILTER (kind = 'like') AS l, count(*) FILTER (kind = 'dislike') AS d FROM fb GROUP BY user_id),
+su AS (SELECT user_id, kind, i, sum(x) AS s, count(*) AS n FROM (SELECT user_id, kind, unnest(v) AS x, unnest(range(len(v))) AS i FROM fb JOIN vec ON vec_id = event_id) GROUP BY ALL),
+pr AS (SELECT vec_id AS user_id, 'like' AS kind, unnest(v) AS c, unnest(range(len(v))) AS i FROM vec WHERE vec_id % 2 = 0)
+SELECT su.user_id, su.kind, CAST(i AS INTEGER) AS i, round(CASE WHEN c IS NULL THEN s / n ELSE (3 * c + s) / (3 + n) END, 6) AS value, CASE WHEN su.kind = 'like' THEN l + CASE WHEN su.user_id % 2 = 0 AND c IS NOT NULL THEN 3 ELSE 0 END ELSE d END AS fed
+FROM su JOIN ct USING (user_id) LEFT JOIN pr USING (user_id, kind, i)"""
+)
+def profile_record(spark, d):
+    """Profiles after a batch of feedback on known records; users with an even id already had three likes, their own vector."""
+    vectors = table(spark, d, "embeddings").select("vec_id", as_vector(F.col("embedding")).alias("embedding"))
+    items = vectors.withColumnRenamed("vec_id", "item")
+    given = _kinds(spark, d).filter("kind IS NOT NULL").select(F.col("user_id").alias("who"), F.col("event_id").alias("item"), "kind")
+    given = feedback.known_only(given, items, "item")
+    none = F.lit(None)
+    before = vectors.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("who"), none.cast("string").alias("nl_summary"), F.col("embedding").alias("liked_centroid"), none.cast("array<double>").alias("disliked_centroid"), F.lit(3).alias("like_count"), F.lit(0).alias("dislike_count"))
+    after = feedback.record(before, given, items, key="who", item="item")
+    sides = [after.filter(F.col(f"{c}d_centroid").isNotNull()).select(F.col("who").alias("user_id"), F.lit(c).alias("kind"), F.posexplode(f"{c}d_centroid").alias("i", "value"), F.col(f"{c}_count").alias("fed")) for c in ("like", "dislike")]
+    # A side without feedback keeps what it was.
+    fed = given.select(F.col("who").alias("user_id"), "kind").distinct()
+    return sides[0].unionByName(sides[1]).join(fed, ["user_id", "kind"], "left_semi").withColumn("value", F.round("value", 6))
 
 
 @query(f"SELECT user_id, event_type AS result_id, min({_AT}) AS shown_at FROM events GROUP BY ALL")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,12 +78,3 @@ def reconcile(spark: SparkSession, stream: DataFrame, store: Store, judge: Judge
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{store.folder}/_streams/{name}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return store.view("canonical")
-
-
-def deliver(messages: DataFrame, send: Callable[[str, str], None], chat: str = "chat_id", text: str = "message", order: str = "rank") -> int:
-    """Hand messages to ``send`` (chat, text) one by one in their order; the driver holds a partition at a time."""
-    sent = 0
-    for r in messages.orderBy(chat, order).select(chat, text).toLocalIterator():
-        send(r[0], r[1])
-        sent += 1
-    return sent

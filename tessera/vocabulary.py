@@ -59,3 +59,27 @@ def search_call(domain: str | None) -> dict:
     attributes = {"type": "object", "properties": {k: {"type": "string", "description": describe(k)} for k in keys_of(domain)}, "additionalProperties": False}
     row = {"type": "object", "properties": {"url": {"type": "string"}, "title": {"type": "string"}, "attributes": attributes}}
     return call_schema(CALLS["search"], {"results": {"type": "array", "items": row}}, ["results"])
+
+
+def _listed(name: str, field: str, row: dict, required: list[str]) -> dict:
+    item = {"type": "object", "properties": row, "required": required, "additionalProperties": False}
+    return call_schema(CALLS[name], {field: {"type": "array", "items": item}}, [field])
+
+
+def call_of(stage: str, domain: str | None = None) -> dict:
+    """The structured call that a stage's model answers with."""
+    text, number, flag = {"type": "string"}, {"type": "integer"}, {"type": "boolean"}
+    if stage == "search":
+        return search_call(domain)
+    if stage == "expand":
+        return _listed(stage, "queries", {"language": text, "query": text}, ["language", "query"])
+    if stage == "classify":
+        return call_schema(CALLS[stage], {"domain": {"type": "string", "enum": list(ATTRIBUTES)}}, ["domain"])
+    if stage == "judge":
+        return _listed(stage, "verdicts", {"pair": number, "same": flag}, ["pair", "same"])
+    if stage == "rerank":
+        return _listed(stage, "ranking", {"id": number, "why": text}, ["id"])
+    if stage == "builder":
+        draft = {"message": text, "ready": flag, "text": text, "city": text, "schedule_cron": text, "schedule_text": text, "max_results_shown": number}
+        return call_schema(CALLS[stage], draft, ["message", "ready"])
+    raise ValueError(f"no stage {stage} with a structured call")
