@@ -225,16 +225,79 @@ def test_streamed_centroids_go_on(spark, tmp_path):
     assert got == [("a", 0, 3.0, 3), ("a", 1, 3.0, 3), ("b", 0, 5.0, 1), ("b", 1, 5.0, 1)]
 
 
-def test_delivery_and_recorded_cases(spark, tmp_path):
+def test_delivery_is_sent_once_and_marked_on_commit(spark, tmp_path):
+    """A task that fails is run again without sending twice; only a delivery that ended well is marked as shown."""
+    import uuid
+
+    from tessera.streaming.delivery import FileClaims, deliver
+
+    sent = tmp_path / "sent"
+    sent.mkdir()
+
+    def send(chat, text):
+        (sent / f"{len(list(sent.iterdir())):03d}-{uuid.uuid4().hex}").write_text(f"{chat} {text}")
+        if text == "boom":
+            raise ValueError
+
+    messages = spark.createDataFrame([("c", 1, "b", "r1"), ("c", 0, "a", "r2"), ("b", 0, "z", "r1"), ("c", 2, "boom", "r3"), ("c", 3, "d", "r4")], "chat_id string, rank int, message string, result_id string")
+    shown = []
+    claims = FileClaims(str(tmp_path / "claims"))
+    with pytest.raises(Exception, match="ValueError|failed"):
+        deliver(messages.coalesce(1), send, claims, lambda m: shown.append(m.count()))
+    assert not shown
+    deliver(messages.coalesce(1), send, claims, lambda m: shown.append(m.count()))
+    assert shown == [5]
+    told = [p.read_text() for p in sorted(sent.iterdir())]
+    assert sorted(told) == ["b z", "c a", "c b", "c boom", "c d"] and [t for t in told if t[0] == "c"] == ["c a", "c b", "c boom", "c d"]
+
+
+def test_recorded_cases(spark, tmp_path):
     from tessera.operators import evaluate
 
-    sent = []
-    assert twins.deliver(spark.createDataFrame([("c", 1, "b"), ("c", 0, "a"), ("b", 0, "z")], "chat_id string, rank int, message string"), lambda c, t: sent.append((c, t))) == 3
-    assert sent == [("b", "z"), ("c", "a"), ("c", "b")]
     (tmp_path / "cases.json").write_text('{"name":"x","stage":"rank","golden_ids":["1"]}\n{"name":"y","stage":"merge","golden_ids":[]}\n')
     assert [r["name"] for r in evaluate.cases(spark, str(tmp_path / "cases.json"), "rank").collect()] == ["x"]
 
 
+def test_a_recording_is_asked_by_query(spark, tmp_path):
+    found = spark.range(1000).select(F.concat(F.lit("q"), (F.col("id") % 50).cast("string")).alias("query_id"), F.floor(F.col("id") / 50).cast("int").alias("pos"), F.lit("u").alias("url"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("description"))
+    search.record(found, str(tmp_path / "recording"))
+    some = search.played(spark, str(tmp_path / "recording"), ["q3", "q7"])
+    assert some.count() == 40 and search.played(spark, str(tmp_path / "recording")).count() == 1000
+    assert "PushedFilters: [In(query_id, [q3,q7])]" in some._jdf.queryExecution().toString().replace("  ", " ")
+
+
+def test_only_texts_without_a_vector_are_embedded(spark, tmp_path):
+    import uuid
+
+    from tessera.operators.embed import VectorCache
+
+    log = tmp_path / "log"
+    log.mkdir()
+
+    class Counting(models.HashEmbedder):
+        def embed(self, texts):
+            for t in texts:
+                (log / uuid.uuid4().hex).write_text(t)
+            return super().embed(texts)
+
+    cache = VectorCache(spark, f"file://{tmp_path}/vectors", 2, Counting)
+    rows = lambda *texts: spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, text string, embedding_of string")
+    assert {r["made"] for r in cache.embed(rows("a b", "a b", None, "")).collect() if r["text"] is not None} == {True}
+    got = {r["id"]: r for r in cache.embed(rows("c", "a b", "c", None)).collect()}
+    cache.close()
+    assert sorted(p.read_text() for p in log.iterdir()) == ["", "a b", "c"]
+    assert (got[0]["made"], got[1]["made"], got[2]["made"]) == (True, False, True) and got[3]["embedding"] is None and got[0]["embedding"] == got[2]["embedding"]
+    assert cache.embed is not None and len(got) == 4
+
+
+def test_structured_calls():
+    assert {s: vocabulary.call_of(s)["name"] for s in vocabulary.CALLS} == vocabulary.CALLS
+    assert vocabulary.call_of("classify")["parameters"]["properties"]["domain"]["enum"] == list(vocabulary.ATTRIBUTES)
+    assert vocabulary.call_of("judge")["parameters"]["properties"]["verdicts"]["items"]["required"] == ["pair", "same"]
+    with pytest.raises(ValueError):
+        vocabulary.call_of("merge")
+
+
 def test_locations_are_blank_where_unknown(spark, tmp_path):
     store = Store(spark, str(tmp_path / "users"))
     store.append("users", spark.createDataFrame([("u1", "n", ("Berlin", None, None, None), None)], TABLES["users"]), 1)
