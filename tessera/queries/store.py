@@ -14,6 +14,7 @@ from tessera.plans.flagship import taste_scores
 from tessera.ports import search
 from tessera.queries.registry import query
 from tessera.sources.tables import SAVED_SQL, saved_queries, seconds, table, values, values_sql
+from tessera.store import bucketed
 from tessera.store.tables import scratch
 from tessera.streaming import ticks, twins
 from tessera.vocabulary import ATTRIBUTES
@@ -30,6 +31,18 @@ def upsert_latest(spark, d):
     return ledger.latest(_events(spark, d).select("user_id", "event_id", "event_type", "at"), ["user_id"], ["at", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) AS n FROM (SELECT user_id, event_id, event_type FROM events)) SELECT user_id, event_id, event_type FROM r WHERE n = 1")
+def bucketed_latest(spark, d):
+    """Three writes to a bucketed log, compacted between the second and the third; each write has a user's last event of its batch."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    log = bucketed.BucketedLog(spark, scratch(spark, "bucketed-events"), e.schema, "user_id")
+    for version in range(3):
+        if version == 2:
+            log.compact()
+        log.append(ledger.latest(e.filter(F.col("event_id") % 3 == version), ["user_id"], ["event_id"]), version)
+    return log.view().select("user_id", "event_id", "event_type")
+
+
 @query("SELECT user_id, event_type, min(event_id) AS seq FROM events GROUP BY user_id, event_type")
 def insert_ignore_links(spark, d):
     return ledger.insert_ignore(_events(spark, d).withColumnRenamed("event_id", "seq"), ["user_id", "event_type"], "seq")

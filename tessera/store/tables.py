@@ -78,6 +78,10 @@ class Store:
         else:
             rows.write.mode("append").parquet(self._log(table))
 
+    def append_as(self, table: str, rows: DataFrame, version: int, once: str | None = None) -> None:
+        """Add rows as a table has them: its columns, those that are missing null."""
+        self.append(table, _as(rows, TABLES[table]), version, once)
+
     def log(self, table: str) -> DataFrame:
         path = self._log(table)
         fs, hadoop = self._path(path)

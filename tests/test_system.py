@@ -298,6 +298,77 @@ def test_structured_calls():
         vocabulary.call_of("merge")
 
 
+def test_bucketed_log_without_shuffles(spark, tmp_path):
+    from tessera.schema import _struct
+    from pyspark.sql import types as T
+
+    from tessera.store.bucketed import BucketedLog
+
+    schema = _struct(id=T.StringType(), value=T.LongType(), tags=T.MapType(T.StringType(), T.StringType()))
+    log = BucketedLog(spark, f"file://{tmp_path}/log", schema, "id", 4)
+    rows = lambda v, *ids: spark.createDataFrame([(i, v, {"v": str(v)}) for i in ids], schema)
+    log.append(rows(1, "a", "b", "c"), 1)
+    log.append(rows(2, "b", "d"), 2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = log.view().join(log.view().withColumnRenamed("value", "w").drop("tags"), "id")
+        for df in (log.view(), joined):
+            df.collect()
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = {"a": 1, "b": 2, "c": 1, "d": 2}
+    seen = lambda df: {r["id"]: r["value"] for r in df.collect()}
+    before = log.view()
+    log.compact(8)
+    assert seen(before) == seen(log.view()) == want and log.log().count() == 4
+    log.append(rows(3, "a"), 3)
+    other = BucketedLog(spark, f"file://{tmp_path}/log", schema, "id", 99)  # opened again: the number of buckets is the log's
+    assert seen(other.view()) == {**want, "a": 3} and seen(before) == want
+    log.vacuum()
+    assert seen(other.view()) == {**want, "a": 3} and len(log._generations()) == 1
+    log.close()
+    other.close()
+
+
+def test_a_saved_query_runs_from_its_id(spark, tmp_path, monkeypatch):
+    """Owner check, translations, cached domain, sessions that meet the same records, what was shown, an order from outside."""
+    from tessera.plans import saved
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    query = spark.createDataFrame([("s1", "u1", "jazz", None, None)], "id string, user_id string, text string, city string, domain string")
+    store.append_as("saved_queries", query, 0)
+    results = [("jazz", 0, "https://www.a.example/x?utm_source=1", "jazz night", "in the hall"), ("jazz", 1, "https://b.example/y", "poems", "quiet"), ("Jazzabend", 0, "https://a.example/x", "jazz night", "in the hall"), ("Jazzabend", 1, "https://c.example/z", "chess open", "for all")]
+    recorded = spark.createDataFrame(results, "text string, pos int, url string, title string, description string")
+    search_ = lambda asked: asked.select("query_id", "text").join(recorded, "text").drop("text")
+    words = lambda q: q.select("id", F.explode(F.array(F.lit("jazz"), F.lit("Jazzabend"))).alias("query"))
+    monkeypatch.setitem(saved.PARTS["search"], "recorded", lambda: search_)
+    monkeypatch.setitem(saved.PARTS["translate"], "two", lambda: words)
+    stages = saved.build({"search": "recorded", "translate": "two", "judge": "words"})
+    seen, me = [], auth.Principal("u1", "local")
+    for session in (1, 2, 2):  # the last one is run again
+        ranked = saved.run_saved(spark, store, "s1", me, stages, session, listener=seen.append).collect()
+        assert len(ranked) == len({r["id"] for r in ranked}) == 3 and sorted(r["rank"] for r in ranked) == [0, 1, 2]
+    assert [(e.stage, e.phase) for e in seen[:12]] == [(s, p) for s in ("expand", "search", "merge", "dedup", "store", "rank") for p in ("start", "done")]
+    assert store.view("canonical").count() == 3 and store.links().count() == 3 and store.view("raw_results").count() == 6
+    assert store.view("saved_queries").first()["domain"] == "events"
+    titles = {r["id"]: r["title"] for r in store.view("canonical").collect()}
+    shown = next(i for i, t in titles.items() if t == "poems")
+    store.mark_shown(spark.createDataFrame([("u1", shown, datetime(2024, 1, 1, tzinfo=UTC))], "user_id string, result_id string, shown_at timestamp"), 3)
+    backwards = lambda head: head.select("query", F.lit(0).alias("place"), F.lit(1).alias("idx"), F.lit("first").alias("why")).distinct()
+    turned = saved.build({"search": "recorded", "translate": "two", "judge": "never"}, rerank=backwards)
+    again = saved.run_saved(spark, store, "s1", me, turned, 3, unseen_only=True).collect()
+    assert {titles[r["id"]] for r in again} == {"jazz night", "chess open"} and [r["rationale"] for r in sorted(again, key=lambda r: r["rank"])] == ["first", None]
+    with pytest.raises(auth.NotOwner):
+        saved.run_saved(spark, store, "s1", auth.Principal("u2", "local"), stages, 4)
+    with pytest.raises(saved.UnknownQuery):
+        saved.run_saved(spark, store, "s9", me, stages, 4)
+    for named, error in (({"search": "exa"}, NotImplementedError), ({"search": "nothing"}, search.AdapterMissing), ({"judge": "words"}, search.AdapterMissing), ({"sort": "x"}, ValueError)):
+        with pytest.raises(error):
+            saved.build(named)
+
+
 def test_locations_are_blank_where_unknown(spark, tmp_path):
     store = Store(spark, str(tmp_path / "users"))
     store.append("users", spark.createDataFrame([("u1", "n", ("Berlin", None, None, None), None)], TABLES["users"]), 1)
