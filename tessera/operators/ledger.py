@@ -38,12 +38,25 @@ def delivered(ranked: DataFrame, canonical: DataFrame, on: str, rank: str, cap:
     return ranked.filter(F.col(rank) < F.col(cap)).join(canonical, on)
 
 
+#: Ranges of keys that are numbered apart.
+RANGES = 1024
+
+
 def next_seq(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str], seq: str = "seq") -> DataFrame:
-    """New keys with sequence numbers that go on after the existing ones."""
-    fresh = new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
-    start = existing.agg(F.coalesce(F.max(seq), F.lit(0)).alias("_start"))
-    # Numbers are given per first key and shifted by the keys before, so that no task numbers everything.
-    first = keys[0]
-    ahead = fresh.groupBy(first).count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(first).orderBy(*order))).join(ahead, first).join(F.broadcast(start))
-    return numbered.withColumn(seq, F.col("_start") + F.col("_before") + F.col("_n")).drop("_start", "_before", "_n")
+    """New keys with sequence numbers that go on after the existing ones, each at its smallest ``order``.
+
+    Within a first key, numbers rise by ``order``; first keys follow by hashed ranges.  Each
+    range is numbered by itself and shifted by the counts before it, RANGES at most, so no
+    task numbers everything.  Columns other than these aren't returned.
+    """
+    fresh = new.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_at")).join(existing.select(*keys), keys, "left_anti")
+    fresh = fresh.withColumn("_range", F.pmod(F.xxhash64(keys[0]), F.lit(RANGES)).cast("int"))
+    total = existing.agg(F.coalesce(F.max(seq), F.lit(0))).first()[0]
+    counts = {r["_range"]: r["count"] for r in fresh.groupBy("_range").count().collect()}
+    ahead, at = [], total
+    for k in range(RANGES):
+        ahead.append(at)
+        at += counts.get(k, 0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(keys[0], "_at", *keys[1:]))
+    start = F.array(*map(F.lit, ahead))[F.col("_range")]
+    return fresh.select(*keys, *(F.col(f"_at.{c}").alias(c) for c in order if c not in keys), (start + place).alias(seq))

@@ -12,9 +12,8 @@ def _n(partition: str, *order) -> F.Column:
 
 
 def prefilter(scored: DataFrame, query: str, item: str, top_n: int) -> DataFrame:
-    """Number by falling taste (``taste_pos``); the first ``top_n`` are the ``head``."""
-    placed = scored.withColumn("taste_pos", _n(query, F.desc("score"), F.col(item)))
-    return placed.withColumn("head", F.col("taste_pos") < top_n)
+    """The head: each query's ``top_n`` of falling taste, numbered by ``taste_pos``; each task keeps no more of a query before the shuffle."""
+    return scored.withColumn("taste_pos", _n(query, F.desc("score"), F.col(item))).filter(F.col("taste_pos") < top_n)
 
 
 def apply_submission(head: DataFrame, submission: DataFrame, query: str) -> DataFrame:
@@ -24,26 +23,31 @@ def apply_submission(head: DataFrame, submission: DataFrame, query: str) -> Data
     return joined.withColumn("rerank_pos", _n(query, F.col("place").isNull(), "place", "taste_pos"))
 
 
-def explore(placed: DataFrame, query: str, slots: int) -> DataFrame:
-    """Of those behind the head, the ``slots`` whose taste is least decided."""
-    rest = placed.filter("NOT head")
-    return rest.withColumn("explore_pos", _n(query, F.abs("score"), "taste_pos")).filter(F.col("explore_pos") < slots)
+def explore(scored: DataFrame, head: DataFrame, query: str, item: str, slots: int) -> DataFrame:
+    """Of those behind the head, the ``slots`` whose taste is least decided, in taste order at ties (``explore_pos``).
+
+    What is behind is told by the head's last row, so nothing but the explorers is numbered.
+    """
+    last = head.groupBy(query).agg(F.max_by(F.struct("score", item), "taste_pos").alias("_last"))
+    behind = (F.col("score") < F.col("_last.score")) | ((F.col("score") == F.col("_last.score")) & (F.col(item) > F.col(f"_last.{item}")))
+    rest = scored.join(last, query).filter(behind).drop("_last")
+    return rest.withColumn("explore_pos", _n(query, F.abs("score"), F.desc("score"), F.col(item))).filter(F.col("explore_pos") < slots)
 
 
-def ranked(placed: DataFrame, query: str, item: str, top_n: int, slots: int, submission: DataFrame | None = None) -> DataFrame:
-    """(query, item, score, rank, rationale, is_exploration).
+def ranked(scored: DataFrame, query: str, item: str, top_n: int, slots: int, submission: DataFrame | None = None) -> DataFrame:
+    """(query, item, score, rank, rationale, is_exploration), from rows of (query, item, score).
 
     The head gives way to the explorers, but never shows less than none of itself: with
     more explorers than places the result is longer than ``top_n``.
     """
-    head = placed.filter("head")
+    first = head = prefilter(scored, query, item, top_n)
     if submission is None:
         head = head.withColumn("rerank_pos", F.col("taste_pos")).withColumn("why", F.lit(None).cast("string"))
     else:
         head = apply_submission(head, submission, query)
-    explorers = explore(placed, query, slots)
+    explorers = explore(scored, first, query, item, slots)
     count = explorers.groupBy(query).agg(F.count(F.lit(1)).alias("_explorers"))
-    size = placed.groupBy(query).agg(F.least(F.count(F.lit(1)), F.lit(top_n)).alias("_out"))
+    size = first.groupBy(query).agg(F.count(F.lit(1)).alias("_out"))
     kept = head.join(size, query).join(count, query, "left").filter(F.col("rerank_pos") < F.greatest(F.col("_out") - F.coalesce("_explorers", F.lit(0)), F.lit(0)))
     kept = kept.select(query, item, "score", F.lit(0).alias("section"), F.col("rerank_pos").alias("pos"), F.col("why").alias("rationale"))
     shown = kept.unionByName(explorers.select(query, item, "score", F.lit(1).alias("section"), F.col("explore_pos").alias("pos"), F.lit(None).cast("string").alias("rationale")))

@@ -47,8 +47,7 @@ def run(
         if profile.limit(2).count() > 1:
             raise ValueError("a run is for one profile")
         scored = fresh.crossJoin(F.broadcast(profile)).select(F.lit(0).alias("query"), "id", taste(F.col("embedding"), F.col("liked_centroid"), F.col("disliked_centroid")).alias("score"))
-        head = ranking.prefilter(scored, "query", "id", top_n)
-        ranked = ranking.ranked(head, "query", "id", top_n, slots)
+        ranked = ranking.ranked(scored, "query", "id", top_n, slots)
     return {"found": found, "fused": fused, "outcomes": outcomes, "golden": golden, "provenance": provenance, "ranked": ranked}
 
 

@@ -34,6 +34,5 @@ def taste_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = part_lists(spark, sf_dir).withColumn("pos", F.col("l_partkey"))
     fused = fused_order(rrf(lists, ["l_partkey"], order=("rank", "list", "pos")), [])
-    placed = ranking.prefilter(taste_scores(spark, sf_dir), "query", "vec_id", 25)
-    ranked = ranking.ranked(placed, "query", "vec_id", 25, 2)
+    ranked = ranking.ranked(taste_scores(spark, sf_dir), "query", "vec_id", 25, 2)
     return ranked.join(fused.select(F.col("place").cast("int").alias("rank"), "l_partkey", F.round("score", 9).alias("fused_score")), "rank", "left")

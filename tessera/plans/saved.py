@@ -138,6 +138,6 @@ def run_saved(spark: SparkSession, store: Store, query_id: str, principal: Princ
         profile = with_profiles(query.select(F.col("id").alias("saved_query_id")), store.view("preferences"), "saved_query_id").select(F.col("saved_query_id").alias("query"), "liked_centroid", "disliked_centroid")
         scored = has.unionByName(lacks).join(F.broadcast(profile), F.col("query_id") == F.col("query"))  # one row
         scored = scored.select("query", "id", taste(F.col("embedding"), F.col("liked_centroid"), F.col("disliked_centroid")).alias("score"))
-        placed = ranking.prefilter(scored, "query", "id", stages.top_n)
-        order = stages.rerank(placed.filter("head")) if stages.rerank else None
-        return ranking.ranked(placed, "query", "id", stages.top_n, stages.slots, order).drop("query")
+        scored = staged(scored, "scored-records")
+        order = stages.rerank(ranking.prefilter(scored, "query", "id", stages.top_n)) if stages.rerank else None
+        return ranking.ranked(scored, "query", "id", stages.top_n, stages.slots, order).drop("query")

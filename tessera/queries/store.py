@@ -147,7 +147,7 @@ def taste_score(spark, d):
 
 @query(f"WITH {_TASTE} SELECT query, vec_id, taste_pos FROM pl WHERE taste_pos < 25")
 def taste_topn(spark, d):
-    return _placed(spark, d).filter("head").select("query", "vec_id", "taste_pos")
+    return _placed(spark, d).select("query", "vec_id", "taste_pos")
 
 
 _SUBMITTED = [(0, '{"ranking":[{"id":3,"why":"near"},{"id":1},{"id":3,"why":"again"},{"id":99},{"id":2,"why":"  "}]}', 25), (1, '{"ranking":[{"id":5,"why":"x"}]}', 25), (2, "broken", 25), (3, '{"ranking":[{"why":"no id"}]}', 25)]
@@ -160,7 +160,7 @@ def _submission(spark):
 
 @query(f"WITH {_TASTE}, {_SUBMISSION}, j AS (SELECT pl.query, vec_id, why, row_number() OVER (PARTITION BY pl.query ORDER BY place IS NULL, place, taste_pos) - 1 AS p FROM pl LEFT JOIN sb ON sb.query = pl.query AND idx = taste_pos WHERE taste_pos < 25) SELECT query, vec_id, why, CAST(p AS INTEGER) AS rerank_pos FROM j")
 def rerank_apply(spark, d):
-    return taste.apply_submission(_placed(spark, d).filter("head"), _submission(spark), "query").select("query", "vec_id", "why", "rerank_pos")
+    return taste.apply_submission(_placed(spark, d), _submission(spark), "query").select("query", "vec_id", "why", "rerank_pos")
 
 
 _RANKED = f"""{_TASTE}, {_SUBMISSION}, ee AS (SELECT query, vec_id, score, taste_pos, row_number() OVER (PARTITION BY query ORDER BY abs(score), taste_pos) - 1 AS p FROM pl WHERE taste_pos >= 25),
@@ -171,12 +171,12 @@ al AS (SELECT hd.query, vec_id, score, why, 0 AS sec, p FROM hd JOIN sz USING (q
 
 @query(f"WITH {_RANKED} SELECT query, vec_id, score, sec = 1 AS is_exploration FROM al")
 def exploration_slots(spark, d):
-    return taste.ranked(_placed(spark, d), "query", "vec_id", _TOP, _SLOTS, _submission(spark)).select("query", "vec_id", "score", "is_exploration")
+    return taste.ranked(taste_scores(spark, d), "query", "vec_id", _TOP, _SLOTS, _submission(spark)).select("query", "vec_id", "score", "is_exploration")
 
 
 @query(f"WITH {_RANKED} SELECT query, vec_id, CAST(row_number() OVER (PARTITION BY query ORDER BY sec, p) - 1 AS INTEGER) AS rank, why AS rationale, sec = 1 AS is_exploration FROM al")
 def rank_final(spark, d):
-    return taste.ranked(_placed(spark, d), "query", "vec_id", _TOP, _SLOTS, _submission(spark)).select("query", "vec_id", "rank", "rationale", "is_exploration")
+    return taste.ranked(taste_scores(spark, d), "query", "vec_id", _TOP, _SLOTS, _submission(spark)).select("query", "vec_id", "rank", "rationale", "is_exploration")
 
 
 @query(f"WITH {_VEC}, x AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM vec) SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS value, count(*) AS n FROM x GROUP BY label, i")

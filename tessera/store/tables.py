@@ -187,3 +187,13 @@ class MemoryStore:
 def preview(df: DataFrame, limit: int = 500) -> DataFrame:
     """The first rows of a table, for looking at."""
     return df.limit(limit)
+
+
+def tables_of(store: Store) -> DataFrame:
+    """(table, versions, rows): what a store holds, for looking at; tables that were never written aren't listed."""
+    fs, folder = store._path(store.folder)
+    there = [t for t in TABLES if fs.exists(store._path(f"{store.folder}/{t}")[1])]
+    out = store.spark.createDataFrame([], "table string, versions bigint, rows bigint")
+    for t in there:
+        out = out.unionByName(store.log(t).agg(F.lit(t).alias("table"), F.count_distinct("_version").alias("versions"), F.count(F.lit(1)).alias("rows")).select("table", "versions", "rows"))
+    return out

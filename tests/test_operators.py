@@ -303,12 +303,15 @@ def test_ledger(spark):
     assert rows(ledger.unseen(log, log.filter("user_id = 'u' AND item = 'a'"), ["user_id", "item"]), "user_id", "item") == [("u", "b"), ("v", "a")]
     assert rows(ledger.latest(log, ["user_id", "item"], ["seq"]), "user_id", "item", "seq") == [("u", "a", 2), ("u", "b", 3), ("v", "a", 4)]
     existing = spark.createDataFrame([("u", "a", 7)], "user_id string, item string, seq bigint")
-    assert rows(ledger.next_seq(existing, log.drop("seq"), ["user_id", "item"], ["item"]), "user_id", "item", "seq") == [("u", "b", 8), ("v", "a", 9)]
+    more = spark.createDataFrame([("u", "a", 9), ("u", "c", 2), ("u", "c", 5), ("u", "b", 3), ("v", "a", 4)], "user_id string, item string, pos int")
+    got = {(r["user_id"], r["item"]): r["seq"] for r in ledger.next_seq(existing, more, ["user_id", "item"], ["pos"]).collect()}
+    assert sorted(got.values()) == [8, 9, 10] and got["u", "c"] < got["u", "b"] and ("u", "a") not in got
 
 
 def _placed(spark, scores, top):
     df = spark.createDataFrame([(0, i, s) for i, s in enumerate(scores)], "q int, item int, score double")
-    return taste.prefilter(df, "q", "item", top)
+    assert taste.prefilter(df, "q", "item", top).count() <= top
+    return df
 
 
 def test_ranking(spark):

@@ -77,6 +77,9 @@ def test_store(spark, tmp_path):
     store.mark_shown(shown("ab", 1), 1)
     store.mark_shown(shown("bc", 2), 2)
     assert store.shown().count() == 3
+    from tessera.store.tables import tables_of
+
+    assert sorted(tuple(r) for r in tables_of(store).collect()) == [("query_results", 1, 3), ("shown_ledger", 2, 4), ("users", 2, 2)]
     other = store.compact("users", str(tmp_path / "t"))
     assert other.log("users").count() == 1
     store.close()
