@@ -49,23 +49,30 @@ def affine(h: np.ndarray, a: int, b: int) -> np.ndarray:
     return _reduce(_reduce(hi + mid) + _reduce(_reduce(h0 * a0) + np.uint64(b)))
 
 
-def signature_rows(items: DataFrame, id_col: str, shingles: Column, width: int = WIDTH) -> DataFrame:
+def signature_rows(items: DataFrame, id_col: str, shingles: Column, width: int = WIDTH, hashed_by: str = "md5") -> DataFrame:
     """(id, signature): the least value of each hash function over the item's shingles; none for an item without.
 
-    Shingles are hashed in the JVM; their 60-bit hashes go to an Arrow kernel, an item a row.
+    By ``md5`` shingles are hashed in the JVM and their 60-bit hashes go to an Arrow kernel,
+    an item a row.  By ``blake2b`` the kernel takes all 64 bits of each shingle's digest,
+    one by one; that is slower, and the same as signatures made elsewhere of it.
     """
+    if hashed_by not in ("md5", "blake2b"):
+        raise ValueError(f"no hash {hashed_by}")
     family = coefficients(width)
     kind = items.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if hashed_by == "blake2b":
+                h = np.array([_hash(x) % PRIME for x in lists.flatten().to_pylist()], dtype=np.uint64)
+            else:
+                h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             starts = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
             minima = np.stack([np.minimum.reduceat(affine(h, a, b), starts) for _, a, b in family], axis=1) if len(starts) else np.zeros((0, width), np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(minima.view(np.int64)), pa.list_(pa.int64()))], names=["id", "signature"])
 
-    hashed = items.select(F.col(id_col).alias("id"), F.transform(shingles, shingle_hash).alias("h")).filter(F.size("h") > 0)
+    hashed = items.select(F.col(id_col).alias("id"), (shingles if hashed_by == "blake2b" else F.transform(shingles, shingle_hash)).alias("h")).filter(F.size("h") > 0)
     return hashed.mapInArrow(run, f"id {kind}, signature array<bigint>").withColumnRenamed("id", id_col)
 
 

@@ -33,6 +33,14 @@ def format_facts(attributes: Column, between: str = ", ") -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(label(e["key"]), F.lit(": "), e["value"])), between)
 
 
+def fact_lines(attributes: Column, signs: dict[str, str]) -> Column:
+    """Non-blank attributes for a chat, a line each by key, with the domain's sign before those that have one."""
+    entries = F.array_sort(F.map_entries(F.map_filter(attributes, lambda k, v: filled(v).isNotNull())))
+    known = F.create_map(*(F.lit(x) for item in signs.items() for x in item)) if signs else None
+    sign = lambda k: F.coalesce(F.concat(known[k], F.lit(" ")), F.lit("")) if known is not None else F.lit("")
+    return F.array_join(F.transform(entries, lambda e: F.concat(sign(e["key"]), label(e["key"]), F.lit(": "), e["value"])), "\n")
+
+
 def schedule_line(text: Column, cron: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", escape_html(text)).when(F.coalesce(cron, F.lit("")) != "", F.concat(F.lit("<code>"), escape_html(cron), F.lit("</code>"))).otherwise("manual (run on demand)")
 

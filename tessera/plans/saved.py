@@ -94,11 +94,11 @@ def run_saved(spark: SparkSession, store: Store, query_id: str, principal: Princ
     Ranked is all that the query has ever been linked to, but for what its owner was shown
     if ``unseen_only``.  Records without a vector get one before they are scored.
     """
-    found = store.get("saved_queries", query_id).limit(1).collect()
+    found = store.saved_queries().filter(F.col("id") == query_id).limit(1).collect()
     if not found:
         raise UnknownQuery(query_id)
     require_owner(principal, found[0]["user_id"])
-    query = store.get("saved_queries", query_id)
+    query = store.saved_queries().filter(F.col("id") == query_id)
     run = f"{query_id}-{session}"
     with reported("expand", listener):
         query = staged(classified(query, stages.classify), "saved-query")

@@ -282,6 +282,19 @@ def golden_attributes(spark, d):
     return survive.attribute_fill(e, "user_id", ["ts", "event_id"], "event_type", "v")
 
 
+@query(
+    """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderstatus <> 'F' THEN 'a=' || o_orderstatus WHEN o_orderkey % 2 = 0 THEN 'a=x' END, CASE WHEN o_orderkey % 3 = 0 THEN 'b=' || o_orderpriority END, CASE WHEN o_orderkey % 2 = 0 THEN 'c=' || o_custkey END) AS filled FROM orders"""
+)
+def fill_attributes(spark, d):
+    """Attributes of two sightings, the first one's staying."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    some = lambda *pairs: F.map_filter(F.create_map(*(F.lit(x) if isinstance(x, str) else x for p in pairs for x in p)), lambda k, v: v.isNotNull())
+    base = some(("a", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))), ("b", F.when(key % 3 == 0, F.col("o_orderpriority"))))
+    extra = some(("a", F.when(key % 2 == 0, F.lit("x"))), ("c", F.when(key % 2 == 0, F.col("o_custkey").cast("string"))))
+    entries = F.array_sort(F.map_entries(survive.fill_map(base, extra)))
+    return o.select("o_orderkey", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("filled"))
+
+
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN r_name ELSE n_name END AS city, r_name AS country, CASE WHEN n_nationkey % 2 = 0 THEN 'v' || n_name END AS venue, CAST(n_nationkey AS DOUBLE) AS lat FROM nation JOIN region ON n_regionkey = r_regionkey")
 def golden_geo_fill(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -30,4 +30,5 @@ PREFERENCE = _struct(saved_query_id=S, nl_summary=S, liked_centroid=VECTOR, disl
 SHOWN = _struct(user_id=S, result_id=S, shown_at=TS)
 RANKED = _struct(canonical_id=S, score=D, rank=I, rationale=S, is_exploration=B)
 EVAL_CASE = _struct(name=S, stage=S, golden_ids=T.ArrayType(S))
-TABLES = {"users": USER, "saved_queries": SAVED_QUERY, "raw_results": RAW_RESULT, "canonical": CANONICAL, "provenance": PROVENANCE, "query_results": LINK, "feedback": FEEDBACK, "preferences": PREFERENCE, "shown_ledger": SHOWN}
+DELETED = _struct(id=S)
+TABLES = {"deleted_queries": DELETED, "users": USER, "saved_queries": SAVED_QUERY, "raw_results": RAW_RESULT, "canonical": CANONICAL, "provenance": PROVENANCE, "query_results": LINK, "feedback": FEEDBACK, "preferences": PREFERENCE, "shown_ledger": SHOWN}

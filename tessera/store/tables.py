@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.functions.text import city_key
+from tessera.operators.block import blocked_knn
 from tessera.operators.feedback import refuse_unknown
-from tessera.operators.ledger import insert_ignore, latest, without
+from tessera.operators.ingest import owned
+from tessera.operators.ledger import insert_ignore, latest, results_for, without
+from tessera.operators.schedule import scheduled
 from tessera.schema import TABLES
 
 KEYS = {"users": ["id"], "saved_queries": ["id"], "raw_results": ["id"], "canonical": ["id"], "provenance": ["canonical_id"], "feedback": ["id"], "preferences": ["saved_query_id"]}
@@ -148,7 +151,11 @@ class Store:
         self.append("query_results", rows.select("seq", "query_id", "canonical_id"), version)
 
     def links(self) -> DataFrame:
-        return insert_ignore(self.log("query_results"), ["query_id", "canonical_id"], "seq")
+        """Links of queries that weren't deleted after they were linked, each at its first place."""
+        log = self.log("query_results")
+        gone = self.log("deleted_queries").groupBy(F.col("id").alias("query_id")).agg(F.max("_version").alias("_gone"))
+        kept = log.join(gone, "query_id", "left").filter(F.coalesce(F.col("_gone") < F.col("_version"), F.lit(True)))
+        return insert_ignore(kept, ["query_id", "canonical_id"], "seq")
 
     def mark_shown(self, rows: DataFrame, version: int) -> None:
         self.append("shown_ledger", rows.select("user_id", "result_id", "shown_at"), version)
@@ -157,9 +164,40 @@ class Store:
         return insert_ignore(self.log("shown_ledger"), ["user_id", "result_id"], "shown_at")
 
     def saved_queries(self, tombstones: DataFrame | None = None) -> DataFrame:
-        rows = self.view("saved_queries")
+        """Saved queries that weren't deleted after they were last written."""
+        rows = latest(self.log("saved_queries"), ["id"], ["_version"])
+        gone = self.log("deleted_queries").groupBy("id").agg(F.max("_version").alias("_gone"))
+        rows = rows.join(gone, "id", "left").filter(F.coalesce(F.col("_gone") < F.col("_version"), F.lit(True))).drop("_gone", "_version")
         return without(rows, tombstones, ["id"]) if tombstones is not None else rows
 
+    def delete_queries(self, ids: DataFrame, version: int) -> None:
+        """Forget saved queries and what they are linked to; what users were shown stays known."""
+        self.append_as("deleted_queries", ids.select("id"), version)
+
+    def owned_queries(self, user: str) -> DataFrame:
+        return owned(self.saved_queries(), F.lit(user))
+
+    def scheduled_queries(self) -> DataFrame:
+        return scheduled(self.saved_queries())
+
+    def results_of(self, query_id: str) -> DataFrame:
+        """Records that a query is linked to, with ``seq``, the order in which they were."""
+        mine = self.links().filter(F.col("query_id") == query_id).select(F.col("canonical_id").alias("id"), "seq")
+        return results_for(mine, self.view("canonical"), "id")
+
+    def shown_to(self, user: str) -> DataFrame:
+        return self.shown().filter(F.col("user_id") == user).select("result_id")
+
+    def feedback_on(self, query_id: str) -> DataFrame:
+        return self.view("feedback").filter(F.col("saved_query_id") == query_id)
+
+    def nearest(self, asked: DataFrame, days: int = 1, limit: int = 10) -> DataFrame:
+        """(q_id, id, similarity, knn_pos): the stored records most like each row of ``asked`` (id, city, starts_at, embedding) in its block."""
+        at = (F.unix_micros(F.col("starts_at").cast("timestamp")) / 1e6).alias("at")
+        block = (F.nullif(city_key(F.col("city")), F.lit("")).alias("city"), at, F.col("embedding").alias("v"))
+        known = self.view("canonical").filter("embedding IS NOT NULL").withColumn("city", F.col("geo.city")).select("id", *block)
+        return blocked_knn(asked.select("id", *block, F.lit(limit).alias("k")), known, days, but_itself=False)
+
     def compact(self, table: str, to: str) -> Store:
         """Write the latest versions to a new folder; the old one stays readable."""
         other = Store(self.spark, to)

@@ -63,6 +63,25 @@ def test_minhash(spark):
     assert np.mean(np.array(got["a"]) == np.array(got["c"])) <= 0.2
 
 
+def test_minhash_by_the_wider_hash(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("a", "one two three"), ("b", "one two four"), ("c", "")], "id string, t string")
+    got = {r["id"]: r["signature"] for r in minhash.signature_rows(df, "id", text.shingles(F.col("t")), hashed_by="blake2b").collect()}
+    h = lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big")
+    want = lambda *shingles: [min((a * h(s) + b) % minhash.PRIME for s in shingles) for _, a, b in minhash.coefficients()]
+    assert got == {"a": want("one two", "two three"), "b": want("one two", "two four")}
+    with pytest.raises(ValueError):
+        minhash.signature_rows(df, "id", text.shingles(F.col("t")), hashed_by="crc")
+
+
+def test_fact_lines(spark):
+    from tessera.vocabulary import signs_of
+
+    facts = F.create_map(*map(F.lit, ("doi", "10.1", "authors", "Ada", "tags", " ", "other_key", "x")))
+    assert one(spark, render.fact_lines(facts, signs_of("papers")), render.fact_lines(facts, {})) == ("✍️ Authors: Ada\n🔖 Doi: 10.1\nOther Key: x", "Authors: Ada\nDoi: 10.1\nOther Key: x")
+
+
 def test_cron_against_minutes():
 
     rng = random.Random(5)

@@ -372,6 +372,40 @@ def test_a_saved_query_runs_from_its_id(spark, tmp_path, monkeypatch):
             saved.build(named)
 
 
+def test_dialogue_and_store_methods(spark, tmp_path):
+    """A builder's turns become saved queries, which are listed, scheduled, found near and deleted with their links."""
+    from tessera.plans import dialogue
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    messages = spark.createDataFrame([(1, 0, "user", "jazz"), (2, 0, "user", "bad"), (3, 0, "user", "hm"), (1, 1, "assistant", None)], "conv_id bigint, turn bigint, role string, text string")
+
+    def make():
+        def answer(m):
+            said = m[0]["content"]
+            if "jazz" in said:
+                return '{"message":"ok","ready":true,"text":"jazz","city":"Berlin","schedule_cron":"0 9 * * *"}'
+            return '{"message":"ok","ready":true,"text":"bad","schedule_cron":"0 99 * * *"}' if "bad" in said else "?"
+
+        return models.ScriptedModel(answer)
+
+    turns = dialogue.next_turns(messages, make)
+    assert {r["conv_id"]: r["text"] for r in turns.collect()} == {1: "jazz", 2: "bad", 3: None}
+    assert [r["conv_id"] for r in dialogue.save_drafts(store, turns, "u1", 1).collect()] == [2]
+    (saved,) = store.owned_queries("u1").collect()
+    assert saved["text"] == "jazz" and store.scheduled_queries().count() == 1 and store.owned_queries("u2").count() == 0
+    record = spark.createDataFrame([("c1", "u", "Berlin", [1.0, 0.0]), ("c2", "u", "Rome", [1.0, 0.1])], "id string, url string, city string, embedding array<double>")
+    record = record.withColumns({c: F.lit(None).cast(t) for c, t in (("country", "string"), ("venue", "string"), ("lat", "double"), ("lon", "double"), ("starts_at", "timestamp"))}).withColumn("source_ids", F.array("id"))
+    store.upsert_canonical(record, spark.createDataFrame([("c1", "url", "c1")], "canonical_id string, field string, source_id string"), 1)
+    store.link(spark.createDataFrame([(1, saved["id"], "c1")], "seq bigint, query_id string, canonical_id string"), 2)
+    assert [(r["id"], r["seq"]) for r in store.results_of(saved["id"]).collect()] == [("c1", 1)]
+    asked = spark.createDataFrame([("q", " berlin", None, [2.0, 0.0]), ("r", None, None, [0.0, 1.0])], "id string, city string, starts_at timestamp, embedding array<double>")
+    assert sorted((r["q_id"], r["id"], r["knn_pos"]) for r in store.nearest(asked).collect()) == [("q", "c1", 0), ("r", "c1", 1), ("r", "c2", 0)]
+    store.mark_shown(spark.createDataFrame([("u1", "c1", datetime(2024, 1, 1, tzinfo=UTC))], "user_id string, result_id string, shown_at timestamp"), 2)
+    store.delete_queries(store.saved_queries().select("id"), 3)
+    assert store.saved_queries().count() == 0 and store.results_of(saved["id"]).count() == 0 and store.shown_to("u1").count() == 1
+    assert store.feedback_on(saved["id"]).count() == 0
+
+
 def test_locations_are_blank_where_unknown(spark, tmp_path):
     store = Store(spark, str(tmp_path / "users"))
     store.append("users", spark.createDataFrame([("u1", "n", ("Berlin", None, None, None), None)], TABLES["users"]), 1)
