@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.render import render_result
 from tessera.functions.text import doc_text
 from tessera.functions.vector import taste
 from tessera.operators import taste as ranking
 from tessera.operators.feedback import with_profiles
 from tessera.operators.fuse import fused_order, rank_results, rrf
 from tessera.operators.ingest import classified, expand
-from tessera.operators.ledger import next_seq, results_for, unseen
+from tessera.operators.ledger import delivered, next_seq, results_for, unseen
 from tessera.operators.triage import Judge, Thresholds, judge_by_words, near_corpus, reconcile
 from tessera.ports.auth import Principal, require_owner
 from tessera.ports.models import embed_column
 from tessera.ports.progress import Event, reported
 from tessera.ports.search import AdapterMissing
 from tessera.store.tables import Store, staged
+from tessera.streaming.delivery import Claim, Send, deliver
+from tessera.streaming.ticks import Run
 
 #: Results of queries (query_id, text, domain, city) -> rows (query_id, pos, url, title, description).
 Search = Callable[[DataFrame], DataFrame]
@@ -28,6 +33,10 @@ Search = Callable[[DataFrame], DataFrame]
 Rerank = Callable[[DataFrame], DataFrame]
 
 
+#: Results shown where a query doesn't say.
+MOST_SHOWN = 10
+
+
 class UnknownQuery(LookupError):
     pass
 
@@ -141,3 +150,45 @@ def run_saved(spark: SparkSession, store: Store, query_id: str, principal: Princ
         scored = staged(scored, "scored-records")
         order = stages.rerank(ranking.prefilter(scored, "query", "id", stages.top_n)) if stages.rerank else None
         return ranking.ranked(scored, "query", "id", stages.top_n, stages.slots, order).drop("query")
+
+
+def messages_of(store: Store, query_id: str, ranked: DataFrame, chat: str) -> DataFrame:
+    """(chat_id, result_id, rank, message): what a ranking shows, under the query's cap, of records that still exist."""
+    cap = store.saved_queries().filter(F.col("id") == query_id).select(F.coalesce("max_results_shown", F.lit(MOST_SHOWN)).alias("cap"))
+    rows = ranked.crossJoin(F.broadcast(cap))  # one row
+    shown = delivered(rows, store.view("canonical"), "id", "rank", "cap")
+    text = render_result(F.col("title"), F.col("url"), F.col("starts_at"), F.col("ends_at"), F.col("price"), F.coalesce("attributes", F.create_map().cast("map<string,string>")), F.col("rationale"))
+    return shown.select(F.lit(chat).alias("chat_id"), F.col("id").alias("result_id"), "rank", text.alias("message"))
+
+
+def run_and_deliver(spark: SparkSession, store: Store, query_id: str, stages: Stages, session: int, send: Send, claim: Claim, at: datetime) -> None:
+    """Run a query as its owner, send what the owner hasn't seen, and mark it as shown once all of it is sent."""
+    user = store.saved_queries().filter(F.col("id") == query_id).first()["user_id"]
+    ranked = staged(run_saved(spark, store, query_id, Principal(user, "schedule"), stages, session, unseen_only=True), "ranking")
+    messages = staged(messages_of(store, query_id, ranked, user), "messages")
+    mark = lambda sent: store.mark_shown(sent.select(F.lit(user).alias("user_id"), "result_id", F.lit(at).alias("shown_at")), session)
+    deliver(messages, send, claim, mark)
+
+
+def scheduled_run(spark: SparkSession, store: Store, stages: Stages, send: Send, claim: Claim, isolate: bool = True, at_once: int = 8) -> Run:
+    """What a tick does with its due queries (see ``streaming.ticks``): each is run and delivered, ``at_once`` of them side by side.
+
+    The driver holds the ids of what is due and starts one plan each; a failure is that
+    query's own if ``isolate``, else the tick's.  A tick's second is its session's number.
+    """
+
+    def run(due: DataFrame) -> DataFrame:
+        def one(row) -> tuple[str, bool]:
+            try:
+                run_and_deliver(spark, store, row["id"], stages, int(row["now"].timestamp()), send, claim, row["now"])
+            except Exception:
+                if not isolate:
+                    raise
+                return row["id"], False
+            return row["id"], True
+
+        with ThreadPoolExecutor(at_once) as pool:
+            marks = list(pool.map(one, due.select("id", "now").collect()))
+        return spark.createDataFrame(marks, "id string, ok boolean")
+
+    return run

@@ -74,12 +74,12 @@ class Store:
         return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
     def append(self, table: str, rows: DataFrame, version: int, once: str | None = None) -> None:
-        """Add rows.  Under the same ``once`` they replace what was written before, be it whole or in part."""
-        rows = rows.withColumn("_version", F.lit(version).cast("bigint"))
-        if once:
-            rows.write.mode("overwrite").parquet(f"{self._log(table)}/once-{once}")
-        else:
-            rows.write.mode("append").parquet(self._log(table))
+        """Add rows.  Under the same ``once`` they replace what was written before, be it whole or in part.
+
+        Each write has a folder of its own, so several may go on at a time.
+        """
+        own = f"once-{once}" if once else f"write-{uuid.uuid4().hex}"
+        rows.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(f"{self._log(table)}/{own}")
 
     def append_as(self, table: str, rows: DataFrame, version: int, once: str | None = None) -> None:
         """Add rows as a table has them: its columns, those that are missing null."""

@@ -406,6 +406,39 @@ def test_dialogue_and_store_methods(spark, tmp_path):
     assert store.feedback_on(saved["id"]).count() == 0
 
 
+def test_a_tick_runs_and_delivers(spark, tmp_path):
+    """Due queries are run as their owners and delivered; nothing is sent twice; one that fails doesn't stop the other."""
+    import uuid
+
+    from tessera.plans import saved
+    from tessera.streaming import ticks
+    from tessera.streaming.delivery import FileClaims
+
+    at = lambda d, h: datetime(2026, 6, d, h, tzinfo=UTC)
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = [("s1", "u1", "jazz", "0 9 * * *", True, 1, at(10, 0)), ("s2", "u2", "broken", "0 9 * * *", True, 5, at(10, 0))]
+    store.append_as("saved_queries", spark.createDataFrame(rows, "id string, user_id string, text string, schedule_cron string, enabled boolean, max_results_shown int, created_at timestamp"), 0)
+    found = spark.createDataFrame([("jazz", 0, "https://a.example/x", "jazz & more", "in the hall"), ("jazz", 1, "https://b.example/y", "poems", "quiet")], "text string, pos int, url string, title string, description string")
+    search_ = lambda asked: asked.select("query_id", "text").join(found, "text").drop("text")
+
+    def searching(asked):
+        if asked.filter("text = 'broken'").count():
+            raise ValueError("no answer")
+        return search_(asked)
+
+    sent = tmp_path / "sent"
+    sent.mkdir()
+    run = saved.scheduled_run(spark, store, saved.Stages(search=searching), lambda chat, text: (sent / uuid.uuid4().hex).write_text(f"{chat} {text}"), FileClaims(str(tmp_path / "claims")))
+    told = []
+    for n, moment in enumerate((at(12, 10), at(13, 10), at(14, 10))):
+        spark.createDataFrame([(moment,)], "at timestamp").coalesce(1).write.parquet(str(tmp_path / f"clock/n={n}"))
+        clock = spark.readStream.schema("at timestamp, n int").parquet(str(tmp_path / "clock"))
+        marks = ticks.ticks(spark, clock, store.scheduled_queries(), run, f"file://{tmp_path}/ticks")
+        told.append(sorted(p.read_text() for p in sent.iterdir()))
+    assert [len(t) for t in told] == [1, 2, 2] and all(t.startswith("u1 <a href=") for t in told[-1]) and any("jazz &amp; more" in t for t in told[-1])
+    assert store.shown_to("u1").count() == 2 and {(r["id"], r["ok"]) for r in marks.collect()} == {("s1", True), ("s2", False)}
+
+
 def test_locations_are_blank_where_unknown(spark, tmp_path):
     store = Store(spark, str(tmp_path / "users"))
     store.append("users", spark.createDataFrame([("u1", "n", ("Berlin", None, None, None), None)], TABLES["users"]), 1)
