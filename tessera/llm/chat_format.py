@@ -71,12 +71,16 @@ def parse(c: Column) -> Column:
     return F.when((pieces[0] == "") & F.forall(bodies, in_grammar), F.transform(bodies, turn))
 
 
-def _settled(content: Column, escaped, rendered, recovered) -> Column:
-    """``content``, escaped as long as its rendering isn't read back as it was."""
+def _settled(content: Column, escaped, rendered, recovered, harmless: Column) -> Column:
+    """``content``, escaped as long as its rendering isn't read back as it was.
+
+    Content in which nothing can be mistaken isn't tried one by one: the parse of the whole
+    conversation covers it.
+    """
     wire = content
     for _ in range(MOST_ESCAPES):
         wire = F.when(recovered(parse(rendered(wire))).eqNullSafe(content), wire).otherwise(escaped(wire))
-    return wire
+    return F.when(harmless, content).otherwise(wire)
 
 
 def format_chat(rows: DataFrame, conv_col: str = "conv_id", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -100,8 +104,8 @@ def format_chat(rows: DataFrame, conv_col: str = "conv_id", trained: tuple[str,
     turns = rows.select(F.col(conv_col).alias("conv"), "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     turns = turns.withColumns(
         {
-            "wire_role": _settled(F.col("role"), escape_role, lambda w: render(w, empty), lambda back: F.when(F.size(back) == 1, back[0]["role"])),
-            "wire_text": _settled(F.col("text"), escape, lambda w: render(empty, w), lambda back: F.when(F.size(back) == 1, back[0]["text"])),
+            "wire_role": _settled(F.col("role"), escape_role, lambda w: render(w, empty), lambda back: F.when(F.size(back) == 1, back[0]["role"]), ~(F.col("role").contains("<|") | F.col("role").contains("\n"))),
+            "wire_text": _settled(F.col("text"), escape, lambda w: render(empty, w), lambda back: F.when(F.size(back) == 1, back[0]["text"]), ~F.col("text").contains("<|")),
         }
     ).withColumn("wire", render(F.col("wire_role"), F.col("wire_text")))
     length, before = F.char_length("wire_text"), F.char_length("wire_role") + len(START) + 1
