@@ -70,7 +70,7 @@ PARTS: dict[str, dict[str, Callable[[], object]]] = {
     "search": {},
 }
 #: Names that are known but have nothing behind them here.
-NAMED_ONLY = {"judge": {"anthropic"}, "search": {"exa", "linkup", "perplexity", "serper"}}
+NAMED_ONLY = {"search": {"exa", "linkup", "perplexity", "serper"}}
 
 
 def build(named: dict[str, str], **more) -> Stages:
