@@ -36,6 +36,24 @@ def test_block_join_equals_predicate(spark):
     assert rows(got, "l_id", "r_id") == want
 
 
+@pytest.mark.parametrize("days", [0, 1, 2])
+def test_block_sizes_are_those_of_the_join(spark, days):
+    rng = random.Random(days)
+    make = lambda n: [(i, rng.choice(["x", "y", "", None]), rng.choice([None, *(rng.randrange(-3, 7) * 43200 + rng.randrange(2) for _ in range(4))])) for i in range(n)]
+    left, right = make(120), make(200)
+    schema = "id int, city string, at bigint"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    want = {}
+    for x in left:
+        n = sum((x[1] is None or y[1] is None or x[1] == y[1]) and (x[2] is None or y[2] is None or abs(x[2] - y[2]) <= days * 86400) for y in right)
+        want[x[1:]] = want.get(x[1:], 0) + n
+    got = block.block_sizes(a, b, days)
+    assert {(r["city"], r["at"]): r["pairs"] for r in got.collect()} == want
+    # A million rows on either side make 10 ** 12 pairs, which are counted and not made.
+    many = spark.range(1_000_000).selectExpr("id", "cast(null as string) AS city", "id % 7 AS at")
+    assert block.block_sizes(many, many, days).agg(F.sum("pairs")).first()[0] == (10**12 if days else sum(len(range(r, 10**6, 7)) ** 2 for r in range(7)))
+
+
 def test_block_edges(spark):
     schema = "id int, city string, at bigint"
     a = spark.createDataFrame([(1, "x", 86400)], schema)
