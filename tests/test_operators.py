@@ -251,6 +251,16 @@ def test_blocked_nearest_is_brute_force(spark, monkeypatch):
     assert block.blocked_knn(q.filter("false"), c).count() == 0 and block.blocked_knn(q, c.filter("false")).count() == 0
 
 
+def test_blocked_nearest_passes_no_queries_through_the_driver(spark, monkeypatch):
+    """Rows that lack a city or an instant meet in cells, too; equal similarities go by id however many there are."""
+    q = spark.range(300).selectExpr("id", "if(id % 3 = 0, null, 'a') AS city", "if(id % 2 = 0, null, double(id)) AS at", "array(1.0D, double(id % 2)) AS v", "2 AS k")
+    monkeypatch.setattr(type(q), "toArrow", lambda self: pytest.fail("gathered in the driver"))
+    found = block.blocked_knn(q, q.drop("k"))
+    monkeypatch.undo()
+    want = lambda i: [x for x in range(i % 2, 8, 2) if x != i][:2]
+    assert rows(found, "q_id", "knn_pos", "id") == sorted((i, p, x) for i in range(300) for p, x in enumerate(want(i)))
+
+
 def test_knn_refuses_vectors_of_several_lengths(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None)], "id bigint, v array<double>")
     with pytest.raises(ValueError, match="lengths"):
