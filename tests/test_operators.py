@@ -261,6 +261,29 @@ def test_blocked_nearest_passes_no_queries_through_the_driver(spark, monkeypatch
     assert rows(found, "q_id", "knn_pos", "id") == sorted((i, p, x) for i in range(300) for p, x in enumerate(want(i)))
 
 
+def test_knn_compares_few_rows_at_a_time(spark, monkeypatch):
+    """3,000 queries against one batch of 10,000 rows: all similarities at once would take 240 MB, and several times."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    df = spark.range(3000).selectExpr("id", "array(double(id % 17), double(id % 5), 1.0D) AS v")
+    workers, make = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, *a, **b: workers.append(run) or make(self, run, *a, **b))
+    block.knn(df, df, "id", "v", 10)
+    v = np.random.default_rng(0).normal(size=(10_000, 3))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(workers[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and found.num_rows == 30_000
+    q = np.array([77 % 17, 77 % 5, 1.0])
+    sims = np.round(v @ q / np.linalg.norm(v, axis=1) / np.linalg.norm(q), 6)
+    sims[77] = -1
+    assert sorted(found["id"].to_numpy()[found["q_id"].to_numpy() == 77]) == sorted(np.lexsort((np.arange(10_000), -sims))[:10])
+
+
 def test_knn_refuses_vectors_of_several_lengths(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None)], "id bigint, v array<double>")
     with pytest.raises(ValueError, match="lengths"):
