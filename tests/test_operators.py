@@ -233,6 +233,22 @@ def test_one_judge_call_a_run_however_often_results_are_read(spark, tmp_path):
     assert {r["canonical_id"] for r in outcomes_} == {r["id"] for r in golden} == {r["canonical_id"] for r in given}
 
 
+def test_many_runs_are_folded_without_a_call_each(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda *a: pytest.fail("a call of Python for each run"))
+    none = [f"cast(null as string) AS {c}" for c in ("description", "city", "venue", "price")]
+    df = spark.range(4000).selectExpr("nullif(id div 2, 7) AS run", "cast(1 - id % 2 as int) AS pos", "string(id) AS id", "'u' AS url", "'t' AS title", *none, "timestamp'2026-07-01 20:00:00' AS starts_at", "array(1.0D, if(id = 5, null, 0.0D)) AS embedding")
+    monkeypatch.setattr(triage, "FOLDED", 7)
+    done = triage.reconcile(df, df.filter("false"), "run", judge_by_words(0.4))
+    got = {r["candidate_id"]: tuple(r)[1:] for r in done.outcomes.select("candidate_id", "run", "decision", "canonical_id", "similarity").collect()}
+    for i in range(4000):
+        run = None if i // 2 == 7 else i // 2
+        first = triage.fresh_id(run, str(i | 1))
+        assert got[str(i)] == ((run, "insert_new", first, None) if i % 2 else (run, "auto_merge", first, 1.0))
+    assert rows(done.golden.groupBy("title", "starts_at", F.size("source_ids").alias("n")).count(), "title", "starts_at", "n", "count") == [("t", datetime(2026, 7, 1, 20), 2, 2000)]
+
+
 def test_blocked_nearest_is_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     some = lambda n, o: [(f"x{i + o}", rng.choice([None, "a", "a", "a", "b"]), rng.choice([None] + [float(rng.randrange(0, 5 * 86400)) for _ in range(5)]), rng.choice([None] + [[float(rng.randrange(-3, 4)) for _ in range(3)] for _ in range(6)])) for i in range(n)]
