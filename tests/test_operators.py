@@ -249,6 +249,21 @@ def test_many_runs_are_folded_without_a_call_each(spark, monkeypatch):
     assert rows(done.golden.groupBy("title", "starts_at", F.size("source_ids").alias("n")).count(), "title", "starts_at", "n", "count") == [("t", datetime(2026, 7, 1, 20), 2, 2000)]
 
 
+def test_only_texts_of_vector_pairs_are_cut_into_shingles(spark, monkeypatch, tmp_path):
+    from tessera.queries import match
+
+    spark.range(50).selectExpr("id AS doc_id", "if(id = 3, null, concat('a b c', id % 2)) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, 0.0]) for i in (2, 3, 7, 8, 20)], "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = {}
+    write = match.staged
+    monkeypatch.setattr(match, "staged", lambda df, name: seen.setdefault(name, write(df, name)))
+    for most in (1_000_000, 0):  # looked up by broadcast, by a shuffle
+        seen.clear()
+        monkeypatch.setattr(match, "MOST_BROADCAST_IDS", most)
+        assert rows(match.combined_similarity(spark, str(tmp_path)), "vec_id", "similarity") == [(2, 1.0), (7, 1.0)]
+        assert rows(seen["shingles"], "vec_id") == [(2,), (3,), (7,), (8,)]
+
+
 def test_blocked_nearest_is_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     some = lambda n, o: [(f"x{i + o}", rng.choice([None, "a", "a", "a", "b"]), rng.choice([None] + [float(rng.randrange(0, 5 * 86400)) for _ in range(5)]), rng.choice([None] + [[float(rng.randrange(-3, 4)) for _ in range(3)] for _ in range(6)])) for i in range(n)]
