@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,18 +54,34 @@ class ScriptedModel:
         return self.answer(messages)
 
 
+#: Texts that are Python strings, and vectors that are Python numbers, at a time.
+EMBEDDED = 256
+
+
+def _vectors(texts: pa.Array, embedder: Embedder) -> pa.Array:
+    """A vector for each text, null for a null one; a slice at a time, kept as plain doubles."""
+    parts = []
+    for at in range(0, len(texts), EMBEDDED):
+        part = texts.slice(at, EMBEDDED)
+        known = part.is_valid().to_numpy(zero_copy_only=False)
+        vectors = [np.asarray(v, dtype=np.float64) for v in embedder.embed(part.drop_null().to_pylist())] if known.any() else []
+        if len(vectors) != known.sum():
+            raise ValueError(f"{known.sum()} texts, {len(vectors)} vectors")
+        sizes = np.zeros(len(part), dtype=np.int32)
+        sizes[known] = [len(v) for v in vectors]
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.append(~known, False))  # a null offset: a null list
+        parts.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0), *vectors]))))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
+
+
 def embed_column(text: Column, make: Callable[[], Embedder] = HashEmbedder) -> Column:
-    """Embed a column batch by batch; a worker makes its embedder once, a null text has no vector."""
+    """Embed a column slice by slice; a worker makes its embedder once, a null text has no vector."""
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder = make()
-        for s in batches:
-            out: list = [None] * len(s)
-            known = np.flatnonzero(s.notna())
-            for i, vector in zip(known, embedder.embed([s.iloc[i] for i in known]) if len(known) else [], strict=True):
-                out[i] = vector
-            yield pd.Series(out, dtype=object)
+        for texts in batches:
+            yield _vectors(texts, embedder)
 
     return run(text)
 

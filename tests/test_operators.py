@@ -264,6 +264,19 @@ def test_only_texts_of_vector_pairs_are_cut_into_shingles(spark, monkeypatch, tm
         assert rows(seen["shingles"], "vec_id") == [(2,), (3,), (7,), (8,)]
 
 
+def test_texts_are_embedded_a_slice_at_a_time(spark):
+    from tessera.ports import models
+
+    class Counting:
+        def embed(self, texts):
+            return [[float(len(texts)), float(len(t))] for t in texts]
+
+    df = spark.range(2000, numPartitions=1).selectExpr("id", "if(id % 10 = 3, null, repeat('x', int(id % 7))) AS text")
+    got = {r["id"]: r["v"] for r in df.withColumn("v", models.embed_column(F.col("text"), Counting)).collect()}
+    assert all((v is None) == (i % 10 == 3) and (v is None or v[1] == i % 7) for i, v in got.items()) and len(got) == 2000
+    assert max(v[0] for v in got.values() if v) <= models.EMBEDDED
+
+
 def test_blocked_nearest_is_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     some = lambda n, o: [(f"x{i + o}", rng.choice([None, "a", "a", "a", "b"]), rng.choice([None] + [float(rng.randrange(0, 5 * 86400)) for _ in range(5)]), rng.choice([None] + [[float(rng.randrange(-3, 4)) for _ in range(3)] for _ in range(6)])) for i in range(n)]
