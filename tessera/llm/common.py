@@ -22,6 +22,8 @@ SEPARATORS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one NumPy pass works on; bounds a worker's memory.
 SLICE_BYTES = 2 << 20
+#: Bytes of text whose words are hashed at once; a worker keeps two tables of powers of that length.
+HASHED_BYTES = 1 << 19
 
 
 #: Bytes that a task holds back before it writes a row group of an intermediate table.
@@ -204,8 +206,8 @@ class Words:
         """A mixed 64-bit hash of each word."""
         out = np.empty(len(self.start), dtype=U64)
         a = 0
-        while a < len(out):  # one pass, unless a single text is longer than a slice
-            b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + 2 * SLICE_BYTES, side="right")))
+        while a < len(out):  # a word's hash doesn't depend on where it stands
+            b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + HASHED_BYTES, side="right")))
             base, top = int(self.start[a]), int(self.end[b - 1])
             up, down = _IN_WORD.upto(top - base)
             total = np.zeros(top - base + 1, dtype=U64)

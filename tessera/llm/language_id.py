@@ -18,7 +18,7 @@ TABLE_BITS, MODEL_CELLS = 17, 1 << 24
 #: More labelled languages than this raise an error: the column isn't a language then.
 MOST_LANGUAGES = 4096
 #: Bytes of text whose trigrams are held at once (about 80 bytes each).
-TRIGRAM_BYTES = 1 << 19
+TRIGRAM_BYTES = 1 << 17
 #: Trigrams of a text that count in full; the evidence of more grows with their square root, since
 #: neighbouring trigrams aren't independent.
 FULL_WEIGHT = 50.0

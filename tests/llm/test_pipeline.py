@@ -194,3 +194,23 @@ def test_run_on_the_smallest_tables(spark):
     plain = lambda t: " ".join(re.findall(r"[^\s!-/:-@\[-`{-~]+", t.lower()))
     assert not any(plain(r["text"]) in plain(docs[i]) for i in left for r in items)
     assert np.isfinite(got.agg(F.sum("size")).first()[0])
+
+
+def test_words_are_hashed_in_short_passes():
+    """A slice of 2 MB: its tables of powers and sums took over 100 MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    texts = [f"w{i} some more words w{i % 97}" for i in range(80_000)]
+    words = common.Words(pa.array(texts))
+    tracemalloc.start()
+    h = words.hashes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    one = common.Words(pa.array(texts[79_000:])).hashes()
+    assert np.array_equal(h[-len(one) :], one)
