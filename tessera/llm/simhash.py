@@ -30,10 +30,8 @@ LEVELS = 6
 SAMPLES, SAMPLE_SHINGLES = 12, 5
 #: Standard deviations by which the share of equal minima may fall short of the similarity that is sought.
 SLACK = 3.5
-#: Members of a bucket that one task holds on either side of a comparison, about.
-CHUNK = 2048
-#: Candidates of a row and cell that are verified in each turn, at most; the last turn takes all that are still open.
-TURNS = (16, None)
+#: Members of a bucket that one task holds on either side of a comparison, and bytes of their sets, about.
+CHUNK, CHUNK_BYTES = 2048, 4 << 20
 #: Ranges of hashes in which a set's shingles are counted, and the largest count.
 RANGES, FULL = 64, 65_535
 
@@ -428,7 +426,7 @@ def _digest(shingles: np.ndarray, seed: int) -> bytes:
 
 
 def set_prints(docs: DataFrame, width: int, seed: int, samples: int, each: int) -> DataFrame:
-    """(id, key, fp, prints, sketch, ranges): a digest of each text's distinct shingles, their SimHash, ``sample_prints`` and ``range_counts``."""
+    """(id, key, fp, prints, sketch, ranges, size): a digest of each text's distinct shingles, their SimHash, ``sample_prints``, ``range_counts`` and number."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,10 +435,10 @@ def set_prints(docs: DataFrame, width: int, seed: int, samples: int, each: int)
                 found = [_set_of(t, width, seed) for t in part.column(1)]
                 hashes, counts = np.concatenate(found), np.array([len(x) for x in found])
                 prints, sketch = sample_prints(hashes, counts, samples, each)
-                columns = [pa.array([_digest(x, seed) for x in found], pa.binary()), pa.array(majority_bits(hashes, counts).view(np.int64)), pa.array(list(prints.view(np.int64)), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array([range_counts(x) for x in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "key", "fp", "prints", "sketch", "ranges"])
+                columns = [pa.array([_digest(x, seed) for x in found], pa.binary()), pa.array(majority_bits(hashes, counts).view(np.int64)), pa.array(list(prints.view(np.int64)), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array([range_counts(x) for x in found], pa.binary()), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "key", "fp", "prints", "sketch", "ranges", "size"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, key binary, fp bigint, prints array<bigint>, sketch binary, ranges binary")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, key binary, fp bigint, prints array<bigint>, sketch binary, ranges binary, size bigint")
 
 
 def shingle_sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -515,88 +513,153 @@ def sample_members(classes: DataFrame) -> tuple[DataFrame, int]:
     return staged(_beside(members, buckets, ["t", "print"], "k", total), "bucket-members"), total
 
 
-def _best(equal: np.ndarray, ok: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """``ok`` with the ``most`` places of each row that have the largest ``equal`` alone, and which rows lost some."""
-    cut = np.count_nonzero(ok, axis=1) > most
-    if cut.any():
-        order = np.argsort(np.where(ok[cut], -equal[cut].astype(np.int32), 1), axis=1, kind="stable")[:, :most]
-        kept = np.zeros((len(order), ok.shape[1]), dtype=bool)
-        np.put_along_axis(kept, order, True, axis=1)
-        ok = ok.copy()
-        ok[cut] = kept
-    return ok, cut
+def _likely(rows: tuple[np.ndarray, ...], label: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of a probe and a base row of a cell with different labels whose sketches agree and whose ranges don't rule them out, some probes at a time.
 
+    ``rows``: probe, node, plain, sketch, ranges.  Labels may change between two blocks.
+    """
+    probe, node, plain, raw, counted = rows
+    places = raw.dtype.itemsize
+    sketch = raw.view(np.uint8).reshape(-1, places)
+    ranges = counted.view(np.uint16).reshape(-1, RANGES)
+    least = least_agreement(similarity, places)
+    asks, base = np.flatnonzero(probe), np.flatnonzero(~probe)
+    across = np.ascontiguousarray(sketch[base].T)
+    for k in range(0, len(asks), 64):
+        some = asks[k : k + 64]
+        # A pair of two probes comes from either side; one of them counts.
+        good = (label[some][:, None] != label[base][None, :]) & (plain[base][None, :] | (node[some][:, None] < node[base][None, :]))
+        if not good.any():
+            continue
+        equal = np.zeros(good.shape, dtype=np.uint16)
+        for j in range(places):
+            equal += sketch[some, j][:, None] == across[j][None, :]
+        x, y = np.nonzero(good & (equal >= least))
+        x, y = some[x], base[y]
+        good = np.zeros(len(x), dtype=bool)
+        for j in range(0, len(x), 8192):
+            good[j : j + 8192] = may_be_similar(ranges[x[j : j + 8192]], ranges[y[j : j + 8192]], similarity)
+        yield x[good], y[good]
 
-def _agreeing(similarity: float, most: int | None):
-    """Rows (cell, probe, node, c, plain, sketch, ranges), a cell's together -> (a, b, cut): pairs of a probe and a base row of different components whose sketches agree and whose ranges don't rule them out.
 
-    Of a probe's pairs in a cell only the ``most`` that agree best; ``cut`` says that it has more.
-    """
+def _with_partners(similarity: float):
+    """Rows (cell, probe, node, c, plain, sketch, ranges), a cell's together -> those that are in a likely pair of their cell."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, probe, node, c, plain, raw, counted in _whole_nodes(batches, 1):
-            places = raw.dtype.itemsize
-            sketch = raw.view(np.uint8).reshape(-1, places)
-            ranges = counted.view(np.uint16).reshape(-1, RANGES)
-            least = least_agreement(similarity, places)
-            a, b, more = [], [], []
+        for cell, probe, node, c, plain, sketch, ranges in _whole_nodes(batches, 1):
+            some = np.zeros(len(cell), dtype=bool)
             starts = run_starts(cell)
             for lo, hi in zip(starts, np.append(starts[1:], len(cell)), strict=True):
-                asks = lo + np.flatnonzero(probe[lo:hi])
-                base = lo + np.flatnonzero(~probe[lo:hi])
-                across = np.ascontiguousarray(sketch[base].T)
-                for k in range(0, len(asks), 64):
-                    some = asks[k : k + 64]
-                    # A pair of two probes comes from either side; one of them counts.
-                    good = (c[some][:, None] != c[base][None, :]) & (plain[base][None, :] | (node[some][:, None] < node[base][None, :]))
-                    if not good.any():
-                        continue
-                    equal = np.zeros(good.shape, dtype=np.uint16)
-                    for j in range(places):
-                        equal += sketch[some, j][:, None] == across[j][None, :]
-                    x, y = np.nonzero(good & (equal >= least))
-                    good = np.zeros(good.shape, dtype=bool)
-                    for j in range(0, len(x), 8192):
-                        u, v = x[j : j + 8192], y[j : j + 8192]
-                        good[u, v] = may_be_similar(ranges[some[u]], ranges[base[v]], similarity)
-                    good, cut = (good, np.zeros(len(good), dtype=bool)) if most is None else _best(equal, good, most)
-                    x, y = np.nonzero(good)
-                    a.append(node[some[x]])
-                    b.append(node[base[y]])
-                    more.append(cut[x])
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(more))], names=["a", "b", "cut"])
+                for x, y in _likely(tuple(col[lo:hi] for col in (probe, node, plain, sketch, ranges)), c[lo:hi], similarity):
+                    some[lo + x] = some[lo + y] = True
+            if some.any():
+                columns = [pa.array(x[some].tolist(), pa.binary()) if x.dtype.kind == "V" else pa.array(x[some]) for x in (cell, probe, node, c, plain, sketch, ranges)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "probe", "node", "c", "plain", "sketch", "ranges"])
 
     return run
 
 
-def open_sample_pairs(classes: DataFrame, members: DataFrame, total: int, similarity: float, most: int | None) -> DataFrame | None:
-    """Pairs (a, b, cut), a < b, of one bucket whose classes are in different components, whose sketches agree and whose range counts don't rule them out.
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches dealt anew: one for each run of equal values in the first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cell = batch.column(0).to_numpy()
+        starts = run_starts(cell)
+        for lo, hi in zip(starts, np.append(starts[1:], len(cell)), strict=True):
+            if held and held[0].column(0)[0].as_py() != cell[lo]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _cell_links(similarity: float):
+    """Rows (cell, probe, node, c, plain, sketch, ranges, shingles), a cell's together -> (u, v): links that connect its components as all its likely pairs of at least ``similarity`` do.
+
+    A pair that the cell's links have connected isn't verified, so a cell gives fewer links
+    than it has rows.  Sets are compared by numbers that the cell gives its shingles: a
+    probe marks its own, and its partners' marks are counted.
+    """
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_cells(batches):
+            probe, node, c, plain = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5))
+            label = c.copy()
+            sets = batch.column(7).to_pylist()
+            size = np.array([len(x) >> 3 for x in sets])
+            known, number = np.unique(np.frombuffer(b"".join(sets), U64), return_inverse=True)
+            del sets
+            number, first = number.astype(np.int32), np.concatenate([[0], np.cumsum(size)])
+            marked, u, v = np.zeros(len(known), dtype=bool), [], []
+            for x, y in _likely((probe, node, plain, _bytes_array(batch.column(5)), _bytes_array(batch.column(6))), label, similarity):
+                for a in run_starts(x):
+                    i = x[a]
+                    others = y[a : a + int(np.searchsorted(x[a:], i, side="right"))]
+                    others = others[label[others] != label[i]]
+                    if not len(others):
+                        continue
+                    own = number[first[i] : first[i + 1]]
+                    marked[own] = True
+                    shared = np.concatenate([[0], np.cumsum(marked[np.concatenate([number[first[j] : first[j + 1]] for j in others])])])
+                    marked[own] = False
+                    both = np.diff(shared[np.concatenate([[0], np.cumsum(size[others])])])
+                    for j in others[both >= similarity * (size[i] + size[others] - both)]:
+                        if label[j] != label[i]:
+                            u.append(node[i])
+                            v.append(node[j])
+                            label[label == label[j]] = label[i]
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
 
-    They are all such pairs if ``most`` is None, else ``most`` of each row in each cell.
+
+def open_sample_links(classes: DataFrame, members: DataFrame, total: int, names: DataFrame | None, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame | None:
+    """Links (u, v) that connect components as all pairs of one bucket do whose sketches agree, whose range counts don't rule them out and whose texts have at least ``similarity``.
 
     A bucket's rows of its commonest component needn't meet each other; only the others
     are compared, with all rows.  Both sides are cut into chunks, and a cell of one chunk
-    of each is what a task holds, however large the bucket.
+    of each is what a task holds, however large the bucket.  The first pass leaves the rows
+    that have a partner in a cell; these come together again with their sets, and pairs are
+    verified where they are found.  So no pair is written: a bucket's pairs may be as many as
+    the square of its rows, but it gives fewer links than its cells have rows.
     """
-    placed = members.select("t", "print", "node").join(classes.select("node", F.col("component_id").alias("c")), "node")
-    shares = placed.groupBy("t", "print", "c").agg(F.count(F.lit(1)).alias("n"))
-    buckets = shares.groupBy("t", "print").agg(F.sum("n").alias("k"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("major"), F.count(F.lit(1)).alias("parts"))
+    placed = members.select("t", "print", "node").join(classes.select("node", F.col("component_id").alias("c"), "size"), "node")
+    shares = placed.groupBy("t", "print", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    buckets = shares.groupBy("t", "print").agg(F.sum("n").alias("k"), F.sum("w").alias("weight"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("major"), F.max_by("w", F.struct("n", "c")).alias("most_weight"), F.count(F.lit(1)).alias("parts"))
     buckets = staged(buckets.filter("parts > 1").drop("parts"), "open-buckets")
     if buckets.isEmpty():
         return None
     # Written: a join may not rest on a union's partitioning, since a part of it may be dealt anew while it runs.
-    rows = staged(_beside(placed, buckets, ["t", "print"], "k", total), "placed-rows").join(classes.select("node", "sketch", "ranges"), "node")
-    rows = rows.withColumn("ways", F.ceil(F.col("k") / CHUNK).cast("int")).withColumn("probe_ways", F.ceil((F.col("k") - F.col("most")) / CHUNK).cast("int"))
+    rows = staged(_beside(placed.drop("size"), buckets, ["t", "print"], "k", total), "placed-rows").join(classes.select("node", "sketch", "ranges"), "node")
+    chunks = lambda n, weight: F.ceil(F.greatest(n / CHUNK, weight * 8 / CHUNK_BYTES)).cast("int")
+    rows = rows.withColumn("ways", chunks(F.col("k"), F.col("weight"))).withColumn("probe_ways", chunks(F.col("k") - F.col("most"), F.col("weight") - F.col("most_weight")))
     mine = lambda ways: F.pmod(F.xxhash64("node"), F.col(ways)).cast("int")
     every = lambda ways: F.explode(F.sequence(F.lit(0), F.col(ways) - 1))
     out = ["t", "print", "x", "y", "probe", "node", "c", (F.col("c") == F.col("major")).alias("plain"), "sketch", "ranges"]
     base = rows.withColumn("x", mine("ways")).withColumn("y", every("probe_ways")).withColumn("probe", F.lit(False)).select(*out)
     probes = rows.filter("c <> major").withColumn("x", every("ways")).withColumn("y", mine("probe_ways")).withColumn("probe", F.lit(True)).select(*out)
     cells = base.unionByName(probes).withColumn("cell", F.xxhash64("t", "print", "x", "y")).select("cell", "probe", "node", "c", "plain", "sketch", "ranges")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_agreeing(similarity, most), "a bigint, b bigint, cut boolean")
+    together = lambda cells: cells.repartition("cell").sortWithinPartitions("cell")
+    cells = staged(together(cells).mapInArrow(_with_partners(similarity), cells.schema), "cells-with-partners")
+    if cells.isEmpty():
+        return None
+    asked = staged(cells.select(F.col("node").alias("id")).distinct(), "asked")
+    sets = class_sets(asked, names, docs, width, seed).select(F.col("id").alias("node"), "shingles")
+    return staged(together(cells.join(sets, "node").select(*cells.columns, "shingles")).mapInArrow(_cell_links(similarity), "u bigint, v bigint").distinct(), "sample-links")
+
+
+def class_sets(asked: DataFrame, names: DataFrame | None, docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """(id, shingles, ranges): the sets of the classes in ``asked`` (id), which is written; ``names``: see ``verified``."""
+    few = asked.count() <= MOST_BROADCAST_KEYS
+    own = docs.join(F.broadcast(asked.select("id")) if few else asked, "id", "left_semi")
+    sets = shingle_sets(own, width, seed)
+    if names is not None:
+        sets = sets.join(names, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return sets.drop("key")
 
 
 def verified(pairs: DataFrame, names: DataFrame | None, docs: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
@@ -610,13 +673,8 @@ def verified(pairs: DataFrame, names: DataFrame | None, docs: DataFrame, width:
     asked = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("pairs")), "asked")
     least = max(1000, (asked.agg(F.sum("pairs")).first()[0] or 0) >> 10)
     hot = asked.filter(F.col("pairs") >= least).select("id", F.ceil(F.col("pairs") / least).cast("int").alias("ways"))  # 1024 rows at most
-    few = asked.count() <= MOST_BROADCAST_KEYS
-    own = docs.join(F.broadcast(asked.select("id")) if few else asked, "id", "left_semi")
-    sets = shingle_sets(own, width, seed)
-    if names is not None:
-        sets = sets.join(names, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("ways"), F.lit(1)) - 1))
-    sets = staged(sets.drop("key").join(F.broadcast(hot), "id", "left").withColumn("copy", copies).drop("ways"), "shingle-sets")
+    sets = staged(class_sets(asked, names, docs, width, seed).join(F.broadcast(hot), "id", "left").withColumn("copy", copies).drop("ways"), "shingle-sets")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -660,8 +718,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     Every candidate is verified on its whole texts.  The first to be tried tie each bucket
     or node together by few pairs, so a large group of copies costs links in proportion to
     its size.  Then come all other candidates whose ends the verified links have not
-    connected: a link that failed hides no other.  They are tried in TURNS, each row's
-    closest first, so that a group of near copies is connected before its pairs are listed.
+    connected: a link that failed hides no other.  A bucket's are verified where its rows
+    meet and leave as the links that connect them (see ``open_sample_links``).
 
     ``unique`` promises that no two rows share an id, which saves a shuffle of sets.
 
@@ -675,7 +733,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     prints = staged(set_prints(own, shingle_words, seed, samples, each), "set-prints")
     # Copies meet here: from now on a set is one row, named by its smallest id.
-    firsts = [F.first(c).alias(c) for c in ("fp", "prints", "sketch", "ranges")]
+    firsts = [F.first(c).alias(c) for c in ("fp", "prints", "sketch", "ranges", "size")]
     classes = staged(prints.groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), *firsts), "shingle-classes")
     named = classes.filter("node IS NOT NULL")
     names = None if unique else named.select(F.col("node").alias("id"), "key")
@@ -687,23 +745,19 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     links = verified(tried, names, own, shingle_words, seed, similarity)
     rooted = lambda links: components(links).select("node", F.col("root").alias("component_id"))
     roots = rooted(links)
-    for turn, most in enumerate(TURNS if samples else TURNS[-1:]):
-        so_far = staged(named.drop("n").join(roots, "node", "left").withColumn("component_id", F.coalesce("component_id", "node")), "components-so-far")
-        near = open_index_pairs(so_far, index, radius) if turn == 0 else None
-        like = open_sample_pairs(so_far, members, total, similarity, most) if samples else None
-        more = [m for m in (near and near.withColumn("cut", F.lit(False)), like) if m is not None]
-        if not more:
-            break
-        found = staged(more[0] if len(more) == 1 else more[0].unionByName(more[1]), "open-pairs")
-        others = staged(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    so_far = staged(named.drop("n").join(roots, "node", "left").withColumn("component_id", F.coalesce("component_id", "node")), "components-so-far")
+    more = []
+    if (near := open_index_pairs(so_far, index, radius)) is not None:
+        others = staged(near.distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
         if not others.isEmpty():
-            new = verified(others, names, own, shingle_words, seed, similarity)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                roots = rooted(links)
-            tried = tried.unionByName(others)
-        if found.filter("cut").isEmpty():
-            break
+            more.append(verified(others, names, own, shingle_words, seed, similarity))
+    if samples:
+        more.append(open_sample_links(so_far, members, total, names, own, shingle_words, seed, similarity))
+    more = [m for m in more if m is not None and not m.isEmpty()]
+    if more:
+        for new in more:
+            links = links.unionByName(new)
+        roots = rooted(links)
     tied = staged(classes.select("key", "n", "node").join(roots, "node", "left").select("key", "n", F.coalesce("component_id", "node").alias("component_id")), "tied-classes")
     return _spread(prints.select("id", "key", "fp"), tied, "key").select(F.col("id").alias(id_col), "fp", "component_id")
 

@@ -342,6 +342,32 @@ def test_similar_documents_in_a_template_family(spark, monkeypatch, chunk):
     assert got == {rows[i][0]: smallest[int(label[i])] for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_unlike_rows_of_a_large_bucket_cost_no_rows_for_their_pairs(spark, monkeypatch, small):
+    """600 documents, all at about 0.77 to one another, and a near copy of every 20th: what is written grows with the rows; their pairs are 180,000.  In whole cells, and in cells of few bytes."""
+    if small:
+        monkeypatch.setattr(simhash, "CHUNK_BYTES", 200_000, raising=False)
+    rng = random.Random(12)
+    template, rows = [f"s{i}" for i in range(300)], []
+    for g in range(600):
+        own = [f"x{rng.randrange(10**9)}" for _ in range(40)]
+        rows.append((g, " ".join(template + own)))
+        if g % 20 == 0:
+            own[rng.randrange(40)] = "changed"
+            rows.append((1000 + g, " ".join(template + own)))
+    written, staged = {}, simhash.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert max(written.values()) <= 2 * simhash.SAMPLES * len(rows) * (4 if small else 1), written
+
+
 def test_recall_by_band(spark):
     """Pairs whose similarity brute force knows: at least the share that the samples promise is found, and none below 0.8."""
     rng = random.Random(77)
